@@ -6,6 +6,8 @@ can say the same thing independently.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,15 +151,16 @@ def school_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Outlines on a grid of eight by eight per tile: parts, each of rings, each of corners.
-BOX = [(0, 0), (8, 0), (8, 8), (0, 8)]
+# The diamond is left unclosed; the clockwise box carries heights.
+BOX = [[0, 0], [8, 0], [8, 8], [0, 8], [0, 0]]
 OUTLINES = {
     "box": [[BOX]],
-    "diamond": [[[(4, 0), (8, 4), (4, 8), (0, 4)]]],
-    "ell": [[[(0, 0), (8, 0), (8, 4), (4, 4), (4, 8), (0, 8)]]],
-    "ring": [[BOX, [(2, 2), (6, 2), (6, 6), (2, 6)]]],
-    "twins": [[[(0, 0), (3, 0), (3, 8), (0, 8)]], [[(5, 0), (8, 0), (8, 8), (5, 8)]]],
-    "wide": [[[(0, 0), (12, 0), (12, 8), (0, 8)]]],
-    "clockwise": [[[(0, 0), (0, 8), (8, 8), (8, 0)]]],
+    "diamond": [[[[4, 0], [8, 4], [4, 8], [0, 4]]]],
+    "ell": [[[[0, 0], [8, 0], [8, 4], [4, 4], [4, 8], [0, 8], [0, 0]]]],
+    "ring": [[BOX, [[2, 2], [6, 2], [6, 6], [2, 6], [2, 2]]]],
+    "twins": [[[[0, 0], [3, 0], [3, 8], [0, 8], [0, 0]]], [[[5, 0], [8, 0], [8, 8], [5, 8], [5, 0]]]],
+    "wide": [[[[0, 0], [12, 0], [12, 8], [0, 8], [0, 0]]]],
+    "clockwise": [[[[0, 0, 1], [0, 8, 1], [8, 8, 1], [8, 0, 1], [0, 0, 1]]]],
 }
 DISTRICT_OUTLINES = ["box", "box", "box", "box", "diamond", "ell", "ring", "twins", "wide", "clockwise"]
 BLOCK_OUTLINES = ["box", "box", "ell", "ring", "diamond", "box", "clockwise"]
@@ -178,36 +181,33 @@ def features(df: DataFrame, key: str, outlines: list[str], extent: tuple, name:
     k, side = F.col(key), tiles_per_side(df, key)
     column, row = k % side, F.floor(k / side)
 
-    def coordinate(start: float, size: float, tile: Column, corner: int) -> Column:
+    def coordinate(start: float, size: float, tile: Column, corner: Column) -> Column:
         return F.lit(start) + F.lit(size) * (tile * 8 + corner).cast("double") / F.lit(float(8 * side))
 
-    def geometry(kind: str) -> Column:
-        def ring(corners: list) -> Column:
-            # One kind is left unclosed and one carries heights.
-            closed = corners if kind == "diamond" else [*corners, corners[0]]
-            height_part = [F.lit(1.0)] if kind == "clockwise" else []
-            return F.array(
-                *[
-                    F.array(coordinate(west, width, column, a), coordinate(south, height, row, b), *height_part)
-                    for a, b in closed
-                ]
-            )
-
-        parts = [F.array(*[ring(r) for r in rings]) for rings in OUTLINES[kind]]
-        several = len(parts) > 1
-        coordinates = F.array(*parts) if several else parts[0]
-        return F.to_json(
-            F.struct(F.lit("MultiPolygon" if several else "Polygon").alias("type"), coordinates.alias("coordinates"))
-        )
-
-    shape = F.when(k % 23 == 22, F.lit("null")).when(k % 29 == 28, F.lit('{"type":"Point","coordinates":[-74.0,40.7]}'))
-    for i, kind in enumerate(outlines):
-        shape = shape.when(k % len(outlines) == i, geometry(kind))
+    def corner(c: Column) -> Column:
+        lonlat = F.array(coordinate(west, width, column, c[0]), coordinate(south, height, row, c[1]))
+        return F.concat(lonlat, F.slice(c, 3, 1).cast("array<double>"))
+
+    drawn = F.from_json(F.lit(json.dumps([OUTLINES[o] for o in outlines])), "array<array<array<array<array<int>>>>>")
+    parts = F.transform(
+        F.get(drawn, (k % len(outlines)).cast("int")),
+        lambda rings: F.transform(rings, lambda ring: F.transform(ring, corner)),
+    )
+
+    def geometry(kind: str, coordinates: Column) -> Column:
+        return F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
+
+    shape = (
+        F.when(k % 23 == 22, F.lit("null"))
+        .when(k % 29 == 28, F.lit('{"type":"Point","coordinates":[-74.0,40.7]}'))
+        .when(F.size("parts") == 1, geometry("Polygon", F.element_at("parts", 1)))
+        .otherwise(geometry("MultiPolygon", F.col("parts")))
+    )
     properties = F.to_json(
         F.struct(F.concat(k.cast("string"), F.lit(" ")).alias("BoroCD"), F.concat(F.lit(name), k.cast("string")).alias("name"))
     )
     text = F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), shape, F.lit("}"))
-    return df.select(k.alias("file_order"), text.alias("feature"))
+    return df.withColumn("parts", parts).select(k.alias("file_order"), text.alias("feature"))
 
 
 def district_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +240,7 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
         ],
         F.avg("l_extendedprice").alias("price"),
         F.count(F.lit(1)).alias("lines"),
-        F.sum("l_discount").alias("discounts"),
+        F.sum(F.col("l_discount") * F.lit(1.3717)).alias("discounts"),
         F.avg("l_tax").alias("tax"),
         F.count(F.when(F.col("l_linenumber") == 1, 1)).alias("firsts"),
         F.avg("l_discount").alias("discount"),

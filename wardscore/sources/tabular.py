@@ -62,8 +62,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", single_file: boo
     out = df.coalesce(1) if single_file else df
     writer = out.write.mode("overwrite")
     if fmt == "csv":
-        # Blank text and NULL stay apart on the way back.
-        writer.option("header", True).option("escape", '"').csv(path)
+        # By default the writer would strip blanks around texts.
+        keep_blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(header=True, escape='"', **keep_blanks).csv(path)
     elif fmt == "json":
         writer.option("ignoreNullFields", False).json(path)
     else:
