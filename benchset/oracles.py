@@ -11,7 +11,6 @@ import re
 from benchset import adapters as A
 from benchset.registry import AGREEMENT_YEAR, plain_name
 from wardscore.functions import codes, projection as P
-from wardscore.functions.clean import MISSING_TEXTS, NUMBER_PATTERN
 from wardscore.plans import incidents as I
 from wardscore.plans import water as W
 from wardscore.plans.combine import OVERALL, QUALITY_COLUMNS
@@ -21,10 +20,6 @@ from wardscore.plans.rollup import AVERAGED, SUMMED
 CTES: dict[str, str] = {}
 
 
-def num(text: str) -> str:
-    return f"CASE WHEN regexp_full_match({text}, '{NUMBER_PATTERN[1:-1]}') THEN TRY_CAST(trim({text}) AS DOUBLE) END"
-
-
 def r6(expr: str) -> str:
     return f"(CASE WHEN round({expr}, 6) = 0 THEN 0e0 ELSE round({expr}, 6) END)"
 
@@ -46,10 +41,6 @@ def case(key: str, book: dict, default: str = "NULL") -> str:
     return f"CASE {key} {arms} ELSE {default} END"
 
 
-def missing(text: str) -> str:
-    return f"CASE WHEN {text} NOT IN {in_list(MISSING_TEXTS)} THEN {text} END"
-
-
 def row_mean(columns: list[str]) -> str:
     total = " + ".join(f"coalesce({c}, 0e0)" for c in columns)
     present = " + ".join(f"({c} IS NOT NULL)::INT" for c in columns)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The published parameters of the projection (GRS80 ellipsoid).
@@ -52,13 +52,18 @@ def plane_from_lonlat(lon: Column, lat: Column) -> tuple[Column, Column]:
     return x, y
 
 
-def lonlat_from_plane(x: Column, y: Column) -> tuple[Column, Column]:
-    """(lon, lat) in degrees; NULL where either coordinate is NULL."""
-    east = x * F.lit(METRES_PER_FOOT) - F.lit(FALSE_EASTING)
-    north = F.lit(RHO_0) - y * F.lit(METRES_PER_FOOT)
-    rho = F.sqrt(east * east + north * north)
-    t = F.pow(rho / F.lit(SCALE), F.lit(1 / CONE))
-    theta = F.atan2(east, north)
+def _offsets(x: Column, y: Column) -> tuple[Column, Column]:
+    """Metres from the apex of the cone: east, and towards the equator."""
+    return x * F.lit(METRES_PER_FOOT) - F.lit(FALSE_EASTING), F.lit(RHO_0) - y * F.lit(METRES_PER_FOOT)
+
+
+def _polar(east: Column, north: Column) -> tuple[Column, Column]:
+    """The cone's own coordinates: scaled radius and angle."""
+    t = F.pow(F.sqrt(east * east + north * north) / F.lit(SCALE), F.lit(1 / CONE))
+    return t, F.atan2(east, north)
+
+
+def _degrees(t: Column, theta: Column) -> tuple[Column, Column]:
     phi = F.lit(math.pi / 2) - F.lit(2.0) * F.atan(t)
     # Each step refers to the one before once, so the expression grows linearly.
     for _ in range(INVERSE_STEPS):
@@ -66,3 +71,39 @@ def lonlat_from_plane(x: Column, y: Column) -> tuple[Column, Column]:
             t * F.exp(F.lit(-ECC) * F.atanh(F.lit(ECC) * F.sin(phi)))
         )
     return F.degrees(theta / F.lit(CONE) + F.lit(LONGITUDE_0)), F.degrees(phi)
+
+
+def with_lonlat(df: DataFrame, x: Column, y: Column, lon: str = "Longitude", lat: str = "Latitude") -> DataFrame:
+    """Adds degrees of plane feet; NULL where either coordinate is NULL.
+
+    In steps of columns, so that every part of the formula is computed once.
+    The last step is a generator of one row: a later filter on the degrees then
+    stays above it, instead of dragging a copy of the whole formula to the scan.
+    """
+    east, north = _offsets(F.col("_x"), F.col("_y"))
+    t, theta = _polar(F.col("_east"), F.col("_north"))
+    out_lon, out_lat = _degrees(F.col("_t"), F.col("_theta"))
+    steps = df.withColumns({"_x": x, "_y": y}).withColumns({"_east": east, "_north": north})
+    steps = steps.withColumns({"_t": t, "_theta": theta})
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (lat, lon)]
+    return steps.select(*kept, F.inline(F.array(F.struct(out_lat.alias(lat), out_lon.alias(lon)))))
+
+
+def lonlat_points(points: Column) -> Column:
+    """An array of struct<x, y> in plane feet, as degrees."""
+
+    def step(f, first: str, second: str):
+        def apply(p: Column) -> Column:
+            a, b = f(p[0], p[1])
+            return F.struct(a.alias(first), b.alias(second))
+
+        return apply
+
+    pairs = F.transform(points, lambda p: F.array(p.x, p.y))
+    return F.transform(
+        F.transform(F.transform(pairs, _as_array(_offsets)), _as_array(_polar)), step(_degrees, "x", "y")
+    )
+
+
+def _as_array(f):
+    return lambda p: F.array(*f(p[0], p[1]))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardscore.functions.projection import lonlat_from_plane, plane_from_lonlat
+from wardscore.functions.projection import lonlat_points, plane_from_lonlat, with_lonlat
 
 RING_TYPE = "array<struct<x:double,y:double>>"
 PARTS_TYPE = f"array<array<{RING_TYPE}>>"
@@ -45,12 +45,19 @@ def signed_edges(parts: Column) -> Column:
     clockwise, whichever way the file winds them.
     """
 
-    def ring_signed(ring: Column, i: Column) -> Column:
-        edges = ring_edges(ring)
-        turn = F.signum(_cross_sum(edges)) * F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-        return F.transform(edges, lambda e: F.struct(e.x1, e.y1, e.x2, e.y2, turn.alias("s")))
+    # In steps, each over the array the one before made, so that a ring's turn is summed once.
+    def edged(rings: Column) -> Column:
+        return F.transform(rings, lambda ring, i: F.struct(ring_edges(ring).alias("edges"), (i == 0).alias("outer")))
 
-    return F.flatten(F.transform(parts, lambda rings: F.flatten(F.transform(rings, ring_signed))))
+    def turned(r: Column) -> Column:
+        turn = F.signum(_cross_sum(r["edges"])) * F.when(r["outer"], F.lit(1.0)).otherwise(F.lit(-1.0))
+        return F.struct(r["edges"].alias("edges"), turn.alias("turn"))
+
+    def spread(r: Column) -> Column:
+        return F.transform(r["edges"], lambda e: F.struct(e.x1, e.y1, e.x2, e.y2, r["turn"].alias("s")))
+
+    rings = F.flatten(F.transform(parts, edged))
+    return F.flatten(F.transform(F.transform(rings, turned), spread))
 
 
 def area(signed: Column) -> Column:
@@ -112,21 +119,12 @@ def to_plane(parts: Column) -> Column:
 
 def to_lonlat(parts: Column) -> Column:
     """Plane feet to longitude/latitude points."""
-
-    def unproject(p: Column) -> Column:
-        lon, lat = lonlat_from_plane(p.x, p.y)
-        return F.struct(lon.alias("x"), lat.alias("y"))
-
-    return F.transform(parts, lambda rings: F.transform(rings, lambda ring: F.transform(ring, unproject)))
+    return F.transform(parts, lambda rings: F.transform(rings, lonlat_points))
 
 
 def with_centroid(zones: DataFrame) -> DataFrame:
     """Adds Representative_Latitude/Longitude: the centroid taken in the plane."""
-    signed = zones.withColumn("_signed", signed_edges(to_plane(F.col("parts"))))
+    plane = zones.withColumn("_plane", to_plane(F.col("parts")))
+    signed = plane.withColumn("_signed", signed_edges(F.col("_plane")))
     x, y = centroid(F.col("_signed"))
-    lon, lat = lonlat_from_plane(F.col("_cx"), F.col("_cy"))
-    return (
-        signed.withColumns({"_cx": x, "_cy": y})
-        .withColumns({"Representative_Latitude": lat, "Representative_Longitude": lon})
-        .drop("_signed", "_cx", "_cy")
-    )
+    return with_lonlat(signed, x, y, "Representative_Longitude", "Representative_Latitude").drop("_plane", "_signed")

@@ -101,42 +101,47 @@ def overlay(source: DataFrame, target: DataFrame) -> DataFrame:
     the target, ``source_share`` that of the source. Rows with the same zone_id
     count as one shape made of several, if they do not overlap each other.
     """
-    s_shapes, t_shapes = settle(overlay_shapes(source)), settle(overlay_shapes(target))
+    # Shapes of one boundary file come from one task; the pairs must not be all met in that task.
+    tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s_shapes, t_shapes = (settle(overlay_shapes(zones).repartition(tasks)) for zones in (source, target))
     pairs = _pairs(s_shapes, t_shapes)
 
     def near(edges: str) -> Column:
-        """Edges over the pair's common x-range, moved to the pair's own origin."""
-        kept = F.filter(
+        """Edges over the pair's common x-range."""
+        return F.filter(
             F.col(edges),
             lambda e: (F.greatest(e.x1, e.x2) > F.col("left")) & (F.least(e.x1, e.x2) < F.col("right")),
         )
-        return F.transform(
-            kept,
-            lambda e: F.struct(
-                (e.x1 - F.col("left")).alias("x1"),
-                (e.y1 - F.col("base")).alias("y1"),
-                (e.x2 - F.col("left")).alias("x2"),
-                (e.y2 - F.col("base")).alias("y2"),
-                e.s.alias("s"),
-            ),
-        )
 
     ids = ["source_id", "target_id"]
+    # Outer generators: for inner ones Spark adds a filter that runs near() once more.
+    # Their rows without an edge fail the comparison below.
     edge_pairs = (
         pairs.select(
             F.col("s_zone_id").alias("source_id"),
             F.col("t_zone_id").alias("target_id"),
+            "base",
             near("s_edges").alias("s_edges"),
             near("t_edges").alias("t_edges"),
         )
-        .select(*ids, "t_edges", F.explode("s_edges").alias("a"))
-        .select(*ids, "a", F.explode("t_edges").alias("b"))
+        .select(*ids, "base", "t_edges", F.explode_outer("s_edges").alias("a"))
+        .select(*ids, "base", "a", F.explode_outer("t_edges").alias("b"))
         .where(
             F.greatest(F.least("a.x1", "a.x2"), F.least("b.x1", "b.x2"))
             < F.least(F.greatest("a.x1", "a.x2"), F.greatest("b.x1", "b.x2"))
         )
     )
-    a, b = ({k: F.col(f"{side}.{k}") for k in ("x1", "y1", "x2", "y2", "s")} for side in "ab")
+    # Heights are taken from the pair's own base line, so that large coordinates do not cancel.
+    a, b = (
+        {
+            "x1": F.col(f"{side}.x1"),
+            "x2": F.col(f"{side}.x2"),
+            "y1": F.col(f"{side}.y1") - F.col("base"),
+            "y2": F.col(f"{side}.y2") - F.col("base"),
+            "s": F.col(f"{side}.s"),
+        }
+        for side in "ab"
+    )
     pieces = edge_pairs.groupBy(*ids).agg(F.sum(_shared_trapezoid(a, b)).alias("intersection_area"))
 
     def areas(shapes: DataFrame, side: str) -> DataFrame:

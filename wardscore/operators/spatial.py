@@ -219,9 +219,10 @@ def first_zone(
     of either side to keep.
     """
     needed = [col(c) for c in dict.fromkeys([key, *carry, x, y])]
-    kept = ["file_order", "zone_id", *zone_carry]
-    matched = points_in_zones(points.select(*needed), zones.select(*kept, "parts"), x, y)
-    best = F.min(F.struct(*kept, *[col(c) for c in carry])).alias("_best")
-    return matched.groupBy(col(key)).agg(best).select(
-        col(key), *[F.col("_best")[c].alias(c) for c in ("zone_id", *zone_carry, *carry)]
+    matched = points_in_zones(points.select(*needed), zones.select("file_order", "parts"), x, y)
+    # Only numbers are aggregated, which keeps this a hash aggregate; the zone's own columns follow by a join.
+    best = matched.groupBy(col(key)).agg(
+        F.min("file_order").alias("file_order"), *[F.first(col(c)).alias(c) for c in carry]
     )
+    kept = zones.select("file_order", "zone_id", *zone_carry)
+    return best.join(kept, "file_order").select(col(key), "zone_id", *[col(c) for c in (*zone_carry, *carry)])

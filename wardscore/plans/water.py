@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardscore.functions.clean import clean_missing, number_column, to_number, uncensor
-from wardscore.functions.projection import lonlat_from_plane
+from wardscore.functions.projection import with_lonlat
 from wardscore.operators.scoring import mean_z_table
 from wardscore.operators.settle import settle
 from wardscore.operators.tables import col, lookup_join, order_columns, q
@@ -34,10 +34,8 @@ COLUMN_ORDER = [
 def add_lonlat(df: DataFrame) -> DataFrame:
     """Latitude and Longitude from X_COORDINATE and Y_COORDINATE; NULL without them."""
     if "X_COORDINATE" in df.columns and "Y_COORDINATE" in df.columns:
-        lon, lat = lonlat_from_plane(number_column(df, "X_COORDINATE"), number_column(df, "Y_COORDINATE"))
-    else:
-        lon = lat = F.lit(None).cast("double")
-    return df.withColumns({"Latitude": lat, "Longitude": lon})
+        return with_lonlat(df, number_column(df, "X_COORDINATE"), number_column(df, "Y_COORDINATE"))
+    return df.withColumns({"Latitude": F.lit(None).cast("double"), "Longitude": F.lit(None).cast("double")})
 
 
 def site_means(samples: DataFrame, sample_class: str | None) -> DataFrame:

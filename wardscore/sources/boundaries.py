@@ -61,19 +61,19 @@ def zones_from_features(
     """
     name = F.try_element_at("properties", F.lit(name_property)) if name_property else F.lit(None).cast("string")
     parts = feature_parts(F.col("geometry"))
-    zones = features.select(
+    polygons = features.where(F.col("geometry.type").isin("Polygon", "MultiPolygon"))
+    return polygons.select(
         F.trim(F.try_element_at("properties", F.lit(id_property))).alias("zone_id"),
         name.alias("zone_name"),
         F.col(order).cast("bigint").alias("file_order"),
         (G.to_lonlat(parts) if in_plane else parts).alias("parts"),
     )
-    return zones.where(F.col("parts").isNotNull())
 
 
 def features_from_text(df: DataFrame, text: str, order: str = "file_order") -> DataFrame:
     """One GeoJSON Feature per row of text."""
-    parsed = F.from_json(F.col(text), FEATURE_TYPE)
-    return df.select(F.col(order), parsed.alias("_f")).select(order, "_f.properties", "_f.geometry")
+    # A generator, as later filters would otherwise pull a second parse of the text down to the scan.
+    return df.select(F.col(order), F.inline(F.array(F.from_json(F.col(text), FEATURE_TYPE))))
 
 
 def read_features(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
@@ -92,7 +92,9 @@ def read_features(spark: SparkSession, path: str, per_line: bool = False) -> Dat
         F.coalesce(F.col("_c.crs").contains(PLANE_CRS), F.lit(False)).alias("in_plane"),
         F.posexplode("_c.features").alias("file_order", "_f"),
     )
-    return parsed.select("in_plane", "file_order", "_f.properties", "_f.geometry")
+    # From here on the features are spread again; their coordinates are still text.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return parsed.select("in_plane", "file_order", "_f.properties", "_f.geometry").repartition(tasks)
 
 
 def property_names(features: DataFrame) -> list[str]:
