@@ -587,7 +587,7 @@ SELECTS: dict[str, str] = {
     "balance_top": f"{extreme('metric_range', 5, False, balance_columns, 'balanced')} UNION ALL {extreme('metric_range', 5, True, balance_columns, 'uneven')}",
     "rank_curve": f"SELECT {listed(['community_district_id', 'community_district_name', 'borough', overall_q, *METRIC_NAMES, 'overall_rank', 'metric_range'])} FROM idx",
     "score_histogram": f"""SELECT CAST(bin * 10 AS VARCHAR) || '-' || CAST(bin * 10 + 10 AS VARCHAR) AS label,
-        (SELECT count(*) FROM idx WHERE least(floor({overall_q} / 10), 9) = bin) AS area_count FROM range(10) AS t(bin)""",
+        (SELECT count(*) FROM idx WHERE {overall_q} IS NOT NULL AND least(floor({overall_q} / 10), 9) = bin) AS area_count FROM range(10) AS t(bin)""",
     "score_bands": "SELECT community_district_id, "
     + ", ".join(f"{BAND.format(c)} AS {c.replace('_qualityscore', '_band')}" for c in [overall_q, *METRIC_NAMES])
     + " FROM idx",

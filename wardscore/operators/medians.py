@@ -6,6 +6,9 @@ at most BUCKETS rows per group and column). The counts tell which bucket holds
 the middle ranks, and only that bucket's values are read, again as counts.
 The bucket of a value rises with the value, so the result is exact whatever
 the bounds; good bounds only make the second pass smaller.
+
+Sums over the groups ride along in the first pass, so that a table with both
+is scanned twice and not three times.
 """
 
 from __future__ import annotations
@@ -18,40 +21,55 @@ from pyspark.sql import functions as F
 from wardscore.operators.settle import broadcast_if, settle
 from wardscore.operators.tables import col
 
-BUCKETS = 1024
+BUCKETS = 256
 PICK_ROW_BYTES = 128
+ROW_ENTRY = -1
 
 
 def grouped_medians(
-    rows: DataFrame, keys: Sequence[str], bounds: Mapping[str, tuple[Column, Column]]
+    rows: DataFrame,
+    keys: Sequence[str],
+    bounds: Mapping[str, tuple[Column, Column]],
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per key with the median of each column named in ``bounds``.
 
     ``bounds`` gives a column's likely low and high, as expressions of the row.
-    A key whose values are all NULL in every column has no row.
+    ``totals`` adds a sum of each given expression, and makes keys without any
+    value to take a median of keep their row.
     """
-    names = list(bounds)
+    names, totals = list(bounds), dict(totals or {})
     key_cols = [col(k) for k in keys]
 
     def bucketed(name: str) -> Column:
         low, high = bounds[name]
         step = F.nullif((high - low) / F.lit(float(BUCKETS)), F.lit(0.0))
-        bucket = F.floor((col(name) - low) / step)
-        return F.coalesce(F.greatest(F.lit(0), F.least(bucket, F.lit(BUCKETS - 1))), F.lit(0))
-
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("_col"), bucketed(n).alias("_bucket"), col(n).alias("_value"))
-            for i, n in enumerate(names)
-        ]
-    )
-    long = rows.select(*key_cols, F.inline(entries)).where(F.col("_value").isNotNull())
+        bucket = F.coalesce(F.floor((col(name) - low) / step), F.lit(0))
+        return F.greatest(F.lit(0), F.least(bucket, F.lit(BUCKETS - 1)))
+
+    def entry(number: int, bucket: Column, value: Column) -> Column:
+        return F.struct(F.lit(number).alias("_col"), bucket.cast("bigint").alias("_bucket"), value.alias("_value"))
 
-    counts = long.groupBy(*key_cols, "_col", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    entries = [entry(i, bucketed(n), col(n)) for i, n in enumerate(names)]
+    # One more entry stands for the row itself and carries the totals.
+    whole_row = [entry(ROW_ENTRY, F.lit(0), F.lit(0.0))] if totals else []
+
+    def stacked(which: list[Column], extra: dict[str, Column]) -> DataFrame:
+        named = [c.alias(n) for n, c in extra.items()]
+        return rows.select(*key_cols, *named, F.inline(F.array(*which))).where(F.col("_value").isNotNull())
+
+    counts = (
+        stacked(entries + whole_row, totals)
+        .groupBy(*key_cols, "_col", "_bucket")
+        .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(col(n)).alias(n) for n in totals])
+    )
+    if totals:
+        counts = settle(counts)
     group = Window.partitionBy(*key_cols, "_col")
     upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     picks = (
-        counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+        counts.where(F.col("_col") != ROW_ENTRY)
+        .withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
         .withColumn("_total", F.sum("_n").over(group))
         # Ranks (from 0) of the one or two middle values.
         .withColumn("_lo", F.floor((F.col("_total") - 1) / 2))
@@ -64,7 +82,8 @@ def grouped_medians(
 
     cell = [*keys, "_col", "_bucket"]
     values = (
-        long.join(small, cell)
+        stacked(entries, {})
+        .join(small, cell)
         .groupBy(*[col(k) for k in cell], "_before", "_lo", "_hi", "_value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -80,6 +99,10 @@ def grouped_medians(
         hit = (F.col("_col") == i) & (F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end"))
         return F.max(F.when(hit, F.col("_value")))
 
-    return ranked.groupBy(*key_cols).agg(
+    medians = ranked.groupBy(*key_cols).agg(
         *[((at("_lo", i) + at("_hi", i)) / 2).alias(n) for i, n in enumerate(names)]
     )
+    if not totals:
+        return medians
+    sums = counts.where(F.col("_col") == ROW_ENTRY).select(*key_cols, *[col(n) for n in totals])
+    return sums.join(medians, list(keys), "left")

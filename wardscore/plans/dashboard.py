@@ -172,8 +172,10 @@ def score_histogram(index: DataFrame, width: int = BIN_WIDTH, count_missing_as_z
     """
     bins = -(-100 // width)
     score = F.coalesce(col(OVERALL), F.lit(0.0)) if count_missing_as_zero else col(OVERALL)
-    numbered = index.select(F.least(F.floor(score / width), F.lit(bins - 1)).alias("bin"))
-    counts = numbered.where(F.col("bin").isNotNull()).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    # least() would turn a missing score into the last bin.
+    scored = index.where(score.isNotNull())
+    numbered = scored.select(F.least(F.floor(score / width), F.lit(bins - 1)).alias("bin"))
+    counts = numbered.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     start = F.col("id") * width
     return (
         index.sparkSession.range(bins)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardscore.functions.clean import area_code, number_column, precinct_code, within
@@ -92,29 +92,29 @@ def incident_points(incidents: DataFrame, geo_level: str = "precinct") -> DataFr
     return order_columns(keep_known(points, POINT_COLUMNS), POINT_COLUMNS)
 
 
+def totals() -> dict[str, Column]:
+    """What is summed up per unit."""
+    return {
+        "Incident_Count": F.lit(1).cast("bigint"),
+        "Weighted_Severity_Sum": F.col("weighted_incident"),
+        "Valid_Point_Count": F.col("has_valid_point").cast("bigint"),
+    }
+
+
 def unit_totals(clean: DataFrame) -> DataFrame:
     """Counts and sums by unit; combines on the map side."""
-    return clean.groupBy("Geo_Unit").agg(
-        F.count(F.lit(1)).alias("Incident_Count"),
-        F.sum("weighted_incident").alias("Weighted_Severity_Sum"),
-        F.sum(F.col("has_valid_point").cast("bigint")).alias("Valid_Point_Count"),
-    )
+    return clean.groupBy("Geo_Unit").agg(*[F.sum(c).alias(name) for name, c in totals().items()])
 
 
 def unit_table(clean: DataFrame) -> DataFrame:
     """Totals, coverage and the median point of each unit."""
-    totals = unit_totals(clean)
-    count = F.col("Incident_Count")
-    table = totals.withColumn(
-        "Point_Coverage_Rate", F.col("Valid_Point_Count") / F.when(count != 0, count).otherwise(F.lit(1))
-    )
     bounds = {
         name: (F.lit(lo), F.lit(hi)) for name, (lo, hi) in COORDINATE_BOUNDS.items() if name in clean.columns
     }
-    if not bounds:
-        return table
-    medians = grouped_medians(clean, ["Geo_Unit"], bounds).withColumnsRenamed(REPRESENTATIVE)
-    return table.join(medians, "Geo_Unit", "left")
+    table = grouped_medians(clean, ["Geo_Unit"], bounds, totals()) if bounds else unit_totals(clean)
+    count = F.col("Incident_Count")
+    coverage = F.col("Valid_Point_Count") / F.when(count != 0, count).otherwise(F.lit(1))
+    return table.withColumnsRenamed(REPRESENTATIVE).withColumn("Point_Coverage_Rate", coverage)
 
 
 def incident_index(incidents: DataFrame, geo_level: str = "precinct", keyword_rule: str = "last") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
+from wardscore.operators.settle import settle
 from wardscore.operators.tables import find_column
 
 # Property names an id or a name may have, by preference.
@@ -77,24 +78,23 @@ def features_from_text(df: DataFrame, text: str, order: str = "file_order") -> D
 
 
 def read_features(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    """Features of GeoJSON files, numbered in file order.
+    """Features of GeoJSON files, with ascending unique numbers in file order.
 
     ``per_line`` reads newline-delimited features, which split over tasks; a
     FeatureCollection is one JSON document and is parsed by one task per file.
     """
     if per_line:
-        # Splits may be read in any order: the byte a split starts at, plus the line's place in it.
-        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-        lines = spark.read.text(path).select("value", (F.col("_metadata.file_block_start") + place).alias("file_order"))
+        lines = spark.read.text(path).withColumn("file_order", F.monotonically_increasing_id())
         return features_from_text(lines.where(F.length(F.trim("value")) > 0), "value")
     docs = spark.read.text(path, wholetext=True)
     parsed = docs.select(F.from_json("value", COLLECTION_TYPE).alias("_c")).select(
         F.coalesce(F.col("_c.crs").contains(PLANE_CRS), F.lit(False)).alias("in_plane"),
-        F.posexplode("_c.features").alias("file_order", "_f"),
+        F.explode("_c.features").alias("_f"),
     )
     # From here on the features are spread again; their coordinates are still text.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return parsed.select("in_plane", "file_order", "_f.properties", "_f.geometry").repartition(tasks)
+    numbered = parsed.withColumn("file_order", F.monotonically_increasing_id())
+    return numbered.select("in_plane", "file_order", "_f.properties", "_f.geometry").repartition(tasks)
 
 
 def property_names(features: DataFrame) -> list[str]:
@@ -116,7 +116,8 @@ def load_zones(
 
     Coordinates are taken as degrees unless the file says they are plane feet.
     """
-    features = read_features(spark, path, per_line)
+    # Settled, as a scan split another way would number the features otherwise.
+    features = settle(read_features(spark, path, per_line))
     names = property_names(features)
     if not names:
         raise ValueError(f"No features found in boundaries file: {path}")
