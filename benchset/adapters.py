@@ -179,20 +179,13 @@ def features(df: DataFrame, key: str, outlines: list[str], extent: tuple, name:
     """One GeoJSON feature per row, on a tile given by its key."""
     west, south, width, height = extent
     k, side = F.col(key), tiles_per_side(df, key)
-    column, row = k % side, F.floor(k / side)
-
-    def coordinate(start: float, size: float, tile: Column, corner: Column) -> Column:
-        return F.lit(start) + F.lit(size) * (tile * 8 + corner).cast("double") / F.lit(float(8 * side))
-
-    def corner(c: Column) -> Column:
-        lonlat = F.array(coordinate(west, width, column, c[0]), coordinate(south, height, row, c[1]))
-        return F.concat(lonlat, F.slice(c, 3, 1).cast("array<double>"))
 
+    # A corner (a, b) of the outline, moved to the tile; further values are kept.
+    x = f"{west!r}D + {width!r}D * cast((tile_x * 8 + c[0]) AS double) / {float(8 * side)!r}D"
+    y = f"{south!r}D + {height!r}D * cast((tile_y * 8 + c[1]) AS double) / {float(8 * side)!r}D"
+    moved = f"concat(array({x}, {y}), cast(slice(c, 3, 1) AS array<double>))"
     drawn = F.from_json(F.lit(json.dumps([OUTLINES[o] for o in outlines])), "array<array<array<array<array<int>>>>>")
-    parts = F.transform(
-        F.get(drawn, (k % len(outlines)).cast("int")),
-        lambda rings: F.transform(rings, lambda ring: F.transform(ring, corner)),
-    )
+    parts = F.expr(f"transform(outline, rings -> transform(rings, ring -> transform(ring, c -> {moved})))")
 
     def geometry(kind: str, coordinates: Column) -> Column:
         return F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
@@ -207,7 +200,10 @@ def features(df: DataFrame, key: str, outlines: list[str], extent: tuple, name:
         F.struct(F.concat(k.cast("string"), F.lit(" ")).alias("BoroCD"), F.concat(F.lit(name), k.cast("string")).alias("name"))
     )
     text = F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), shape, F.lit("}"))
-    return df.withColumn("parts", parts).select(k.alias("file_order"), text.alias("feature"))
+    placed = df.withColumns(
+        {"outline": F.get(drawn, (k % len(outlines)).cast("int")), "tile_x": k % side, "tile_y": F.floor(k / side)}
+    )
+    return placed.withColumn("parts", parts).select(k.alias("file_order"), text.alias("feature"))
 
 
 def district_features(spark: SparkSession, sf_dir: str) -> DataFrame:

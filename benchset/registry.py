@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from benchset import adapters as A
 from wardscore.functions.display import district_label
-from wardscore.functions.projection import plane_from_lonlat
+from wardscore.functions.projection import with_plane
 from wardscore.operators import geometry as G
 from wardscore.operators.overlay import overlay
 from wardscore.operators.settle import fresh_path
@@ -119,8 +119,7 @@ def project_points(spark, sf_dir):
         "row_no", col("X - Coordinate").alias("X_COORDINATE"), col("Y - Coordinate").alias("Y_COORDINATE")
     )
     placed = add_lonlat(lookup)
-    x, y = plane_from_lonlat(F.col("Longitude"), F.col("Latitude"))
-    return placed.withColumns({"x_back": x, "y_back": y})
+    return with_plane(placed, F.col("Longitude"), F.col("Latitude"), "x_back", "y_back")
 
 
 # Incidents
@@ -182,7 +181,7 @@ def csv_roundtrip(spark, sf_dir):
 @query
 def geo_boundaries(spark, sf_dir):
     zones = A.districts(spark, sf_dir)
-    signed = zones.withColumn("signed", G.signed_edges(F.col("parts"))).withColumn("box", G.zone_bbox(F.col("parts")))
+    signed = zones.withColumn("signed", G.signed_edges("parts")).withColumn("box", G.zone_bbox("parts"))
     return signed.select(
         "zone_id",
         "zone_name",
@@ -193,7 +192,7 @@ def geo_boundaries(spark, sf_dir):
         "box.xmax",
         "box.ymax",
         # In millionths of a square degree.
-        (G.area(F.col("signed")) * 1e6).alias("area"),
+        (G.area("signed") * 1e6).alias("area"),
     )
 
 

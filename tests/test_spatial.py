@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wardscore.functions.projection import plane_from_lonlat, with_lonlat
+from wardscore.functions.projection import with_lonlat, with_plane
 from wardscore.operators import geometry as G
 from wardscore.operators import overlay as O
 from wardscore.operators import spatial as S
@@ -100,9 +100,9 @@ def test_points_without_coordinates_match_nothing(spark):
 
 
 def test_area_and_centroid(spark):
-    df = zones(spark, SHAPES).withColumn("s", G.signed_edges(F.col("parts")))
-    x, y = G.centroid(F.col("s"))
-    got = {r["zone_id"]: (r["a"], r["x"], r["y"]) for r in df.select("zone_id", G.area(F.col("s")).alias("a"), x.alias("x"), y.alias("y")).collect()}
+    df = zones(spark, SHAPES).withColumn("s", G.signed_edges("parts"))
+    x, y = G.centroid("s")
+    got = {r["zone_id"]: (r["a"], r["x"], r["y"]) for r in df.select("zone_id", G.area("s").alias("a"), x.alias("x"), y.alias("y")).collect()}
     assert got["big"] == pytest.approx((16, 2, 2))
     assert got["ring"] == pytest.approx((12, 7, 2))
     assert got["twins"] == pytest.approx((2, 2, 6.5))
@@ -113,7 +113,7 @@ def test_area_and_centroid(spark):
 
 def plane_overlay(spark, source, target, monkeypatch):
     """Overlay with the projection left out, so that areas are known."""
-    monkeypatch.setattr(G, "to_plane", lambda parts: parts)
+    monkeypatch.setattr(G, "to_plane", F.col)
     return {
         (r["source_id"], r["target_id"]): r["intersection_area"]
         for r in O.overlay(zones(spark, source), zones(spark, target)).collect()
@@ -180,7 +180,7 @@ def test_overlay_equals_polygon_clipping(spark, monkeypatch):
 
 
 def test_overlay_sums_shapes_with_one_id(spark, monkeypatch):
-    monkeypatch.setattr(G, "to_plane", lambda parts: parts)
+    monkeypatch.setattr(G, "to_plane", F.col)
     merged = zones(spark, [("u", [[box(0, 0, 1, 1)]]), ("u", [[box(1, 0, 2, 1)]])])
     row = O.overlay(merged, zones(spark, [("t", [[box(0.5, 0, 1.5, 1)]])])).collect()
     assert len(row) == 1
@@ -205,8 +205,8 @@ def test_weights_of_disjoint_sources_stay_below_one(spark):
 )
 def test_projection_constants(spark, x, y, lon, lat):
     df = with_lonlat(spark.createDataFrame([(float(x), float(y))], "x double, y double"), F.col("x"), F.col("y"))
-    back = plane_from_lonlat(F.col("Longitude"), F.col("Latitude"))
-    row = df.select("Longitude", "Latitude", *back).first()
+    back = with_plane(df, F.col("Longitude"), F.col("Latitude"), "back_x", "back_y")
+    row = back.select("Longitude", "Latitude", "back_x", "back_y").first()
     assert row[0] == pytest.approx(lon, abs=1e-7) and row[1] == pytest.approx(lat, abs=1e-7)
     assert row[2] == pytest.approx(x, abs=1e-5) and row[3] == pytest.approx(y, abs=1e-5)
 

@@ -41,69 +41,81 @@ RHO_0 = SCALE * _t(LATITUDE_0) ** CONE
 INVERSE_STEPS = 5
 
 
-def plane_from_lonlat(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """(x, y) in feet; NULL where either coordinate is NULL."""
-    phi = F.radians(lat)
-    t = F.tan(F.lit(math.pi / 4) - phi / 2) * F.exp(F.lit(ECC) * F.atanh(F.lit(ECC) * F.sin(phi)))
-    rho = F.lit(SCALE) * F.pow(t, F.lit(CONE))
-    theta = (F.radians(lon) - F.lit(LONGITUDE_0)) * F.lit(CONE)
-    x = (F.lit(FALSE_EASTING) + rho * F.sin(theta)) / F.lit(METRES_PER_FOOT)
-    y = (F.lit(RHO_0) - rho * F.cos(theta)) / F.lit(METRES_PER_FOOT)
-    return x, y
+# The formulas as steps of SQL, each on the values of the step before: as columns of
+# a table (v = "") or as fields of the points of an array (v = "p.").
+
+
+def _plane_steps(v: str, lon: str, lat: str) -> list[dict[str, str]]:
+    phi = f"radians({v}{lat})"
+    return [
+        {
+            "_t": f"tan(pi() / 4 - {phi} / 2) * exp({ECC!r}D * atanh({ECC!r}D * sin({phi})))",
+            "_theta": f"(radians({v}{lon}) - {LONGITUDE_0!r}D) * {CONE!r}D",
+        },
+        {"_rho": f"{SCALE!r}D * pow({v}_t, {CONE!r}D)", "_theta": f"{v}_theta"},
+        {
+            "x": f"({FALSE_EASTING!r}D + {v}_rho * sin({v}_theta)) / {METRES_PER_FOOT!r}D",
+            "y": f"({RHO_0!r}D - {v}_rho * cos({v}_theta)) / {METRES_PER_FOOT!r}D",
+        },
+    ]
+
+
+def _lonlat_steps(v: str, x: str, y: str) -> list[dict[str, str]]:
+    phi = f"pi() / 2 - 2 * atan({v}_t)"
+    # Each step refers to the one before once, so the expression grows linearly.
+    for _ in range(INVERSE_STEPS):
+        phi = f"pi() / 2 - 2 * atan({v}_t * exp({-ECC!r}D * atanh({ECC!r}D * sin({phi}))))"
+    return [
+        # Metres from the apex of the cone: east, and towards the equator.
+        {
+            "_east": f"{v}{x} * {METRES_PER_FOOT!r}D - {FALSE_EASTING!r}D",
+            "_north": f"{RHO_0!r}D - {v}{y} * {METRES_PER_FOOT!r}D",
+        },
+        # The cone's own coordinates: scaled radius and angle.
+        {
+            "_t": f"pow(sqrt({v}_east * {v}_east + {v}_north * {v}_north) / {SCALE!r}D, {1 / CONE!r}D)",
+            "_theta": f"atan2({v}_east, {v}_north)",
+        },
+        {"x": f"degrees({v}_theta / {CONE!r}D + {LONGITUDE_0!r}D)", "y": f"degrees({phi})"},
+    ]
 
 
-def _offsets(x: Column, y: Column) -> tuple[Column, Column]:
-    """Metres from the apex of the cone: east, and towards the equator."""
-    return x * F.lit(METRES_PER_FOOT) - F.lit(FALSE_EASTING), F.lit(RHO_0) - y * F.lit(METRES_PER_FOOT)
+def _over_points(points: str, steps: list[dict[str, str]]) -> str:
+    for step in steps:
+        fields = ", ".join(f"{formula} AS {name}" for name, formula in step.items())
+        points = f"transform({points}, p -> struct({fields}))"
+    return points
 
 
-def _polar(east: Column, north: Column) -> tuple[Column, Column]:
-    """The cone's own coordinates: scaled radius and angle."""
-    t = F.pow(F.sqrt(east * east + north * north) / F.lit(SCALE), F.lit(1 / CONE))
-    return t, F.atan2(east, north)
+def plane_sql(points: str) -> str:
+    """SQL of an array of degrees struct<x, y> in plane feet."""
+    return _over_points(points, _plane_steps("p.", "x", "y"))
 
 
-def _degrees(t: Column, theta: Column) -> tuple[Column, Column]:
-    phi = F.lit(math.pi / 2) - F.lit(2.0) * F.atan(t)
-    # Each step refers to the one before once, so the expression grows linearly.
-    for _ in range(INVERSE_STEPS):
-        phi = F.lit(math.pi / 2) - F.lit(2.0) * F.atan(
-            t * F.exp(F.lit(-ECC) * F.atanh(F.lit(ECC) * F.sin(phi)))
-        )
-    return F.degrees(theta / F.lit(CONE) + F.lit(LONGITUDE_0)), F.degrees(phi)
+def lonlat_sql(points: str) -> str:
+    """SQL of an array of plane feet struct<x, y> in degrees."""
+    return _over_points(points, _lonlat_steps("p.", "x", "y"))
 
 
-def with_lonlat(df: DataFrame, x: Column, y: Column, lon: str = "Longitude", lat: str = "Latitude") -> DataFrame:
-    """Adds degrees of plane feet; NULL where either coordinate is NULL.
+def _with_steps(df: DataFrame, first: Column, second: Column, steps: list[dict[str, str]], out: tuple[str, str]) -> DataFrame:
+    """Columns computed step by step, so that every part of the formula is computed once.
 
-    In steps of columns, so that every part of the formula is computed once.
-    The last step is a generator of one row: a later filter on the degrees then
+    The last step is a generator of one row: a later filter on the result then
     stays above it, instead of dragging a copy of the whole formula to the scan.
     """
-    east, north = _offsets(F.col("_x"), F.col("_y"))
-    t, theta = _polar(F.col("_east"), F.col("_north"))
-    out_lon, out_lat = _degrees(F.col("_t"), F.col("_theta"))
-    steps = df.withColumns({"_x": x, "_y": y}).withColumns({"_east": east, "_north": north})
-    steps = steps.withColumns({"_t": t, "_theta": theta})
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in (lat, lon)]
-    return steps.select(*kept, F.inline(F.array(F.struct(out_lat.alias(lat), out_lon.alias(lon)))))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in out]
+    staged = df.select(*kept, first.cast("double").alias("_first"), second.cast("double").alias("_second"))
+    for step in steps[:-1]:
+        staged = staged.select(*kept, *[F.expr(formula).alias(name) for name, formula in step.items()])
+    last = F.struct(*[F.expr(formula).alias(name) for name, formula in zip(out, steps[-1].values())])
+    return staged.select(*kept, F.inline(F.array(last)))
 
 
-def lonlat_points(points: Column) -> Column:
-    """An array of struct<x, y> in plane feet, as degrees."""
+def with_plane(df: DataFrame, lon: Column, lat: Column, x: str, y: str) -> DataFrame:
+    """Adds plane feet of degrees; NULL where either coordinate is NULL."""
+    return _with_steps(df, lon, lat, _plane_steps("", "_first", "_second"), (x, y))
 
-    def step(f, first: str, second: str):
-        def apply(p: Column) -> Column:
-            a, b = f(p[0], p[1])
-            return F.struct(a.alias(first), b.alias(second))
 
-        return apply
-
-    pairs = F.transform(points, lambda p: F.array(p.x, p.y))
-    return F.transform(
-        F.transform(F.transform(pairs, _as_array(_offsets)), _as_array(_polar)), step(_degrees, "x", "y")
-    )
-
-
-def _as_array(f):
-    return lambda p: F.array(*f(p[0], p[1]))
+def with_lonlat(df: DataFrame, x: Column, y: Column, lon: str = "Longitude", lat: str = "Latitude") -> DataFrame:
+    """Adds degrees of plane feet; NULL where either coordinate is NULL."""
+    return _with_steps(df, x, y, _lonlat_steps("", "_first", "_second"), (lon, lat))

@@ -2,7 +2,8 @@
 
 A zone row holds ``parts``: array (polygons) of array (rings, the outer one
 first, then holes) of array of struct<x, y>. A ring may repeat its first point
-at the end or not.
+at the end or not. Functions take the name of an array column; array formulas
+are written as SQL, which nests more readably than functions of functions.
 """
 
 from __future__ import annotations
@@ -10,121 +11,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardscore.functions.projection import lonlat_points, plane_from_lonlat, with_lonlat
+from wardscore.functions.projection import lonlat_sql, plane_sql, with_lonlat
 
-RING_TYPE = "array<struct<x:double,y:double>>"
-PARTS_TYPE = f"array<array<{RING_TYPE}>>"
+PARTS_TYPE = "array<array<array<struct<x:double,y:double>>>>"
 EDGE_TYPE = "struct<x1:double,y1:double,x2:double,y2:double>"
+BOX = ("xmin", "ymin", "xmax", "ymax")
 
-
-def ring_edges(ring: Column) -> Column:
-    """Edges around a ring, closed if need be; none for fewer than three points."""
-    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    edges = F.zip_with(
-        ring,
-        following,
-        lambda p, n: F.struct(p.x.alias("x1"), p.y.alias("y1"), n.x.alias("x2"), n.y.alias("y2")),
-    )
-    edges = F.filter(edges, lambda e: (e.x1 != e.x2) | (e.y1 != e.y2))
-    return F.when(F.size(ring) >= 3, edges).otherwise(F.array().cast(f"array<{EDGE_TYPE}>"))
+# Edges around a ring, closed if need be; none for fewer than three points.
+RING_EDGES = f"""
+CASE WHEN size(ring) >= 3 THEN
+  filter(
+    zip_with(ring, concat(slice(ring, 2, size(ring)), slice(ring, 1, 1)),
+             (p, n) -> named_struct('x1', p.x, 'y1', p.y, 'x2', n.x, 'y2', n.y)),
+    e -> e.x1 <> e.x2 OR e.y1 <> e.y2)
+ELSE cast(array() AS array<{EDGE_TYPE}>) END"""
 
 
-def part_edges(parts: Column) -> Column:
+def part_edges(parts: str) -> Column:
     """The same nesting as ``parts``, with edges in place of points."""
-    return F.transform(parts, lambda rings: F.transform(rings, ring_edges))
-
-
-def _cross_sum(edges: Column) -> Column:
-    return F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + (e.x1 * e.y2 - e.x2 * e.y1))
+    return F.expr(f"transform({parts}, rings -> transform(rings, ring -> {RING_EDGES}))")
 
 
-def signed_edges(parts: Column) -> Column:
+def signed_edges(parts: str) -> Column:
     """All edges of a shape in one array, each with a sign ``s``.
 
     The sign makes outer rings count as counter-clockwise and holes as
-    clockwise, whichever way the file winds them.
+    clockwise, whichever way the file winds them. Each step works on the array
+    the one before made, so that a ring's turn is summed up once.
     """
+    rings = f"flatten(transform({parts}, rings -> transform(rings, (ring, i) -> struct(i = 0 AS outer, {RING_EDGES} AS edges))))"
+    turn = "aggregate(r.edges, 0D, (total, e) -> total + (e.x1 * e.y2 - e.x2 * e.y1))"
+    turned = f"transform({rings}, r -> struct(r.edges AS edges, signum({turn}) * CASE WHEN r.outer THEN 1D ELSE -1D END AS s))"
+    return F.expr(
+        f"flatten(transform({turned}, r -> transform(r.edges, e -> struct(e.x1 AS x1, e.y1 AS y1, e.x2 AS x2, e.y2 AS y2, r.s AS s))))"
+    )
 
-    # In steps, each over the array the one before made, so that a ring's turn is summed once.
-    def edged(rings: Column) -> Column:
-        return F.transform(rings, lambda ring, i: F.struct(ring_edges(ring).alias("edges"), (i == 0).alias("outer")))
-
-    def turned(r: Column) -> Column:
-        turn = F.signum(_cross_sum(r["edges"])) * F.when(r["outer"], F.lit(1.0)).otherwise(F.lit(-1.0))
-        return F.struct(r["edges"].alias("edges"), turn.alias("turn"))
-
-    def spread(r: Column) -> Column:
-        return F.transform(r["edges"], lambda e: F.struct(e.x1, e.y1, e.x2, e.y2, r["turn"].alias("s")))
 
-    rings = F.flatten(F.transform(parts, edged))
-    return F.flatten(F.transform(F.transform(rings, turned), spread))
+def _signed_sum(signed: str, factor: str) -> str:
+    return f"aggregate({signed}, 0D, (total, e) -> total + ({factor}) * e.s * (e.x1 * e.y2 - e.x2 * e.y1))"
 
 
-def area(signed: Column) -> Column:
-    """Planar area, holes taken off."""
-    return F.aggregate(
-        signed, F.lit(0.0), lambda acc, e: acc + e.s * (e.x1 * e.y2 - e.x2 * e.y1)
-    ) / F.lit(2.0)
+def area(signed: str) -> Column:
+    """Planar area of signed edges, holes taken off."""
+    return F.expr(f"{_signed_sum(signed, '1D')} / 2D")
 
 
-def centroid(signed: Column) -> tuple[Column, Column]:
+def centroid(signed: str) -> tuple[Column, Column]:
     """Planar centroid, holes taken off; NULL for a shape without area."""
+    base = f"nullif(3D * {_signed_sum(signed, '1D')}, 0D)"
+    return tuple(F.expr(f"{_signed_sum(signed, f'e.{c}1 + e.{c}2')} / {base}") for c in "xy")
 
-    def moment(total: str) -> Column:
-        return F.aggregate(
-            signed,
-            F.lit(0.0),
-            lambda acc, e: acc + (e[f"{total}1"] + e[f"{total}2"]) * e.s * (e.x1 * e.y2 - e.x2 * e.y1),
-        )
 
-    base = F.nullif(area(signed) * F.lit(6.0), F.lit(0.0))
-    return moment("x") / base, moment("y") / base
-
-
-def _points(parts: Column) -> Column:
-    return F.flatten(F.flatten(parts))
-
-
-def bbox(points: Column) -> Column:
-    """struct<xmin, ymin, xmax, ymax> of an array of points."""
-    xs = F.transform(points, lambda p: p.x)
-    ys = F.transform(points, lambda p: p.y)
-    return F.struct(
-        F.array_min(xs).alias("xmin"),
-        F.array_min(ys).alias("ymin"),
-        F.array_max(xs).alias("xmax"),
-        F.array_max(ys).alias("ymax"),
+def _box(points: str) -> Column:
+    xs, ys = (f"transform({points}, p -> p.{c})" for c in "xy")
+    return F.expr(
+        f"struct(array_min({xs}) AS xmin, array_min({ys}) AS ymin, array_max({xs}) AS xmax, array_max({ys}) AS ymax)"
     )
 
 
-def zone_bbox(parts: Column) -> Column:
-    """Box around all parts."""
-    return bbox(_points(parts))
+def zone_bbox(parts: str) -> Column:
+    """Box around all parts: struct<xmin, ymin, xmax, ymax>."""
+    return _box(f"flatten(flatten({parts}))")
 
 
-def part_bbox(rings: Column) -> Column:
+def part_bbox(rings: str) -> Column:
     """Box around one part."""
-    return bbox(F.flatten(rings))
+    return _box(f"flatten({rings})")
 
 
-def to_plane(parts: Column) -> Column:
-    """Longitude/latitude points to plane feet."""
+def _each_ring(parts: str, ring_sql: str) -> str:
+    return f"transform({parts}, rings -> transform(rings, ring -> {ring_sql}))"
 
-    def project(p: Column) -> Column:
-        x, y = plane_from_lonlat(p.x, p.y)
-        return F.struct(x.alias("x"), y.alias("y"))
 
-    return F.transform(parts, lambda rings: F.transform(rings, lambda ring: F.transform(ring, project)))
+def to_plane(parts: str) -> Column:
+    """Longitude/latitude points to plane feet."""
+    return F.expr(_each_ring(parts, plane_sql("ring")))
 
 
-def to_lonlat(parts: Column) -> Column:
+def to_lonlat(parts: str) -> Column:
     """Plane feet to longitude/latitude points."""
-    return F.transform(parts, lambda rings: F.transform(rings, lonlat_points))
+    return F.expr(_each_ring(parts, lonlat_sql("ring")))
 
 
 def with_centroid(zones: DataFrame) -> DataFrame:
     """Adds Representative_Latitude/Longitude: the centroid taken in the plane."""
-    plane = zones.withColumn("_plane", to_plane(F.col("parts")))
-    signed = plane.withColumn("_signed", signed_edges(F.col("_plane")))
-    x, y = centroid(F.col("_signed"))
+    plane = zones.withColumn("_plane", to_plane("parts"))
+    signed = plane.withColumn("_signed", signed_edges("_plane"))
+    x, y = centroid("_signed")
     return with_lonlat(signed, x, y, "Representative_Longitude", "Representative_Latitude").drop("_plane", "_signed")

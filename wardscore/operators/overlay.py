@@ -22,15 +22,15 @@ SLIVER = 1e-9
 
 def overlay_shapes(zones: DataFrame) -> DataFrame:
     """zone_id with plane box, area and the signed edges trapezoids stand on."""
-    signed = zones.select("zone_id", G.to_plane(F.col("parts")).alias("_plane")).select(
-        "zone_id", G.signed_edges(F.col("_plane")).alias("_edges"), G.zone_bbox(F.col("_plane")).alias("_box")
+    signed = zones.select("zone_id", G.to_plane("parts").alias("_plane")).select(
+        "zone_id", G.signed_edges("_plane").alias("_edges"), G.zone_bbox("_plane").alias("_box")
     )
     return signed.select(
         "zone_id",
-        G.area(F.col("_edges")).alias("area"),
-        *[F.col("_box")[k].alias(k) for k in ("xmin", "ymin", "xmax", "ymax")],
+        G.area("_edges").alias("area"),
+        *[F.col("_box")[k].alias(k) for k in G.BOX],
         # Vertical edges span no area below them.
-        F.filter("_edges", lambda e: e.x1 != e.x2).alias("edges"),
+        F.expr("filter(_edges, e -> e.x1 <> e.x2)").alias("edges"),
     )
 
 
@@ -40,10 +40,9 @@ def _renamed(shapes: DataFrame, prefix: str) -> DataFrame:
 
 def _at_levels(shapes: DataFrame, levels: list[int], finer_only: bool) -> DataFrame:
     """Shapes repeated at each given level at (or only above) their own."""
-    usable = F.filter(
-        F.lit(levels).cast("array<int>"), lambda n: (n > F.col("level")) if finer_only else (n >= F.col("level"))
-    )
-    return shapes.withColumn("level", F.explode(usable))
+    listed = ", ".join(str(n) for n in levels)
+    usable = f"filter(array({listed}), n -> n {'>' if finer_only else '>='} level)"
+    return shapes.withColumn("level", F.explode(F.expr(usable)))
 
 
 def _pairs(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -54,7 +53,7 @@ def _pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     is kept only in the one that holds the lower left corner of its common box.
     """
     source, target = (shapes.withColumn("level", box_level()) for shapes in (source, target))
-    s_levels, t_levels = levels_in(source), levels_in(target)
+    s_levels, t_levels = levels_in(source) or [0], levels_in(target) or [0]
     left, low = F.greatest("s_xmin", "t_xmin"), F.greatest("s_ymin", "t_ymin")
     right, top = F.least("s_xmax", "t_xmax"), F.least("s_ymax", "t_ymax")
 
@@ -72,26 +71,30 @@ def _pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     return met.withColumns({"left": left, "right": right, "base": F.least("s_ymin", "t_ymin")})
 
 
-def _shared_trapezoid(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Signed area two edges' trapezoids share; the edges overlap in x."""
-    l = F.greatest(F.least(a["x1"], a["x2"]), F.least(b["x1"], b["x2"]))
-    r = F.least(F.greatest(a["x1"], a["x2"]), F.greatest(b["x1"], b["x2"]))
-
-    def height(e: dict[str, Column], x: Column) -> Column:
-        return e["y1"] + (e["y2"] - e["y1"]) * ((x - e["x1"]) / (e["x2"] - e["x1"]))
+def _shared_trapezoid() -> str:
+    """SQL of the signed area the trapezoids of two edges, a and b, share.
 
-    def sign(e: dict[str, Column]) -> Column:
-        return F.when(e["x1"] > e["x2"], e["s"]).otherwise(-e["s"])
-
-    a1, a2, b1, b2 = height(a, l), height(a, r), height(b, l), height(b, r)
-    d1, d2 = a1 - b1, a2 - b2
-    low1, low2 = F.least(a1, b1), F.least(a2, b2)
-    # Where the two edges cross, the lower line has a corner.
-    at = d1 / (d1 - d2)
-    corner = a1 + at * (a2 - a1)
-    crossing = (low1 + corner) * at + (corner + low2) * (F.lit(1.0) - at)
-    height_sum = F.when(d1 * d2 >= 0, low1 + low2).otherwise(crossing)
-    return sign(a) * sign(b) * (r - l) * height_sum / F.lit(2.0)
+    The edges overlap in x, from l to r; 1 and 2 are the heights there. Where
+    the edges cross, at the share t of the way, the lower line has a corner.
+    """
+    l, r = "greatest(least(a.x1, a.x2), least(b.x1, b.x2))", "least(greatest(a.x1, a.x2), greatest(b.x1, b.x2))"
+
+    def height(e: str, x: str) -> str:
+        # From the pair's own base line, so that large coordinates do not cancel.
+        return f"(({e}.y1 - base) + ({e}.y2 - {e}.y1) * (({x} - {e}.x1) / ({e}.x2 - {e}.x1)))"
+
+    def sign(e: str) -> str:
+        return f"CASE WHEN {e}.x1 > {e}.x2 THEN {e}.s ELSE -{e}.s END"
+
+    a1, a2, b1, b2 = height("a", l), height("a", r), height("b", l), height("b", r)
+    low1, low2 = f"least({a1}, {b1})", f"least({a2}, {b2})"
+    t = f"(({a1} - {b1}) / (({a1} - {b1}) - ({a2} - {b2})))"
+    corner = f"({a1} + {t} * ({a2} - {a1}))"
+    heights = (
+        f"CASE WHEN ({a1} - {b1}) * ({a2} - {b2}) >= 0 THEN {low1} + {low2} "
+        f"ELSE ({low1} + {corner}) * {t} + ({corner} + {low2}) * (1D - {t}) END"
+    )
+    return f"({sign('a')}) * ({sign('b')}) * ({r} - {l}) * ({heights}) / 2D"
 
 
 def overlay(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -108,10 +111,7 @@ def overlay(source: DataFrame, target: DataFrame) -> DataFrame:
 
     def near(edges: str) -> Column:
         """Edges over the pair's common x-range."""
-        return F.filter(
-            F.col(edges),
-            lambda e: (F.greatest(e.x1, e.x2) > F.col("left")) & (F.least(e.x1, e.x2) < F.col("right")),
-        )
+        return F.expr(f"filter({edges}, e -> greatest(e.x1, e.x2) > left AND least(e.x1, e.x2) < right)")
 
     ids = ["source_id", "target_id"]
     # Outer generators: for inner ones Spark adds a filter that runs near() once more.
@@ -131,18 +131,7 @@ def overlay(source: DataFrame, target: DataFrame) -> DataFrame:
             < F.least(F.greatest("a.x1", "a.x2"), F.greatest("b.x1", "b.x2"))
         )
     )
-    # Heights are taken from the pair's own base line, so that large coordinates do not cancel.
-    a, b = (
-        {
-            "x1": F.col(f"{side}.x1"),
-            "x2": F.col(f"{side}.x2"),
-            "y1": F.col(f"{side}.y1") - F.col("base"),
-            "y2": F.col(f"{side}.y2") - F.col("base"),
-            "s": F.col(f"{side}.s"),
-        }
-        for side in "ab"
-    )
-    pieces = edge_pairs.groupBy(*ids).agg(F.sum(_shared_trapezoid(a, b)).alias("intersection_area"))
+    pieces = edge_pairs.groupBy(*ids).agg(F.sum(F.expr(_shared_trapezoid())).alias("intersection_area"))
 
     def areas(shapes: DataFrame, side: str) -> DataFrame:
         return shapes.groupBy(F.col("zone_id").alias(f"{side}_id")).agg(F.sum("area").alias(f"{side}_area"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
 from wardscore.operators.settle import BROADCAST_BYTES, settle
-from wardscore.operators.tables import col
+from wardscore.operators.tables import col, q
 
 SMALLEST_LEVEL = -30
 # A cell with more points than this is split over several tasks.
@@ -52,45 +52,39 @@ def explode_cells(boxed: DataFrame) -> DataFrame:
     return boxed.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
-def _crosses(e: Column, x: Column, y: Column) -> Column:
-    at = (e.x2 - e.x1) * (y - e.y1) / ((e.y2 - e.y1) + F.lit(RAY_EPSILON)) + e.x1
-    return ((e.y1 > y) != (e.y2 > y)) & (x < at)
-
-
-def _in_ring(edges: Column, x: Column, y: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: _crosses(e, x, y))) % 2 == 1
-
-
-def in_part(rings: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule: in the outer ring and in none of the holes."""
-    outer = _in_ring(F.element_at(rings, 1), x, y)
-    holes = F.slice(rings, 2, F.size(rings))
-    return outer & ~F.exists(holes, lambda hole: _in_ring(hole, x, y))
+def _in_ring(edges: str, x: str, y: str) -> str:
+    crosses = (
+        f"(e.y1 > {y}) <> (e.y2 > {y}) AND "
+        f"{x} < (e.x2 - e.x1) * ({y} - e.y1) / ((e.y2 - e.y1) + {RAY_EPSILON!r}D) + e.x1"
+    )
+    return f"size(filter({edges}, e -> {crosses})) % 2 = 1"
 
 
-def on_edge(rings: Column, x: Column, y: Column) -> Column:
-    """On an edge of the part, as far as doubles can tell."""
+def in_part(rings: str, x: str, y: str) -> str:
+    """Even-odd rule as SQL: in the outer ring and in none of the holes."""
+    holes = f"slice({rings}, 2, size({rings}))"
+    return f"({_in_ring(f'element_at({rings}, 1)', x, y)} AND NOT exists({holes}, hole -> {_in_ring('hole', x, y)}))"
 
-    def touches(e: Column) -> Column:
-        cross = (e.x2 - e.x1) * (y - e.y1) - (e.y2 - e.y1) * (x - e.x1)
-        return (
-            (cross == 0)
-            & x.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2))
-            & y.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2))
-        )
 
-    return F.exists(rings, lambda edges: F.exists(edges, touches))
+def on_edge(rings: str, x: str, y: str) -> str:
+    """On an edge of the part, as far as doubles can tell, as SQL."""
+    touches = (
+        f"(e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1) = 0 "
+        f"AND {x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) "
+        f"AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)"
+    )
+    return f"exists({rings}, edges -> exists(edges, e -> {touches}))"
 
 
 def _part_boxes(zones: DataFrame) -> DataFrame:
-    parts = zones.withColumn("part_edges", G.part_edges(F.col("parts"))).select(
+    parts = zones.withColumn("part_edges", G.part_edges("parts")).select(
         "*", F.posexplode("parts").alias("part_no", "_rings")
     )
-    boxed = parts.withColumn("_box", G.part_bbox(F.col("_rings"))).select(
+    boxed = parts.withColumn("_box", G.part_bbox("_rings")).select(
         *[col(c) for c in zones.columns if c != "parts"],
         "part_no",
         "part_edges",
-        *[F.col("_box")[k].alias(k) for k in ("xmin", "ymin", "xmax", "ymax")],
+        *[F.col("_box")[k].alias(k) for k in G.BOX],
     )
     return boxed.withColumn("level", box_level())
 
@@ -102,30 +96,25 @@ def zone_cells(zones: DataFrame) -> DataFrame:
     two overlapping parts of one zone is then still matched once. ``covered``
     marks cells wholly inside.
     """
-    cells = explode_cells(_part_boxes(zones))
-    x0, y0 = F.col("cx") * cell_width(), F.col("cy") * cell_width()
-    x1, y1 = x0 + cell_width(), y0 + cell_width()
-
-    def met(e: Column) -> Column:
-        return (
-            (F.greatest(e.y1, e.y2) >= y0) & (F.least(e.y1, e.y2) <= y1) & (F.greatest(e.x1, e.x2) >= x0)
-        )
-
-    def clip(rings: Column) -> Column:
-        return F.transform(rings, lambda edges: F.filter(edges, met))
-
-    # A kept edge does not lie left of the cell; this one does not lie right of it either.
-    crossed = F.exists("rings", lambda edges: F.exists(edges, lambda e: F.least(e.x1, e.x2) <= x1))
-    centre_inside = in_part(F.col("rings"), (x0 + x1) / 2, (y0 + y1) / 2)
-    none = F.array().cast(f"array<array<{G.EDGE_TYPE}>>")
+    wide = cell_width()
+    corner_x, corner_y = F.col("cx") * wide, F.col("cy") * wide
+    cells = explode_cells(_part_boxes(zones)).withColumns(
+        {"_x0": corner_x, "_y0": corner_y, "_x1": corner_x + wide, "_y1": corner_y + wide}
+    )
+    met = "greatest(e.y1, e.y2) >= _y0 AND least(e.y1, e.y2) <= _y1 AND greatest(e.x1, e.x2) >= _x0"
+    clip = f"rings -> transform(rings, edges -> filter(edges, e -> {met}))"
+    # A kept edge does not lie left of the cell; a crossing one does not lie right of it either.
+    crossed = "exists(rings, edges -> exists(edges, e -> least(e.x1, e.x2) <= _x1))"
+    none = f"cast(array() AS array<array<{G.EDGE_TYPE}>>)"
+    clipped = cells.withColumn("_clipped", F.expr(f"transform(slice(part_edges, 1, part_no + 1), {clip})"))
     return (
-        cells.withColumn("rings", clip(F.get(F.col("part_edges"), F.col("part_no"))))
-        .where(F.size(F.element_at(F.col("rings"), 1)) > 0)
-        .withColumn("covered", ~crossed)
-        .where(~F.col("covered") | centre_inside)
-        .withColumn("rings", F.when(F.col("covered"), none).otherwise(F.col("rings")))
-        .withColumn("earlier", F.transform(F.slice("part_edges", F.lit(1), F.col("part_no")), clip))
-        .drop("part_edges", "part_no", "xmin", "ymin", "xmax", "ymax")
+        clipped.withColumn("rings", F.expr("element_at(_clipped, part_no + 1)"))
+        .where("size(element_at(rings, 1)) > 0")
+        .withColumn("covered", F.expr(f"NOT {crossed}"))
+        .where(F.expr(f"NOT covered OR {in_part('rings', '(_x0 + _x1) / 2', '(_y0 + _y1) / 2')}"))
+        .withColumn("rings", F.expr(f"CASE WHEN covered THEN {none} ELSE rings END"))
+        .withColumn("earlier", F.expr("slice(_clipped, 1, part_no)"))
+        .drop("part_edges", "part_no", "_clipped", "_x0", "_y0", "_x1", "_y1", *G.BOX)
     )
 
 
@@ -176,8 +165,8 @@ def points_in_zones(
     shuffle on the cell, with hot cells salted by their measured counts.
     """
     cells = settle(zone_cells(zones))
-    held = F.aggregate(F.flatten(F.array_append("earlier", F.col("rings"))), F.lit(0), lambda a, r: a + F.size(r))
-    size = cells.agg(F.sum(held * EDGE_BYTES + ROW_BYTES).alias("bytes")).first()["bytes"] or 0
+    held = "aggregate(flatten(array_append(earlier, rings)), 0, (n, edges) -> n + size(edges))"
+    size = cells.agg(F.sum(F.expr(held) * EDGE_BYTES + ROW_BYTES).alias("bytes")).first()["bytes"] or 0
     levels = levels_in(cells)
 
     px, py = col(x), col(y)
@@ -196,11 +185,12 @@ def points_in_zones(
         placed, cells = _spread_hot_cells(placed, cells, hot_rows)
         on = [*on, "_salt"]
 
-    inside = in_part(F.col("rings"), px, py)
+    x_sql, y_sql = q(x), q(y)
+    inside = in_part("rings", x_sql, y_sql)
     if exclude_boundary:
-        inside = inside & ~on_edge(F.col("rings"), px, py)
-    again = F.exists("earlier", lambda rings: in_part(rings, px, py))
-    joined = placed.join(cells, on).where((F.col("covered") | inside) & ~again)
+        inside = f"({inside} AND NOT {on_edge('rings', x_sql, y_sql)})"
+    again = f"exists(earlier, part -> {in_part('part', x_sql, y_sql)})"
+    joined = placed.join(cells, on).where(F.expr(f"(covered OR {inside}) AND NOT {again}"))
     return joined.drop(*on, "rings", "earlier", "covered")
 
 

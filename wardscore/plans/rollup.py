@@ -115,7 +115,7 @@ def geo_features(zones: DataFrame, records: DataFrame, geography: str) -> DataFr
     label = area_label(geography, F.col("zone_id"), F.col("zone_name"))
     properties = F.struct(F.col("zone_id").alias("geo_id"), label.alias("geo_label"))
     return scored.select(
-        F.col("zone_id").alias("geo_id"), label.alias("geo_label"), feature_json(F.col("parts"), properties).alias("feature")
+        F.col("zone_id").alias("geo_id"), label.alias("geo_label"), feature_json("parts", properties).alias("feature")
     )
 
 

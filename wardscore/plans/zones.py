@@ -73,7 +73,7 @@ def zone_quality(
     numbers = [number_column(points, c).alias(c) for c in ("Latitude", "Longitude", score)]
     typed = points.select(col(key), *numbers).na.drop(subset=["Latitude", "Longitude", score])
     # A zone's points lie in its box, which makes good bounds for their medians.
-    boxed_zones = zones.withColumn("box", zone_bbox(F.col("parts")))
+    boxed_zones = zones.withColumn("box", zone_bbox("parts"))
     placed = settle(first_zone(typed, boxed_zones, key, [score, "Latitude", "Longitude"], zone_carry=["box"]))
     means = placed.groupBy("zone_id").agg(F.count(F.lit(1)).alias("_count"), F.avg(col(score)).alias(score))
     box = F.col("box")

@@ -28,25 +28,17 @@ RINGS_JSON = "array<array<array<double>>>"
 PLANE_CRS = "2263"
 
 
-def feature_parts(geometry: Column) -> Column:
+def feature_parts(geometry: str) -> Column:
     """Parts of a Polygon or MultiPolygon; NULL for other types or none.
 
     Coordinates beyond the second (heights) are left out.
     """
-    text = geometry["coordinates"]
-    polygons = (
-        F.when(geometry["type"] == "Polygon", F.array(F.from_json(text, RINGS_JSON)))
-        .when(geometry["type"] == "MultiPolygon", F.from_json(text, f"array<{RINGS_JSON}>"))
-    )
-    return F.transform(
-        polygons,
-        lambda rings: F.transform(
-            rings,
-            lambda ring: F.transform(
-                ring, lambda p: F.struct(F.element_at(p, 1).alias("x"), F.element_at(p, 2).alias("y"))
-            ),
-        ),
-    )
+    text = f"{geometry}.coordinates"
+    polygons = f"""CASE {geometry}.type
+        WHEN 'Polygon' THEN array(from_json({text}, '{RINGS_JSON}'))
+        WHEN 'MultiPolygon' THEN from_json({text}, 'array<{RINGS_JSON}>') END"""
+    point = "struct(element_at(p, 1) AS x, element_at(p, 2) AS y)"
+    return F.expr(f"transform({polygons}, rings -> transform(rings, ring -> transform(ring, p -> {point})))")
 
 
 def zones_from_features(
@@ -61,14 +53,13 @@ def zones_from_features(
     ``in_plane`` says the coordinates are plane feet and turns them into degrees.
     """
     name = F.try_element_at("properties", F.lit(name_property)) if name_property else F.lit(None).cast("string")
-    parts = feature_parts(F.col("geometry"))
     polygons = features.where(F.col("geometry.type").isin("Polygon", "MultiPolygon"))
     return polygons.select(
         F.trim(F.try_element_at("properties", F.lit(id_property))).alias("zone_id"),
         name.alias("zone_name"),
         F.col(order).cast("bigint").alias("file_order"),
-        (G.to_lonlat(parts) if in_plane else parts).alias("parts"),
-    )
+        feature_parts("geometry").alias("parts"),
+    ).transform(lambda zones: zones.withColumn("parts", G.to_lonlat("parts")) if in_plane else zones)
 
 
 def features_from_text(df: DataFrame, text: str, order: str = "file_order") -> DataFrame:
@@ -130,15 +121,13 @@ def load_zones(
     return as_degrees.unionByName(as_plane)
 
 
-def geometry_json(parts: Column) -> Column:
+def geometry_json(parts: str) -> Column:
     """GeoJSON geometry struct (MultiPolygon) of ``parts``."""
-    coordinates = F.transform(
-        parts, lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p.x, p.y)))
-    )
+    coordinates = F.expr(f"transform({parts}, rings -> transform(rings, ring -> transform(ring, p -> array(p.x, p.y))))")
     return F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates"))
 
 
-def feature_json(parts: Column, properties: Column) -> Column:
+def feature_json(parts: str, properties: Column) -> Column:
     """One GeoJSON Feature as text."""
     return F.to_json(
         F.struct(

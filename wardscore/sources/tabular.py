@@ -36,6 +36,9 @@ def read_csv(
     mode = "DROPMALFORMED" if skip_bad_rows else "PERMISSIVE"
     # Quoted fields may hold quotes doubled, as CSV writers do.
     reader = spark.read.option("header", True).option("mode", mode).option("escape", '"')
+    if skip_bad_rows:
+        # A row parsed for a few columns only is not seen to be too long.
+        reader = reader.option("columnPruning", False)
     header = reader.csv(path).columns
     df = require_columns(reader.schema(text_schema(header)).csv(path), required)
     return df if columns is None else keep_known(df, [*required, *[c for c in columns if c not in required]])
