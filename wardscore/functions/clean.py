@@ -53,7 +53,9 @@ def finite(c: Column) -> Column:
 
 def collapse_ws(c: Column) -> Column:
     """Trimmed text with every run of white space as one blank; NULL becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\s+", " "))
+    text = F.translate(F.coalesce(c.cast("string"), F.lit("")), BLANKS, " " * len(BLANKS))
+    # Most texts hold no run of blanks, and need no regular expression.
+    return F.trim(F.when(text.contains("  "), F.regexp_replace(text, " +", " ")).otherwise(text))
 
 
 def collapse_ws_text(text: str | None) -> str:

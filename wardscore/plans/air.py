@@ -9,7 +9,7 @@ from wardscore.functions.clean import clean_missing, collapse_ws, collapse_ws_te
 from wardscore.functions.codes import POLLUTANTS, pollutant
 from wardscore.operators.scoring import mean_z_table
 from wardscore.operators.settle import settle
-from wardscore.operators.tables import col, require_columns
+from wardscore.operators.tables import col, q, require_columns
 
 KEYS = ["Geo Join ID", "Geo Place Name"]
 NEEDED = ["Name", "Geo Type Name", *KEYS, "Data Value"]
@@ -17,21 +17,27 @@ SCORED = ["PM2.5", "NO2", "O3"]
 
 
 def pollutant_readings(readings: DataFrame, geo_type: str) -> DataFrame:
-    """Typed readings of the wanted pollutants at one geography level."""
+    """Typed readings at one geography level.
+
+    Readings without a key, a wanted pollutant or a number stay in as NULLs.
+    They drop out of the means, and dropping them here would make Spark work
+    out every column once for the filter and once more for the result.
+    """
     wanted = require_columns(readings.drop("Message"), NEEDED).where(
         collapse_ws(col("Geo Type Name")) == F.lit(collapse_ws_text(geo_type))
     )
-    present = wanted.select(*[clean_missing(col(c)).alias(c) for c in ("Name", *KEYS, "Data Value")]).na.drop()
-    typed = present.select(
-        *[col(k) for k in KEYS], pollutant(col("Name")).alias("Pollutant"), to_number(col("Data Value")).alias("value")
+    return wanted.select(
+        *[clean_missing(col(k)).alias(k) for k in KEYS],
+        pollutant(col("Name")).alias("Pollutant"),
+        to_number(col("Data Value")).alias("value"),
     )
-    return typed.na.drop(subset=["Pollutant", "value"])
 
 
 def pollutant_means(readings: DataFrame, geo_type: str) -> DataFrame:
     """Mean reading by district and pollutant, in long form."""
     long = pollutant_readings(readings, geo_type)
-    return long.groupBy(*[col(k) for k in KEYS], "Pollutant").agg(F.avg("value").alias("avg_value"))
+    means = long.groupBy(*[col(k) for k in KEYS], "Pollutant").agg(F.avg("value").alias("avg_value"))
+    return means.na.drop()
 
 
 def air_pivot(readings: DataFrame, geo_type: str) -> DataFrame:
@@ -40,8 +46,10 @@ def air_pivot(readings: DataFrame, geo_type: str) -> DataFrame:
     Conditional averages give the pivot in one aggregation and one shuffle.
     """
     long = pollutant_readings(readings, geo_type)
-    means = [F.avg(F.when(F.col("Pollutant") == p, F.col("value"))).alias(p) for p in POLLUTANTS.values()]
-    return long.groupBy(*[col(k) for k in KEYS]).agg(*means)
+    names = list(POLLUTANTS.values())
+    means = [F.avg(F.when(F.col("Pollutant") == p, F.col("value"))).alias(p) for p in names]
+    wide = long.groupBy(*[col(k) for k in KEYS]).agg(*means)
+    return wide.na.drop(subset=[q(k) for k in KEYS]).na.drop("all", subset=[q(p) for p in names])
 
 
 def air_index(readings: DataFrame, geo_type: str = "CD") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +82,7 @@ def with_location(incidents: DataFrame) -> DataFrame:
     located = incidents.withColumns(clean)
     if len(clean) < len(COORDINATE_BOUNDS):
         return located.withColumn("has_valid_point", F.lit(False))
-    return located.withColumn("has_valid_point", F.concat(*map(F.col, COORDINATE_BOUNDS)).isNotNull())
+    return located.withColumn("has_valid_point", reduce(and_, (F.col(c).isNotNull() for c in COORDINATE_BOUNDS)))
 
 
 def clean_incidents(incidents: DataFrame, geo_level: str = "precinct", keyword_rule: str = "last") -> DataFrame:

@@ -46,16 +46,20 @@ def school_rows(reviews: DataFrame) -> DataFrame:
 
 def rated_reviews(reviews: DataFrame, strict_years: bool = False) -> DataFrame:
     """School, year, mean indicator value and completeness of each review."""
-    values = [rating_value(rating_code(F.col(c))) for c in INDICATORS]
-    columns = [
+    rated = [*INDICATORS, OVERALL] if OVERALL in reviews.columns else INDICATORS
+    # The ordinals are columns of their own first, as each is used more than once.
+    ordinals = school_rows(reviews).select(
         clean_missing(F.col(SCHOOL)).alias(SCHOOL),
         start_year(F.col("School_Year"), strict_years).alias("School_Year"),
-        row_mean(values).alias("Synthetic_Rating"),
-        (sum((v.isNotNull().cast("int") for v in values), F.lit(0)) / F.lit(len(values))).alias("Completeness_Score"),
-    ]
-    if OVERALL in reviews.columns:
-        columns.append(rating_value(rating_code(F.col(OVERALL))).alias("Overall_Value"))
-    return school_rows(reviews).select(*columns)
+        *[rating_value(rating_code(F.col(c))).alias(c) for c in rated],
+    )
+    values = [F.col(c) for c in INDICATORS]
+    present = sum((v.isNotNull().cast("int") for v in values), F.lit(0))
+    columns = [SCHOOL, "School_Year", row_mean(values).alias("Synthetic_Rating")]
+    columns.append((present / F.lit(len(values))).alias("Completeness_Score"))
+    if OVERALL in rated:
+        columns.append(F.col(OVERALL).alias("Overall_Value"))
+    return ordinals.select(*columns)
 
 
 def unmapped_codes(reviews: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def rating_agreement(reviews: DataFrame, last_year: int = LAST_RATED_YEAR) -> Da
 
 def grades(reviews: DataFrame, decay: float = DECAY, strict_years: bool = False) -> DataFrame:
     """Decayed mean rating per school. A school without any rated review gets no figures."""
-    rows = rated_reviews(reviews, strict_years).na.drop(subset=[SCHOOL])
+    rows = rated_reviews(reviews, strict_years)
     rating = F.col("Synthetic_Rating")
     weight = F.when(rating.isNotNull(), F.pow(F.lit(decay), F.lit(ANCHOR_YEAR) - F.col("School_Year")))
     sums = rows.groupBy(SCHOOL).agg(
@@ -94,7 +98,7 @@ def grades(reviews: DataFrame, decay: float = DECAY, strict_years: bool = False)
     def if_rated(name: str) -> Column:
         return F.when(F.col("_rated") > 0, F.col(name))
 
-    return sums.select(
+    return sums.where(F.col(SCHOOL).isNotNull()).select(
         SCHOOL,
         if_rated("_grade").alias("Final_Weighted_Grade"),
         if_rated("_completeness").alias("Average_Completeness_Score"),

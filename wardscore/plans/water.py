@@ -49,8 +49,9 @@ def site_means(samples: DataFrame, sample_class: str | None) -> DataFrame:
     typed = samples.select(
         clean_missing(col(SITE)).alias(SITE),
         *[(to_number(uncensor(col(m))) if m in CENSORED else number_column(samples, m)).alias(m) for m in used],
-    ).na.drop(subset=[q(SITE)])
-    return typed.groupBy(col(SITE)).agg(*[F.avg(col(m)).alias(m) for m in used])
+    )
+    means = typed.groupBy(col(SITE)).agg(*[F.avg(col(m)).alias(m) for m in used])
+    return means.na.drop(subset=[q(SITE)])
 
 
 def water_index(

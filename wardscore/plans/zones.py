@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardscore.functions.clean import number_column
 from wardscore.operators.geometry import with_centroid, zone_bbox
@@ -28,7 +29,9 @@ def valid_points(points: DataFrame) -> DataFrame:
     typed = points.withColumns(
         {c: number_column(points, c) for c in ("Latitude", "Longitude", "weighted_incident")}
     )
-    flagged = F.lower(F.trim(col("has_valid_point").cast("string"))).isin(TRUE_TEXTS)
+    flagged = col("has_valid_point")
+    if points.schema["has_valid_point"].dataType != T.BooleanType():
+        flagged = F.lower(F.trim(flagged.cast("string"))).isin(TRUE_TEXTS)
     inside = col("Latitude").between(*COORDINATE_BOUNDS["Latitude"]) & col("Longitude").between(
         *COORDINATE_BOUNDS["Longitude"]
     )
