@@ -491,14 +491,14 @@ attempt_raw = "CASE event_id % 4 WHEN 0 THEN 'ATTEMPTED' WHEN 1 THEN 'completed'
 
 SELECTS: dict[str, str] = {
     "air_means": f"SELECT geo AS geo_join_id, 'AREA_' || geo AS geo_place_name, pollutant, {r6('avg(value)')} AS avg_value FROM readings GROUP BY geo, pollutant",
-    "air_wide": f"SELECT geo_join_id, geo_place_name, {r6('no2')} AS no2, {r6('pm2_5')} AS pm2_5, {r6('o3')} AS o3 FROM air",
+    "air_pivot": f"SELECT geo_join_id, geo_place_name, {r6('no2')} AS no2, {r6('pm2_5')} AS pm2_5, {r6('o3')} AS o3 FROM air",
     "air_score": f"SELECT geo_join_id, geo_place_name, {', '.join(f'{r6(c)} AS {c}' for c in ('no2', 'pm2_5', 'o3', 'z_no2', 'z_pm2_5', 'z_o3', 'airscore'))}, rank, {segment()} AS segment, 'CD' AS geo_type_name FROM air",
     "water_sites": f"""SELECT trim(w.site) AS sample_site, place AS location_description,
         coalesce(CAST(x AS VARCHAR), CASE WHEN y IS NOT NULL THEN 'N/A' END) AS x_coordinate, CAST(y AS VARCHAR) AS y_coordinate,
         {r6('lat')} AS latitude, {r6('lon')} AS longitude, {water_figures}, {r6('waterscore')} AS waterscore, rank, segment
         FROM (SELECT *, {segment()} AS segment FROM water) w LEFT JOIN sites s ON trim(w.site) = s.site""",
     "water_sites_all_classes": f"SELECT site AS sample_site, {water_figures}, {r6('waterscore')} AS waterscore, rank, {segment()} AS segment FROM water_all",
-    "school_grade": f"SELECT {grade_columns.format(grade='final_weighted_grade')} FROM grades LEFT JOIN schools USING (bn)",
+    "school_grades": f"SELECT {grade_columns.format(grade='final_weighted_grade')} FROM grades LEFT JOIN schools USING (bn)",
     "education": f"SELECT {grade_columns.format(grade='educationscore')}, {r6('lat')} AS latitude, {r6('lon')} AS longitude FROM grades LEFT JOIN schools USING (bn)",
     "rating_audit": " UNION ".join(
         f"SELECT 'IndicatorOverall_{i + 1}' AS column_name, c{i} AS code FROM review_codes WHERE c{i} NOT IN {in_list(list(codes.RATING_SCALE))}"
@@ -512,26 +512,26 @@ SELECTS: dict[str, str] = {
     "incident_weights_max": f"SELECT cmplnt_num, boro AS geo_unit, {r6('greatest(law, floor_max)')} AS severity_weight, {r6('factor')} AS attempt_factor, {r6('greatest(law, floor_max) * factor')} AS weighted_incident FROM incidents",
     "incident_units": units_select("units"),
     "incident_boroughs": units_select("boroughs"),
-    "incident_point_rows": f"""SELECT cmplnt_num, unit AS geo_unit, {boro_raw} AS boro_nm, {pct_raw} AS addr_pct_cd, {offense_raw} AS ofns_desc,
+    "incident_points": f"""SELECT cmplnt_num, unit AS geo_unit, {boro_raw} AS boro_nm, {pct_raw} AS addr_pct_cd, {offense_raw} AS ofns_desc,
         {law_raw} AS law_cat_cd, {attempt_raw} AS crm_atpt_cptd_cd, {weights_tail}, {r6('x')} AS x_coord_cd, {r6('y')} AS y_coord_cd,
         {r6('lat')} AS latitude, {r6('lon')} AS longitude, valid AS has_valid_point FROM clean""",
     "stream_incident_units": f"SELECT geo_unit, incident_count, {r6('weighted_severity_sum')} AS weighted_severity_sum, valid_point_count FROM units",
-    "csv_roundtrip": f"SELECT {boro_raw} AS boro_nm, count(*) AS n, count(cmplnt_num) AS numbered, count({offense_raw}) AS described, {r6('sum(raw_lat)')} AS latitude_sum FROM incidents GROUP BY 1",
+    "t_csv_roundtrip": f"SELECT {boro_raw} AS boro_nm, count(*) AS n, count(cmplnt_num) AS numbered, count({offense_raw}) AS described, {r6('sum(raw_lat)')} AS latitude_sum FROM incidents GROUP BY 1",
     "geo_boundaries": f"""SELECT zone_id, 'AREA_' || zone_id AS zone_name, count(DISTINCT part) AS part_count, count(*) AS edge_count,
         {r6('min(x1)')} AS xmin, {r6('min(y1)')} AS ymin, {r6('max(x1)')} AS xmax, {r6('max(y1)')} AS ymax,
         {r6('sum(s * (x1 * y2 - x2 * y1)) / 2 * 1e6')} AS area FROM sa GROUP BY zone_id""",
     "zone_centroid": f"SELECT zone_id, {r6('lat')} AS representative_latitude, {r6('lon')} AS representative_longitude FROM centroids",
     "point_zone_first": "SELECT event_id, CAST(min(k) AS VARCHAR) AS zone_id FROM event_hits GROUP BY event_id",
     "incident_zone_join": f"SELECT cmplnt_num, zone_id, zone_name, {r6('weighted')} AS weighted_incident FROM zone_incidents",
-    "incident_zones": f"""SELECT zone_id AS community_district_id, zone_name AS community_district_name, n AS incident_count,
+    "incident_zone_index": f"""SELECT zone_id AS community_district_id, zone_name AS community_district_name, n AS incident_count,
         {r6('severity_sum')} AS weighted_severity_sum, n AS valid_point_count, 1e0 AS point_coverage_rate,
         {r6('lat')} AS representative_latitude, {r6('lon')} AS representative_longitude, {r6('burden_z')} AS crimeburden_z,
         {r6('safety')} AS safetyscore, rank, {segment()} AS segment FROM zone_safety""",
-    "water_zone_quality": zone_quality_select("water_zones", "water", "waterscore"),
+    "zone_quality": zone_quality_select("water_zones", "water", "waterscore"),
     "education_zone_quality": zone_quality_select("school_zones", "education", "educationscore"),
     "zone_overlay": f"""SELECT source_id, target_id, {r6('source_area / 1e6')} AS source_area, {r6('target_area / 1e6')} AS target_area,
         {r6('inter / 1e6')} AS intersection_area, {r6('weight')} AS weight, {r6('share')} AS source_share FROM pieces""",
-    "combined": f"""SELECT {listed(INDEX_NAMES)} FROM (
+    "combined_index": f"""SELECT {listed(INDEX_NAMES)} FROM (
         SELECT *, {rank('overall_qualityscore', 'community_district_id', True)} AS overall_rank FROM (
           SELECT *, {row_mean(METRIC_NAMES)} AS overall_qualityscore FROM (
             SELECT a.*, s.* EXCLUDE (id), w.score AS waterscore, w.quality AS water_qualityscore, w.n AS water_point_count,
@@ -543,7 +543,7 @@ SELECTS: dict[str, str] = {
             LEFT JOIN water_zones w ON w.zone_id = community_district_id
             LEFT JOIN school_zones e ON e.zone_id = community_district_id)))""",
     # Corners as text the way the file has them: the first corner again at the end, but for the diamond.
-    "geo_feature_rows": f"""SELECT zone_id AS geo_id, {DISTRICT_LABEL.format('zone_id')} AS geo_label,
+    "geo_features": f"""SELECT zone_id AS geo_id, {DISTRICT_LABEL.format('zone_id')} AS geo_label,
         '{{"type":"Feature","properties":{{"geo_id":"' || zone_id || '","geo_label":"' || {DISTRICT_LABEL.format('zone_id')}
         || '"}},"geometry":{{"type":"MultiPolygon","coordinates":[' || string_agg(part_text, ',' ORDER BY part) || ']}}}}' AS feature
         FROM (SELECT zone_id, part, '[' || string_agg(ring_text, ',' ORDER BY ring) || ']' AS part_text FROM (
@@ -551,7 +551,7 @@ SELECTS: dict[str, str] = {
           FROM (SELECT *, '[' || x || ',' || y || ']' AS corner_text FROM va) GROUP BY k, zone_id, part, ring) GROUP BY zone_id, part)
         WHERE zone_id IN (SELECT community_district_id FROM idx) GROUP BY zone_id""",
     "index_table": f"SELECT {listed(INDEX_NAMES)} FROM idx",
-    "index_record_fields": f"""SELECT community_district_id AS geo_id,
+    "index_records": f"""SELECT community_district_id AS geo_id,
         {DISTRICT_LABEL.format('community_district_id')} AS label,
         community_district_name AS name, borough, 'community_district' AS geography_type,
         {half_even('overall_qualityscore')} AS overall, {half_even('air_qualityscore')} AS air, {half_even('water_qualityscore')} AS water,
@@ -559,12 +559,12 @@ SELECTS: dict[str, str] = {
         {half_even('pm2_5', 3)} AS pm25, water_point_count AS sample_sites, education_point_count AS schools,
         incident_count AS incidents, {half_even('weighted_severity_sum', 1)} AS weighted_severity_sum FROM idx""",
     "area_profile": f"SELECT community_district_id AS geo_id, community_district_name AS name, borough, {half_even('overall_qualityscore')} AS overall FROM idx WHERE community_district_id = '5'",
-    "index_json_rows": f"""SELECT community_district_id AS geo_id, CAST(to_json({{'name': community_district_name,
+    "index_json": f"""SELECT community_district_id AS geo_id, CAST(to_json({{'name': community_district_name,
         'overall': {half_even('overall_qualityscore')}, 'air': {half_even('air_qualityscore')}, 'water': {half_even('water_qualityscore')},
         'edu': {half_even('education_qualityscore')}, 'nypd': {half_even('safety_qualityscore')}}}) AS VARCHAR) AS record FROM idx""",
     "rollup_zone": rolled_select("pieces", "weight", "'BLOCK_' || geo_id"),
     "rollup_zone_source_share": rolled_select("pieces", "share", "'BLOCK_' || geo_id"),
-    "rollup_boroughs": rolled_select("borough_pieces", "weight", "geo_id"),
+    "rollup_borough": rolled_select("borough_pieces", "weight", "geo_id"),
     "borough_record_rows": f"""SELECT geo_id, geo_id AS name, geo_id AS borough, {half_even('overall_qualityscore')} AS overall, overall_rank AS rank,
         'Borough rollup of community-district prototype scores.' AS method FROM ({rolled('borough_pieces', 'weight')})""",
     "city_summary": f"""SELECT count(*) AS area_count, {r6(f'avg({overall_q})')} AS average_overall, {r6(f'max({overall_q})')} AS highest_overall,

@@ -52,13 +52,18 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(f: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tidy(f(spark, sf_dir))
+def query(name: str) -> Callable[[Query], Query]:
+    """Registers a tidied form of the function; others may build on the plain one."""
 
-    run.__name__, run.__doc__ = f.__name__, f.__doc__
-    QUERIES[f.__name__] = run
-    return f
+    def register(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return tidy(f(spark, sf_dir))
+
+        run.__name__, run.__doc__ = name, f.__doc__
+        QUERIES[name] = run
+        return f
+
+    return register
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,52 +73,52 @@ def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Air, water, schools
 
 
-@query
+@query("air_means")
 def air_means(spark, sf_dir):
     return pollutant_means(A.readings(spark, sf_dir), "CD")
 
 
-@query
+@query("air_pivot")
 def air_wide(spark, sf_dir):
     return air_pivot(A.readings(spark, sf_dir), "  CD ")
 
 
-@query
+@query("air_score")
 def air_score(spark, sf_dir):
     return air_index(A.readings(spark, sf_dir))
 
 
-@query
+@query("water_sites")
 def water_sites(spark, sf_dir):
     return water_index(A.samples(spark, sf_dir), A.site_lookup(spark, sf_dir), lookup_order=["row_no"])
 
 
-@query
+@query("water_sites_all_classes")
 def water_sites_all_classes(spark, sf_dir):
     return water_index(A.samples(spark, sf_dir), sample_class=None)
 
 
-@query
+@query("school_grades")
 def school_grade(spark, sf_dir):
     return school_grades(A.reviews(spark, sf_dir), A.school_lookup(spark, sf_dir), lookup_order=["row_no"])
 
 
-@query
+@query("education")
 def education(spark, sf_dir):
     return education_table(school_grade(spark, sf_dir))
 
 
-@query
+@query("rating_audit")
 def rating_audit(spark, sf_dir):
     return unmapped_codes(A.reviews(spark, sf_dir))
 
 
-@query
+@query("rating_corr")
 def rating_corr(spark, sf_dir):
     return rating_agreement(A.reviews(spark, sf_dir), AGREEMENT_YEAR)
 
 
-@query
+@query("project_points")
 def project_points(spark, sf_dir):
     lookup = A.site_lookup(spark, sf_dir).select(
         "row_no", col("X - Coordinate").alias("X_COORDINATE"), col("Y - Coordinate").alias("Y_COORDINATE")
@@ -128,32 +133,32 @@ def project_points(spark, sf_dir):
 WEIGHTS = ["CMPLNT_NUM", "Geo_Unit", "severity_weight", "attempt_factor", "weighted_incident"]
 
 
-@query
+@query("incident_weights")
 def incident_weights(spark, sf_dir):
     return keep_known(clean_incidents(A.incidents(spark, sf_dir)), WEIGHTS)
 
 
-@query
+@query("incident_weights_max")
 def incident_weights_max(spark, sf_dir):
     return keep_known(clean_incidents(A.incidents(spark, sf_dir), "borough", "max"), WEIGHTS)
 
 
-@query
+@query("incident_units")
 def incident_units(spark, sf_dir):
     return incident_index(A.incidents(spark, sf_dir), "precinct")
 
 
-@query
+@query("incident_boroughs")
 def incident_boroughs(spark, sf_dir):
     return incident_index(A.incidents(spark, sf_dir), "borough")
 
 
-@query
+@query("incident_points")
 def incident_point_rows(spark, sf_dir):
     return incident_points(A.incidents(spark, sf_dir))
 
 
-@query
+@query("stream_incident_units")
 def stream_incident_units(spark, sf_dir):
     schema = A.table(spark, sf_dir, "events").schema
     stream = incident_stream(spark, sf_dir, schema, name_glob="events.parquet")
@@ -162,7 +167,7 @@ def stream_incident_units(spark, sf_dir):
     return latest_totals(spark, totals)
 
 
-@query
+@query("t_csv_roundtrip")
 def csv_roundtrip(spark, sf_dir):
     path = fresh_path(spark, "incidents")
     write_table(A.incidents(spark, sf_dir), path, fmt="csv")
@@ -178,7 +183,7 @@ def csv_roundtrip(spark, sf_dir):
 # Zones
 
 
-@query
+@query("geo_boundaries")
 def geo_boundaries(spark, sf_dir):
     zones = A.districts(spark, sf_dir)
     signed = zones.withColumn("signed", G.signed_edges("parts")).withColumn("box", G.zone_bbox("parts"))
@@ -196,20 +201,20 @@ def geo_boundaries(spark, sf_dir):
     )
 
 
-@query
+@query("zone_centroid")
 def zone_centroid(spark, sf_dir):
     return G.with_centroid(A.districts(spark, sf_dir)).select(
         "zone_id", "Representative_Latitude", "Representative_Longitude"
     )
 
 
-@query
+@query("point_zone_first")
 def point_zone_first(spark, sf_dir):
     points = A.incidents(spark, sf_dir).select("event_id", "Latitude", "Longitude")
     return first_zone(points, A.districts(spark, sf_dir), "event_id", [])
 
 
-@query
+@query("incident_zone_join")
 def incident_zone_join(spark, sf_dir):
     points = incident_points(A.incidents(spark, sf_dir))
     return incident_zone_rows(points, A.districts(spark, sf_dir)).select(
@@ -217,22 +222,22 @@ def incident_zone_join(spark, sf_dir):
     )
 
 
-@query
+@query("incident_zone_index")
 def incident_zones(spark, sf_dir):
     return incident_zone_index(incident_points(A.incidents(spark, sf_dir)), A.districts(spark, sf_dir))
 
 
-@query
+@query("zone_quality")
 def water_zone_quality(spark, sf_dir):
     return zone_quality(water_sites(spark, sf_dir), A.districts(spark, sf_dir), "Sample Site", "WaterScore", False, "Water")
 
 
-@query
+@query("education_zone_quality")
 def education_zone_quality(spark, sf_dir):
     return zone_quality(education(spark, sf_dir), A.districts(spark, sf_dir), "BN", "EducationScore", True, "Education")
 
 
-@query
+@query("zone_overlay")
 def zone_overlay(spark, sf_dir):
     pieces = overlay(A.districts(spark, sf_dir), A.blocks(spark, sf_dir))
     # Areas in millions of square feet.
@@ -243,7 +248,7 @@ def zone_overlay(spark, sf_dir):
 # The index and its rollups
 
 
-@query
+@query("combined_index")
 def combined(spark, sf_dir):
     return combined_index(
         air_score(spark, sf_dir),
@@ -253,12 +258,12 @@ def combined(spark, sf_dir):
     )
 
 
-@query
+@query("index_table")
 def index_table(spark, sf_dir):
     return index_of(spark, sf_dir)
 
 
-@query
+@query("index_records")
 def index_record_fields(spark, sf_dir):
     r = index_records(index_of(spark, sf_dir))
     details = F.col("record.details")
@@ -282,39 +287,39 @@ def index_record_fields(spark, sf_dir):
     )
 
 
-@query
+@query("area_profile")
 def area_profile(spark, sf_dir):
     found = find_area(index_records(index_of(spark, sf_dir)), "5")
     return found.select("geo_id", "record.name", "record.borough", "record.overall")
 
 
-@query
+@query("index_json")
 def index_json_rows(spark, sf_dir):
     return index_json(index_of(spark, sf_dir))
 
 
-@query
+@query("rollup_zone")
 def rollup_zone(spark, sf_dir):
     return rollup(index_of(spark, sf_dir), A.districts(spark, sf_dir), A.blocks(spark, sf_dir))
 
 
-@query
+@query("rollup_zone_source_share")
 def rollup_zone_source_share(spark, sf_dir):
     return rollup(index_of(spark, sf_dir), A.districts(spark, sf_dir), A.blocks(spark, sf_dir), share="source")
 
 
-@query
+@query("rollup_borough")
 def rollup_boroughs(spark, sf_dir):
     return rollup_borough(index_of(spark, sf_dir), A.districts(spark, sf_dir))
 
 
-@query
+@query("geo_features")
 def geo_feature_rows(spark, sf_dir):
     index = index_of(spark, sf_dir)
     return geo_features(A.districts(spark, sf_dir), index_records(index), "community_district")
 
 
-@query
+@query("borough_record_rows")
 def borough_record_rows(spark, sf_dir):
     rolled = rollup_borough(index_of(spark, sf_dir), A.districts(spark, sf_dir))
     records = rollup_records(rolled, "borough")
@@ -327,56 +332,56 @@ def borough_record_rows(spark, sf_dir):
 # Dashboard
 
 
-@query
+@query("city_summary")
 def city_summary(spark, sf_dir):
     return D.city_summary(index_of(spark, sf_dir))
 
 
-@query
+@query("metric_stats")
 def metric_stats(spark, sf_dir):
     return D.metric_stats(index_of(spark, sf_dir))
 
 
-@query
+@query("borough_avg")
 def borough_avg(spark, sf_dir):
     return D.borough_averages(index_of(spark, sf_dir))
 
 
-@query
+@query("top_bottom")
 def top_bottom(spark, sf_dir):
     return D.top_and_bottom(index_of(spark, sf_dir))
 
 
-@query
+@query("leaderboards")
 def leaderboards(spark, sf_dir):
     return D.leaderboards(index_of(spark, sf_dir))
 
 
-@query
+@query("balance_top")
 def balance_top(spark, sf_dir):
     return D.balance_boards(index_of(spark, sf_dir))
 
 
-@query
+@query("rank_curve")
 def rank_curve(spark, sf_dir):
     return D.rank_curve(index_of(spark, sf_dir))
 
 
-@query
+@query("score_histogram")
 def score_histogram(spark, sf_dir):
     return D.score_histogram(index_of(spark, sf_dir))
 
 
-@query
+@query("score_bands")
 def score_bands(spark, sf_dir):
     return D.score_bands(index_of(spark, sf_dir))
 
 
-@query
+@query("compare_areas")
 def compare_areas(spark, sf_dir):
     return D.compare_areas(index_of(spark, sf_dir), "5", "8")
 
 
-@query
+@query("compare_wide")
 def compare_wide(spark, sf_dir):
     return D.compare_wide(index_of(spark, sf_dir), "5", "8")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
-from wardscore.operators.settle import settle
+from wardscore.operators.settle import settle, spread
 from wardscore.operators.spatial import CELL_KEY, box_level, cell_width, explode_cells, levels_in
 
 # Overlaps smaller than this share of the smaller shape are rounding noise.
@@ -105,8 +105,7 @@ def overlay(source: DataFrame, target: DataFrame) -> DataFrame:
     count as one shape made of several, if they do not overlap each other.
     """
     # Shapes of one boundary file come from one task; the pairs must not be all met in that task.
-    tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s_shapes, t_shapes = (settle(overlay_shapes(zones).repartition(tasks)) for zones in (source, target))
+    s_shapes, t_shapes = (settle(spread(overlay_shapes(zones))) for zones in (source, target))
     pairs = _pairs(s_shapes, t_shapes)
 
     def near(edges: str) -> Column:

@@ -43,6 +43,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows that one task read over the cluster, for heavy work per row to follow."""
+    spark = df.sparkSession
+    shuffle_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(shuffle_tasks, 2 * spark.sparkContext.defaultParallelism))
+
+
 def broadcast_if(df: DataFrame, n_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Ask for a broadcast only where the measured size allows it."""
     return F.broadcast(df) if n_bytes <= limit else df

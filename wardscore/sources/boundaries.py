@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
-from wardscore.operators.settle import settle
+from wardscore.operators.settle import settle, spread
 from wardscore.operators.tables import find_column
 
 # Property names an id or a name may have, by preference.
@@ -83,9 +83,8 @@ def read_features(spark: SparkSession, path: str, per_line: bool = False) -> Dat
         F.explode("_c.features").alias("_f"),
     )
     # From here on the features are spread again; their coordinates are still text.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = parsed.withColumn("file_order", F.monotonically_increasing_id())
-    return numbered.select("in_plane", "file_order", "_f.properties", "_f.geometry").repartition(tasks)
+    return spread(numbered.select("in_plane", "file_order", "_f.properties", "_f.geometry"))
 
 
 def property_names(features: DataFrame) -> list[str]:

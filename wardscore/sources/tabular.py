@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardscore.functions.clean import id_text
+from wardscore.functions.clean import id_text, to_number
 from wardscore.functions.codes import borough_of
 from wardscore.operators.tables import col, keep_known, require_columns
 
@@ -54,7 +54,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """A written index: canonical text ids, numbers typed, borough added."""
     df = read_csv(spark, path)
     texts = ("Community_District_ID", "Community_District_Name")
-    typed = df.select(*[col(c) if c in texts else col(c).try_cast("double").alias(c) for c in df.columns])
+    typed = df.select(*[col(c) if c in texts else to_number(col(c)).alias(c) for c in df.columns])
     return typed.withColumn("Community_District_ID", id_text(F.col("Community_District_ID"))).withColumn(
         "borough", borough_of(F.col("Community_District_ID"))
     )
