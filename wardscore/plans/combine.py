@@ -16,6 +16,7 @@ from wardscore.plans.zones import ZONE_ID, ZONE_NAME
 QUALITY_COLUMNS = ["Air_QualityScore", "Water_QualityScore", "Education_QualityScore", "Safety_QualityScore"]
 OVERALL = "Overall_QualityScore"
 RANK = "Overall_Rank"
+# Column order and wording of the published index.
 INDEX_COLUMNS = [
     ZONE_ID, ZONE_NAME, "AirScore", "Air_QualityScore", "NO2", "O3", "PM2.5", "SafetyScore",
     "Safety_QualityScore", "Incident_Count", "Weighted_Severity_Sum", "WaterScore", "Water_QualityScore",

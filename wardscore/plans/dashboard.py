@@ -51,16 +51,17 @@ def stacked(index: DataFrame) -> DataFrame:
 def city_summary(index: DataFrame) -> DataFrame:
     """Mean, median, range and count of the overall score, one row."""
     whole_city = index.select(F.lit("all").alias("scope"), OVERALL)
-    figures = whole_city.groupBy("scope").agg(
+    # Scores lie between 0 and 100. One row at most comes back.
+    row = grouped_medians(whole_city, ["scope"], {OVERALL: (F.lit(0.0), F.lit(100.0))}).first()
+    median = row[OVERALL] if row else None
+    return index.agg(
         F.count(F.lit(1)).alias("area_count"),
         F.avg(OVERALL).alias("average_overall"),
         F.max(OVERALL).alias("highest_overall"),
         F.min(OVERALL).alias("lowest_overall"),
         (F.max(OVERALL) - F.min(OVERALL)).alias("score_range"),
+        F.lit(median).cast("double").alias("median_overall"),
     )
-    # Scores lie between 0 and 100.
-    median = grouped_medians(whole_city, ["scope"], {OVERALL: (F.lit(0.0), F.lit(100.0))})
-    return figures.join(median.withColumnRenamed(OVERALL, "median_overall"), "scope", "left").drop("scope")
 
 
 def metric_stats(index: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from wardscore.operators.scoring import burden_table
 from wardscore.operators.settle import settle
 from wardscore.operators.tables import keep_known, order_columns, require_columns
 
+# Columns of the incident log.
 REQUIRED = ["BORO_NM", "LAW_CAT_CD", "CRM_ATPT_CPTD_CD"]
 OPTIONAL = [
     "CMPLNT_NUM", "ADDR_PCT_CD", "OFNS_DESC", "PD_DESC", "CMPLNT_FR_DT", "CMPLNT_TO_DT",
@@ -35,6 +36,7 @@ REPRESENTATIVE = {
     "Latitude": "Representative_Latitude",
     "Longitude": "Representative_Longitude",
 }
+# Column order of the exports.
 POINT_COLUMNS = [
     "CMPLNT_NUM", "Geo_Unit", "BORO_NM", "ADDR_PCT_CD", "CMPLNT_FR_DT", "CMPLNT_TO_DT", "OFNS_DESC",
     "PD_DESC", "LOC_OF_OCCUR_DESC", "PREM_TYP_DESC", "LAW_CAT_CD", "CRM_ATPT_CPTD_CD",

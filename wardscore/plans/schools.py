@@ -24,6 +24,7 @@ NOT_A_SCHOOL = "all quality review"
 # mean, so any fixed year does and no pass over the table for its latest one.
 ANCHOR_YEAR = 2010
 
+# Columns of the school lookup, and column order of the two tables.
 LOOKUP_COLUMNS = [
     "location_code", "location_name", "X_COORDINATE", "Y_COORDINATE", "Location_Category_Description",
 ]

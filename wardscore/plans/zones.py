@@ -18,6 +18,7 @@ from wardscore.plans.incidents import COORDINATE_BOUNDS
 ZONE_ID = "Community_District_ID"
 ZONE_NAME = "Community_District_Name"
 TRUE_TEXTS = ["true", "1"]
+# Column order of the zone table.
 INCIDENT_COLUMNS = [
     ZONE_ID, ZONE_NAME, "Incident_Count", "Weighted_Severity_Sum", "Valid_Point_Count", "Point_Coverage_Rate",
     "Representative_Latitude", "Representative_Longitude", "CrimeBurden_z", "SafetyScore", "Rank", "Segment",
