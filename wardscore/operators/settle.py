@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +17,16 @@ SINGLE_TASK_ROWS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    A session that names none gets one below its warehouse, but only in local mode: elsewhere a local folder is
+    another one on every machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    own = tempfile.mkdtemp(prefix="wardscore-")
-    spark.conf.set("spark.checkpoint.dir", own)
+    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/wardscore-shared"
+    on_this_machine = "://" not in own and not own.startswith("hdfs:") or own.startswith("file:")
+    if on_this_machine and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     return own
 
 
@@ -43,6 +43,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def land(df: DataFrame, label: str = "landed") -> DataFrame:
+    """The table written once as Parquet in the shared folder and read back: later passes read only the columns they need.
+
+    The files live as long as the application, as results that read them are lazy.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows that one task read over the cluster, for heavy work per row to follow."""
     spark = df.sparkSession
