@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from wardscore.llm import bpe, sharding, url_filter
+from wardscore.llm import bpe, embedding_dedup, permutation_index, sharding, url_filter
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.query,
     "op2_sharding": sharding.query,
     "op3_bpe": bpe.query,
+    "op8_permutation_index": permutation_index.query,
     "op10_url_filter": url_filter.query,
 }
 
-ORACLES = {"op10_url_filter": url_filter.ORACLE}
+ORACLES = {"op1_embedding_dedup": embedding_dedup.ORACLE, "op10_url_filter": url_filter.ORACLE}
