@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardscore.llm.text_bytes import flat, pieces, slice_hashes, small_batches
+from wardscore.llm.text_bytes import flat, pieces, slice_hashes, small_batches, word_bounds
 
 # The model is fitted to at most so many labelled documents.
 SAMPLE = 3000
@@ -32,7 +32,7 @@ KIND = np.zeros(256, np.int64)
 for _place, _bytes in enumerate(KINDS):
     KIND[list(_bytes)] = _place
 SPACE_KIND = KINDS.index(b" ")
-OWN = len(KINDS) + 5
+OWN = len(KINDS) + 6
 
 
 @dataclass
@@ -66,6 +66,12 @@ def lines_of(data: np.ndarray, bounds: np.ndarray) -> Lines:
     if len(data) > 1:
         twice[1:] = (data[1:] == data[:-1]) & (kind[1:] != SPACE_KIND)
     pairs = np.bincount(of, twice, minlength=n)
+    # Words that repeat the word before them in the line.
+    begin, stop, _ = word_bounds(data, bounds)
+    word, line = slice_hashes(data, begin, stop), of[begin]
+    same = np.zeros(len(word), bool)
+    same[1:] = (word[1:] == word[:-1]) & (line[1:] == line[:-1])
+    echoes = np.bincount(line, same, minlength=n) / np.maximum(np.bincount(line, minlength=n), 1)
     hashes = slice_hashes(data, starts, ends)
     # A line that stood in its document before.
     again = np.zeros(n)
@@ -74,7 +80,7 @@ def lines_of(data: np.ndarray, bounds: np.ndarray) -> Lines:
     total = np.maximum(size, 1)[:, None]
     own = np.concatenate(
         [
-            counts / total, pairs[:, None] / total, again[:, None], np.log1p(size)[:, None],
+            counts / total, pairs[:, None] / total, echoes[:, None], again[:, None], np.log1p(size)[:, None],
             (counts[:, SPACE_KIND] + 1)[:, None] / (total + 1), (size == 0)[:, None],
         ],
         axis=1,

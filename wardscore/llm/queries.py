@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wardscore.llm import bpe, embedding_dedup, minhash_dedup, permutation_index, sharding, url_filter
+from wardscore.llm import bpe, embedding_dedup, line_quality, minhash_dedup, permutation_index, sharding, url_filter
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
     "op2_sharding": sharding.query,
     "op3_bpe": bpe.query,
+    "op5_line_quality": line_quality.query,
     "op7_minhash_dedup": minhash_dedup.query,
     "op8_permutation_index": permutation_index.query,
     "op10_url_filter": url_filter.query,

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 # Bytes of text that are hashed in one piece; a longer text makes a longer piece.
 PIECE_BYTES = 2 << 20
@@ -21,6 +22,13 @@ LOWER[65:91] += 32
 BYTE_VALUES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """No more than ``rows`` whole texts in an Arrow batch: 10,000 long ones would not fit a task. Results do not change."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and where each begins (one more: the end). Nulls are empty."""
     if texts.null_count:
