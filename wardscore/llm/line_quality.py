@@ -253,6 +253,15 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str =
     return docs.select(*[docs[c] for c in keep], body).mapInArrow(score, ", ".join([*fields, f"`{name}` double"]))
 
 
+def good_documents(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, as they are."""
+    name = "score"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    scored = score_documents(docs, model, docs.columns, text, name)
+    return scored.where(scored[name] >= least).select(*[scored[c] for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score by a model learned from the labels of two thirds of the ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -331,6 +331,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
 
 
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` of which each group of near copies keeps one, that with the smallest id; rows without an id stay."""
+    marked = near_duplicates(docs, key, text, words, percent)
+    kept = marked.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.where(docs[key].isNotNull())
+    single = named.join(kept, named[key] == kept["__kept"], "left_semi").dropDuplicates([key])
+    return single.unionByName(docs.where(docs[key].isNull()))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, linked on shingles of three words at 85 hundredths."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)

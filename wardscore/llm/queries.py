@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from wardscore.llm import bpe, embedding_dedup, line_quality, minhash_dedup, permutation_index, sharding, url_filter
+from wardscore.llm import (
+    bpe,
+    context_mixing,
+    embedding_dedup,
+    html_render,
+    line_quality,
+    minhash_dedup,
+    mixing,
+    permutation_index,
+    sharding,
+    url_filter,
+)
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
     "op2_sharding": sharding.query,
     "op3_bpe": bpe.query,
+    "op4_mixing": mixing.query,
     "op5_line_quality": line_quality.query,
+    "op6_context_mixing": context_mixing.query,
     "op7_minhash_dedup": minhash_dedup.query,
     "op8_permutation_index": permutation_index.query,
+    "op9_html_render": html_render.query,
     "op10_url_filter": url_filter.query,
 }
 
