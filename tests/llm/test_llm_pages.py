@@ -81,10 +81,11 @@ def mix_rows(spark):
 
 def test_mixing(spark):
     docs = mix_rows(spark)
-    got = mixing.mixed(docs, targets={"source": {"s0": 0.5, "s1": 0.3}}, name="m").select("doc_id", "source", "m.*").toPandas()
+    topic = mixing.F.lit("any")
+    got = mixing.mixed(docs, topic=topic, targets={"source": {"s0": 0.3, "s1": 0.4}}, name="m").select("doc_id", "source", "m.*").toPandas()
     assert len(got) == 4002
     expected = (got["tokens"] * got["probability"]).groupby(got["source"].fillna("none")).sum()
-    assert np.allclose(expected / expected.sum(), expected.index.map({"none": 0, "s0": 0.5, "s1": 0.3, "s2": 0.2}), atol=1e-6)
+    assert np.allclose(expected / expected.sum(), expected.index.map({"none": 0, "s0": 0.3, "s1": 0.4, "s2": 0.3}), atol=1e-6)
     drawn = got[got["sampled"]]["tokens"].sum() / got["tokens"].sum()
     assert abs(drawn - mixing.BUDGET) < 0.03
     sample = mixing.sample(docs)
