@@ -34,6 +34,8 @@ COUNTERS, REPORTED = 1 << 20, 4
 # Members of a block of a list, and of a component; shingles of a block of a component.
 LIST_BLOCK, CLASS_BLOCK, CLASS_SHINGLES = 1024, 512, 1 << 20
 SMALL_GROUP = 24
+# The bits that tell which texts may be needed again number two to this power at most.
+MOST_BITS = 27
 
 _random = np.random.default_rng(64)
 FACTORS = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64) | U64(1)
@@ -233,10 +235,35 @@ def _agreeing(table: pa.Table, cuts: np.ndarray, least: int) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(nodes[root != nodes]), pa.array(root[root != nodes])], names=["u", "v"])
 
 
+def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The (rep, text) rows whose rep may be a node of ``wanted``: all that are, and few others.
+
+    A bit per hash value, of a number bounded whatever the number of nodes, goes to every task, so that only few texts are
+    shuffled for the exact join that follows.
+    """
+    spark = rows.sparkSession
+    size = 1 << min(MOST_BITS, max(16, (16 * wanted.count()).bit_length()))
+    at = wanted.select(F.pmod(F.xxhash64("node"), F.lit(size)).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(at, 64) as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(size >> 6, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(bits.view(U64))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            hit = (shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1)
+            yield batch.select(["rep", "text"]).filter(pa.array(hit.astype(bool)))
+
+    marked = rows.where("rep is not null").select("rep", "text", F.pmod(F.xxhash64("rep"), F.lit(size)).alias("at"))
+    return marked.mapInArrow(sift, "rep long, text string")
+
+
 def confirmed(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int, percent: int, least: int) -> DataFrame:
     """(u, v): stars over the links inside each class of candidates (node, component), confirmed on the full sets."""
     rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(classes.select(F.col("node").alias("rep"), "component"), "rep").select("rep", "component", "text")
+    rows = sifted(rows, classes).join(classes.select(F.col("node").alias("rep"), "component"), "rep").select("rep", "component", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
