@@ -79,7 +79,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Water samples: one per line item, sites by part."""
     line = F.col("l_linenumber").cast("string")
     return table(spark, sf_dir, "lineitem").select(
-        F.concat(F.col("l_partkey").cast("string"), F.lit(" ")).alias("Sample Site"),
+        # One site under two spellings, which are two rows of the score table.
+        F.concat(F.col("l_partkey").cast("string"), F.when(F.col("l_orderkey") % 7 == 0, "").otherwise(" ")).alias("Sample Site"),
         F.when(F.col("l_returnflag") == "N", "Operational").otherwise("Compliance").alias("Sample class"),
         F.col("l_discount").alias("Residual Free Chlorine (mg/L)"),
         F.col("l_tax").alias("Turbidity (NTU)"),

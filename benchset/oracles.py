@@ -75,7 +75,7 @@ SELECT CASE l_returnflag WHEN 'A' THEN 'NO2' WHEN 'N' THEN 'PM2.5' ELSE 'O3' END
 FROM lineitem WHERE l_linestatus = 'F' AND l_orderkey % 101 <> 0"""
 
 CTES["samples"] = """
-SELECT CAST(l_partkey AS VARCHAR) || ' ' AS site,
+SELECT CAST(l_partkey AS VARCHAR) || CASE WHEN l_orderkey % 7 = 0 THEN '' ELSE ' ' END AS site,
        CASE l_returnflag WHEN 'N' THEN 'Operational' ELSE 'Compliance' END AS class,
        l_discount AS m0, l_tax AS m1, l_quantity AS m2,
        CASE l_linenumber WHEN 1 THEN 0.5e0 ELSE CAST(l_linenumber AS DOUBLE) END AS m3,
@@ -516,6 +516,9 @@ SELECTS: dict[str, str] = {
         {law_raw} AS law_cat_cd, {attempt_raw} AS crm_atpt_cptd_cd, {weights_tail}, {r6('x')} AS x_coord_cd, {r6('y')} AS y_coord_cd,
         {r6('lat')} AS latitude, {r6('lon')} AS longitude, valid AS has_valid_point FROM clean""",
     "stream_incident_units": f"SELECT geo_unit, incident_count, {r6('weighted_severity_sum')} AS weighted_severity_sum, valid_point_count FROM units",
+    "t_csv_bad_rows": """SELECT CASE WHEN c_custkey % 5 <> 1 THEN c_mktsegment END AS segment, count(*) AS n,
+        count(c_name) AS named, CAST(sum(c_custkey) AS BIGINT) AS id_sum
+        FROM customer WHERE c_custkey % 5 NOT IN (2, 3) GROUP BY 1""",
     "t_csv_roundtrip": f"SELECT {boro_raw} AS boro_nm, count(*) AS n, count(cmplnt_num) AS numbered, count({offense_raw}) AS described, {r6('sum(raw_lat)')} AS latitude_sum FROM incidents GROUP BY 1",
     "geo_boundaries": f"""SELECT zone_id, 'AREA_' || zone_id AS zone_name, count(DISTINCT part) AS part_count, count(*) AS edge_count,
         {r6('min(x1)')} AS xmin, {r6('min(y1)')} AS ymin, {r6('max(x1)')} AS xmax, {r6('max(y1)')} AS ymax,
@@ -617,7 +620,7 @@ def sql_of(name: str) -> str:
     found: dict[str, None] = {}
     _needed(SELECTS[name], found)
     withs = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in found)
-    return f"WITH {withs}\n{SELECTS[name]}"
+    return f"WITH {withs}\n{SELECTS[name]}" if withs else SELECTS[name]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -161,12 +161,35 @@ def incident_point_rows(spark, sf_dir):
 @query("stream_incident_units")
 def stream_incident_units(spark, sf_dir):
     schema = A.table(spark, sf_dir, "events").schema
-    stream = incident_stream(spark, sf_dir, schema, name_glob="events.parquet")
+    # A pattern, as the table may be a file or a folder of part files.
+    stream = incident_stream(spark, f"{sf_dir}/[e]vents.parquet", schema)
     totals = fresh_path(spark, "totals")
     run_totals(stream, totals, fresh_path(spark, "state"), prepare=A.incidents_of).awaitTermination()
     return latest_totals(spark, totals)
 
 
+@query("t_csv_bad_rows")
+def csv_bad_rows(spark, sf_dir):
+    """Rows with too few fields stay, those with too many go, also where the surplus is empty."""
+    path = fresh_path(spark, "customers")
+    key, name, segment = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    line = (
+        F.when(key % 5 == 1, F.concat_ws(",", key, name))
+        .when(key % 5 == 2, F.concat_ws(",", key, name, segment, F.lit("x")))
+        .when(key % 5 == 3, F.concat_ws(",", key, name, segment, F.lit("")))
+        .otherwise(F.concat_ws(",", key, name, segment))
+    )
+    # Each task writes one file, which begins with a header.
+    lines = A.table(spark, sf_dir, "customer").select(line.alias("line"), F.monotonically_increasing_id().alias("place"))
+    first = F.col("place").bitwiseAND((1 << 33) - 1) == 0
+    with_header = F.when(first, F.array(F.lit("id,name,segment"), "line")).otherwise(F.array("line"))
+    lines.select(F.explode(with_header).alias("value")).write.text(path)
+    rows = read_csv(spark, path, skip_bad_rows=True)
+    return rows.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"), F.count("name").alias("named"), F.sum(F.col("id").cast("bigint")).alias("id_sum")
+    )
+
+
 @query("t_csv_roundtrip")
 def csv_roundtrip(spark, sf_dir):
     path = fresh_path(spark, "incidents")

@@ -69,7 +69,7 @@ def trimmed_upper(c: Column) -> Column:
 
 def area_code(c: Column) -> Column:
     """Upper-case area code, 'UNKNOWN' where it is missing."""
-    code = trimmed_upper(c)
+    code = trimmed_upper(clean_missing(c))
     return F.when(code.isNull() | code.isin(UNKNOWN_CODES), F.lit("UNKNOWN")).otherwise(code)
 
 

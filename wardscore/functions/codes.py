@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardscore.functions.clean import collapse_ws, trimmed_upper
+from wardscore.functions.clean import clean_missing, collapse_ws, trimmed_upper
 
 # Indicator name -> pollutant column.
 POLLUTANTS = {
@@ -69,7 +69,7 @@ def severity(law: Column, offense: Column | None, rule: str = "last") -> Column:
 
 def rating_code(c: Column) -> Column:
     """Canonical rating code; NULL where no rating was given."""
-    code = trimmed_upper(c)
+    code = trimmed_upper(clean_missing(c))
     code = F.when(~code.isin(NO_RATING), code)
     return F.coalesce(mapped(code, RATING_ALIASES), code)
 

@@ -16,8 +16,9 @@ from wardscore.operators import geometry as G
 from wardscore.operators.settle import settle, spread
 from wardscore.operators.spatial import CELL_KEY, box_level, cell_width, explode_cells, levels_in
 
-# Overlaps smaller than this share of the smaller shape are rounding noise.
-SLIVER = 1e-9
+# Shapes that only touch come out with up to some 1e-15 of the smaller one; by
+# default an overlap counts from this share of it.
+SLIVER = 1e-13
 
 
 def overlay_shapes(zones: DataFrame) -> DataFrame:
@@ -97,12 +98,13 @@ def _shared_trapezoid() -> str:
     return f"({sign('a')}) * ({sign('b')}) * ({r} - {l}) * ({heights}) / 2D"
 
 
-def overlay(source: DataFrame, target: DataFrame) -> DataFrame:
+def overlay(source: DataFrame, target: DataFrame, sliver: float = SLIVER) -> DataFrame:
     """Every overlapping pair: source_id, target_id, areas and shares.
 
     Areas are square feet in the plane; ``weight`` is the overlap's share of
     the target, ``source_share`` that of the source. Rows with the same zone_id
     count as one shape made of several, if they do not overlap each other.
+    Overlaps of no more than ``sliver`` of the smaller shape are rounding noise.
     """
     # Shapes of one boundary file come from one task; the pairs must not be all met in that task.
     s_shapes, t_shapes = (settle(spread(overlay_shapes(zones))) for zones in (source, target))
@@ -138,7 +140,7 @@ def overlay(source: DataFrame, target: DataFrame) -> DataFrame:
     return (
         pieces.join(areas(s_shapes, "source"), "source_id")
         .join(areas(t_shapes, "target"), "target_id")
-        .where(F.col("intersection_area") > F.least("source_area", "target_area") * F.lit(SLIVER))
+        .where(F.col("intersection_area") > F.least("source_area", "target_area") * F.lit(sliver))
         .select(
             *ids,
             "source_area",

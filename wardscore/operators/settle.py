@@ -57,10 +57,11 @@ def land(df: DataFrame, label: str = "landed") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows that one task read over the cluster, for heavy work per row to follow."""
+    """Spread rows that few tasks read over the cluster, for heavy work per row to follow; never over fewer tasks."""
     spark = df.sparkSession
     shuffle_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(min(shuffle_tasks, 2 * spark.sparkContext.defaultParallelism))
+    wanted = min(shuffle_tasks, 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def broadcast_if(df: DataFrame, n_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -205,8 +205,9 @@ def first_zone(
 ) -> DataFrame:
     """Each point with the first zone, in file order, it lies in; others dropped.
 
-    ``key`` is unique per point, ``file_order`` per zone row; ``carry`` and
-    ``zone_carry`` name the columns of either side to keep.
+    ``key`` has to be unique per point, as equal keys count as one, and
+    ``file_order`` per zone row; ``carry`` and ``zone_carry`` name the columns
+    of either side to keep.
     """
     needed = [col(c) for c in dict.fromkeys([key, *carry, x, y])]
     matched = points_in_zones(points.select(*needed), zones.select("file_order", "parts"), x, y)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardscore.functions.clean import clean_missing
+
 
 def q(name: str) -> str:
     """Back-quote a column name that may hold dots or brackets."""
@@ -67,13 +69,13 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 def lookup_join(
     df: DataFrame, lookup: DataFrame | None, key: str, order: Sequence[str] = ()
 ) -> DataFrame:
-    """Left join on a trimmed text key; the lookup keeps its first row per key.
+    """Left join on a trimmed text key, missing-value texts taken as NULL; the lookup keeps its first row per key.
 
     Without a lookup, or without the key in it, the table passes unchanged.
     ``order`` names the lookup's file-order columns, which are dropped.
     """
     if lookup is None or key not in lookup.columns:
         return df
-    trimmed = lookup.withColumn(key, F.trim(col(key).cast("string"))).dropna(subset=[q(key)])
+    trimmed = lookup.withColumn(key, F.trim(clean_missing(col(key)))).dropna(subset=[q(key)])
     unique = first_by(trimmed, [key], order).drop(*order)
-    return df.withColumn(key, F.trim(col(key).cast("string"))).join(unique, key, "left")
+    return df.withColumn(key, F.trim(clean_missing(col(key)))).join(unique, key, "left")

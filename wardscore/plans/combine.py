@@ -49,8 +49,8 @@ def combined_index(air: DataFrame, safety: DataFrame, water: DataFrame, educatio
     joined = (
         _rescaled(air_scores, "AirScore", "Air_QualityScore", higher_is_better=False)
         .join(_rescaled(safety_scores, "SafetyScore", "Safety_QualityScore", higher_is_better=True), ZONE_ID, "left")
-        .join(water.select(ZONE_ID, "WaterScore", "Water_QualityScore", "Water_Point_Count"), ZONE_ID, "left")
-        .join(education.select(ZONE_ID, "EducationScore", "Education_QualityScore", "Education_Point_Count"), ZONE_ID, "left")
+        .join(water.select(id_text(col(ZONE_ID)).alias(ZONE_ID), "WaterScore", "Water_QualityScore", "Water_Point_Count"), ZONE_ID, "left")
+        .join(education.select(id_text(col(ZONE_ID)).alias(ZONE_ID), "EducationScore", "Education_QualityScore", "Education_Point_Count"), ZONE_ID, "left")
     )
     return ranked_index(settle(joined))
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardscore.functions.clean import number_column
+from wardscore.functions.clean import clean_missing, number_column
 from wardscore.operators.geometry import with_centroid, zone_bbox
 from wardscore.operators.medians import grouped_medians
 from wardscore.operators.scoring import burden_table, measure, quality, rank_rows, score_order
-from wardscore.operators.settle import settle
+from wardscore.operators.settle import land, settle
 from wardscore.operators.spatial import first_zone, points_in_zones
-from wardscore.operators.tables import col, order_columns
+from wardscore.operators.tables import col, order_columns, require_columns
 from wardscore.plans.incidents import COORDINATE_BOUNDS
 
 ZONE_ID = "Community_District_ID"
@@ -50,7 +50,7 @@ def incident_zone_index(points: DataFrame, zones: DataFrame) -> DataFrame:
     rows = incident_zone_rows(points.select(*needed), zones)
     totals = rows.groupBy("zone_id").agg(
         # Incidents without a number add to the sum but not to the count.
-        F.count("CMPLNT_NUM").alias("Incident_Count"),
+        F.count(clean_missing(F.col("CMPLNT_NUM"))).alias("Incident_Count"),
         F.sum("weighted_incident").alias("Weighted_Severity_Sum"),
     )
     # Zone tables may repeat an id; the first in file order gives name and place.
@@ -72,13 +72,16 @@ def zone_quality(
 ) -> DataFrame:
     """Points averaged per zone (first zone in file order wins), rescaled and ranked.
 
-    ``key`` is unique per point.
+    Every row is a point of its own, whatever its ``key``: keys may repeat once they are trimmed, or be missing.
     """
+    require_columns(points, [key])
     numbers = [number_column(points, c).alias(c) for c in ("Latitude", "Longitude", score)]
-    typed = points.select(col(key), *numbers).na.drop(subset=["Latitude", "Longitude", score])
+    typed = points.select(*numbers).na.drop(subset=["Latitude", "Longitude", score])
+    # Landed, so that every pass sees a row under the same number.
+    typed = land(typed.withColumn("_row", F.monotonically_increasing_id()), "points")
     # A zone's points lie in its box, which makes good bounds for their medians.
     boxed_zones = zones.withColumn("box", zone_bbox("parts"))
-    placed = settle(first_zone(typed, boxed_zones, key, [score, "Latitude", "Longitude"], zone_carry=["box"]))
+    placed = land(first_zone(typed, boxed_zones, "_row", [score, "Latitude", "Longitude"], zone_carry=["box"]).drop("_row"), "placed")
     means = placed.groupBy("zone_id").agg(F.count(F.lit(1)).alias("_count"), F.avg(col(score)).alias(score))
     box = F.col("box")
     medians = grouped_medians(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
@@ -26,6 +26,8 @@ COLLECTION_TYPE = (
 )
 RINGS_JSON = "array<array<array<double>>>"
 PLANE_CRS = "2263"
+# Names of reference systems in degrees of longitude and latitude.
+DEGREE_CRS = r"(?i)(CRS84|EPSG:{1,2}4326|EPSG:{1,2}4269|\b4326\b|\b4269\b)"
 
 
 def feature_parts(geometry: str) -> Column:
@@ -55,13 +57,19 @@ def zones_from_features(
     name = F.try_element_at("properties", F.lit(name_property)) if name_property else F.lit(None).cast("string")
     polygons = features.where(F.col("geometry.type").isin("Polygon", "MultiPolygon"))
     return polygons.select(
-        F.trim(F.try_element_at("properties", F.lit(id_property))).alias("zone_id"),
+        zone_id_text(F.try_element_at("properties", F.lit(id_property))).alias("zone_id"),
         name.alias("zone_name"),
         F.col(order).cast("bigint").alias("file_order"),
         feature_parts("geometry").alias("parts"),
     ).transform(lambda zones: zones.withColumn("parts", G.to_lonlat("parts")) if in_plane else zones)
 
 
+def zone_id_text(c: Column) -> Column:
+    """A zone's id: whole numbers without sign of decimals (101.0 is 101), other texts trimmed."""
+    text = F.trim(c)
+    return F.when(text.rlike(r"^[0-9]+\.0*$"), F.regexp_replace(text, r"\.0*$", "")).otherwise(text)
+
+
 def features_from_text(df: DataFrame, text: str, order: str = "file_order") -> DataFrame:
     """One GeoJSON Feature per row of text."""
     # A generator, as later filters would otherwise pull a second parse of the text down to the scan.
@@ -69,24 +77,45 @@ def features_from_text(df: DataFrame, text: str, order: str = "file_order") -> D
 
 
 def read_features(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    """Features of GeoJSON files, with ascending unique numbers in file order.
+    """Features of GeoJSON files, with ascending unique numbers by file path and place in the file.
 
-    ``per_line`` reads newline-delimited features, which split over tasks; a
+    Raises where a file names a reference system that is neither degrees nor the plane's. ``per_line`` reads newline-delimited features, which split over tasks; a
     FeatureCollection is one JSON document and is parsed by one task per file.
     """
     if per_line:
-        lines = spark.read.text(path).withColumn("file_order", F.monotonically_increasing_id())
-        return features_from_text(lines.where(F.length(F.trim("value")) > 0), "value")
-    docs = spark.read.text(path, wholetext=True)
-    parsed = docs.select(F.from_json("value", COLLECTION_TYPE).alias("_c")).select(
-        F.coalesce(F.col("_c.crs").contains(PLANE_CRS), F.lit(False)).alias("in_plane"),
-        F.explode("_c.features").alias("_f"),
+        lines = spark.read.text(path).select(
+            "value",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+        )
+        lines = _numbered(lines.where(F.length(F.trim("value")) > 0), ["_file", "_block", "_line"])
+        return features_from_text(lines, "value")
+    docs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+    crs = F.col("_c.crs")
+    known = crs.isNull() | (crs == "null") | crs.contains(PLANE_CRS) | crs.rlike(DEGREE_CRS)
+    parsed = docs.select("_file", F.from_json("value", COLLECTION_TYPE).alias("_c")).select(
+        "_file",
+        F.when(known, F.coalesce(crs.contains(PLANE_CRS), F.lit(False)))
+        .otherwise(F.raise_error(F.concat(F.lit("Unknown reference system: "), crs)).cast("boolean"))
+        .alias("in_plane"),
+        F.posexplode("_c.features").alias("_place", "_f"),
     )
     # From here on the features are spread again; their coordinates are still text.
-    numbered = parsed.withColumn("file_order", F.monotonically_increasing_id())
+    numbered = _numbered(parsed, ["_file", "_place"])
     return spread(numbered.select("in_plane", "file_order", "_f.properties", "_f.geometry"))
 
 
+def _numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """file_order, ascending in the given order: the files' numbers in the upper bits, as there are few of them."""
+    rows = settle(rows)
+    files = rows.select(order[0]).distinct()
+    files = files.withColumn("_number", F.row_number().over(Window.orderBy(order[0])).cast("bigint"))
+    place = F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:]))
+    numbered = rows.withColumn("_at", place).join(F.broadcast(files), order[0])
+    return numbered.withColumn("file_order", F.shiftleft(F.col("_number"), 33) + F.col("_at")).drop(*order, "_number", "_at")
+
+
 def property_names(features: DataFrame) -> list[str]:
     """Distinct property names; bounded by the schema of the file, not by its rows."""
     keys = features.select(F.explode(F.map_keys("properties")).alias("k")).groupBy("k").count()

@@ -27,20 +27,35 @@ def read_csv(
     columns: Sequence[str] | None = None,
     required: Sequence[str] = (),
     skip_bad_rows: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header, all text, pruned to the known ``columns`` present.
 
     The header is probed first, so missing required columns raise before a job
-    over the data. Rows with too many fields are dropped on demand.
+    over the data; a file whose header differs from the first one's raises, as
+    its columns would be taken by position. Rows with too few fields are filled
+    with NULL; those with too many lose the surplus, or are dropped on demand.
+    Lines end rows; with ``multi_line`` quoted fields may hold line ends, and a
+    file is then read by one task.
     """
-    mode = "DROPMALFORMED" if skip_bad_rows else "PERMISSIVE"
     # Quoted fields may hold quotes doubled, as CSV writers do.
-    reader = spark.read.option("header", True).option("mode", mode).option("escape", '"')
+    reader = spark.read.options(header=True, escape='"', enforceSchema=False, multiLine=multi_line)
+    header = reader.csv(path).columns
+    schema = text_schema(header)
     if skip_bad_rows:
+        # A row with another number of fields than the header is kept as it was written, too.
         # A row parsed for a few columns only is not seen to be too long.
-        reader = reader.option("columnPruning", False)
-    header = reader.csv(path).columns
-    df = require_columns(reader.schema(text_schema(header)).csv(path), required)
+        raw = "_row_as_written"
+        marked = reader.options(columnNameOfCorruptRecord=raw, columnPruning=False).schema(text_schema([*header, raw]))
+        unquoted = F.regexp_replace(col(raw), '"(?:[^"]|"")*"', "")
+        too_long = F.regexp_count(unquoted, F.lit(",")) >= len(header)
+        df = marked.csv(path)
+        # Spark wants another column read with this one, so that a count sees the rows parsed.
+        parsed = F.length(F.coalesce(col(header[0]), F.lit(""))) >= 0
+        df = df.where(parsed & (col(raw).isNull() | ~too_long)).select(*[col(c) for c in header])
+    else:
+        df = reader.schema(schema).csv(path)
+    df = require_columns(df, required)
     return df if columns is None else keep_known(df, [*required, *[c for c in columns if c not in required]])
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardscore.plans.incidents import clean_incidents, unit_totals
 from wardscore.sources.tabular import write_table
 
 
+# Folder of the markers; the name keeps readers of the tables out of it.
+FINISHED = "_finished"
+
+
 def incident_stream(
     spark: SparkSession,
     folder: str,
@@ -20,7 +23,10 @@ def incident_stream(
     name_glob: str | None = None,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Stream of the files in a folder; ``name_glob`` picks among them."""
+    """Stream of the files in a folder; ``name_glob`` picks among them.
+
+    ``folder`` may be a pattern that fits a file or a folder of part files.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     options = {"pathGlobFilter": name_glob, "maxFilesPerTrigger": files_per_batch}
     if fmt == "csv":
@@ -42,14 +48,23 @@ def run_totals(
     """Start the query that rewrites the totals table after every batch.
 
     State is one row per unit: counts and sums only, as medians cannot be kept
-    up incrementally. The batch number is in the table's path, so a batch that
-    is run again after a failure writes the same table once more, and readers
-    of the batch before are not disturbed. ``once`` reads what is there and stops.
+    up incrementally. The batch number is in the table's path. A batch is
+    published by a marker once its table is whole, so readers never meet half a
+    table, and a batch that is run again writes the same table once more. The
+    batch before stays for those who read it; older ones are removed. ``once``
+    reads what is there and stops.
     """
     totals = unit_totals(clean_incidents(prepare(incidents), geo_level))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         write_table(batch, f"{totals_path}/batch={batch_id}")
+        path = batch.sparkSession._jvm.org.apache.hadoop.fs.Path
+        files = path(totals_path).getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        files.create(path(f"{totals_path}/{FINISHED}/{batch_id}"), True).close()
+        for old in finished_batches(batch.sparkSession, totals_path):
+            if old < batch_id - 1:
+                files.delete(path(f"{totals_path}/{FINISHED}/{old}"), False)
+                files.delete(path(f"{totals_path}/batch={old}"), True)
 
     writer = totals.writeStream.outputMode("complete").option("checkpointLocation", state_path).foreachBatch(store)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -57,6 +72,11 @@ def run_totals(
 
 def latest_totals(spark: SparkSession, totals_path: str) -> DataFrame:
     """The totals after the last finished batch."""
-    batches = spark.read.parquet(totals_path)
-    last = batches.agg(F.max("batch")).first()[0]
-    return batches.where(F.col("batch") == last).drop("batch")
+    return spark.read.parquet(f"{totals_path}/batch={max(finished_batches(spark, totals_path))}")
+
+
+def finished_batches(spark: SparkSession, totals_path: str) -> list[int]:
+    """Numbers of the batches that were published."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{totals_path}/{FINISHED}")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [int(f.getPath().getName()) for f in files.listStatus(folder)] if files.exists(folder) else []
