@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import pytest
@@ -263,3 +264,26 @@ def test_features_from_text(spark):
     df = spark.createDataFrame([(i, json.dumps(f)) for i, f in enumerate(FEATURES)], "file_order bigint, text string")
     got = zones_from_features(features_from_text(df, "text"), "BoroCD", "cd_name")
     assert sorted(r["zone_id"] for r in got.collect()) == ["101", "102"]
+
+
+def test_overlay_of_long_outlines(spark):
+    """Two outlines of 5,000 corners, one the other moved: the shared area is known."""
+    n, step = 2500, 360 / 2500
+
+    def ring(shift):
+        top = [(-74 + shift + 0.1 * math.cos(math.radians(i * step)), 40.7 + 0.1 * math.sin(math.radians(i * step))) for i in range(n)]
+        doubled = []
+        for i, (x, y) in enumerate(top):
+            x2, y2 = top[(i + 1) % n]
+            doubled += [{"x": x, "y": y}, {"x": (x + x2) / 2, "y": (y + y2) / 2}]
+        return [[doubled + doubled[:1]]]
+
+    kind = "zone_id string, file_order long, parts array<array<array<struct<x: double, y: double>>>>"
+    one = spark.createDataFrame([("a", 0, ring(0.0))], kind)
+    two = spark.createDataFrame([("b", 0, ring(0.0)), ("c", 1, ring(0.15)), ("d", 2, ring(0.3))], kind)
+    got = {r["target_id"]: r for r in O.overlay(one, two).collect()}
+    assert set(got) == {"b", "c"}
+    assert got["b"]["weight"] == pytest.approx(1, abs=1e-9)
+    # Discs of radius 0.1 whose centres lie 0.15 apart.
+    lens = (2 * 0.01 * math.acos(0.75) - 0.075 * math.sqrt(0.04 - 0.0225)) / (math.pi * 0.01)
+    assert got["c"]["weight"] == pytest.approx(lens, rel=2e-3)

@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
-from wardscore.operators.settle import settle, spread
+from wardscore.operators.settle import land, settle, spread
 from wardscore.operators.spatial import CELL_KEY, box_level, cell_width, explode_cells, levels_in
 
 # Shapes that only touch come out with up to some 1e-15 of the smaller one; by
 # default an overlap counts from this share of it.
 SLIVER = 1e-13
+# Strips of a pair: one for so many edges of the smaller outline.
+STRIP_EDGES = 16
 
 
 def overlay_shapes(zones: DataFrame) -> DataFrame:
@@ -72,6 +74,12 @@ def _pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     return met.withColumns({"left": left, "right": right, "base": F.least("s_ymin", "t_ymin")})
 
 
+def _strip(x: Column) -> Column:
+    """Number of the strip of a pair's common x-range that ``x`` lies in; the outer ones reach beyond it."""
+    place = F.floor((x - F.col("left")) / (F.col("right") - F.col("left")) * F.col("strips"))
+    return F.greatest(F.lit(0), F.least(place, F.col("strips") - 1))
+
+
 def _shared_trapezoid() -> str:
     """SQL of the signed area the trapezoids of two edges, a and b, share.
 
@@ -107,31 +115,37 @@ def overlay(source: DataFrame, target: DataFrame, sliver: float = SLIVER) -> Dat
     Overlaps of no more than ``sliver`` of the smaller shape are rounding noise.
     """
     # Shapes of one boundary file come from one task; the pairs must not be all met in that task.
-    s_shapes, t_shapes = (settle(spread(overlay_shapes(zones))) for zones in (source, target))
-    pairs = _pairs(s_shapes, t_shapes)
-
-    def near(edges: str) -> Column:
-        """Edges over the pair's common x-range."""
-        return F.expr(f"filter({edges}, e -> greatest(e.x1, e.x2) > left AND least(e.x1, e.x2) < right)")
-
-    ids = ["source_id", "target_id"]
-    # Outer generators: for inner ones Spark adds a filter that runs near() once more.
-    # Their rows without an edge fail the comparison below.
-    edge_pairs = (
-        pairs.select(
-            F.col("s_zone_id").alias("source_id"),
-            F.col("t_zone_id").alias("target_id"),
-            "base",
-            near("s_edges").alias("s_edges"),
-            near("t_edges").alias("t_edges"),
-        )
-        .select(*ids, "base", "t_edges", F.explode_outer("s_edges").alias("a"))
-        .select(*ids, "base", "a", F.explode_outer("t_edges").alias("b"))
-        .where(
-            F.greatest(F.least("a.x1", "a.x2"), F.least("b.x1", "b.x2"))
-            < F.least(F.greatest("a.x1", "a.x2"), F.greatest("b.x1", "b.x2"))
-        )
+    s_shapes, t_shapes = (
+        settle(spread(overlay_shapes(zones)).withColumn("row", F.monotonically_increasing_id())) for zones in (source, target)
+    )
+    # Pairs without their edges: these follow by strips of the common x-range, so that no pair has to fit a task.
+    outlines = (s.withColumn("n_edges", F.size("edges")).drop("edges") for s in (s_shapes, t_shapes))
+    pairs = _pairs(*outlines).select(
+        "s_row",
+        "t_row",
+        F.col("s_zone_id").alias("source_id"),
+        F.col("t_zone_id").alias("target_id"),
+        *["base", "left", "right"],
+        F.greatest(F.lit(1), F.ceil(F.least("s_n_edges", "t_n_edges") / F.lit(STRIP_EDGES))).alias("strips"),
     )
+    pairs = land(pairs, "pairs")
+
+    def in_strips(shapes: DataFrame, row: str, name: str, carried: list[str]) -> DataFrame:
+        """A pair's edges over its common x-range, once for each strip they reach."""
+        edges = shapes.select(F.col("row").alias(row), F.explode("edges").alias(name))
+        low, high = F.least(f"{name}.x1", f"{name}.x2"), F.greatest(f"{name}.x1", f"{name}.x2")
+        over = pairs.join(edges, row).where((high > F.col("left")) & (low < F.col("right")))
+        strip = F.explode(F.sequence(_strip(low), _strip(high))).alias("strip")
+        return over.select("s_row", "t_row", strip, name, *carried)
+
+    both = in_strips(s_shapes, "s_row", "a", ["source_id", "target_id", "base", "left", "right", "strips"]).join(
+        in_strips(t_shapes, "t_row", "b", []), ["s_row", "t_row", "strip"]
+    )
+    begin = F.greatest(F.least("a.x1", "a.x2"), F.least("b.x1", "b.x2"))
+    end = F.least(F.greatest("a.x1", "a.x2"), F.greatest("b.x1", "b.x2"))
+    # Two edges that share several strips count in the one where their common range begins.
+    edge_pairs = both.where((begin < end) & (F.col("strip") == _strip(begin)))
+    ids = ["source_id", "target_id"]
     pieces = edge_pairs.groupBy(*ids).agg(F.sum(F.expr(_shared_trapezoid())).alias("intersection_area"))
 
     def areas(shapes: DataFrame, side: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
-from wardscore.operators.settle import BROADCAST_BYTES, settle
+from wardscore.operators.settle import BROADCAST_BYTES, broadcast_if, settle
 from wardscore.operators.tables import col, q
 
 SMALLEST_LEVEL = -30
@@ -132,17 +132,18 @@ def _spread_hot_cells(points: DataFrame, cells: DataFrame, hot_rows: int) -> tup
         .where(F.col("_n") > hot_rows)
         .select(*CELL_KEY, F.ceil(F.col("_n") / F.lit(hot_rows)).alias("_salts"))
     )
+    hot = broadcast_if(hot, hot.count() * ROW_BYTES)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     # Same on a retry of the task, yet copies of one row spread with the tasks that read them.
     spread = F.xxhash64(*[col(c) for c in points.columns]) + F.spark_partition_id()
     points = (
         points.withColumn("_spread", spread)
-        .join(F.broadcast(hot), CELL_KEY, "left")
+        .join(hot, CELL_KEY, "left")
         .withColumn("_salt", F.pmod("_spread", salts).cast("bigint"))
         .drop("_salts", "_spread")
     )
     cells = (
-        cells.join(F.broadcast(hot), CELL_KEY, "left")
+        cells.join(hot, CELL_KEY, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint"))))
         .drop("_salts")
     )
