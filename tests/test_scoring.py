@@ -143,3 +143,12 @@ def test_z_has_mean_zero(spark):
     _, found = scoring.measure(df, ["v"])
     row = df.select(scoring.zscore(F.col("v"), found["v"]).alias("z")).agg(F.avg("z"), F.stddev_pop("z")).first()
     assert row[0] == pytest.approx(0, abs=1e-12) and row[1] == pytest.approx(1)
+
+
+@pytest.mark.parametrize("task_rows", [1, 7, 50])
+def test_grouped_medians_narrow_crowded_buckets(spark, task_rows):
+    """Useless bounds put all rows of a group into one bucket, which is cut until it is small."""
+    rows = [("a", float(i * i % 9973) / 7) for i in range(900)] + [("b", 5.0)] * 60 + [("c", v) for v in (1e-300, 2e300, -3.0, 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = medians.grouped_medians(df, ["k"], {"v": (F.lit(1e9), F.lit(2e9))}, task_rows=task_rows)
+    assert {r["k"]: r["v"] for r in got.collect()} == pytest.approx(brute_medians(rows))

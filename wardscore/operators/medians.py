@@ -3,12 +3,13 @@
 A built-in exact percentile keeps every distinct value of a group in memory.
 Here values are first counted in buckets of equal width (map-side combined,
 at most BUCKETS rows per group and column). The counts tell which bucket holds
-the middle ranks, and only that bucket's values are read, again as counts.
-The bucket of a value rises with the value, so the result is exact whatever
-the bounds; good bounds only make the second pass smaller.
+the middle ranks. While that bucket holds too many rows for one task, it is cut
+into buckets between its own smallest and largest value and counted again; then
+its values are read, again as counts. The bucket of a value rises with the
+value, so the result is exact whatever the bounds; good bounds only save passes.
 
 Sums over the groups ride along in the first pass, so that a table with both
-is scanned twice and not three times.
+is scanned no more often than one without.
 """
 
 from __future__ import annotations
@@ -22,15 +23,30 @@ from wardscore.operators.settle import broadcast_if, settle
 from wardscore.operators.tables import col
 
 BUCKETS = 256
+# Rows of a bucket that one task may order.
+TASK_ROWS = 1_000_000
 PICK_ROW_BYTES = 128
 ROW_ENTRY = -1
 
 
+# What is known of a bucket with a middle rank: rows before it, middle ranks, its rows and its range.
+PICKED = ["_col", "_before", "_lo", "_hi", "_n", "_min", "_max"]
+
+
+def _extent() -> list[Column]:
+    return [F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_min"), F.max("_value").alias("_max")]
+
+
+def _holds_middle() -> Column:
+    return (F.col("_hi") >= F.col("_before")) & (F.col("_lo") < F.col("_before") + F.col("_n"))
+
+
 def grouped_medians(
     rows: DataFrame,
     keys: Sequence[str],
     bounds: Mapping[str, tuple[Column, Column]],
     totals: Mapping[str, Column] | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """One row per key with the median of each column named in ``bounds``.
 
@@ -61,7 +77,7 @@ def grouped_medians(
     counts = (
         stacked(entries + whole_row, totals)
         .groupBy(*key_cols, "_col", "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(col(n)).alias(n) for n in totals])
+        .agg(*_extent(), *[F.sum(col(n)).alias(n) for n in totals])
     )
     if totals:
         counts = settle(counts)
@@ -74,16 +90,37 @@ def grouped_medians(
         # Ranks (from 0) of the one or two middle values.
         .withColumn("_lo", F.floor((F.col("_total") - 1) / 2))
         .withColumn("_hi", F.floor(F.col("_total") / 2))
-        .where((F.col("_hi") >= F.col("_before")) & (F.col("_lo") < F.col("_before") + F.col("_n")))
-        .select(*key_cols, "_col", "_bucket", "_before", "_lo", "_hi")
+        .where(_holds_middle())
+        .select(*key_cols, *PICKED)
     )
     picks = settle(picks)
-    small = broadcast_if(picks, picks.count() * PICK_ROW_BYTES)
-
-    cell = [*keys, "_col", "_bucket"]
+    inside = F.col("_value").between(F.col("_min"), F.col("_max"))
+    step = (F.col("_max") - F.col("_min")) / F.lit(float(BUCKETS))
+    crowded = (F.col("_n") > task_rows) & (step > 0) & (step < float("inf"))
+    while n_crowded := picks.where(crowded).count():
+        large = picks.where(crowded).select(*key_cols, "_col", "_before", "_lo", "_hi", "_min", "_max")
+        place = F.least(F.lit(BUCKETS - 1), F.floor((F.col("_value") - F.col("_min")) / step)).cast("bigint")
+        finer = (
+            stacked(entries, {})
+            .drop("_bucket")
+            .join(broadcast_if(large, n_crowded * PICK_ROW_BYTES), [*keys, "_col"])
+            .where(inside)
+            .groupBy(*key_cols, "_col", "_before", "_lo", "_hi", place.alias("_bucket"))
+            .agg(*_extent())
+        )
+        below = Window.partitionBy(*key_cols, "_col", "_before").orderBy("_bucket")
+        upto_bucket = F.sum("_n").over(below.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        finer = finer.withColumn("_below", F.col("_before") + upto_bucket - F.col("_n")).drop("_before")
+        finer = finer.withColumnRenamed("_below", "_before").where(_holds_middle()).select(*key_cols, *PICKED)
+        picks = settle(picks.where(~crowded).unionByName(finer))
+    small = broadcast_if(picks.drop("_n"), picks.count() * PICK_ROW_BYTES)
+
+    cell = [*keys, "_col", "_min"]
     values = (
         stacked(entries, {})
-        .join(small, cell)
+        .drop("_bucket")
+        .join(small, [*keys, "_col"])
+        .where(inside)
         .groupBy(*[col(k) for k in cell], "_before", "_lo", "_hi", "_value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
