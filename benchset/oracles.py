@@ -553,6 +553,14 @@ SELECTS: dict[str, str] = {
           SELECT zone_id, part, ring, '[' || string_agg(corner_text, ',' ORDER BY seq) || CASE k % 10 WHEN 4 THEN '' ELSE ',' || first(corner_text ORDER BY seq) END || ']' AS ring_text
           FROM (SELECT *, '[' || x || ',' || y || ']' AS corner_text FROM va) GROUP BY k, zone_id, part, ring) GROUP BY zone_id, part)
         WHERE zone_id IN (SELECT community_district_id FROM idx) GROUP BY zone_id""",
+    # One outline of all members, in file order; every borough with a district has a record.
+    "geo_features_borough": f"""SELECT borough AS geo_id, borough AS geo_label,
+        '{{"type":"Feature","properties":{{"geo_id":"' || borough || '","geo_label":"' || borough
+        || '"}},"geometry":{{"type":"MultiPolygon","coordinates":[' || string_agg(part_text, ',' ORDER BY k, part) || ']}}}}' AS feature
+        FROM (SELECT {BOROUGH} AS borough, k, part, '[' || string_agg(ring_text, ',' ORDER BY ring) || ']' AS part_text FROM (
+          SELECT k, zone_id, part, ring, '[' || string_agg(corner_text, ',' ORDER BY seq) || CASE k % 10 WHEN 4 THEN '' ELSE ',' || first(corner_text ORDER BY seq) END || ']' AS ring_text
+          FROM (SELECT *, '[' || x || ',' || y || ']' AS corner_text FROM va) GROUP BY k, zone_id, part, ring) GROUP BY k, zone_id, part)
+        GROUP BY borough""",
     "index_table": f"SELECT {listed(INDEX_NAMES)} FROM idx",
     "index_records": f"""SELECT community_district_id AS geo_id,
         {DISTRICT_LABEL.format('community_district_id')} AS label,

@@ -21,7 +21,7 @@ from wardscore.plans import dashboard as D
 from wardscore.plans.air import air_index, air_pivot, pollutant_means
 from wardscore.plans.combine import combined_index, find_area, index_from_raw, index_json, index_records
 from wardscore.plans.incidents import clean_incidents, incident_index, incident_points
-from wardscore.plans.rollup import geo_features, rollup, rollup_borough, rollup_records
+from wardscore.plans.rollup import boroughs, geo_features, rollup, rollup_borough, rollup_records
 from wardscore.plans.schools import education_table, rating_agreement, school_grades, unmapped_codes
 from wardscore.plans.water import add_lonlat, water_index
 from wardscore.plans.zones import incident_zone_index, incident_zone_rows, zone_quality
@@ -342,6 +342,12 @@ def geo_feature_rows(spark, sf_dir):
     return geo_features(A.districts(spark, sf_dir), index_records(index), "community_district")
 
 
+@query("geo_features_borough")
+def geo_features_of_boroughs(spark, sf_dir):
+    districts = A.districts(spark, sf_dir)
+    return geo_features(boroughs(districts), rollup_records(rollup_borough(index_of(spark, sf_dir), districts), "borough"), "borough")
+
+
 @query("borough_record_rows")
 def borough_record_rows(spark, sf_dir):
     rolled = rollup_borough(index_of(spark, sf_dir), A.districts(spark, sf_dir))

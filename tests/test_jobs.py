@@ -256,7 +256,13 @@ def test_published_index(spark):
 def test_geographies_are_written_once(spark, sf_dir, tmp_path):
     index = combine.index_from_raw(A.areas(spark, sf_dir))
     paths = rollup.write_geographies(index, A.districts(spark, sf_dir), {"zip": A.blocks(spark, sf_dir)}, str(tmp_path))
-    assert set(paths) == {"community_district", "borough", "zip"}
+    kinds = ("community_district", "borough", "zip")
+    assert set(paths) == {*kinds, *(f"{k}_shapes" for k in kinds), "geographies"}
+    titles = {r["geography"]: (r["label"], r["subtitle"]) for r in spark.read.parquet(paths["geographies"]).collect()}
+    assert titles["zip"] == ("ZIP Code", "by modified zip code tabulation area")
+    for kind in kinds:
+        ids = [r["geo_id"] for r in spark.read.parquet(paths[f"{kind}_shapes"]).collect()]
+        assert len(ids) == len(set(ids)) and set(ids) <= {r["geo_id"] for r in spark.read.parquet(paths[kind]).collect()}
     row = spark.read.parquet(paths["zip"]).first()["record"]
     assert row["geography_type"] == "zip" and row["details"]["overall"]["source_label"] == "MODZCTA geography"
 

@@ -16,8 +16,9 @@ from wardscore.operators.tables import col, first_by
 from wardscore.plans.combine import DISTRICT_METHOD, OVERALL, QUALITY_COLUMNS, RANK, index_records, score_record
 from wardscore.plans.zones import ZONE_ID
 from wardscore.sources.boundaries import feature_json
-from wardscore.sources.tabular import write_table
+from wardscore.sources.tabular import read_table, write_table
 
+# Score columns that are averaged and those that are summed.
 AVERAGED = [
     *QUALITY_COLUMNS, "AirScore", "PM2.5", "NO2", "O3", "WaterScore", "EducationScore", "SafetyScore",
 ]
@@ -98,7 +99,12 @@ def rollup(index: DataFrame, zones: DataFrame, target: DataFrame, share: str = "
 
 def rollup_borough(index: DataFrame, zones: DataFrame, share: str = "target") -> DataFrame:
     """Rollup onto boroughs, each the union of the districts whose id names it."""
-    return rollup(index, zones, dissolve(zones, borough_of(F.col("zone_id"))), share)
+    return rollup(index, zones, boroughs(zones), share)
+
+
+def boroughs(zones: DataFrame) -> DataFrame:
+    """Districts relabelled by the borough their id names."""
+    return dissolve(zones, borough_of(F.col("zone_id")))
 
 
 def rollup_records(rolled: DataFrame, geography: str) -> DataFrame:
@@ -110,8 +116,15 @@ def rollup_records(rolled: DataFrame, geography: str) -> DataFrame:
 
 
 def geo_features(zones: DataFrame, records: DataFrame, geography: str) -> DataFrame:
-    """GeoJSON feature text of the areas that have a score record."""
-    scored = zones.join(records.select(F.col("geo_id").alias("zone_id")), "zone_id", "left_semi")
+    """GeoJSON feature text of the areas that have a score record, one per area.
+
+    The rows of one zone_id, as ``dissolve`` makes them, are the parts of its outline, in file order.
+    """
+    members = zones.groupBy("zone_id").agg(F.array_sort(F.collect_list(F.struct("file_order", "zone_name", "parts"))).alias("_m"))
+    whole = members.select(
+        "zone_id", F.element_at("_m", 1)["zone_name"].alias("zone_name"), F.flatten(F.transform("_m", lambda m: m["parts"])).alias("parts")
+    )
+    scored = whole.join(records.select(F.col("geo_id").alias("zone_id")), "zone_id", "left_semi")
     label = area_label(geography, F.col("zone_id"), F.col("zone_name"))
     properties = F.struct(F.col("zone_id").alias("geo_id"), label.alias("geo_label"))
     return scored.select(
@@ -120,16 +133,24 @@ def geo_features(zones: DataFrame, records: DataFrame, geography: str) -> DataFr
 
 
 def write_geographies(index: DataFrame, zones: DataFrame, targets: dict[str, DataFrame], folder: str) -> dict[str, str]:
-    """Write the records of districts, boroughs and the given targets, one table each.
+    """Write the records and shapes of districts, boroughs and the given targets, one table each, and what each is called.
 
-    Pages then look areas up in these tables instead of rebuilding the rollup.
+    Pages then look areas up in these tables instead of rebuilding the rollup. Shapes are in ``<geography>_shapes``, label
+    and subtitle of all in ``geographies``.
     """
     index = settle(index)
-    tables = {"community_district": index_records(index)}
-    tables["borough"] = rollup_records(rollup_borough(index, zones), "borough")
-    for geography, target in targets.items():
-        tables[geography] = rollup_records(rollup(index, zones, target), geography)
-    paths = {name: f"{folder.rstrip('/')}/{name}" for name in tables}
+    shapes = {"community_district": zones, "borough": boroughs(zones), **targets}
+    records = {"community_district": index_records(index)}
+    for geography, target in shapes.items():
+        if geography not in records:
+            records[geography] = rollup_records(rollup(index, zones, target), geography)
+    titles = [(name, GEOGRAPHIES[name].label, GEOGRAPHIES[name].subtitle) for name in records]
+    tables = {**records, "geographies": index.sparkSession.createDataFrame(titles, "geography string, label string, subtitle string")}
+    paths = {name: f"{folder.rstrip('/')}/{name}" for name in [*tables, *(f"{g}_shapes" for g in records)]}
     for name, table in tables.items():
         write_table(table, paths[name])
+    for geography in records:
+        # The records as written tell which areas have one.
+        known = read_table(index.sparkSession, paths[geography])
+        write_table(geo_features(shapes[geography], known, geography), paths[f"{geography}_shapes"])
     return paths
