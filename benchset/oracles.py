@@ -561,6 +561,10 @@ SELECTS: dict[str, str] = {
           SELECT k, zone_id, part, ring, '[' || string_agg(corner_text, ',' ORDER BY seq) || CASE k % 10 WHEN 4 THEN '' ELSE ',' || first(corner_text ORDER BY seq) END || ']' AS ring_text
           FROM (SELECT *, '[' || x || ',' || y || ']' AS corner_text FROM va) GROUP BY k, zone_id, part, ring) GROUP BY k, zone_id, part)
         GROUP BY borough""",
+    "t_boundary_roundtrip": """SELECT zone_id, 'AREA_' || zone_id AS zone_name, count(DISTINCT part) AS part_count
+        FROM va GROUP BY zone_id""",
+    "t_index_roundtrip": f"""SELECT community_district_id, community_district_name, borough, {r6('airscore')} AS airscore,
+        {r6('waterscore')} AS waterscore, {r6('overall_qualityscore')} AS overall_qualityscore FROM idx""",
     "index_table": f"SELECT {listed(INDEX_NAMES)} FROM idx",
     "index_records": f"""SELECT community_district_id AS geo_id,
         {DISTRICT_LABEL.format('community_district_id')} AS label,

@@ -25,7 +25,8 @@ from wardscore.plans.rollup import boroughs, geo_features, rollup, rollup_boroug
 from wardscore.plans.schools import education_table, rating_agreement, school_grades, unmapped_codes
 from wardscore.plans.water import add_lonlat, water_index
 from wardscore.plans.zones import incident_zone_index, incident_zone_rows, zone_quality
-from wardscore.sources.tabular import read_csv, write_table
+from wardscore.sources.boundaries import load_zones
+from wardscore.sources.tabular import read_csv, read_index, write_table
 from wardscore.streaming.incident_totals import incident_stream, latest_totals, run_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,6 +207,15 @@ def csv_roundtrip(spark, sf_dir):
 # Zones
 
 
+@query("t_boundary_roundtrip")
+def boundary_roundtrip(spark, sf_dir):
+    """District features written line by line and read back, id and name found by their properties."""
+    path = fresh_path(spark, "districts")
+    A.district_features(spark, sf_dir).select("feature").write.text(path)
+    zones = load_zones(spark, path, per_line=True)
+    return zones.select("zone_id", "zone_name", F.size("parts").alias("part_count"))
+
+
 @query("geo_boundaries")
 def geo_boundaries(spark, sf_dir):
     zones = A.districts(spark, sf_dir)
@@ -286,6 +296,15 @@ def index_table(spark, sf_dir):
     return index_of(spark, sf_dir)
 
 
+@query("t_index_roundtrip")
+def index_roundtrip(spark, sf_dir):
+    """The index written as CSV and read back as a page would read it."""
+    path = fresh_path(spark, "index")
+    write_table(index_of(spark, sf_dir), path, fmt="csv")
+    names = ["Community_District_ID", "Community_District_Name", "borough", "AirScore", "WaterScore", "Overall_QualityScore"]
+    return read_index(spark, path).select(*names)
+
+
 @query("index_records")
 def index_record_fields(spark, sf_dir):
     r = index_records(index_of(spark, sf_dir))
