@@ -77,15 +77,17 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, thin: bool = True) -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest node reachable.
 
     ``edges`` has two long columns. Edges with a null end are left out; loops, repeats and both directions are fine. A
-    node met on loops only is not in the result. No edges give an empty table.
+    node met on loops only is not in the result. No edges give an empty table. ``thin`` first makes
+    stars of each batch of edges; edges that are such already need no further pass through Python.
     """
     left, right = edges.columns
     pairs = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
-    pairs = pairs.where("u is not null and v is not null and u <> v").mapInArrow(_thin, "u long, v long")
+    pairs = pairs.where("u is not null and v is not null and u <> v")
+    pairs = pairs.mapInArrow(_thin, "u long, v long") if thin else pairs
     pairs = land(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:

@@ -235,53 +235,45 @@ def _agreeing(table: pa.Table, cuts: np.ndarray, least: int) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(nodes[root != nodes]), pa.array(root[root != nodes])], names=["u", "v"])
 
 
-def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The (rep, text) rows whose rep may be a node of ``wanted``: all that are, and few others.
+def full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(rep, size, shingles) of the (rep, text) rows whose rep may be a node of ``wanted``: all that are, and few others.
 
-    A bit per hash value, of a number bounded whatever the number of nodes, goes to every task, so that only few texts are
-    shuffled for the exact join that follows.
+    A bit per hash value, of a number bounded whatever the number of nodes, goes to every task, so that only few sets are
+    made and shuffled for the exact join that follows. A row that repeats id and text is given once a task.
     """
     spark = rows.sparkSession
     size = 1 << min(MOST_BITS, max(16, (16 * wanted.count()).bit_length()))
     at = wanted.select(F.pmod(F.xxhash64("node"), F.lit(size)).alias("at"))
-    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(at, 64) as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(at, 64) as int))").alias("bit"))
+    found = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(size >> 6, np.int64)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     shared = spark.sparkContext.broadcast(bits.view(U64))
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             at = batch.column(2).to_numpy()
             hit = (shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1)
-            yield batch.select(["rep", "text"]).filter(pa.array(hit.astype(bool)))
+            batch = batch.filter(pa.array(hit.astype(bool)))
+            marks = list(zip(batch.column(0).to_pylist(), array_hashes(batch.column(1)).tolist(), strict=True))
+            new = [m not in seen and not seen.add(m) for m in marks]
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            found = list(shingle_sets(batch.column(1), words))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+                names=["rep", "size", "shingles"],
+            )
 
     marked = rows.where("rep is not null").select("rep", "text", F.pmod(F.xxhash64("rep"), F.lit(size)).alias("at"))
-    return marked.mapInArrow(sift, "rep long, text string")
+    return marked.mapInArrow(sets, "rep long, size long, shingles binary")
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int, percent: int, least: int) -> DataFrame:
     """(u, v): stars over the links inside each class of candidates (node, component), confirmed on the full sets."""
     rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
-    rows = sifted(rows, classes).join(classes.select(F.col("node").alias("rep"), "component"), "rep").select("rep", "component", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            # A row that repeats id and text is given once a task.
-            marks = list(zip(batch.column(0).to_pylist(), array_hashes(batch.column(2)).tolist(), strict=True))
-            new = [m not in seen and not seen.add(m) for m in marks]
-            batch = batch.filter(pa.array(new, pa.bool_()))
-            found = list(shingle_sets(batch.column(2), words))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([s.tobytes() for s in found], pa.binary()),
-                ],
-                names=["rep", "component", "size", "shingles"],
-            )
-
-    rows = land(rows.mapInArrow(sets, "rep long, component long, size long, shingles binary"), "sets")
+    rows = full_sets(rows, classes, words).join(classes.select(F.col("node").alias("rep"), "component"), "rep")
+    rows = land(rows.select("rep", "component", "size", "shingles"), "sets")
     sizes = rows.groupBy("component").agg(F.count("*").alias("members"), F.sum("size").alias("total"))
     blocks = F.ceil(F.greatest(F.col("members") / CLASS_BLOCK, F.col("total") / CLASS_SHINGLES, F.lit(1.0)))
     cells = _in_cells(rows.join(sizes, "component"), "component", blocks, ["rep", "shingles"])
@@ -349,8 +341,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     base = land(signatures(docs, key, text, words), "signatures")
     reps = base.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     reps = land(reps, "reps")
-    classes = land(connected_components(candidates(reps, least)), "classes")
-    linked = connected_components(confirmed(docs, classes, key, text, words, percent, least))
+    classes = land(connected_components(candidates(reps, least), thin=False), "classes")
+    linked = connected_components(confirmed(docs, classes, key, text, words, percent, least), thin=False)
     told = reps.select("d1", "d2", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return base.select("doc_id", "n_shingles", "d1", "d2").join(told, ["d1", "d2"], "left").select(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 # Bytes of text that are hashed in one piece; a longer text makes a longer piece.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 # Fixed odd multipliers; any would do.
 STEP, STIR = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 U64 = np.uint64
