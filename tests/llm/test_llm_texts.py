@@ -188,7 +188,9 @@ def test_unigram_equals_brute_force(spark, corpus, known):
         assert (r["n_tokens"], r["train_tokens"]) == (len(words) + 1, total)
         assert r["n_known"] == sum(counts[w] > 0 for w in words) + 1
         assert r["score"] < 0 and math.isfinite(r["score"])
-    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+    # Without tokens that have a path, all words are spelled, which costs more than a known word.
+    if known == context_mixing.KNOWN:
+        assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
 def test_context_mixing_edges(spark):
@@ -213,9 +215,9 @@ def test_chances_of_all_next_tokens_add_up():
     counts = np.array([9, 5, 4, 4], np.int64)
     hashes = np.array([11, 22, 33, 44], np.uint64)
     lex = context_mixing.lexicon(hashes, counts, 3, 30)
-    table = np.random.default_rng(1).integers(-400, 400, context_mixing.FIRST[-1]).astype(np.int16)
+    table = np.random.default_rng(1).integers(0, 256, context_mixing.FIRST[-1]).astype(np.uint8)
     mixer = context_mixing.Mixer(
-        table, np.full((context_mixing.GATES, 5), 0.4, np.float32),
+        table, np.full((4, context_mixing.GATES), 0.4, np.float32),
         np.random.default_rng(2).normal(size=(32, context_mixing.BUCKETS)).astype(np.float32),
     )
     none = np.zeros(0, np.uint8)
@@ -227,6 +229,6 @@ def test_chances_of_all_next_tokens_add_up():
         events = context_mixing.events_of(lex, none, token, np.array([context_mixing.found_in(lex, token)[0]]))
         if symbol == lex.escape:
             path = ~events.spells
-            events = context_mixing.Events(*(getattr(events, f)[path] for f in ("bit", "slots", "spells", "depth", "stretch", "text")))
+            events = context_mixing.Events(*(getattr(events, f)[..., path] for f in ("bit", "slots", "spells", "depth", "stretch", "text")))
         total += math.exp(mixer.score(events, 1)[0])
     assert abs(total - 1) < 1e-5
