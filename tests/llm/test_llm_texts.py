@@ -232,3 +232,36 @@ def test_chances_of_all_next_tokens_add_up():
             events = context_mixing.Events(*(getattr(events, f)[..., path] for f in ("bit", "slots", "spells", "depth", "stretch", "text")))
         total += math.exp(mixer.score(events, 1)[0])
     assert abs(total - 1) < 1e-5
+
+
+def test_predictors_tell_the_two_tokens_before():
+    """Texts that differ only two tokens before a token have another slot there, and stored odds are fine."""
+    data = np.frombuffer(b"one b c two b c", np.uint8)
+    bounds = np.array([0, 7, 15])
+    tokens = context_mixing.tokens_of(data, bounds)
+    words = np.unique(tokens.hashes[~tokens.is_end])
+    lex = context_mixing.lexicon(words, np.full(len(words), 5, np.int64), 2, 20)
+    events = context_mixing.events_of(lex, data, tokens, context_mixing.found_in(lex, tokens))
+    lengths = lex.tokens.lengths[np.where(tokens.is_end, lex.end, lex.symbols[context_mixing.found_in(lex, tokens)])]
+    place = np.repeat(tokens.place, lengths)
+    one, two = (events.slots[:, (events.text == t) & (place == 2)] for t in (0, 1))
+    assert (one != two).any(axis=1).sum() == 1
+    odds = context_mixing.ODDS[context_mixing.packed(np.array([10, 3]), np.array([12, 90]))]
+    assert np.allclose(odds, np.log([12.4 / 10.4, 90.4 / 3.4]), atol=1 / 32)
+
+
+def test_token_and_spelled_bits_adapt_apart():
+    """What spelled bits teach the weights of a text does not move those of its token bits."""
+    n = 256
+    table = np.full(context_mixing.FIRST[-1], context_mixing.packed(np.array([2]), np.array([9]))[0])
+    weights = np.full((len(context_mixing.SLOTS), context_mixing.GATES), 0.3, np.float32)
+    mixer = context_mixing.Mixer(table, weights, np.zeros((32, context_mixing.BUCKETS), np.float32))
+
+    def cost(bits, spells):
+        slots = np.repeat(context_mixing.FIRST[:-1, None], len(bits), axis=1).astype(np.int32)
+        zero = np.zeros(len(bits), np.int32)
+        return mixer.score(context_mixing.Events(bits, slots, spells, zero.astype(np.int8), np.arange(len(bits), dtype=np.int32), zero), 1)[0]
+
+    spelled, token = np.zeros(n, bool), np.ones(n, bool)
+    both = cost(np.concatenate([spelled, token]), np.arange(2 * n) < n)
+    assert abs(both - cost(spelled, token) - cost(token, ~token)) < 1e-3
