@@ -38,6 +38,25 @@ def test_layout(page):
     assert render(page) == CASES[page]
 
 
+STRAY = {
+    "<table><tr>text<td>a</table>": "text\na",
+    "<table><tr><form><td>a</td><td>b</td></form></tr><tr><td>cc<td>d</table>": "a   b\ncc  d",
+    "<table><form style='display:none'><tr><td>a<td>b</form></table>": "a  b",
+    "<table><tr><font>x<td>a</td>y</font><p>z</p></tr></table>": "xy\n\nz\na",
+    "<table><tr hidden>text<td>a</tr><tr><td>b</table>": "b",
+    "<table><tr><td>a<table><tr><td>i</table></table>": "a\n\ni",
+    "a <svg><defs/><title>t</title><path d='M0'/><text>one</text><text>two</text><desc>no</desc></svg>b": "a one two b",
+    "<svg><defs><text>no</text></defs></svg><math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math>": "x+1",
+    "<select multiple><option>1<option selected>2<optgroup label=g><option>3</select>": "1\n2\ng\n3",
+    "<select size=3><option>1<option>2</select>": "1\n2",
+}
+
+
+@pytest.mark.parametrize("page", list(STRAY))
+def test_all_visible_text_is_kept(page):
+    assert render(page) == STRAY[page]
+
+
 def test_layout_of_deep_and_long_pages():
     assert render("<div>" * 5000 + "deep") == "deep"
     assert render("<table>" * 300 + "<tr><td>x" * 300).count("x") == 300

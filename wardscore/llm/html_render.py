@@ -28,7 +28,12 @@ BLOCK = SPACED | {
 }
 HIDDEN = {
     "head", "script", "style", "template", "noscript", "title", "meta", "link", "object", "iframe", "audio", "video",
-    "canvas", "svg", "math", "datalist", "area", "param", "rp", "noframes",
+    "canvas", "datalist", "area", "param", "rp", "noframes",
+}
+# What drawings and formulas hold, but do not show.
+DRAWN = {"svg", "math"}
+UNDRAWN = {
+    "desc", "metadata", "defs", "symbol", "clippath", "mask", "pattern", "marker", "annotation", "annotation-xml",
 }
 # An opening tag closes these elements, up to the nearest of the second set.
 CLOSES = {
@@ -108,8 +113,11 @@ class Tree(HTMLParser):
             self.open[-1] = node
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        # A slash closes nothing in HTML.
-        self.handle_starttag(tag, attrs)
+        # A slash closes nothing in HTML, but in drawings and formulas.
+        if any(node.tag in DRAWN for node in self.open):
+            self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
+        else:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -231,12 +239,21 @@ def lay_out(node: Node, out: Layout, pre: bool = False) -> None:
             out.block(list_lines(child))
             out.need(1 if nested else 2)
         elif tag == "select":
+            if "multiple" in child.attrs or _whole(child.attrs.get("size", ""), 0, 1) > 1:
+                out.need(1)
+                lay_out_list_box(child, out)
+                out.need(1)
+                continue
             options = [o for o in walk(child) if o.tag == "option"]
-            chosen = [o for o in options if "selected" in o.attrs] or ([] if "multiple" in child.attrs else options[:1])
+            chosen = [o for o in options if "selected" in o.attrs] or options[:1]
             out.space = True
             for option in chosen:
                 lay_out(option, out)
                 out.space = True
+        elif tag in DRAWN:
+            out.space = out.space or tag == "svg"
+            lay_out(drawn(child), out)
+            out.space = out.space or tag == "svg"
         elif tag in {"blockquote", "dd"}:
             out.need(2 if tag == "blockquote" else 1)
             inner = Layout()
@@ -261,6 +278,30 @@ def lay_out(node: Node, out: Layout, pre: bool = False) -> None:
                 out.need(gap)
 
 
+def lay_out_list_box(node: Node, out: Layout) -> None:
+    """A list box stands open: every option and the name of every group has a line."""
+    for child in node.children:
+        if isinstance(child, Node) and is_visible(child):
+            out.need(1)
+            if child.tag == "option":
+                lay_out(child, out)
+            else:
+                if child.tag == "optgroup":
+                    out.words(child.attrs.get("label", ""))
+                lay_out_list_box(child, out)
+
+
+def drawn(node: Node) -> Node:
+    """A drawing or formula without the parts that it does not show; its texts stand apart."""
+    children: list = []
+    for child in node.children:
+        if isinstance(child, str):
+            children.append(child)
+        elif child.tag not in UNDRAWN and child.attrs.get("display") != "none" and child.attrs.get("visibility") != "hidden":
+            children += [" ", drawn(child), " "] if child.tag == "text" else [drawn(child)]
+    return Node("span" if node.tag in DRAWN else node.tag, node.attrs, children)
+
+
 def walk(node: Node) -> Iterator[Node]:
     for child in node.children:
         if isinstance(child, Node):
@@ -294,8 +335,32 @@ def list_lines(node: Node) -> list[str]:
     return out.result()
 
 
+def holds(node: Node, tags: set[str]) -> bool:
+    """Whether one of these elements is inside, but not in a table or a hidden element of its own."""
+    return any(
+        isinstance(c, Node) and c.tag not in HIDDEN | {"table"} and (c.tag in tags or holds(c, tags)) for c in node.children
+    )
+
+
+def cells_of(node: Node) -> tuple[list[Node], list]:
+    """The cells of a row, also those inside other elements, and what else the row holds."""
+    cells, rest = [], []
+    for child in node.children:
+        if isinstance(child, str):
+            rest += [child] if child.strip() else []
+        elif child.tag in {"td", "th"}:
+            cells += [child] if is_visible(child) else []
+        elif child.tag not in HIDDEN | {"table"} and holds(child, {"td", "th"}):
+            inside, around = cells_of(child)
+            cells += inside
+            rest += [Node(child.tag, child.attrs, around)] if around else []
+        else:
+            rest.append(child)
+    return cells, rest
+
+
 def table_lines(node: Node) -> list[str]:
-    """Captions above, then the rows, each column as wide as its widest cell that spans no other."""
+    """Captions and what stands outside of cells above, then the rows, each column as wide as its widest cell that spans no other."""
     head, rows = [], []
 
     def collect(at: Node) -> None:
@@ -303,13 +368,18 @@ def table_lines(node: Node) -> list[str]:
             if isinstance(child, str):
                 if child.strip():
                     head.append(child)
-            elif is_visible(child):
-                if child.tag == "tr":
-                    rows.append([c for c in child.children if isinstance(c, Node) and c.tag in {"td", "th"} and is_visible(c)])
-                elif child.tag in {"thead", "tbody", "tfoot"}:
-                    collect(child)
-                elif child.tag not in {"colgroup", "col"}:
-                    head.append(child)
+            elif child.tag in {"thead", "tbody", "tfoot", "tr"} and not is_visible(child):
+                continue
+            elif child.tag not in HIDDEN | {"table", "tr", "caption"} and holds(child, {"tr"}):
+                collect(child)
+            elif child.tag == "tr" or child.tag not in HIDDEN | {"table", "caption"} and holds(child, {"td", "th"}):
+                cells, rest = cells_of(child)
+                rows.append(cells)
+                head.extend(rest)
+            elif child.tag not in {"colgroup", "col", "thead", "tbody", "tfoot"}:
+                head.append(child)
+            elif child.tag not in {"colgroup", "col"}:
+                collect(child)
 
     collect(node)
     out = Layout()
