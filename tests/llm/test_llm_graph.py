@@ -98,6 +98,27 @@ def test_url_oracle_on_aliases(spark, tmp_path):
     assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
 
 
+TAGS = {
+    """<link rel=canonical href="http://x.net/l'eau">""": "http://x.net/l'eau",
+    """<link title="a > b" rel='alternate Canonical' href=' http://x.net/a b '/>""": "http://x.net/a%20b",
+    """<link rel="canonical" href=http://x.net/a'b/>""": "http://x.net/a'b/",
+    """<link rel=canonical data-href=/no href="/p?a=1&copy=2&#38;b=&eacute;&amp;lt;">""": "/p?a=1&copy=2&b=é&lt;",
+    """<link rel=stylesheet title="rel=canonical" href=/no>""": "",
+    """<meta content="0; url='http://x.net/say &quot;a&quot;'" http-equiv=Refresh>""": 'http://x.net/say%20"a"',
+    """<META http-equiv="refresh" content="5;URL=/it's">""": "/it's",
+    """<meta name=refresh content="0; url=/no">""": "",
+}
+
+
+def test_alias_targets_are_whole(spark):
+    assert {tag: url_filter.target_of(tag) for tag in TAGS} == TAGS
+    pages = spark.createDataFrame([("http://p.org/", "".join(f"<p>{tag}</p>" for tag in TAGS))], "url string, html string")
+    got = {r["target"] for r in url_filter.alias_edges(pages).collect()}
+    assert got == {t if "://" in t else f"http://p.org{t}" for t in TAGS.values() if t}
+    long = pages.selectExpr("url", "concat('<link rel=canonical ', repeat('x=1 ', 100000), 'href=/q>') AS html")
+    assert [r["target"] for r in url_filter.alias_edges(long).collect()] == ["http://p.org/q"]
+
+
 def test_url_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge_pages(pages, url_filter.rule_table(spark, url_filter.RULES)).count() == 0

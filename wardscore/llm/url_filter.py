@@ -7,8 +7,12 @@ stays allowed: explicit rules come first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import html as markup
+import re
+from collections.abc import Iterator, Sequence
+from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +22,12 @@ from wardscore.operators.settle import land
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK_TAG, META_TAG = r"(?i)<link\s[^>]*>", r"(?i)<meta\s[^>]*>"
-CANONICAL = r"(?i)\srel\s*=\s*[\"']?canonical[\"'\s/>]"
-HREF = r"(?i)\shref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?i)\shttp-equiv\s*=\s*[\"']?refresh[\"'\s/>]"
-REFRESH_URL = r"(?i)\scontent\s*=\s*[\"']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*[\"']?([^\"'\s>]+)"
+# An attribute ends as its own quote tells; what is possessive needs no stack in long tags.
+ATTRIBUTE = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>))|(?!\s*+=))"
+LINK_TAG, META_TAG = (rf"(?i)<{tag}(?=[\s/])(?:[\s/]++|{ATTRIBUTE})*+>" for tag in ("link", "meta"))
+NAMED = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)|(?=>)))?", re.ASCII)
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
+REFRESH_URL = re.compile(r"\s*[0-9.]*\s*[;,]\s*url\s*=\s*(?:\"([^\"]*)|'([^']*)|(.*))", re.ASCII | re.IGNORECASE | re.DOTALL)
 
 
 # Scheme, host, path and query of a URL: the first :// parts scheme and host.
@@ -60,18 +65,45 @@ def resolved(href: Column, url: Column) -> Column:
     )
 
 
+def decoded(value: str) -> str:
+    """An attribute's value with its character references: a name without ; is none before = or a letter or digit."""
+
+    def sign(found: re.Match) -> str:
+        name = found[0][1:]
+        if name[0] == "#" or (name in html5 and (name[-1] == ";" or value[found.end() : found.end() + 1] != "=")):
+            return markup.unescape(found[0])
+        return found[0]
+
+    return REFERENCE.sub(sign, value)
+
+
+def target_of(tag: str) -> str:
+    """The address that a canonical link or a refresh names, trimmed; empty for other tags."""
+    named: dict[str, str] = {}
+    for name, *values in NAMED.findall(tag, 5):
+        named.setdefault(name.lower(), decoded("".join(values)))
+    if tag[:5].lower() == "<link":
+        href = named.get("href", "") if "canonical" in named.get("rel", "").lower().split() else ""
+    else:
+        found = REFRESH_URL.match(named.get("content", "")) if named.get("http-equiv", "").strip().lower() == "refresh" else None
+        href = "".join(x or "" for x in found.groups()) if found else ""
+    # Line breaks and tabs are no part of an address, a space in it is written as its code.
+    return re.sub(r"[\t\n\r]", "", href).strip(" \f").replace(" ", "%20")
+
+
+def _targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hrefs = pa.array([target_of(tag) for tag in batch.column(1).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), hrefs], names=["url", "href"])
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source, target) addresses of every canonical link and refresh redirect. Unreadable targets give no edge."""
-    links = F.transform(
-        F.filter(F.regexp_extract_all(F.col(html), F.lit(LINK_TAG), F.lit(0)), lambda tag: tag.rlike(CANONICAL)),
-        lambda tag: F.regexp_extract(tag, HREF, 1),
-    )
-    moves = F.transform(
-        F.filter(F.regexp_extract_all(F.col(html), F.lit(META_TAG), F.lit(0)), lambda tag: tag.rlike(REFRESH)),
-        lambda tag: F.regexp_extract(tag, REFRESH_URL, 1),
-    )
-    found = pages.where(F.col(url).contains("://")).select(F.col(url).alias("url"), F.explode(F.concat(links, moves)).alias("href"))
-    found = found.where("href <> ''").withColumn("href", F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))).distinct()
+    tags = [F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(0)) for tag in (LINK_TAG, META_TAG)]
+    # Other links and metas go no further.
+    telling = F.filter(F.concat(*tags), lambda tag: tag.rlike("(?i)canonical|refresh|&"))
+    found = pages.where(F.col(url).contains("://")).select(F.col(url).alias("url"), F.explode(telling).alias("tag")).distinct()
+    found = found.mapInArrow(_targets, "url string, href string").where("href <> ''").distinct()
     full = found.select("url", resolved(F.col("href"), F.col("url")).alias("href")).distinct()
     edges = full.where(F.col("href").contains("://"))
     return edges.select(address_of(F.col("url")).alias("source"), address_of(F.col("href")).alias("target")).distinct()
