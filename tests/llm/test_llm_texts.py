@@ -115,6 +115,20 @@ def test_near_duplicates_repeats_and_nulls(spark):
     assert minhash_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_without_copies_keeps_one_row_of_each_group(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(5, one), (5, two), (5, two), (3, three), (9, one), (1, three), (6, None), (6, None), (6, " "), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r["doc_id"], r["text"]) for r in minhash_dedup.without_copies(docs).collect()), key=str)
+    assert len(got) == 6 and {(5, one), (5, two), (1, three), (6, " "), (7, "")} < set(got)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_misses_at_the_threshold_are_as_rare_as_stated(percent):
+    s, least = percent / 100, minhash_dedup.least_agreement(percent)
+    assert sum(math.comb(64, t) * s**t * (1 - s) ** (64 - t) for t in range(least)) <= 1 / 50_000
+
+
 def test_lines_and_their_neighbours():
     data = np.frombuffer("a|b\n\nA A A\n".encode() + b"" + b"x", np.uint8)
     lines = line_quality.lines_of(data, np.array([0, 11, 11, 12]))

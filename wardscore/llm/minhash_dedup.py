@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,15 @@ from wardscore.llm.vectors import cell_parts
 from wardscore.operators.settle import land
 
 COORDINATES = 64
-# Agreements lie this many standard deviations below their mean only once in more than 50,000 pairs at the threshold.
-DEVIATIONS = 4.3
+# The chance that a pair at the threshold agrees in too few coordinates is no larger.
+MISSED = 1 / 50_000
 # Counters that tell crowded entries from rare ones, and the occurrences in one task from which an entry is reported.
 COUNTERS, REPORTED = 1 << 20, 4
 # Members of a block of a list, and of a component; shingles of a block of a component.
 LIST_BLOCK, CLASS_BLOCK, CLASS_SHINGLES = 1024, 512, 1 << 20
 SMALL_GROUP = 24
+# A sign of a word.
+WORD = r"[^\x20\x09-\x0D]"
 # The bits that tell which texts may be needed again number two to this power at most.
 MOST_BITS = 27
 
@@ -44,8 +47,12 @@ MARKS = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64)
 
 def least_agreement(percent: int) -> int:
     """The match threshold: agreements that a pair with this similarity has but for a vanishing chance."""
-    s = percent / 100
-    return max(1, int(COORDINATES * s - DEVIATIONS * (COORDINATES * s * (1 - s)) ** 0.5))
+    s, fewer = percent / 100, 0.0
+    for t in range(COORDINATES):
+        fewer += math.comb(COORDINATES, t) * s**t * (1 - s) ** (COORDINATES - t)
+        if fewer > MISSED:
+            return max(1, t)
+    return COORDINATES
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -351,12 +358,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` of which each group of near copies keeps one, that with the smallest id; rows without an id stay."""
-    marked = near_duplicates(docs, key, text, words, percent)
-    kept = marked.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(docs[key].isNotNull())
-    single = named.join(kept, named[key] == kept["__kept"], "left_semi").dropDuplicates([key])
-    return single.unionByName(docs.where(docs[key].isNull()))
+    """The rows of ``docs`` of which each group of near copies keeps one, that with the smallest id; rows without an id stay.
+
+    Rows are told apart by their own number, so that different texts under one id stay. Rows without words are copies only
+    if they repeat id and text.
+    """
+    row = "__row"
+    numbered = land(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    named = numbered.where(numbered[key].isNotNull())
+    marked = near_duplicates(named, row, text, words, percent)
+    marked = marked.select(F.col("doc_id").alias("__marked"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__group"))
+    own = named.select(
+        row, F.col(key).alias("__id"), F.when(~F.coalesce(F.col(text), F.lit("")).rlike(WORD), F.coalesce(F.col(text), F.lit(""))).alias("__blank")
+    )
+    told = own.join(marked, own[row] == marked["__marked"])
+    blank_id = F.when(F.col("__group").isNull(), F.col("__id"))
+    best = told.groupBy("__group", blank_id.alias("__blank_id"), "__blank").agg(F.min(F.struct("__id", row)).alias("best"))
+    kept = best.select(F.col("best")[row].alias("__kept"))
+    single = named.join(kept, named[row] == kept["__kept"], "left_semi")
+    return single.unionByName(numbered.where(numbered[key].isNull())).drop(row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
