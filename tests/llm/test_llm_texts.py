@@ -218,7 +218,7 @@ def test_context_mixing_edges(spark):
 
 def test_huffman_paths_are_a_code():
     code = context_mixing.huffman(np.array([50, 1, 1, 20, 7, 7, 9]), 100)
-    paths = ["".join("01"[b] for b in code.bits[s : s + n]) for s, n in zip(code.starts, code.lengths, strict=True)]
+    paths = ["".join("01"[int(b)] for b in code.bits[s : s + n]) for s, n in zip(code.starts, code.lengths, strict=True)]
     assert sum(2.0 ** -len(p) for p in paths) == 1
     assert not any(p != q and q.startswith(p) for p in paths for q in paths)
     assert len(paths[0]) == min(map(len, paths)) and code.nodes.min() == 100

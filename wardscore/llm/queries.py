@@ -7,9 +7,11 @@ from wardscore.llm import (
     context_mixing,
     embedding_dedup,
     html_render,
+    importance_resampling,
     line_quality,
     minhash_dedup,
     mixing,
+    norm_buckets,
     permutation_index,
     sharding,
     url_filter,
@@ -26,6 +28,13 @@ QUERIES = {
     "op8_permutation_index": permutation_index.query,
     "op9_html_render": html_render.query,
     "op10_url_filter": url_filter.query,
+    "op12_importance_resampling": importance_resampling.query,
+    "op13_norm_buckets": norm_buckets.query,
 }
 
-ORACLES = {"op1_embedding_dedup": embedding_dedup.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
+    "op12_importance_resampling": importance_resampling.ORACLE,
+    "op13_norm_buckets": norm_buckets.ORACLE,
+}
