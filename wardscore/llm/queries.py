@@ -14,6 +14,7 @@ from wardscore.llm import (
     norm_buckets,
     permutation_index,
     sharding,
+    token_alignment,
     url_filter,
 )
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_permutation_index": permutation_index.query,
     "op9_html_render": html_render.query,
     "op10_url_filter": url_filter.query,
+    "op11_token_alignment": token_alignment.query,
     "op12_importance_resampling": importance_resampling.query,
     "op13_norm_buckets": norm_buckets.query,
 }
