@@ -33,7 +33,7 @@ PIECE_BYTES, CHUNK_BYTES = 1 << 21, 8 << 20
 # Documents in an Arrow batch, ids that a task remembers of units it has met, and bytes of the longest remembered unit.
 BATCH_ROWS, REMEMBERED, UNIT_BYTES = 200, 4_000_000, 256
 # White space of the byte tokenizer's word pattern; a word never goes on into it.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MARK = "\u2581"
 
 Batches = Iterator[pa.RecordBatch]
