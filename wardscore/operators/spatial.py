@@ -11,7 +11,7 @@ each size class in use, and the even-odd rule decides the rest.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,6 +150,24 @@ def _spread_hot_cells(points: DataFrame, cells: DataFrame, hot_rows: int) -> tup
     return points, cells
 
 
+def join_on_cells(
+    points: DataFrame, cells: DataFrame, n_bytes: int, x: str, y: str, broadcast_bytes: int, hot_rows: int
+) -> DataFrame:
+    """Points with the settled cells they lie in, at each level in use; ``n_bytes`` is the cells' measured size."""
+    px, py = col(x), col(y)
+    cell_numbers = [
+        F.struct(
+            F.lit(n).alias("level"), F.floor(px / F.lit(4.0**n)).alias("cx"), F.floor(py / F.lit(4.0**n)).alias("cy")
+        )
+        for n in levels_in(cells) or [0]
+    ]
+    placed = points.where(px.isNotNull() & py.isNotNull()).select("*", F.inline(F.array(*cell_numbers)))
+    if n_bytes <= broadcast_bytes:
+        return placed.join(F.broadcast(cells), CELL_KEY)
+    placed, cells = _spread_hot_cells(placed, cells, hot_rows)
+    return placed.join(cells, [*CELL_KEY, "_salt"]).drop("_salt")
+
+
 def points_in_zones(
     points: DataFrame,
     zones: DataFrame,
@@ -168,31 +186,13 @@ def points_in_zones(
     cells = settle(zone_cells(zones))
     held = "aggregate(flatten(array_append(earlier, rings)), 0, (n, edges) -> n + size(edges))"
     size = cells.agg(F.sum(F.expr(held) * EDGE_BYTES + ROW_BYTES).alias("bytes")).first()["bytes"] or 0
-    levels = levels_in(cells)
-
-    px, py = col(x), col(y)
-    cell_numbers = [
-        F.struct(
-            F.lit(n).alias("level"), F.floor(px / F.lit(4.0**n)).alias("cx"), F.floor(py / F.lit(4.0**n)).alias("cy")
-        )
-        for n in levels or [0]
-    ]
-    located = points.where(px.isNotNull() & py.isNotNull())
-    placed = located.select("*", F.inline(F.array(*cell_numbers)))
-    on = CELL_KEY
-    if size <= broadcast_bytes:
-        cells = F.broadcast(cells)
-    else:
-        placed, cells = _spread_hot_cells(placed, cells, hot_rows)
-        on = [*on, "_salt"]
-
     x_sql, y_sql = q(x), q(y)
     inside = in_part("rings", x_sql, y_sql)
     if exclude_boundary:
         inside = f"({inside} AND NOT {on_edge('rings', x_sql, y_sql)})"
     again = f"exists(earlier, part -> {in_part('part', x_sql, y_sql)})"
-    joined = placed.join(cells, on).where(F.expr(f"(covered OR {inside}) AND NOT {again}"))
-    return joined.drop(*on, "rings", "earlier", "covered")
+    joined = join_on_cells(points, cells, size, x, y, broadcast_bytes, hot_rows)
+    return joined.where(F.expr(f"(covered OR {inside}) AND NOT {again}")).drop(*CELL_KEY, "rings", "earlier", "covered")
 
 
 def first_zone(
@@ -203,15 +203,16 @@ def first_zone(
     zone_carry: Sequence[str] = (),
     x: str = "Longitude",
     y: str = "Latitude",
+    match: Callable[..., DataFrame] = points_in_zones,
 ) -> DataFrame:
     """Each point with the first zone, in file order, it lies in; others dropped.
 
     ``key`` has to be unique per point, as equal keys count as one, and
     ``file_order`` per zone row; ``carry`` and ``zone_carry`` name the columns
-    of either side to keep.
+    of either side to keep. ``match`` finds a point's zones.
     """
     needed = [col(c) for c in dict.fromkeys([key, *carry, x, y])]
-    matched = points_in_zones(points.select(*needed), zones.select("file_order", "parts"), x, y)
+    matched = match(points.select(*needed), zones.select("file_order", "parts"), x, y)
     # Only numbers are aggregated, which keeps this a hash aggregate; the zone's own columns follow by a join.
     best = matched.groupBy(col(key)).agg(
         F.min("file_order").alias("file_order"), *[F.first(col(c)).alias(c) for c in carry]
