@@ -11,6 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardscore.functions.codes import borough_of
 from wardscore.sources.boundaries import features_from_text, zones_from_features
 from wardscore.sources.tabular import read_table
 
@@ -226,6 +227,14 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones_of(features(customers, "c_custkey", BLOCK_OUTLINES, BLOCK_EXTENT, "BLOCK_"))
 
 
+def block_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks of a borough as one shape of many parts; the parts may overlap."""
+    members = blocks(spark, sf_dir).groupBy(borough_of(F.col("zone_id")).alias("zone_id")).agg(
+        F.min("file_order").alias("file_order"), F.flatten(F.collect_list("parts")).alias("parts")
+    )
+    return members.select("zone_id", F.col("zone_id").alias("zone_name"), "file_order", "parts")
+
+
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw scores per district straight from line items, with gaps."""
     k = F.col("l_suppkey")

@@ -234,8 +234,10 @@ SELECT DISTINCT {key}, k FROM (
         JOIN ea e ON e.k = b.k GROUP BY ALL) GROUP BY ALL) WHERE in_part"""
 
 
+CTES["box_b"] = "SELECT k, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM vb GROUP BY k"
 CTES["event_points"] = "SELECT event_id, raw_lat AS lat, raw_lon AS lon FROM incidents WHERE raw_lat IS NOT NULL"
 CTES["event_hits"] = hits("event_points", "event_id")
+CTES["block_hits"] = hits("event_points", "event_id").replace("box_a", "box_b").replace("ea e", "eb e")
 CTES["valid_points"] = "SELECT * FROM clean WHERE valid"
 CTES["zone_incidents"] = f"""
 SELECT c.cmplnt_num, CAST(h.k AS VARCHAR) AS zone_id, 'AREA_' || h.k AS zone_name, c.weighted
@@ -367,6 +369,32 @@ WHERE inter > 1e-9 * least(source_area, target_area)"""
 
 
 BOROUGH = case("zone_id[1]", codes.BOROUGH_BY_DIGIT, "'Unknown'")
+# All outlines run along the sides and diagonals of unit cells, so four triangles a cell tell exactly what is covered.
+width, height = f"({A.DISTRICT_EXTENT[2]!r}e0 / (8 * side))", f"({A.DISTRICT_EXTENT[3]!r}e0 / (8 * side))"
+CTES["shape_edge"] = """
+SELECT shape, part, ring, a AS x1, b AS y1, coalesce(lead(a) OVER w, first_value(a) OVER w) AS x2, coalesce(lead(b) OVER w, first_value(b) OVER w) AS y2
+FROM corner WINDOW w AS (PARTITION BY shape, part, ring ORDER BY seq)"""
+CTES["triangle"] = """
+SELECT DISTINCT shape, i, j, q FROM (
+  SELECT shape, part, i, j, q, bool_and(CASE WHEN ring = 0 THEN inside ELSE NOT inside END) AS hit FROM (
+    SELECT shape, part, ring, i, j, q,
+           count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS inside
+    FROM shape_edge, (SELECT i, j, q, i + dx AS x, j + dy AS y FROM range(12) AS a(i), range(8) AS b(j),
+                      (VALUES (0, 0.5e0, 0.125e0), (1, 0.875e0, 0.5e0), (2, 0.5e0, 0.875e0), (3, 0.125e0, 0.5e0)) AS t(q, dx, dy))
+    GROUP BY ALL) GROUP BY ALL) WHERE hit"""
+CTES["borough_triangle"] = f"""
+SELECT DISTINCT {BOROUGH} AS borough, side, (k % side) * 8 + i AS gi, (k // side) * 8 + j AS gj, q
+FROM (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS zone_id,
+             CASE s_suppkey % {len(A.DISTRICT_OUTLINES)} {' '.join(f"WHEN {i} THEN {quoted(o)}" for i, o in enumerate(A.DISTRICT_OUTLINES))} END AS shape,
+             (SELECT CAST(ceil(sqrt(max(s_suppkey) + 1)) AS BIGINT) FROM supplier) AS side
+      FROM supplier WHERE s_suppkey % 23 <> 22 AND s_suppkey % 29 <> 28) JOIN triangle USING (shape)"""
+CTES["borough_side"] = f"""
+SELECT t.borough, CASE WHEN t.q % 2 = 0 THEN {width} ELSE {height} END AS length
+FROM borough_triangle t, (VALUES (0, 0, -1, 2), (1, 1, 0, 3), (2, 0, 1, 0), (3, -1, 0, 1)) AS o(q, di, dj, other)
+WHERE o.q = t.q AND NOT EXISTS (SELECT 1 FROM borough_triangle u WHERE u.borough = t.borough AND u.gi = t.gi + o.di AND u.gj = t.gj + o.dj AND u.q = o.other)
+UNION ALL
+SELECT t.borough, sqrt({width} * {width} + {height} * {height}) / 2 FROM borough_triangle t, (VALUES (1), (3)) AS o(turn)
+WHERE NOT EXISTS (SELECT 1 FROM borough_triangle u WHERE u.borough = t.borough AND u.gi = t.gi AND u.gj = t.gj AND u.q = (t.q + o.turn) % 4)"""
 CTES["pieces"] = pieces("spb", "shape_b")
 # Boroughs are sums over their districts as targets.
 CTES["own_pieces"] = pieces("spa", "shape_a")
@@ -525,6 +553,11 @@ SELECTS: dict[str, str] = {
         {r6('sum(s * (x1 * y2 - x2 * y1)) / 2 * 1e6')} AS area FROM sa GROUP BY zone_id""",
     "zone_centroid": f"SELECT zone_id, {r6('lat')} AS representative_latitude, {r6('lon')} AS representative_longitude FROM centroids",
     "point_zone_first": "SELECT event_id, CAST(min(k) AS VARCHAR) AS zone_id FROM event_hits GROUP BY event_id",
+    "point_zone_adaptive": "SELECT event_id, CAST(min(k) AS VARCHAR) AS zone_id FROM event_hits GROUP BY event_id",
+    "point_block_groups": f"SELECT DISTINCT event_id, {BOROUGH.replace('zone_id', 'CAST(k AS VARCHAR)')} AS zone_id FROM block_hits",
+    "borough_outlines": f"""SELECT borough AS zone_id, {r6('area * 100')} AS area, {r6('border')} AS border
+        FROM (SELECT borough, sum({width} * {height} / 4) AS area FROM borough_triangle GROUP BY borough)
+        JOIN (SELECT borough, sum(length) AS border FROM borough_side GROUP BY borough) USING (borough)""",
     "incident_zone_join": f"SELECT cmplnt_num, zone_id, zone_name, {r6('weighted')} AS weighted_incident FROM zone_incidents",
     "incident_zone_index": f"""SELECT zone_id AS community_district_id, zone_name AS community_district_name, n AS incident_count,
         {r6('severity_sum')} AS weighted_severity_sum, n AS valid_point_count, 1e0 AS point_coverage_rate,

@@ -13,7 +13,9 @@ from benchset import adapters as A
 from wardscore.functions.display import district_label
 from wardscore.functions.projection import with_plane
 from wardscore.operators import geometry as G
+from wardscore.operators.outline import outlines, perimeter
 from wardscore.operators.overlay import overlay
+from wardscore.operators.quadtree import located
 from wardscore.operators.settle import fresh_path
 from wardscore.operators.spatial import first_zone
 from wardscore.operators.tables import col, keep_known
@@ -234,6 +236,14 @@ def geo_boundaries(spark, sf_dir):
     )
 
 
+@query("borough_outlines")
+def borough_outlines(spark, sf_dir):
+    """Boroughs as merged outlines, areas in hundredths of a square degree; members that overlap count once."""
+    merged = outlines(boroughs(A.districts(spark, sf_dir)))
+    rows = merged.withColumn("signed", G.signed_edges("parts")).select("zone_id", G.area("signed").alias("area"), perimeter("parts").alias("border"))
+    return rows.groupBy("zone_id").agg((F.sum("area") * 100).alias("area"), F.sum("border").alias("border"))
+
+
 @query("zone_centroid")
 def zone_centroid(spark, sf_dir):
     return G.with_centroid(A.districts(spark, sf_dir)).select(
@@ -247,6 +257,19 @@ def point_zone_first(spark, sf_dir):
     return first_zone(points, A.districts(spark, sf_dir), "event_id", [])
 
 
+@query("point_zone_adaptive")
+def point_zone_adaptive(spark, sf_dir):
+    points = A.incidents(spark, sf_dir).select("event_id", "Latitude", "Longitude")
+    return first_zone(points, A.districts(spark, sf_dir), "event_id", [], match=located)
+
+
+@query("point_block_groups")
+def point_block_groups(spark, sf_dir):
+    """Points in shapes of very many parts: all blocks of a borough as one shape."""
+    points = A.incidents(spark, sf_dir).select("event_id", "Latitude", "Longitude")
+    return located(points, A.block_groups(spark, sf_dir)).select("event_id", "zone_id")
+
+
 @query("incident_zone_join")
 def incident_zone_join(spark, sf_dir):
     points = incident_points(A.incidents(spark, sf_dir))

@@ -40,7 +40,7 @@ def star(n, seed, cx=0.0, cy=0.0, size=1.0):
 
 
 def shape_rows(spark, shapes):
-    rows = [(str(i), f"n{i}", i, [[[{"x": x, "y": y} for x, y in ring] for ring in rings] for rings in parts]) for i, parts in enumerate(shapes)]
+    rows = [(str(i), f"n{i}", i, [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings] for rings in parts]) for i, parts in enumerate(shapes)]
     return spark.createDataFrame(rows, "zone_id string, zone_name string, file_order bigint, parts array<array<array<struct<x:double,y:double>>>>")
 
 

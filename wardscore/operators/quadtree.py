@@ -21,7 +21,7 @@ from wardscore.operators.tables import col, q
 
 MOST_EDGES = 64
 # A corner where more edges meet than a cell may hold cannot be split apart: its cell stays after so many rounds.
-MOST_ROUNDS = 12
+MOST_ROUNDS = 8
 SIDE = 4
 # Place of the reference point within its cell, off any line that data are likely to lie on.
 REF_X, REF_Y = 0.5617376914898996, 0.4381966011250105
