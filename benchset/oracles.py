@@ -555,7 +555,7 @@ SELECTS: dict[str, str] = {
     "point_zone_first": "SELECT event_id, CAST(min(k) AS VARCHAR) AS zone_id FROM event_hits GROUP BY event_id",
     "point_zone_adaptive": "SELECT event_id, CAST(min(k) AS VARCHAR) AS zone_id FROM event_hits GROUP BY event_id",
     "point_block_groups": f"SELECT DISTINCT event_id, {BOROUGH.replace('zone_id', 'CAST(k AS VARCHAR)')} AS zone_id FROM block_hits",
-    "borough_outlines": f"""SELECT borough AS zone_id, {r6('area * 100')} AS area, {r6('border')} AS border
+    "borough_outlines": f"""SELECT borough AS zone_id, {r6('area * 1000')} AS area, {r6('border')} AS border
         FROM (SELECT borough, sum({width} * {height} / 4) AS area FROM borough_triangle GROUP BY borough)
         JOIN (SELECT borough, sum(length) AS border FROM borough_side GROUP BY borough) USING (borough)""",
     "incident_zone_join": f"SELECT cmplnt_num, zone_id, zone_name, {r6('weighted')} AS weighted_incident FROM zone_incidents",

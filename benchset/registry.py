@@ -238,10 +238,10 @@ def geo_boundaries(spark, sf_dir):
 
 @query("borough_outlines")
 def borough_outlines(spark, sf_dir):
-    """Boroughs as merged outlines, areas in hundredths of a square degree; members that overlap count once."""
+    """Boroughs as merged outlines, areas in thousandths of a square degree; members that overlap count once."""
     merged = outlines(boroughs(A.districts(spark, sf_dir)))
     rows = merged.withColumn("signed", G.signed_edges("parts")).select("zone_id", G.area("signed").alias("area"), perimeter("parts").alias("border"))
-    return rows.groupBy("zone_id").agg((F.sum("area") * 100).alias("area"), F.sum("border").alias("border"))
+    return rows.groupBy("zone_id").agg((F.sum("area") * 1000).alias("area"), F.sum("border").alias("border"))
 
 
 @query("zone_centroid")
