@@ -16,6 +16,7 @@ from wardscore.plans import water as W
 from wardscore.plans.combine import OVERALL, QUALITY_COLUMNS
 from wardscore.plans.dashboard import METRICS
 from wardscore.plans.rollup import AVERAGED, SUMMED
+from wardscore.streaming.incident_medians import MEDIAN_BUCKETS
 
 CTES: dict[str, str] = {}
 
@@ -306,6 +307,21 @@ SELECT *, -burden_z AS safety, {rank('(-burden_z)', 'geo_unit', True)} AS rank F
 CTES["units"] = units("unit")
 CTES["boroughs"] = units("boro")
 
+
+def middle(c: str, name: str) -> str:
+    """A value moved to the middle of its bucket."""
+    low, high = (f"{v!r}e0" for v in I.COORDINATE_BOUNDS[name])
+    step = f"(({high} - {low}) / {MEDIAN_BUCKETS}e0)"
+    return f"CASE WHEN {c} IS NOT NULL THEN {low} + (least(floor(({c} - {low}) / {step}), {MEDIAN_BUCKETS - 1}) + 0.5e0) * {step} END"
+
+
+CTES["bucketed_units"] = f"""
+SELECT unit AS geo_unit, count(*) AS incident_count, sum(weighted) AS weighted_severity_sum, count(*) FILTER (valid) AS valid_point_count,
+       median({middle('x', 'X_COORD_CD')}) AS representative_x, median({middle('y', 'Y_COORD_CD')}) AS representative_y,
+       median({middle('lat', 'Latitude')}) AS representative_latitude, median({middle('lon', 'Longitude')}) AS representative_longitude,
+       round(count(*) FILTER (valid) / count(*), 6) AS point_coverage_rate
+FROM clean GROUP BY unit"""
+
 CTES["zone_safety"] = f"""
 SELECT *, -burden_z AS safety, {rank('(-burden_z)', 'zone_id', True)} AS rank FROM (
   SELECT *, {z('severity_sum')} AS burden_z FROM (
@@ -543,6 +559,10 @@ SELECTS: dict[str, str] = {
     "incident_points": f"""SELECT cmplnt_num, unit AS geo_unit, {boro_raw} AS boro_nm, {pct_raw} AS addr_pct_cd, {offense_raw} AS ofns_desc,
         {law_raw} AS law_cat_cd, {attempt_raw} AS crm_atpt_cptd_cd, {weights_tail}, {r6('x')} AS x_coord_cd, {r6('y')} AS y_coord_cd,
         {r6('lat')} AS latitude, {r6('lon')} AS longitude, valid AS has_valid_point FROM clean""",
+    "stream_incident_medians": f"""SELECT geo_unit, incident_count, {r6('weighted_severity_sum')} AS weighted_severity_sum, valid_point_count,
+        {r6('representative_x')} AS representative_x, {r6('representative_y')} AS representative_y,
+        {r6('representative_latitude')} AS representative_latitude, {r6('representative_longitude')} AS representative_longitude,
+        point_coverage_rate FROM bucketed_units""",
     "stream_incident_units": f"SELECT geo_unit, incident_count, {r6('weighted_severity_sum')} AS weighted_severity_sum, valid_point_count FROM units",
     "t_csv_bad_rows": """SELECT CASE WHEN c_custkey % 5 <> 1 THEN c_mktsegment END AS segment, count(*) AS n,
         count(c_name) AS named, CAST(sum(c_custkey) AS BIGINT) AS id_sum
@@ -594,6 +614,8 @@ SELECTS: dict[str, str] = {
           SELECT k, zone_id, part, ring, '[' || string_agg(corner_text, ',' ORDER BY seq) || CASE k % 10 WHEN 4 THEN '' ELSE ',' || first(corner_text ORDER BY seq) END || ']' AS ring_text
           FROM (SELECT *, '[' || x || ',' || y || ']' AS corner_text FROM va) GROUP BY k, zone_id, part, ring) GROUP BY k, zone_id, part)
         GROUP BY borough""",
+    "t_collection_roundtrip": """SELECT zone_id, 'AREA_' || zone_id AS zone_name, count(DISTINCT part) AS part_count
+        FROM va GROUP BY zone_id""",
     "t_boundary_roundtrip": """SELECT zone_id, 'AREA_' || zone_id AS zone_name, count(DISTINCT part) AS part_count
         FROM va GROUP BY zone_id""",
     "t_index_roundtrip": f"""SELECT community_district_id, community_district_name, borough, {r6('airscore')} AS airscore,

@@ -29,6 +29,7 @@ from wardscore.plans.water import add_lonlat, water_index
 from wardscore.plans.zones import incident_zone_index, incident_zone_rows, zone_quality
 from wardscore.sources.boundaries import load_zones
 from wardscore.sources.tabular import read_csv, read_index, write_table
+from wardscore.streaming.incident_medians import latest_medians, run_medians
 from wardscore.streaming.incident_totals import incident_stream, latest_totals, run_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +172,14 @@ def stream_incident_units(spark, sf_dir):
     return latest_totals(spark, totals)
 
 
+@query("stream_incident_medians")
+def stream_incident_medians(spark, sf_dir):
+    stream = incident_stream(spark, f"{sf_dir}/[e]vents.parquet", A.table(spark, sf_dir, "events").schema)
+    path = fresh_path(spark, "medians")
+    run_medians(stream, path, fresh_path(spark, "state"), prepare=A.incidents_of).awaitTermination()
+    return latest_medians(spark, path)
+
+
 @query("t_csv_bad_rows")
 def csv_bad_rows(spark, sf_dir):
     """Rows with too few fields stay, those with too many go, also where the surplus is empty."""
@@ -218,6 +227,18 @@ def boundary_roundtrip(spark, sf_dir):
     return zones.select("zone_id", "zone_name", F.size("parts").alias("part_count"))
 
 
+@query("t_collection_roundtrip")
+def collection_roundtrip(spark, sf_dir):
+    """District features written as a few FeatureCollections, each one line, and read back cut at their features."""
+    path = fresh_path(spark, "collections")
+    features = A.district_features(spark, sf_dir).withColumn("file_no", F.col("file_order") % 4)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("file_order", "feature"))), lambda f: f["feature"])
+    whole = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.concat_ws(", ", listed), F.lit("]}"))
+    features.groupBy("file_no").agg(whole.alias("value")).write.partitionBy("file_no").text(path)
+    zones = load_zones(spark, path)
+    return zones.select("zone_id", "zone_name", F.size("parts").alias("part_count"))
+
+
 @query("geo_boundaries")
 def geo_boundaries(spark, sf_dir):
     zones = A.districts(spark, sf_dir)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
-from wardscore.operators.settle import settle, spread
+from wardscore.operators.settle import settle
 from wardscore.operators.tables import find_column
+from wardscore.sources.feature_collections import collection_features, numbered_lines
 
 # Property names an id or a name may have, by preference.
 ID_CANDIDATES = [
@@ -20,10 +21,6 @@ NAME_CANDIDATES = ["cd_name", "name", "ntaname", "label", "boro_name", "borough"
 
 # The coordinates stay text at first: their depth depends on the geometry's type.
 FEATURE_TYPE = "properties map<string,string>, geometry struct<type:string, coordinates:string>"
-COLLECTION_TYPE = (
-    "crs string, features array<struct<"
-    "properties:map<string,string>, geometry:struct<type:string, coordinates:string>>>"
-)
 RINGS_JSON = "array<array<array<double>>>"
 PLANE_CRS = "2263"
 # Names of reference systems in degrees of longitude and latitude.
@@ -79,41 +76,21 @@ def features_from_text(df: DataFrame, text: str, order: str = "file_order") -> D
 def read_features(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """Features of GeoJSON files, with ascending unique numbers by file path and place in the file.
 
-    Raises where a file names a reference system that is neither degrees nor the plane's. ``per_line`` reads newline-delimited features, which split over tasks; a
-    FeatureCollection is one JSON document and is parsed by one task per file.
+    Raises where a file names a reference system that is neither degrees nor the plane's. Both kinds of files split over
+    tasks: newline-delimited features (``per_line``) at lines, a FeatureCollection at its features.
     """
     if per_line:
-        lines = spark.read.text(path).select(
-            "value",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_line"),
-        )
-        lines = _numbered(lines.where(F.length(F.trim("value")) > 0), ["_file", "_block", "_line"])
-        return features_from_text(lines, "value")
-    docs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
-    crs = F.col("_c.crs")
+        return features_from_text(numbered_lines(spark, path), "value")
+    found = collection_features(spark, path)
+    crs = F.col("crs")
     known = crs.isNull() | (crs == "null") | crs.contains(PLANE_CRS) | crs.rlike(DEGREE_CRS)
-    parsed = docs.select("_file", F.from_json("value", COLLECTION_TYPE).alias("_c")).select(
-        "_file",
+    in_plane = (
         F.when(known, F.coalesce(crs.contains(PLANE_CRS), F.lit(False)))
         .otherwise(F.raise_error(F.concat(F.lit("Unknown reference system: "), crs)).cast("boolean"))
-        .alias("in_plane"),
-        F.posexplode("_c.features").alias("_place", "_f"),
+        .alias("in_plane")
     )
-    # From here on the features are spread again; their coordinates are still text.
-    numbered = _numbered(parsed, ["_file", "_place"])
-    return spread(numbered.select("in_plane", "file_order", "_f.properties", "_f.geometry"))
-
-
-def _numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """file_order, ascending in the given order: the files' numbers in the upper bits, as there are few of them."""
-    rows = settle(rows)
-    files = rows.select(order[0]).distinct()
-    files = files.withColumn("_number", F.row_number().over(Window.orderBy(order[0])).cast("bigint"))
-    place = F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:]))
-    numbered = rows.withColumn("_at", place).join(F.broadcast(files), order[0])
-    return numbered.withColumn("file_order", F.shiftleft(F.col("_number"), 33) + F.col("_at")).drop(*order, "_number", "_at")
+    parsed = F.inline(F.array(F.from_json(F.col("value"), FEATURE_TYPE + ", type string")))
+    return found.select(in_plane, "file_order", parsed).where("type = 'Feature'").drop("type")
 
 
 def property_names(features: DataFrame) -> list[str]:

@@ -57,19 +57,35 @@ def run_totals(
     totals = unit_totals(clean_incidents(prepare(incidents), geo_level))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        write_table(batch, f"{totals_path}/batch={batch_id}")
-        path = batch.sparkSession._jvm.org.apache.hadoop.fs.Path
-        files = path(totals_path).getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration())
-        files.create(path(f"{totals_path}/{FINISHED}/{batch_id}"), True).close()
+        publish(batch, totals_path, batch_id)
         for old in finished_batches(batch.sparkSession, totals_path):
             if old < batch_id - 1:
-                files.delete(path(f"{totals_path}/{FINISHED}/{old}"), False)
-                files.delete(path(f"{totals_path}/batch={old}"), True)
+                withdraw(batch.sparkSession, totals_path, old)
 
     writer = totals.writeStream.outputMode("complete").option("checkpointLocation", state_path).foreachBatch(store)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path type and the file system that ``path`` is in."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind, kind(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def publish(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Write a batch's table and, once it is whole, its marker; a batch that runs again writes both anew."""
+    write_table(batch, f"{path}/batch={batch_id}")
+    kind, files = _files(batch.sparkSession, path)
+    files.create(kind(f"{path}/{FINISHED}/{batch_id}"), True).close()
+
+
+def withdraw(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove a batch's marker, then its table."""
+    kind, files = _files(spark, path)
+    files.delete(kind(f"{path}/{FINISHED}/{batch_id}"), False)
+    files.delete(kind(f"{path}/batch={batch_id}"), True)
+
+
 def latest_totals(spark: SparkSession, totals_path: str) -> DataFrame:
     """The totals after the last finished batch."""
     return spark.read.parquet(f"{totals_path}/batch={max(finished_batches(spark, totals_path))}")
@@ -77,6 +93,5 @@ def latest_totals(spark: SparkSession, totals_path: str) -> DataFrame:
 
 def finished_batches(spark: SparkSession, totals_path: str) -> list[int]:
     """Numbers of the batches that were published."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{totals_path}/{FINISHED}")
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [int(f.getPath().getName()) for f in files.listStatus(folder)] if files.exists(folder) else []
+    kind, files = _files(spark, path := f"{totals_path}/{FINISHED}")
+    return [int(f.getPath().getName()) for f in files.listStatus(kind(path))] if files.exists(kind(path)) else []
