@@ -616,6 +616,8 @@ SELECTS: dict[str, str] = {
         GROUP BY borough""",
     "t_collection_roundtrip": """SELECT zone_id, 'AREA_' || zone_id AS zone_name, count(DISTINCT part) AS part_count
         FROM va GROUP BY zone_id""",
+    "t_reference_systems": f"""SELECT zone_id, {r6('min(x) * 1e4')} AS xmin, {r6('min(y) * 1e4')} AS ymin, {r6('max(x) * 1e4')} AS xmax,
+        {r6('max(y) * 1e4')} AS ymax FROM va GROUP BY zone_id""",
     "t_boundary_roundtrip": """SELECT zone_id, 'AREA_' || zone_id AS zone_name, count(DISTINCT part) AS part_count
         FROM va GROUP BY zone_id""",
     "t_index_roundtrip": f"""SELECT community_district_id, community_district_name, borough, {r6('airscore')} AS airscore,

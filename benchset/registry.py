@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from benchset import adapters as A
 from wardscore.functions.display import district_label
 from wardscore.functions.projection import with_plane
+from wardscore.functions.reference_systems import from_degrees
 from wardscore.operators import geometry as G
 from wardscore.operators.outline import outlines, perimeter
 from wardscore.operators.overlay import overlay
@@ -27,7 +28,7 @@ from wardscore.plans.rollup import boroughs, geo_features, rollup, rollup_boroug
 from wardscore.plans.schools import education_table, rating_agreement, school_grades, unmapped_codes
 from wardscore.plans.water import add_lonlat, water_index
 from wardscore.plans.zones import incident_zone_index, incident_zone_rows, zone_quality
-from wardscore.sources.boundaries import load_zones
+from wardscore.sources.boundaries import feature_json, load_zones
 from wardscore.sources.tabular import read_csv, read_index, write_table
 from wardscore.streaming.incident_medians import latest_medians, run_medians
 from wardscore.streaming.incident_totals import incident_stream, latest_totals, run_totals
@@ -239,6 +240,21 @@ def collection_roundtrip(spark, sf_dir):
     return zones.select("zone_id", "zone_name", F.size("parts").alias("part_count"))
 
 
+@query("t_reference_systems")
+def reference_systems(spark, sf_dir):
+    """District corners written in two other reference systems and read back: their boxes in ten-thousandths of a degree."""
+    path = fresh_path(spark, "systems")
+    for code, rest in (("32618", 0), ("3857", 1)):
+        moved = A.districts(spark, sf_dir).where(F.col("file_order") % 2 == rest)
+        moved = moved.withColumn("parts", F.expr(f"transform(parts, rings -> transform(rings, ring -> {from_degrees(code)('ring')}))"))
+        texts = moved.select(feature_json("parts", F.struct(F.col("zone_id").alias("id"))).alias("feature"), (F.col("file_order") % 7).alias("file_no"))
+        named = f'{{"type": "FeatureCollection", "crs": {{"type": "name", "properties": {{"name": "urn:ogc:def:crs:EPSG::{code}"}}}}, "features": ['
+        whole = F.concat(F.lit(named), F.concat_ws(", ", F.collect_list("feature")), F.lit("]}"))
+        texts.groupBy("file_no").agg(whole.alias("value")).write.partitionBy("file_no").text(f"{path}/system={code}")
+    boxed = load_zones(spark, path).withColumn("box", G.zone_bbox("parts"))
+    return boxed.select("zone_id", *[(F.col("box")[k] * 1e4).alias(k) for k in G.BOX])
+
+
 @query("geo_boundaries")
 def geo_boundaries(spark, sf_dir):
     zones = A.districts(spark, sf_dir)

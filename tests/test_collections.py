@@ -65,11 +65,11 @@ def test_reference_systems(spark, tmp_path):
         return read_features(spark, str(tmp_path / name)).collect()
 
     plane = collection([feature(1)], crs={"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::2263"}})
-    assert read("plane.json", plane)[0].in_plane and not read("plain.json", collection([feature(1)]))[0].in_plane
-    assert not read("none.json", {"type": "FeatureCollection", "features": [feature(2)]})[0].in_plane
+    assert read("plane.json", plane)[0].system == "2263" and read("plain.json", collection([feature(1)]))[0].system == "4326"
+    assert read("none.json", {"type": "FeatureCollection", "features": [feature(2)]})[0].system is None
     assert read("empty.json", collection([])) == []
     with pytest.raises(Exception, match="Unknown reference system"):
-        read("other.json", collection([feature(1)], crs={"type": "name", "properties": {"name": "EPSG:32618"}}))
+        read("other.json", collection([feature(1)], crs={"type": "name", "properties": {"name": "EPSG:27700"}}))
     late = {"type": "FeatureCollection", "features": [feature(1)], "crs": {"type": "name", "properties": {"name": "EPSG:2263"}}}
     with pytest.raises(Exception, match="after the features"):
         read("late.json", late)

@@ -80,7 +80,7 @@ def _lonlat_steps(v: str, x: str, y: str) -> list[dict[str, str]]:
     ]
 
 
-def _over_points(points: str, steps: list[dict[str, str]]) -> str:
+def over_points(points: str, steps: list[dict[str, str]]) -> str:
     for step in steps:
         fields = ", ".join(f"{formula} AS {name}" for name, formula in step.items())
         points = f"transform({points}, p -> struct({fields}))"
@@ -89,12 +89,12 @@ def _over_points(points: str, steps: list[dict[str, str]]) -> str:
 
 def plane_sql(points: str) -> str:
     """SQL of an array of degrees struct<x, y> in plane feet."""
-    return _over_points(points, _plane_steps("p.", "x", "y"))
+    return over_points(points, _plane_steps("p.", "x", "y"))
 
 
 def lonlat_sql(points: str) -> str:
     """SQL of an array of plane feet struct<x, y> in degrees."""
-    return _over_points(points, _lonlat_steps("p.", "x", "y"))
+    return over_points(points, _lonlat_steps("p.", "x", "y"))
 
 
 def _with_steps(df: DataFrame, first: Column, second: Column, steps: list[dict[str, str]], out: tuple[str, str]) -> DataFrame:

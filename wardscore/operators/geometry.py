@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardscore.functions.projection import lonlat_sql, plane_sql, with_lonlat
+from wardscore.functions.reference_systems import to_degrees
 
 PARTS_TYPE = "array<array<array<struct<x:double,y:double>>>>"
 EDGE_TYPE = "struct<x1:double,y1:double,x2:double,y2:double>"
@@ -93,6 +94,11 @@ def to_lonlat(parts: str) -> Column:
     return F.expr(_each_ring(parts, lonlat_sql("ring")))
 
 
+def in_degrees(parts: str, code: str) -> Column:
+    """Points of a reference system, by its EPSG code, to longitude/latitude points."""
+    return F.expr(_each_ring(parts, to_degrees(code)("ring")))
+
+
 def with_centroid(zones: DataFrame) -> DataFrame:
     """Adds Representative_Latitude/Longitude: the centroid taken in the plane."""
     plane = zones.withColumn("_plane", to_plane("parts"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardscore.functions.reference_systems import code_of, is_known
 from wardscore.operators import geometry as G
 from wardscore.operators.settle import settle
 from wardscore.operators.tables import find_column
@@ -22,9 +24,6 @@ NAME_CANDIDATES = ["cd_name", "name", "ntaname", "label", "boro_name", "borough"
 # The coordinates stay text at first: their depth depends on the geometry's type.
 FEATURE_TYPE = "properties map<string,string>, geometry struct<type:string, coordinates:string>"
 RINGS_JSON = "array<array<array<double>>>"
-PLANE_CRS = "2263"
-# Names of reference systems in degrees of longitude and latitude.
-DEGREE_CRS = r"(?i)(CRS84|EPSG:{1,2}4326|EPSG:{1,2}4269|\b4326\b|\b4269\b)"
 
 
 def feature_parts(geometry: str) -> Column:
@@ -45,11 +44,11 @@ def zones_from_features(
     id_property: str,
     name_property: str | None = None,
     order: str = "file_order",
-    in_plane: bool = False,
+    system: str | None = None,
 ) -> DataFrame:
     """zone_id, zone_name, file_order, parts; shapes without a polygon are dropped.
 
-    ``in_plane`` says the coordinates are plane feet and turns them into degrees.
+    ``system`` is the EPSG code of the coordinates' reference system, which are turned into degrees; none means degrees.
     """
     name = F.try_element_at("properties", F.lit(name_property)) if name_property else F.lit(None).cast("string")
     polygons = features.where(F.col("geometry.type").isin("Polygon", "MultiPolygon"))
@@ -58,7 +57,7 @@ def zones_from_features(
         name.alias("zone_name"),
         F.col(order).cast("bigint").alias("file_order"),
         feature_parts("geometry").alias("parts"),
-    ).transform(lambda zones: zones.withColumn("parts", G.to_lonlat("parts")) if in_plane else zones)
+    ).transform(lambda zones: zones.withColumn("parts", G.in_degrees("parts", system)) if system else zones)
 
 
 def zone_id_text(c: Column) -> Column:
@@ -76,21 +75,17 @@ def features_from_text(df: DataFrame, text: str, order: str = "file_order") -> D
 def read_features(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """Features of GeoJSON files, with ascending unique numbers by file path and place in the file.
 
-    Raises where a file names a reference system that is neither degrees nor the plane's. Both kinds of files split over
-    tasks: newline-delimited features (``per_line``) at lines, a FeatureCollection at its features.
+    A FeatureCollection's carry ``system``, the EPSG code the file names, or NULL; unknown ones raise. Both kinds of files split
+    over tasks: newline-delimited features (``per_line``) at lines, a FeatureCollection at its features.
     """
     if per_line:
         return features_from_text(numbered_lines(spark, path), "value")
     found = collection_features(spark, path)
-    crs = F.col("crs")
-    known = crs.isNull() | (crs == "null") | crs.contains(PLANE_CRS) | crs.rlike(DEGREE_CRS)
-    in_plane = (
-        F.when(known, F.coalesce(crs.contains(PLANE_CRS), F.lit(False)))
-        .otherwise(F.raise_error(F.concat(F.lit("Unknown reference system: "), crs)).cast("boolean"))
-        .alias("in_plane")
-    )
+    code = code_of(F.col("crs"))
+    refused = F.raise_error(F.concat(F.lit("Unknown reference system: "), F.col("crs"))).cast("string")
+    system = F.when(is_known(code), code).otherwise(refused).alias("system")
     parsed = F.inline(F.array(F.from_json(F.col("value"), FEATURE_TYPE + ", type string")))
-    return found.select(in_plane, "file_order", parsed).where("type = 'Feature'").drop("type")
+    return found.select(system, "file_order", parsed).where("type = 'Feature'").drop("type")
 
 
 def property_names(features: DataFrame) -> list[str]:
@@ -110,7 +105,7 @@ def load_zones(
 ) -> DataFrame:
     """Zones of a boundary file; id and name properties are discovered if not given.
 
-    Coordinates are taken as degrees unless the file says they are plane feet.
+    Coordinates are taken as degrees unless the file names another reference system that ``reference_systems`` knows.
     """
     # Settled, as a scan split another way would number the features otherwise.
     features = settle(read_features(spark, path, per_line))
@@ -119,11 +114,14 @@ def load_zones(
         raise ValueError(f"No features found in boundaries file: {path}")
     id_property = id_property or find_column(names, id_candidates)
     name_property = name_property or find_column(names, name_candidates, required=False)
-    if "in_plane" not in features.columns:
+    if "system" not in features.columns:
         return zones_from_features(features, id_property, name_property)
-    as_degrees = zones_from_features(features.where(~F.col("in_plane")), id_property, name_property)
-    as_plane = zones_from_features(features.where("in_plane"), id_property, name_property, in_plane=True)
-    return as_degrees.unionByName(as_plane)
+    # Few: the systems known by code.
+    systems = [r["system"] for r in features.select("system").distinct().orderBy("system").collect()]
+    by_system = [
+        zones_from_features(features.where(F.col("system").eqNullSafe(F.lit(code))), id_property, name_property, system=code) for code in systems
+    ]
+    return reduce(DataFrame.unionByName, by_system)
 
 
 def geometry_json(parts: str) -> Column:
