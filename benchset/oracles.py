@@ -559,6 +559,8 @@ SELECTS: dict[str, str] = {
     "incident_points": f"""SELECT cmplnt_num, unit AS geo_unit, {boro_raw} AS boro_nm, {pct_raw} AS addr_pct_cd, {offense_raw} AS ofns_desc,
         {law_raw} AS law_cat_cd, {attempt_raw} AS crm_atpt_cptd_cd, {weights_tail}, {r6('x')} AS x_coord_cd, {r6('y')} AS y_coord_cd,
         {r6('lat')} AS latitude, {r6('lon')} AS longitude, valid AS has_valid_point FROM clean""",
+    "stream_zone_totals": f"""SELECT zone_id, count(cmplnt_num) AS incident_count, {r6('sum(weighted)')} AS weighted_severity_sum
+        FROM zone_incidents GROUP BY zone_id""",
     "stream_incident_medians": f"""SELECT geo_unit, incident_count, {r6('weighted_severity_sum')} AS weighted_severity_sum, valid_point_count,
         {r6('representative_x')} AS representative_x, {r6('representative_y')} AS representative_y,
         {r6('representative_latitude')} AS representative_latitude, {r6('representative_longitude')} AS representative_longitude,

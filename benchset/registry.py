@@ -32,6 +32,7 @@ from wardscore.sources.boundaries import feature_json, load_zones
 from wardscore.sources.tabular import read_csv, read_index, write_table
 from wardscore.streaming.incident_medians import latest_medians, run_medians
 from wardscore.streaming.incident_totals import incident_stream, latest_totals, run_totals
+from wardscore.streaming.zone_totals import latest_zone_totals, run_zone_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,6 +182,16 @@ def stream_incident_medians(spark, sf_dir):
     return latest_medians(spark, path)
 
 
+@query("stream_zone_totals")
+def stream_zone_totals(spark, sf_dir):
+    """Every incident arrives twice and counts once."""
+    stream = incident_stream(spark, f"{sf_dir}/[e]vents.parquet", A.table(spark, sf_dir, "events").schema)
+    path = fresh_path(spark, "zone-totals")
+    run = run_zone_totals(stream, A.districts(spark, sf_dir), "reported", path, fresh_path(spark, "state"), prepare=A.timed_incidents_of)
+    run.awaitTermination()
+    return latest_zone_totals(spark, path)
+
+
 @query("t_csv_bad_rows")
 def csv_bad_rows(spark, sf_dir):
     """Rows with too few fields stay, those with too many go, also where the surplus is empty."""

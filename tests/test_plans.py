@@ -18,7 +18,8 @@ def plan_of(df):
 
 @pytest.mark.parametrize(
     "name",
-    ["air_score", "water_sites", "school_grades", "incident_units", "point_zone_first", "incident_zone_join", "zone_overlay",
+    ["air_score", "water_sites", "school_grades", "incident_units", "point_zone_first", "point_zone_adaptive", "incident_zone_join",
+     "zone_overlay", "borough_outlines", "t_collection_roundtrip",
      "city_summary", "score_histogram", "metric_stats", "compare_wide"],
 )
 def test_no_nested_loops_and_no_python(spark, sf_dir, name):

@@ -153,7 +153,10 @@ def _spread_hot_cells(points: DataFrame, cells: DataFrame, hot_rows: int) -> tup
 def join_on_cells(
     points: DataFrame, cells: DataFrame, n_bytes: int, x: str, y: str, broadcast_bytes: int, hot_rows: int
 ) -> DataFrame:
-    """Points with the settled cells they lie in, at each level in use; ``n_bytes`` is the cells' measured size."""
+    """Points with the settled cells they lie in, at each level in use; ``n_bytes`` is the cells' measured size.
+
+    The points of a stream cannot be counted beforehand, so their hot cells are not salted.
+    """
     px, py = col(x), col(y)
     cell_numbers = [
         F.struct(
@@ -164,6 +167,8 @@ def join_on_cells(
     placed = points.where(px.isNotNull() & py.isNotNull()).select("*", F.inline(F.array(*cell_numbers)))
     if n_bytes <= broadcast_bytes:
         return placed.join(F.broadcast(cells), CELL_KEY)
+    if points.isStreaming:
+        return placed.join(cells, CELL_KEY)
     placed, cells = _spread_hot_cells(placed, cells, hot_rows)
     return placed.join(cells, [*CELL_KEY, "_salt"]).drop("_salt")
 
