@@ -678,6 +678,9 @@ SELECTS: dict[str, str] = {
     + " FROM idx",
 }
 
+# Stored and read back, these have to be the same.
+SELECTS["stored_index"], SELECTS["stored_profile"] = SELECTS["index_table"], SELECTS["area_profile"]
+
 
 def _needed(sql: str, found: dict[str, None]) -> None:
     for name in CTES:

@@ -29,6 +29,7 @@ from wardscore.plans.schools import education_table, rating_agreement, school_gr
 from wardscore.plans.water import add_lonlat, water_index
 from wardscore.plans.zones import incident_zone_index, incident_zone_rows, zone_quality
 from wardscore.sources.boundaries import feature_json, load_zones
+from wardscore.sources.stored import lookup, open_stored, star_join, store
 from wardscore.sources.tabular import read_csv, read_index, write_table
 from wardscore.streaming.incident_medians import latest_medians, run_medians
 from wardscore.streaming.incident_totals import incident_stream, latest_totals, run_totals
@@ -367,6 +368,26 @@ def index_table(spark, sf_dir):
     return index_of(spark, sf_dir)
 
 
+@query("stored_index")
+def stored_index(spark, sf_dir):
+    """The score tables stored by district, opened again and joined bucket by bucket."""
+    raw = A.areas(spark, sf_dir)
+    key, first = raw.columns[0], 6
+    own = [raw.columns[1:first], ["SafetyScore", "Incident_Count", "Weighted_Severity_Sum"], ["WaterScore", "Water_Point_Count"], ["EducationScore", "Education_Point_Count"]]
+    paths = [fresh_path(spark, "stored") for _ in own]
+    for path, columns in zip(paths, own, strict=True):
+        store(raw.select(key, *[col(c) for c in columns]), path, key)
+    air, *others = [open_stored(spark, path) for path in paths]
+    return index_from_raw(star_join(air, others, key).select(*[col(c) for c in raw.columns]))
+
+
+@query("stored_profile")
+def stored_profile(spark, sf_dir):
+    """One district's record read from the one bucket that holds it."""
+    stored = store(index_records(index_of(spark, sf_dir)), fresh_path(spark, "records"), "geo_id")
+    return lookup(stored, "geo_id", "5").select("geo_id", "record.name", "record.borough", "record.overall")
+
+
 @query("t_index_roundtrip")
 def index_roundtrip(spark, sf_dir):
     """The index written as CSV and read back as a page would read it."""
