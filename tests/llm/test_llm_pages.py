@@ -18,7 +18,7 @@ CASES = {
     "<table><tr><td colspan=2>wide one<td>z<tr><td>a<td>b<td>c</table>": "wide one  z\na  b      c",
     "<table><tr><td rowspan=2>r<td>1<tr><td>2</table>": "r  1\n   2",
     "<table><tr><td>日本<td>x<tr><td>abcde<td>y</table>": "日本   x\nabcde  y",
-    "<td>x<td>y": "x  y" if False else "x\ny",
+    "<td>x<td>y": "x\ny",
     "a<script>b<p></script><style>c</style><!-- d --><template>e</template>f": "af",
     "<div hidden>a</div><p style='DISPLAY : none'>b</p><span style='visibility:hidden'>c</span>d": "d",
     "<head><title>t</title><body>x": "x",
@@ -57,6 +57,63 @@ def test_all_visible_text_is_kept(page):
     assert render(page) == STRAY[page]
 
 
+LOST = {
+    "<head><title>T</title><span>visible</span> text": "visible text",
+    "<head><title>T</title>plain text<p>para": "plain text\n\npara",
+    "<html><head><meta charset=utf-8><script>x</script>\n<a href=x>link</a></head><body>b": "link\nb",
+    "<input type=email value=a><input type=number value=1><input type=search value=s><input type=date value=d><input type=checkbox value=no><input type=password value=no>": "a1sd",
+    "<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><hr><ul><li>no</ul></div>z": "yes\nz",
+    "<p style='visibility:hidden'>no<input value=no></p>z": "z",
+    "a<!-- never closed <p>no</p>": "a",
+    "a<b>b</b><a href='x": "ab",
+    "<div>" * 160 + "<div hidden><p>HIDDEN</p>more<p>HIDDEN</div>shown": "shown",
+    "<div>" * 160 + "a<b>b</b>c" + "</div>" * 160 + "<div hidden>no</div>d": "a\nb\nc\nd",
+}
+
+
+@pytest.mark.parametrize("page", list(LOST))
+def test_what_browsers_show_and_hide(page):
+    assert render(page) == LOST[page]
+
+
+def test_random_trees_keep_exactly_the_visible_words():
+    import random
+
+    draw = random.Random(11)
+    looks = ["", "", "", " hidden", " style='display:none'", " style='visibility:hidden'", " style='visibility:visible'"]
+
+    def tree(depth, shown, gone):
+        """Markup, and the words that show."""
+        text, words = "", []
+        for _ in range(draw.randint(1, 3)):
+            if depth == 0 or draw.random() < 0.4:
+                word = f"w{draw.randrange(10**9)}"
+                text += f" {word} "
+                words += [word] if shown and not gone else []
+            else:
+                tag, look = draw.choice(["div", "p", "span", "b", "section", "blockquote"]), draw.choice(looks)
+                now = False if "hidden'" in look else True if "visible'" in look else shown
+                inner, found = tree(depth - 1, now, gone or look in (" hidden", " style='display:none'"))
+                inner = inner if tag != "p" else "".join(c for c in inner.split("<")[:1])
+                found = found if tag != "p" else [w for w in found if w in inner]
+                text += f"<{tag}{look}>{inner}</{tag}>"
+                words += found
+        return text, words
+
+    for _ in range(400):
+        page, words = tree(4, True, False)
+        assert render(page).split() == words
+
+
+def test_unfinished_tags_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert render("x" + "<a " * 350_000) == "x"
+    assert render("y<!-- " * 200_000) == "y"
+    assert time.perf_counter() - start < 5
+
+
 def test_layout_of_deep_and_long_pages():
     assert render("<div>" * 5000 + "deep") == "deep"
     assert render("<table>" * 300 + "<tr><td>x" * 300).count("x") == 300

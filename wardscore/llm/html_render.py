@@ -30,6 +30,10 @@ HIDDEN = {
     "head", "script", "style", "template", "noscript", "title", "meta", "link", "object", "iframe", "audio", "video",
     "canvas", "datalist", "area", "param", "rp", "noframes",
 }
+# What a head may hold; anything else ends it.
+IN_HEAD = {"title", "meta", "link", "style", "script", "base", "template", "noscript", "basefont", "bgsound"}
+# Inputs that show no value of their own.
+VALUELESS = {"hidden", "checkbox", "radio", "file", "image", "password", "color", "range"}
 # What drawings and formulas hold, but do not show.
 DRAWN = {"svg", "math"}
 UNDRAWN = {
@@ -73,6 +77,8 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        # Elements at the last depth that one beside them stands in for.
+        self.covered: list[Node] = []
 
     def _close(self, tags: set[str], within: set[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -80,7 +86,7 @@ class Tree(HTMLParser):
                 # The outermost of them below the border.
                 while i > 1 and self.open[i - 1].tag in tags:
                     i -= 1
-                del self.open[i:]
+                self._end(i)
                 return
             if self.open[i].tag in within:
                 return
@@ -96,7 +102,7 @@ class Tree(HTMLParser):
             self._close(*CLOSES[tag])
         if tag in {"td", "th"} and self.open[-1].tag in {"table", "thead", "tbody", "tfoot"}:
             self._push(Node("tr"))
-        if tag in BLOCK and self.open[-1].tag == "head":
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
             self.open.pop()
         node = Node(tag, attrs)
         if tag in VOID:
@@ -109,8 +115,24 @@ class Tree(HTMLParser):
             self.open[-1].children.append(node)
             self.open.append(node)
         else:
-            self.open[-2].children.append(node)
-            self.open[-1] = node
+            # Beside its parent, which takes its place again when the node ends. What a hidden one holds stays hidden.
+            if not is_visible(self.open[-1]):
+                node.attrs["hidden"] = ""
+            self.covered.append(self.open[-1])
+            self._beside(node)
+
+    def _beside(self, node: Node) -> None:
+        self.open[-2].children.append(node)
+        self.open[-1] = node
+
+    def _end(self, i: int) -> None:
+        """Close the open elements from the i-th on."""
+        if i == DEEPEST - 1 and self.covered:
+            parent = self.covered.pop()
+            self._beside(Node(parent.tag, parent.attrs))
+            return
+        del self.open[i:]
+        self.covered.clear()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         # A slash closes nothing in HTML, but in drawings and formulas.
@@ -122,12 +144,14 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._end(i)
                 return
             if self.open[i].tag in SCOPES and tag not in {"table", "tr", "tbody", "thead", "tfoot", "body", "html"}:
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "head" and data.strip():
+            self.open.pop()
         self.open[-1].children.append(data)
 
 
@@ -137,12 +161,39 @@ def is_visible(node: Node) -> bool:
         node.tag in HIDDEN
         or "hidden" in node.attrs
         or "display:none" in style
-        or "visibility:hidden" in style
         or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden")
         or (node.tag == "dialog" and "open" not in node.attrs)
     )
 
 
+def veil(node: Node, hidden: bool = False) -> bool:
+    """Takes out what visibility:hidden hides, but not the children that say visible; whether the node still shows anything."""
+    said = re.findall(r"(?:^|;)visibility:(\w+)", re.sub(r"\s+", "", node.attrs.get("style", "").lower()))
+    hidden = said[-1] in {"hidden", "collapse"} if said and said[-1] != "inherit" else hidden
+    kept, shows = [], not hidden
+    for child in node.children:
+        if isinstance(child, str):
+            kept += [] if hidden else [child]
+        elif veil(child, hidden):
+            kept.append(child)
+            shows = True
+    node.children = kept
+    return shows
+
+
+# What begins a tag, and what ends a comment.
+TAG, COMMENT_END = re.compile(r"</?[A-Za-z!?]"), re.compile(r"--!?>")
+
+
+def whole_tags(html: str) -> str:
+    """The page without an unfinished tag or comment at its end, which shows nothing and which the parser reads again and again."""
+    opened = html.rfind("<!--")
+    if opened >= 0 and not COMMENT_END.search(html, opened + 2) and not re.search(r"</(?:script|style)", html[opened:], re.I):
+        html = html[:opened]
+    unfinished = TAG.search(html, html.rfind(">") + 1)
+    return html[: unfinished.start()] if unfinished else html
+
+
 def width(text: str) -> int:
     """Columns of a line on a terminal: wide signs take two, combining ones none."""
     if text.isascii():
@@ -266,7 +317,7 @@ def lay_out(node: Node, out: Layout, pre: bool = False) -> None:
                 lay_out(summary, out, pre)
             out.need(1)
         elif tag == "input":
-            if child.attrs.get("type", "text").lower() in {"submit", "button", "reset", "text"} and child.attrs.get("value"):
+            if child.attrs.get("type", "text").lower() not in VALUELESS and child.attrs.get("value"):
                 out.words(child.attrs["value"])
         else:
             gap = 2 if tag in SPACED else 1 if tag in BLOCK else 0
@@ -431,8 +482,9 @@ def table_lines(node: Node) -> list[str]:
 def render(html: str) -> str:
     """The visible text of a page."""
     tree = Tree()
-    tree.feed(html)
+    tree.feed(whole_tags(html))
     tree.close()
+    veil(tree.root)
     out = Layout()
     if is_visible(tree.root):
         lay_out(tree.root, out)
