@@ -681,6 +681,8 @@ SELECTS: dict[str, str] = {
 # Stored and read back, these have to be the same.
 SELECTS["stored_index"], SELECTS["stored_profile"] = SELECTS["index_table"], SELECTS["area_profile"]
 
+SELECTS["incident_refresh"] = SELECTS["stream_incident_medians"]
+
 
 def _needed(sql: str, found: dict[str, None]) -> None:
     for name in CTES:

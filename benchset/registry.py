@@ -24,6 +24,7 @@ from wardscore.plans import dashboard as D
 from wardscore.plans.air import air_index, air_pivot, pollutant_means
 from wardscore.plans.combine import combined_index, find_area, index_from_raw, index_json, index_records
 from wardscore.plans.incidents import clean_incidents, incident_index, incident_points
+from wardscore.plans.refresh import refresh, refreshed_units
 from wardscore.plans.rollup import boroughs, geo_features, rollup, rollup_borough, rollup_records
 from wardscore.plans.schools import education_table, rating_agreement, school_grades, unmapped_codes
 from wardscore.plans.water import add_lonlat, water_index
@@ -193,6 +194,18 @@ def stream_zone_totals(spark, sf_dir):
     return latest_zone_totals(spark, path)
 
 
+@query("incident_refresh")
+def incident_refresh(spark, sf_dir):
+    """Totals and representative points after three files have arrived one by one, each read once."""
+    events = A.table(spark, sf_dir, "events")
+    source, path = fresh_path(spark, "arriving"), fresh_path(spark, "refreshed")
+    read = lambda files: A.incidents_of(spark.read.schema(events.schema).parquet(*files))
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(source)
+        refresh(spark, source, path, read)
+    return refreshed_units(spark, path)
+
+
 @query("t_csv_bad_rows")
 def csv_bad_rows(spark, sf_dir):
     """Rows with too few fields stay, those with too many go, also where the surplus is empty."""

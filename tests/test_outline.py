@@ -1,5 +1,6 @@
 """Unions of polygons: areas by sampling and by hand, closed rings, nothing left inside."""
 
+import json
 import math
 import random
 
@@ -10,7 +11,7 @@ from benchset import adapters as A
 from test_quadtree import shape_rows
 from wardscore.operators import geometry as G
 from wardscore.operators import outline as O
-from wardscore.plans.rollup import boroughs
+from wardscore.plans.rollup import boroughs, geo_features
 
 
 def box(x, y, w, h):
@@ -106,6 +107,16 @@ def test_boroughs_of_given_districts(spark, sf_dir):
     assert inner and outer.keys() == inner.keys() and all(0 < outer[k] < inner[k] + 1e-9 for k in inner)
 
 
+def test_features_of_outlines_by_row(spark):
+    shapes = shape_rows(spark, [[[box(0, 0, 1, 1)], [box(5, 5, 1, 1)]], [[box(0, 0, 1, 1)]]])
+    records = spark.createDataFrame([("0",)], "geo_id string")
+    rows = geo_features(O.outlines(shapes), records, "nta", by_row=True).collect()
+    assert [r.geo_id for r in rows] == ["0", "0"]
+    assert all(len(json.loads(r.feature)["geometry"]["coordinates"]) == 1 for r in rows)
+    whole = geo_features(O.outlines(shapes), records, "nta").collect()
+    assert len(whole) == 1 and len(json.loads(whole[0].feature)["geometry"]["coordinates"]) == 2
+
+
 def test_missing_ids_and_nothing(spark):
     rows = shape_rows(spark, [[[box(0, 0, 1, 1)]]]).withColumn("zone_id", F.lit(None).cast("string"))
     assert O.outlines(rows).count() == 0

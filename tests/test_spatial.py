@@ -112,16 +112,17 @@ def test_area_and_centroid(spark):
     assert got["line"][0] == 0 and got["line"][1] is None
 
 
-def plane_overlay(spark, source, target, monkeypatch):
+def plane_overlay(spark, source, target, monkeypatch, **options):
     """Overlay with the projection left out, so that areas are known."""
     monkeypatch.setattr(G, "to_plane", F.col)
     return {
         (r["source_id"], r["target_id"]): r["intersection_area"]
-        for r in O.overlay(zones(spark, source), zones(spark, target)).collect()
+        for r in O.overlay(zones(spark, source), zones(spark, target), **options).collect()
     }
 
 
-def test_overlay_known_areas(spark, monkeypatch):
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 1}])
+def test_overlay_known_areas(spark, monkeypatch, options):
     source = [
         ("two", [[box(0, 0, 2, 2)]]),
         ("ring", [[box(10, 0, 14, 4), box(11, 1, 13, 3)]]),
@@ -137,12 +138,21 @@ def test_overlay_known_areas(spark, monkeypatch):
         ("middle", [[box(30.5, 0, 31.5, 1)]]),
         ("same", [[[(40, 0), (44, 0), (42, 3)]]]),
     ]
-    got = plane_overlay(spark, source, target, monkeypatch)
+    got = plane_overlay(spark, source, target, monkeypatch, **options)
     assert got == pytest.approx(
         {("two", "shifted"): 1, ("ring", "corner"): 3, ("pair", "middle"): 1, ("same", "same"): 6}
     )
 
 
+def test_many_small_shapes_under_a_large_one(spark, monkeypatch):
+    small = [(f"s{i}", [[box(i % 20, i // 20, i % 20 + 1, i // 20 + 1)]]) for i in range(400)]
+    large = [("all", [[box(0.5, 0.5, 19.5, 19.5)]])]
+    for source, target in ((small, large), (large, small)):
+        plain = plane_overlay(spark, source, target, monkeypatch)
+        assert sum(plain.values()) == pytest.approx(19 * 19) and len(plain) == 400
+        assert plane_overlay(spark, source, target, monkeypatch, hot_rows=50) == pytest.approx(plain)
+
+
 def clip(subject, clipper):
     """Sutherland-Hodgman on convex counter-clockwise polygons, then the shoelace."""
     out = subject

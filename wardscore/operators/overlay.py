@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
 from wardscore.operators.settle import land, settle, spread
-from wardscore.operators.spatial import CELL_KEY, box_level, cell_width, explode_cells, levels_in
+from wardscore.operators.spatial import CELL_KEY, box_level, cell_width, explode_cells, levels_in, spread_hot_cells
 
 # Shapes that only touch come out with up to some 1e-15 of the smaller one; by
 # default an overlap counts from this share of it.
 SLIVER = 1e-13
+# Small shapes in one cell of a larger one that one task meets.
+HOT_CELL_SHAPES = 200_000
 # Strips of a pair: one for so many edges of the smaller outline.
 STRIP_EDGES = 16
 
@@ -48,7 +50,7 @@ def _at_levels(shapes: DataFrame, levels: list[int], finer_only: bool) -> DataFr
     return shapes.withColumn("level", F.explode(F.expr(usable)))
 
 
-def _pairs(source: DataFrame, target: DataFrame) -> DataFrame:
+def _pairs(source: DataFrame, target: DataFrame, hot_rows: int = HOT_CELL_SHAPES) -> DataFrame:
     """Shapes whose boxes overlap, each pair once.
 
     A pair meets in the grid of its larger shape's size class, so shapes that
@@ -57,19 +59,28 @@ def _pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     """
     source, target = (shapes.withColumn("level", box_level()) for shapes in (source, target))
     s_levels, t_levels = levels_in(source) or [0], levels_in(target) or [0]
+    n_rows = {"s": source.count(), "t": target.count()}
     left, low = F.greatest("s_xmin", "t_xmin"), F.greatest("s_ymin", "t_ymin")
     right, top = F.least("s_xmax", "t_xmax"), F.least("s_ymax", "t_ymax")
 
-    def meet(s: DataFrame, t: DataFrame) -> DataFrame:
+    def meet(s: DataFrame, t: DataFrame, finer: str) -> DataFrame:
+        sides = {"s": _renamed(explode_cells(s), "s"), "t": _renamed(explode_cells(t), "t")}
+        on = CELL_KEY
+        if n_rows[finer] > hot_rows:
+            # Very many small shapes may lie under one large one: their cell goes to several tasks.
+            coarser = "t" if finer == "s" else "s"
+            sides[finer], sides[coarser] = spread_hot_cells(sides[finer], sides[coarser], hot_rows)
+            on = [*CELL_KEY, "_salt"]
         return (
-            _renamed(explode_cells(s), "s")
-            .join(_renamed(explode_cells(t), "t"), CELL_KEY)
+            sides["s"]
+            .join(sides["t"], on)
+            .drop("_salt")
             .where((left < right) & (low < top))
             .where((F.floor(left / cell_width()) == F.col("cx")) & (F.floor(low / cell_width()) == F.col("cy")))
         )
 
-    met = meet(source, _at_levels(target, s_levels, finer_only=False)).unionByName(
-        meet(_at_levels(source, t_levels, finer_only=True), target)
+    met = meet(source, _at_levels(target, s_levels, finer_only=False), "t").unionByName(
+        meet(_at_levels(source, t_levels, finer_only=True), target, "s")
     )
     return met.withColumns({"left": left, "right": right, "base": F.least("s_ymin", "t_ymin")})
 
@@ -106,7 +117,7 @@ def _shared_trapezoid() -> str:
     return f"({sign('a')}) * ({sign('b')}) * ({r} - {l}) * ({heights}) / 2D"
 
 
-def overlay(source: DataFrame, target: DataFrame, sliver: float = SLIVER) -> DataFrame:
+def overlay(source: DataFrame, target: DataFrame, sliver: float = SLIVER, hot_rows: int = HOT_CELL_SHAPES) -> DataFrame:
     """Every overlapping pair: source_id, target_id, areas and shares.
 
     Areas are square feet in the plane; ``weight`` is the overlap's share of
@@ -120,7 +131,7 @@ def overlay(source: DataFrame, target: DataFrame, sliver: float = SLIVER) -> Dat
     )
     # Pairs without their edges: these follow by strips of the common x-range, so that no pair has to fit a task.
     outlines = (s.withColumn("n_edges", F.size("edges")).drop("edges") for s in (s_shapes, t_shapes))
-    pairs = _pairs(*outlines).select(
+    pairs = _pairs(*outlines, hot_rows).select(
         "s_row",
         "t_row",
         F.col("s_zone_id").alias("source_id"),

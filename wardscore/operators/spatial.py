@@ -121,7 +121,7 @@ def zone_cells(zones: DataFrame) -> DataFrame:
 CELL_KEY = ["level", "cx", "cy"]
 
 
-def _spread_hot_cells(points: DataFrame, cells: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+def spread_hot_cells(points: DataFrame, cells: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """Salt the cells that hold very many points; the others keep salt 0.
 
     There can be no more hot cells than rows / hot_rows, so the list is small.
@@ -169,7 +169,7 @@ def join_on_cells(
         return placed.join(F.broadcast(cells), CELL_KEY)
     if points.isStreaming:
         return placed.join(cells, CELL_KEY)
-    placed, cells = _spread_hot_cells(placed, cells, hot_rows)
+    placed, cells = spread_hot_cells(placed, cells, hot_rows)
     return placed.join(cells, [*CELL_KEY, "_salt"]).drop("_salt")
 
 

@@ -115,15 +115,22 @@ def rollup_records(rolled: DataFrame, geography: str) -> DataFrame:
     return rolled.select("geo_id", record.alias("record"))
 
 
-def geo_features(zones: DataFrame, records: DataFrame, geography: str) -> DataFrame:
+def geo_features(zones: DataFrame, records: DataFrame, geography: str, by_row: bool = False) -> DataFrame:
     """GeoJSON feature text of the areas that have a score record, one per area.
 
-    The rows of one zone_id, as ``dissolve`` makes them, are the parts of its outline, in file order.
+    The rows of one zone_id, as ``dissolve`` or ``outlines`` makes them, are the parts of its outline, in file order. ``by_row``
+    writes a feature for each of them instead, so that no area has to fit one row.
     """
+    if by_row:
+        return _features_of(zones, records, geography)
     members = zones.groupBy("zone_id").agg(F.array_sort(F.collect_list(F.struct("file_order", "zone_name", "parts"))).alias("_m"))
     whole = members.select(
         "zone_id", F.element_at("_m", 1)["zone_name"].alias("zone_name"), F.flatten(F.transform("_m", lambda m: m["parts"])).alias("parts")
     )
+    return _features_of(whole, records, geography)
+
+
+def _features_of(whole: DataFrame, records: DataFrame, geography: str) -> DataFrame:
     scored = whole.join(records.select(F.col("geo_id").alias("zone_id")), "zone_id", "left_semi")
     label = area_label(geography, F.col("zone_id"), F.col("zone_name"))
     properties = F.struct(F.col("zone_id").alias("geo_id"), label.alias("geo_label"))
