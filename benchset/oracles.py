@@ -239,6 +239,19 @@ CTES["box_b"] = "SELECT k, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y
 CTES["event_points"] = "SELECT event_id, raw_lat AS lat, raw_lon AS lon FROM incidents WHERE raw_lat IS NOT NULL"
 CTES["event_hits"] = hits("event_points", "event_id")
 CTES["block_hits"] = hits("event_points", "event_id").replace("box_a", "box_b").replace("ea e", "eb e")
+# Whole billionths of a degree, whose products HUGEINT holds exactly.
+X1, Y1, X2, Y2, PX, PY = (f"CAST(round({v} * 1e9) AS HUGEINT)" for v in ("e.x1", "e.y1", "e.x2", "e.y2", "p.lon", "p.lat"))
+CTES["edge_points"] = "SELECT DISTINCT (x1 * 2 + x2) / 3 AS lon, (y1 * 2 + y2) / 3 AS lat FROM ea"
+CTES["edge_hits"] = f"""
+SELECT DISTINCT lon, lat, k FROM (
+  SELECT lon, lat, k, part, bool_and(CASE WHEN ring = 0 THEN inside ELSE NOT inside END) AND NOT bool_or(touched) AS hit
+  FROM (SELECT p.lon, p.lat, e.k, e.part, e.ring,
+          count(*) FILTER ((e.y1 > p.lat) <> (e.y2 > p.lat)
+            AND p.lon < (e.x2 - e.x1) * (p.lat - e.y1) / ((e.y2 - e.y1) + 1e-15) + e.x1) % 2 = 1 AS inside,
+          bool_or(({X2} - {X1}) * ({PY} - {Y1}) = ({Y2} - {Y1}) * ({PX} - {X1})
+            AND {PX} BETWEEN least({X1}, {X2}) AND greatest({X1}, {X2}) AND {PY} BETWEEN least({Y1}, {Y2}) AND greatest({Y1}, {Y2})) AS touched
+        FROM edge_points p JOIN box_a b ON p.lon BETWEEN b.x0 AND b.x1 AND p.lat BETWEEN b.y0 AND b.y1
+        JOIN ea e ON e.k = b.k GROUP BY ALL) GROUP BY ALL) WHERE hit"""
 CTES["valid_points"] = "SELECT * FROM clean WHERE valid"
 CTES["zone_incidents"] = f"""
 SELECT c.cmplnt_num, CAST(h.k AS VARCHAR) AS zone_id, 'AREA_' || h.k AS zone_name, c.weighted
@@ -681,6 +694,9 @@ SELECTS: dict[str, str] = {
 # Stored and read back, these have to be the same.
 SELECTS["stored_index"], SELECTS["stored_profile"] = SELECTS["index_table"], SELECTS["area_profile"]
 
+SELECTS["edge_points_strict"] = SELECTS["edge_points_strict_adaptive"] = (
+    f"SELECT {r6('lon')} AS longitude, {r6('lat')} AS latitude, CAST(k AS VARCHAR) AS zone_id FROM edge_hits"
+)
 SELECTS["incident_refresh"] = SELECTS["stream_incident_medians"]
 
 

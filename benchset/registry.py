@@ -16,9 +16,9 @@ from wardscore.functions.reference_systems import from_degrees
 from wardscore.operators import geometry as G
 from wardscore.operators.outline import outlines, perimeter
 from wardscore.operators.overlay import overlay
-from wardscore.operators.quadtree import located
+from wardscore.operators.quadtree import located, zone_edges
 from wardscore.operators.settle import fresh_path
-from wardscore.operators.spatial import first_zone
+from wardscore.operators.spatial import first_zone, points_in_zones
 from wardscore.operators.tables import col, keep_known
 from wardscore.plans import dashboard as D
 from wardscore.plans.air import air_index, air_pivot, pollutant_means
@@ -306,6 +306,25 @@ def borough_outlines(spark, sf_dir):
     return rows.groupBy("zone_id").agg((F.sum("area") * 1000).alias("area"), F.sum("border").alias("border"))
 
 
+def edge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point on every district edge, as near as doubles come to it."""
+    edges = zone_edges(A.districts(spark, sf_dir), "zone_id")
+    return edges.select(((F.col("x1") * 2 + F.col("x2")) / 3).alias("Longitude"), ((F.col("y1") * 2 + F.col("y2")) / 3).alias("Latitude")).distinct()
+
+
+@query("edge_points_strict")
+def edge_points_strict(spark, sf_dir):
+    """Points on edges, slanted ones too, with the districts they lie strictly inside of, on coordinates of nine digits."""
+    inside = points_in_zones(edge_points(spark, sf_dir), A.districts(spark, sf_dir), exclude_boundary=True, digits=9)
+    return inside.select("Longitude", "Latitude", "zone_id")
+
+
+@query("edge_points_strict_adaptive")
+def edge_points_strict_adaptive(spark, sf_dir):
+    inside = located(edge_points(spark, sf_dir), A.districts(spark, sf_dir), exclude_boundary=True, digits=9)
+    return inside.select("Longitude", "Latitude", "zone_id")
+
+
 @query("zone_centroid")
 def zone_centroid(spark, sf_dir):
     return G.with_centroid(A.districts(spark, sf_dir)).select(

@@ -33,6 +33,18 @@ def test_points_on_edges_and_corners(spark, most_edges):
     assert [r["id"] for r in Q.located(points, one, exclude_boundary=True, most_edges=most_edges).collect()] == [3]
 
 
+@pytest.mark.parametrize("match", [S.points_in_zones, Q.located])
+def test_points_on_slanted_edges_are_told_exactly(spark, match):
+    """On the decimal coordinates (0.1 k, 0.3 k) lie on the edge; as doubles most are off it by a rounding."""
+    shape = shape_rows(spark, [[[[(0, 0), (0.7, 0), (0.7, 2.1)]]]])
+    on_edge = [(k, 0.1 * k, 0.3 * k) for k in range(1, 7)] + [(k + 10, float(f"0.{k}"), float(f"{3 * k / 10:.1f}")) for k in range(1, 7)]
+    off = [(50, 0.5, 0.3), (51, 0.30000001, 0.9), (52, 0.1, 0.29999999)]
+    points = points_of(spark, on_edge + off)
+    assert sorted(r["id"] for r in match(points, shape, exclude_boundary=True, digits=9).collect()) == [50, 51, 52]
+    # Coarser coordinates take those a hundred-millionth off for on the edge.
+    assert sorted(r["id"] for r in match(points, shape, exclude_boundary=True, digits=6).collect()) == [50]
+
+
 def star(n, seed, cx=0.0, cy=0.0, size=1.0):
     draw = random.Random(seed)
     angles = sorted(draw.uniform(0, 2 * math.pi) for _ in range(n))

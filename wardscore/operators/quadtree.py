@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
 from wardscore.operators.settle import BROADCAST_BYTES, broadcast_if, settle, spread
-from wardscore.operators.spatial import CELL_KEY, EDGE_BYTES, HOT_CELL_ROWS, RAY_EPSILON, ROW_BYTES, join_on_cells
+from wardscore.operators.spatial import CELL_KEY, EDGE_BYTES, HOT_CELL_ROWS, RAY_EPSILON, ROW_BYTES, join_on_cells, on_edge_exactly
 from wardscore.operators.tables import col, q
 
 MOST_EDGES = 64
@@ -171,6 +171,7 @@ def located(
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_CELL_ROWS,
     most_edges: int = MOST_EDGES,
+    digits: int | None = None,
 ) -> DataFrame:
     """Inner join: every point with every zone it lies in, as ``spatial.points_in_zones`` gives them.
 
@@ -185,6 +186,7 @@ def located(
         f"(e.x2 - e.x1) * ({y_sql} - e.y1) - (e.y2 - e.y1) * ({x_sql} - e.x1) = 0 "
         f"AND {x_sql} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) AND {y_sql} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)"
     )
+    touched = touched if digits is None else on_edge_exactly("e", x_sql, y_sql, digits)
     joined = join_on_cells(points, cells, n_bytes, x, y, broadcast_bytes, hot_rows).withColumn("_in", F.expr(within))
     # In an outer ring and in none of the same part's holes; with the boundary out, in a part whose edges the point is not on.
     edge_of = f" AND NOT exists(rings, r -> r.part = o.part AND exists(r.edges, e -> {touched}))" if exclude_boundary else ""

@@ -76,6 +76,22 @@ def on_edge(rings: str, x: str, y: str) -> str:
     return f"exists({rings}, edges -> exists(edges, e -> {touches}))"
 
 
+def on_edge_exactly(e: str, x: str, y: str, digits: int) -> str:
+    """SQL: the point lies on the edge, both taken as decimals of so many digits: no rounding of products can hide it.
+
+    Doubles tell that a point is too far off, as nearly all are; whole-number arithmetic decides about the others.
+    """
+    unit = 10.0**digits
+    whole = lambda v: f"CAST(round(({v}) * {unit!r}D) AS decimal(19, 0))"
+    x1, y1, x2, y2, px, py = (whole(v) for v in (f"{e}.x1", f"{e}.y1", f"{e}.x2", f"{e}.y2", x, y))
+    off = f"abs(({e}.x2 - {e}.x1) * ({y} - {e}.y1) - ({e}.y2 - {e}.y1) * ({x} - {e}.x1))"
+    far = f"{off} > (abs({e}.x2 - {e}.x1) + abs({e}.y2 - {e}.y1)) * {4 / unit!r}D"
+    return (
+        f"(NOT {far} AND ({x2} - {x1}) * ({py} - {y1}) = ({y2} - {y1}) * ({px} - {x1}) "
+        f"AND {px} BETWEEN least({x1}, {x2}) AND greatest({x1}, {x2}) AND {py} BETWEEN least({y1}, {y2}) AND greatest({y1}, {y2}))"
+    )
+
+
 def _part_boxes(zones: DataFrame) -> DataFrame:
     parts = zones.withColumn("part_edges", G.part_edges("parts")).select(
         "*", F.posexplode("parts").alias("part_no", "_rings")
@@ -181,9 +197,13 @@ def points_in_zones(
     exclude_boundary: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_CELL_ROWS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Inner join: every point with every zone it lies in.
 
+    ``exclude_boundary`` leaves out points on an edge, as far as doubles can tell, or exactly on coordinates of ``digits``
+    decimals.
+
     Points bring their columns, zones all of theirs but ``parts``. The zone
     cells are broadcast if their measured size is small; otherwise both sides
     shuffle on the cell, with hot cells salted by their measured counts.
@@ -194,7 +214,8 @@ def points_in_zones(
     x_sql, y_sql = q(x), q(y)
     inside = in_part("rings", x_sql, y_sql)
     if exclude_boundary:
-        inside = f"({inside} AND NOT {on_edge('rings', x_sql, y_sql)})"
+        exactly = f"exists(rings, edges -> exists(edges, e -> {on_edge_exactly('e', x_sql, y_sql, digits)}))" if digits is not None else ""
+        inside = f"({inside} AND NOT {exactly or on_edge('rings', x_sql, y_sql)})"
     again = f"exists(earlier, part -> {in_part('part', x_sql, y_sql)})"
     joined = join_on_cells(points, cells, size, x, y, broadcast_bytes, hot_rows)
     return joined.where(F.expr(f"(covered OR {inside}) AND NOT {again}")).drop(*CELL_KEY, "rings", "earlier", "covered")
