@@ -31,7 +31,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("mix", mix), ("bpe", encode)]
 
-# No stage can be told in SQL: the tests hold each against a brute-force version.
+# No stage can be told in SQL. The tests hold near_dedup and bpe against brute force, the others by held-out rows and margins.
 ORACLE_SQL = None
 
 
