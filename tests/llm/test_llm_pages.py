@@ -170,8 +170,18 @@ def test_mixing(spark):
     assert mixing.mixed(docs.limit(0), name="m").count() == 0
 
 
+def test_mixing_keeps_every_given_target(spark, monkeypatch):
+    """Targets of more sources than have a margin of their own without targets, the rarest among them."""
+    monkeypatch.setitem(mixing.MOST, "source", 5)
+    docs = spark.createDataFrame([(i, "a b", "en", f"s{i % 40}") for i in range(2000)], "doc_id long, text string, lang string, source string")
+    wished = {f"s{i}": (2.0 if i % 2 else 0.5) / 50 for i in range(40)}
+    got = mixing.mixed(docs, topic=mixing.F.lit("any"), targets={"source": wished}, budget=0.4, name="m").select("source", "m.*").toPandas()
+    expected = (got["tokens"] * got["probability"]).groupby(got["source"]).sum()
+    assert np.allclose(expected / expected.sum(), expected.index.map(wished), atol=1e-9)
+
+
 def test_queries_and_pipeline_stages(spark, sf_dir):
-    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 14))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
@@ -192,11 +202,12 @@ def test_queries_and_pipeline_stages(spark, sf_dir):
 
 def test_pipeline_edges(spark, tmp_path):
     spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, d1 long, ids string, mix int"
-    for rows in ([], [(None,) * 9, (1, "a b", None, None, None, None, None, None, None), (1, "a b", None, None, None, None, None, None, None)]):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, d1 long, ids string, mix int, __row int, `a.b` int"
+    for rows in ([], [(None,) * 11, (1, "a b", *(None,) * 7, 7, 8), (1, "a b", *(None,) * 7, 7, 8)]):
         docs = spark.createDataFrame(rows, kind)
         for name, stage in corpus_pipeline.STAGES:
             columns = docs.columns
             docs = corpus_pipeline.land(stage(spark, docs, str(tmp_path)), name)
             assert name == "bpe" or docs.columns == columns
+            assert name == "bpe" or {(r["__row"], r["a.b"]) for r in docs.collect()} <= {(None, None), (7, 8)}
         assert docs.count() <= len(rows)

@@ -172,6 +172,20 @@ def test_quality_edges(spark):
     assert line_quality.score_documents(docs.limit(0), one, ["doc_id"]).count() == 0
 
 
+def test_training_sample_is_bounded_in_lines(spark, monkeypatch):
+    """Whole documents up to the limit, long ones left out, the same text of an id whatever the order of the rows."""
+    seen = []
+    monkeypatch.setattr(line_quality, "fit", lambda lines, labels: seen.append((lines.first.tolist(), labels.tolist(), lines.features.sum())))
+    rows = [(i, "a line\n" * (i % 5)) for i in range(300)] + [(1000, "x\n" * 500), *[(2000, f"text {i}") for i in range(9)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (docs.doc_id % 2).cast("int").alias("quality")).distinct()
+    for table in (docs, docs.orderBy("text").repartition(3)):
+        line_quality.train(table, labels, most_lines=600)
+    assert seen[0] == seen[1] and 590 < seen[0][0][-1] <= 600 and max(np.diff(seen[0][0])) <= 6
+    line_quality.train(docs, labels, most_lines=100_000)
+    assert len(seen[2][1]) == 302 and seen[2][0][-1] == sum(t.count("\n") + 1 for _, t in rows) - 8
+
+
 @pytest.fixture(scope="module")
 def corpus():
     draw = np.random.default_rng(4)

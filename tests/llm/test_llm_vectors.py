@@ -100,3 +100,19 @@ def test_search_of_given_embeddings(spark, sf_dir):
         cosine[ids == q] = -2
         found.append(len(set(ids[np.argsort(-cosine)[:5]]) & set(got[got["query_id"] == q]["vec_id"])))
     assert sum(found) / (5 * len(found)) >= 0.9
+
+
+def test_every_length_has_its_own_links(spark):
+    rows = planted(450) + [(2000 + i, [float(1 + i % 2), 1.0]) for i in range(6)] + [(3000, [1.0, 2.0, 3.0])]
+    got = {r[0]: tuple(r)[1:] for r in embedding_dedup.link_vectors(frame(spark, rows)).collect()}
+    want = brute(rows[:450], 0.95) | {i: (2, 2000 + i % 2, i < 2002) for i in range(2000, 2006)} | {3000: (0, 3000, True)}
+    assert 0.948 < 3 / np.sqrt(10) < 0.95
+    assert got == want
+
+
+def test_search_within_a_length(spark):
+    rows = planted(450) + [(2000, [1.0, 0.0]), (2001, [2.0, 0.1]), (2002, [1.0, 1.0]), (3000, [1.0, 2.0, 3.0])]
+    table = frame(spark, rows)
+    got = permutation_index.search(table, table.where("vec_id = 2000 or vec_id = 3000 or vec_id = 7"), k=3).collect()
+    by = {(r["query_id"], r["rank"]): r["vec_id"] for r in got}
+    assert (by[2000, 1], by[2000, 2]) == (2001, 2002) and sorted(k for q, k in by if q == 7) == [1, 2, 3] and len(by) == 5

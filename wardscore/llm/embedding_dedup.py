@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardscore.llm.components import connected_components, local_labels
-from wardscore.llm.vectors import cell_parts, common_length, matrix, sample, unit, usable
+from wardscore.llm.vectors import cell_parts, lengths, matrix, sample, unit, usable
 from wardscore.operators.settle import land
 
 SAMPLE = 20_000
@@ -29,6 +30,7 @@ SUBSPACES, CODES = 8, 64
 # Residents of a cell, and visitors of a cell for each of them.
 BLOCK, VISITORS = 2048, 8
 STEP = 512
+LINKS = "rep long, links long, root long"
 
 
 @dataclass
@@ -97,22 +99,43 @@ def link_vectors(
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept. Linked: cosine >= threshold, in double precision.
 
     n_links counts the other vectors linked directly, equal ones included; component_id is the smallest id reachable, kept
-    tells that it is the row's own. A vector that is null, empty, zero, holds null or non-finite components, has no id, or
-    is not as long as most links with nothing and is kept. Rows that repeat id and vector count as so many vectors; an id
+    tells that it is the row's own. A vector that is null, empty, zero, holds null or non-finite components, or has no id
+    links with nothing and is kept; vectors of different lengths never link, each length has an index of its own. Rows that repeat id and vector count as so many vectors; an id
     with several different vectors stands for all of them. An empty table gives an empty one; other columns are not read.
 
-    The index is fitted to at most ``sample_size`` vectors, those whose ids hash lowest, and holds every vector.
+    An index is fitted to at most ``sample_size`` vectors, those whose ids hash lowest, and holds every vector of its length.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
     good = base.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    dim = common_length(good, "vector")
-    same = F.size("vector") == dim
-    reps = good.where(same).groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    reps = good.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     reps = land(reps, "vectors")
-    count = reps.count()
-    if not count:
+    sizes = lengths(reps, "vector")
+    if not sizes:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    linked = [
+        linked_of_length(reps.where(F.size("vector") == dim), dim, count, threshold, sample_size) for dim, count in sizes.items() if count > 1
+    ]
+    found = reduce(DataFrame.unionByName, linked or [spark.createDataFrame([], LINKS)])
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    classes = connected_components(found.select("rep", "root"))
+    told = reps.join(links, "rep", "left").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    told = told.select("vector", "rep", "n", "links", "component")
+    # A row without an id must not meet its vector's class.
+    seen = F.when(F.col("vec_id").isNotNull(), F.col("vector"))
+    joined = base.withColumn("seen", seen).drop("vector").join(told, F.col("seen") == F.col("vector"), "left")
+    component = F.coalesce("component", "rep", "vec_id")
+    return joined.select(
+        "vec_id",
+        (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("n_links"),
+        component.alias("component_id"),
+        F.col("vec_id").eqNullSafe(component).alias("kept"),
+    )
+
+
+def linked_of_length(reps: DataFrame, dim: int, count: int, threshold: float, sample_size: int) -> DataFrame:
+    """(rep, links, root) of the linked ones of ``count`` different vectors of ``dim`` components; a rep may have several rows."""
+    spark = reps.sparkSession
     lists = max(1, min(MOST_LISTS, round(count**0.5)))
     model = spark.sparkContext.broadcast(fit(sample(reps, "rep", "vector", dim, sample_size), lists))
     reach = float(np.sqrt(2 - 2 * threshold))
@@ -192,21 +215,7 @@ def link_vectors(
             home_side = home_side or _Side(held, dim, quantiser, where[0])
             yield from _linked(_Side([rows], dim, quantiser, where[0]), home_side, False, where[0], quantiser, reach, threshold)
 
-    found = land(cells.mapInArrow(meet, "rep long, links long, root long"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(found.select("rep", "root"))
-    told = reps.join(links, "rep", "left").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    told = told.select("vector", "rep", "n", "links", "component")
-    # A row without an id must not meet its vector's class.
-    seen = F.when(F.col("vec_id").isNotNull(), F.col("vector"))
-    joined = base.withColumn("seen", seen).drop("vector").join(told, F.col("seen") == F.col("vector"), "left")
-    component = F.coalesce("component", "rep", "vec_id")
-    return joined.select(
-        "vec_id",
-        (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("n_links"),
-        component.alias("component_id"),
-        F.col("vec_id").eqNullSafe(component).alias("kept"),
-    )
+    return land(cells.mapInArrow(meet, LINKS), "links")
 
 
 class _Side:

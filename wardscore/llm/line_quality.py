@@ -13,13 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardscore.llm.text_bytes import flat, pieces, slice_hashes, small_batches, word_bounds
+from wardscore.operators.settle import land
+from wardscore.operators.tables import q
 
-# The model is fitted to at most so many labelled documents.
-SAMPLE = 3000
+# The model is fitted to at most so many labelled documents with so many lines in all, none with more than a hundredth of them.
+SAMPLE, SAMPLE_LINES = 3000, 300_000
 ROUNDS, RATE, PENALTY = 150, 0.1, 1e-3
 
 # Kinds of bytes that a line's shares are taken of; each byte is of the last kind that lists it.
@@ -183,19 +185,22 @@ def remainder(key: Column, by: int) -> Column:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", size: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text",
+    size: int = SAMPLE, most_lines: int = SAMPLE_LINES,
 ) -> Model:
     """A model fitted to at most ``size`` documents with a label: those of ``usable`` rows whose ids hash lowest.
 
-    Null labels and ids are left out. Without any labelled document all scores are one half.
-    """
+    Whole documents are taken in that order, up to ``most_lines`` lines in all; one with more than a hundredth of them is not
+    learned from, so long texts never fill the driver. Of an id's several labels the largest counts, of its several texts the
+    one whose features hash lowest. Null labels and ids are left out. Without any labelled document all scores are one half.
+    """
     small_batches(docs.sparkSession)
     told = labels.select(F.col(key).alias("id"), F.col("quality").cast("int").alias("label")).where("id is not null and label is not null")
     if usable is not None:
         told = told.where(usable)
     told = told.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(size)
     # Its size is a parameter, so the sample may go to every task.
-    picked = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(told), "id")
+    picked = docs.select(docs[q(key)].alias("id"), docs[q(text)].alias("text")).join(F.broadcast(told), "id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,9 +219,15 @@ def train(
                 )
 
     kind = picked.schema["id"].dataType.simpleString()
-    rows = picked.select("id", "label", "text").mapInArrow(features, f"id {kind}, label int, own binary, weights binary").collect()
-    # In one order whatever the tasks' order; a repeated id is one document.
-    rows = sorted({r["id"]: r for r in rows}.values(), key=lambda r: str(r["id"]))
+    made = picked.select("id", "label", "text").mapInArrow(features, f"id {kind}, label int, own binary, weights binary")
+    made = made.withColumn("lines", (F.octet_length("weights") / 8).cast("int")).where(F.col("lines") <= most_lines // 100)
+    made = made.groupBy("id").agg(F.min_by(F.struct("label", "own", "weights", "lines"), F.xxhash64("own", "weights")).alias("one"))
+    made = land(made.select("id", "one.*"), "lines")
+    # One row per sampled document: few enough for one window.
+    so_far = F.sum("lines").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = made.select("id", so_far.alias("so_far")).where(F.col("so_far") <= most_lines).select("id")
+    # In one order whatever the tasks' order.
+    rows = sorted(made.join(F.broadcast(fitting), "id").collect(), key=lambda r: str(r["id"]))
     own = [np.frombuffer(r["own"], np.float32).reshape(-1, OWN) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(int)
     stacked = np.concatenate(own) if own else np.zeros((0, OWN), np.float32)
@@ -246,11 +257,12 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str =
                 shared.value.scores(lines_of(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])) for a, b in pieces(bounds)
             ]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores)], names=[*batch.schema.names[:n], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores)], names=[*batch.schema.names[:n], "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[docs[c] for c in keep]).schema.fields]
-    body = F.col(text).cast("string").alias("__text")
-    return docs.select(*[docs[c] for c in keep], body).mapInArrow(score, ", ".join([*fields, f"`{name}` double"]))
+    # Numbered on the way through Arrow, which takes no names with dots.
+    kept = docs.select(*[docs[q(c)].alias(f"c{i}") for i, c in enumerate(keep)], docs[q(text)].cast("string").alias("body"))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:n]]
+    return kept.mapInArrow(score, ", ".join([*fields, "score double"])).toDF(*keep, name)
 
 
 def good_documents(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -259,7 +271,7 @@ def good_documents(docs: DataFrame, model: Model, text: str = "text", least: flo
     while name in {c.lower() for c in docs.columns}:
         name = f"_{name}"
     scored = score_documents(docs, model, docs.columns, text, name)
-    return scored.where(scored[name] >= least).select(*[scored[c] for c in docs.columns])
+    return scored.where(scored[name] >= least).select(*[scored[q(c)] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardscore.llm.components import Forest, connected_components, local_labels
+from wardscore.llm.mixing import free_name
 from wardscore.llm.text_bytes import LOWER, STEP, U64, array_hashes, flat, pieces, slice_hashes, small_batches, stirred, word_bounds
 from wardscore.llm.vectors import cell_parts
 from wardscore.operators.settle import land
@@ -363,7 +364,7 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     Rows are told apart by their own number, so that different texts under one id stay. Rows without words are copies only
     if they repeat id and text.
     """
-    row = "__row"
+    row = free_name("__row", docs.columns)
     numbered = land(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     named = numbered.where(numbered[key].isNotNull())
     marked = near_duplicates(named, row, text, words, percent)

@@ -14,7 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Categories of a margin with a target of their own; the rest share one. So there are no more than 1.3 million cells.
+from wardscore.operators.tables import q
+
+# Categories of a margin without given targets that get one of their own, by tokens; the rest share one. So there are no more
+# than 1.3 million cells. Given targets are all kept: the caller's list bounds its margin.
 MOST = {"source": 500, "lang": 50, "topic": 50}
 # Shares are raised to this power, and this part of all tokens is drawn.
 TEMPER, BUDGET = 0.9, 0.7
@@ -110,22 +113,25 @@ def mixed(
 
     weight tells how much more of the cell than of the average token is drawn; probability is the calibrated one, sampled
     the outcome. ``targets`` gives shares by margin ("source", "lang", "topic") and value; a margin without them gets its own
-    shares to the power of ``temper``, and ``budget`` is the part of all tokens that is drawn. Values that are not named, and a margin's values beyond the MOST with the most tokens,
-    share one category, whose target is what the others leave. Null values are a category of their own. Rows of one id share
-    their fate; a document without words is drawn like its cell. An empty table gives an empty one.
+    shares to the power of ``temper``, and ``budget`` is the part of all tokens that is drawn. Every value that ``targets`` names
+    keeps its target. In a margin without targets the MOST values with the most tokens (ties: the smaller value) have a
+    category each. All other values share one category, whose target is what the others leave. Null values are a category of
+    their own. Rows of one id share their fate; a document without words is drawn like its cell. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    values = {"source": docs[source].cast("string"), "lang": docs[lang].cast("string"), "topic": topic if topic is not None else topic_of(docs[text])}
-    tokens = words_in(docs[text])
+    body = docs[q(text)]
+    values = {"source": docs[q(source)].cast("string"), "lang": docs[q(lang)].cast("string"), "topic": topic if topic is not None else topic_of(body)}
+    tokens = words_in(body)
     cells = docs.select(*[v.alias(k) for k, v in values.items()], tokens.alias("tokens"))
     cells = cells.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).persist()
     kept, shares = {}, {}
     for margin, most in MOST.items():
+        shares[margin] = (targets or {}).get(margin)
+        if shares[margin] is not None:
+            kept[margin] = sorted(shares[margin])
+            continue
         best = cells.groupBy(margin).agg(F.sum("tokens").alias("n")).where(F.col(margin).isNotNull())
-        best = best.orderBy(F.desc("n"), margin).limit(most)
-        wished = (targets or {}).get(margin)
-        kept[margin] = [r[margin] for r in best.collect() if wished is None or r[margin] in wished]
-        shares[margin] = wished
+        kept[margin] = [r[margin] for r in best.orderBy(F.desc("n"), margin).limit(most).collect()]
     labels = {m: _category(F.col(m), kept[m]) for m in MOST}
     table = cells.groupBy(*[c.alias(m) for m, c in labels.items()]).agg(F.sum("tokens").alias("tokens"))
     rows = sorted(table.collect())
@@ -149,7 +155,7 @@ def mixed(
         "source string, lang string, topic string, chance double",
     )
     cell = free_name("cell", docs.columns)
-    share = F.shiftrightunsigned(F.xxhash64(docs[key], F.lit(seed)), 11) / F.lit(2.0**53)
+    share = F.shiftrightunsigned(F.xxhash64(docs[q(key)], F.lit(seed)), 11) / F.lit(2.0**53)
     facts = [_category(values[m], kept[m]).alias(m) for m in MOST]
     facts += [values["topic"].alias("own_topic"), tokens.alias("tokens"), share.alias("share")]
     marked = docs.select("*", F.struct(*facts).alias(cell))
@@ -162,7 +168,7 @@ def mixed(
         known["chance"].alias("probability"),
         (of("share") < known["chance"]).alias("sampled"),
     )
-    return joined.select(*[marked[c] for c in docs.columns], mix.alias(name))
+    return joined.select(*[marked[q(c)] for c in docs.columns], mix.alias(name))
 
 
 def free_name(name: str, taken: list[str]) -> str:
@@ -176,7 +182,7 @@ def sample(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are drawn, as they are."""
     name = free_name("mix", docs.columns)
     drawn = mixed(docs, name=name, **options)
-    return drawn.where(drawn[name].getField("sampled")).select(*[drawn[c] for c in docs.columns])
+    return drawn.where(drawn[name].getField("sampled")).select(*[drawn[q(c)] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ As every block gives the same share, recall does not fall as the table grows. Eq
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardscore.llm.vectors import cell_parts, common_length, matrix, sample, unit, usable
+from wardscore.llm.vectors import cell_parts, lengths, matrix, sample, unit, usable
 from wardscore.operators.settle import land
 
 PIVOTS, NEAREST = 256, 128
@@ -52,28 +53,49 @@ def search(
 
     The query's own id is no candidate. Nearest first, ties by the smaller id; fewer candidates than ``k`` are all given.
     The score is the cosine in double precision of the original vectors. Vectors that are null, empty, zero, hold null or
-    non-finite components, have no id or another length than most take no part. Rows that repeat id and vector are one
-    candidate and one query. Empty tables give an empty one; other columns are not read.
+    non-finite components or have no id take no part; a query's candidates are the vectors of its length. Rows that repeat id
+    and vector are one candidate and one query. An id with several vectors is a candidate with each of them, so it can take
+    several ranks; as a query it has the nearest of all its vectors' neighbours. Empty tables give an empty one; other columns are not read.
 
-    The pivots are taken from the SAMPLE rows whose ids hash lowest; every row is indexed.
+    The pivots of each length are taken from the SAMPLE rows whose ids hash lowest; every row is indexed.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
     asked = queries.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
     rows, asked = (t.where(usable(F.col("vector")) & F.col("vec_id").isNotNull()) for t in (rows, asked))
-    dim = common_length(rows, "vector")
-    rows, asked = (t.where(F.size("vector") == dim) for t in (rows, asked))
     # No more than k + 1 equal vectors can be among the k nearest: those with the smallest ids, and one may be the query.
     order = Window.partitionBy("vector").orderBy("vec_id")
     firsts = rows.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= k + 1)
     firsts = firsts.groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     firsts = land(firsts, "vectors")
-    count = firsts.count()
-    kind = rows.schema["vector"].dataType.simpleString()
+    counts = lengths(firsts, "vector")
     asked_once = land(asked.groupBy("vector").agg(F.min("vec_id").alias("query")), "queries")
-    n_queries = asked_once.count()
-    if not count or not n_queries:
+    wanted = {dim: n for dim, n in lengths(asked_once, "vector").items() if dim in counts}
+    if not wanted:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = []
+    for dim, n in wanted.items():
+        same = F.size("vector") == dim
+        found.append(hits_of_length(firsts.where(same), asked_once.where(same), dim, counts[dim], n, k, pivots, nearest, depth))
+    hits = reduce(DataFrame.unionByName, found)
+    best = Window.partitionBy("query", "dim").orderBy(F.desc("score"), F.element_at("ids", 1))
+    hits = hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    hits = hits.select("query", "dim", "score", F.explode("ids").alias("vec_id"))
+    # Each query's row meets the answers of its vector.
+    ids = asked.select(F.col("vec_id").alias("query_id"), "vector").distinct().join(asked_once, "vector")
+    ids = ids.select("query_id", "query", F.size("vector").alias("dim"))
+    pairs = ids.join(hits, ["query", "dim"]).where("vec_id <> query_id")
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def hits_of_length(
+    firsts: DataFrame, asked_once: DataFrame, dim: int, count: int, n_queries: int, k: int, pivots: int, nearest: int, depth: float
+) -> DataFrame:
+    """(query, dim, score, ids): of ``count`` vectors of ``dim`` components the best of every block for each of ``n_queries``."""
+    spark = firsts.sparkSession
+    kind = firsts.schema["vector"].dataType.simpleString()
     some = sample(firsts.select(F.element_at("ids", 1).alias("id"), "vector"), "id", "vector", dim, SAMPLE)
     chosen = apart(some, pivots)
     pivot = spark.sparkContext.broadcast(chosen)
@@ -116,15 +138,7 @@ def search(
                 yield files.answer(part, dim, length, k + 1, max(LEAST_DEPTH, int(np.ceil(depth * files.n))))
 
     hits = cells.mapInArrow(meet, "query long, score double, ids array<long>")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), F.element_at("ids", 1))
-    hits = hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
-    hits = hits.select("query", "score", F.explode("ids").alias("vec_id"))
-    # Each query's row meets the answers of its vector.
-    ids = asked.select(F.col("vec_id").alias("query_id"), "vector").distinct().join(asked_once, "vector").select("query_id", "query")
-    pairs = ids.join(hits, "query").where("vec_id <> query_id")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return hits.select("query", F.lit(dim).alias("dim"), "score", "ids")
 
 
 class InvertedFiles:

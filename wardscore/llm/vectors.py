@@ -16,11 +16,9 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def common_length(rows: DataFrame, vector: str) -> int:
-    """The most frequent length of the usable vectors, 0 if there are none; the shorter of equally frequent ones."""
-    sizes = rows.groupBy(F.size(vector).alias("size")).count().orderBy(F.desc("count"), "size")
-    first = sizes.first()
-    return first["size"] if first else 0
+def lengths(rows: DataFrame, vector: str) -> dict[int, int]:
+    """The lengths of the vectors and how many rows have each; vectors of different lengths have no cosine."""
+    return {r["size"]: r["count"] for r in rows.groupBy(F.size(vector).alias("size")).count().orderBy("size").collect()}
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
