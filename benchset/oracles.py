@@ -694,6 +694,8 @@ SELECTS: dict[str, str] = {
 # Stored and read back, these have to be the same.
 SELECTS["stored_index"], SELECTS["stored_profile"] = SELECTS["index_table"], SELECTS["area_profile"]
 
+SELECTS["laid_out_district"] = SELECTS["incident_zone_join"] + " WHERE zone_id = '5'"
+
 SELECTS["edge_points_strict"] = SELECTS["edge_points_strict_adaptive"] = (
     f"SELECT {r6('lon')} AS longitude, {r6('lat')} AS latitude, CAST(k AS VARCHAR) AS zone_id FROM edge_hits"
 )

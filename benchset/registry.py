@@ -28,8 +28,9 @@ from wardscore.plans.refresh import refresh, refreshed_units
 from wardscore.plans.rollup import boroughs, geo_features, rollup, rollup_borough, rollup_records
 from wardscore.plans.schools import education_table, rating_agreement, school_grades, unmapped_codes
 from wardscore.plans.water import add_lonlat, water_index
-from wardscore.plans.zones import incident_zone_index, incident_zone_rows, zone_quality
+from wardscore.plans.zones import city_extent, incident_zone_index, incident_zone_rows, laid_out_zone_rows, zone_quality
 from wardscore.sources.boundaries import feature_json, load_zones
+from wardscore.sources.laid_out import lay_out
 from wardscore.sources.stored import lookup, open_stored, star_join, store
 from wardscore.sources.tabular import read_csv, read_index, write_table
 from wardscore.streaming.incident_medians import latest_medians, run_medians
@@ -359,6 +360,16 @@ def incident_zone_join(spark, sf_dir):
     )
 
 
+@query("laid_out_district")
+def laid_out_district(spark, sf_dir):
+    """One district's incidents, read from the files near it of a table laid out along a curve."""
+    path = fresh_path(spark, "laid-out")
+    lay_out(incident_points(A.incidents(spark, sf_dir)), path, city_extent())
+    return laid_out_zone_rows(spark, path, A.districts(spark, sf_dir).where("zone_id = '5'")).select(
+        "CMPLNT_NUM", "zone_id", "zone_name", "weighted_incident"
+    )
+
+
 @query("incident_zone_index")
 def incident_zones(spark, sf_dir):
     return incident_zone_index(incident_points(A.incidents(spark, sf_dir)), A.districts(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from wardscore.operators.settle import land, settle
 from wardscore.operators.spatial import first_zone, points_in_zones
 from wardscore.operators.tables import col, order_columns, require_columns
 from wardscore.plans.incidents import COORDINATE_BOUNDS
+from wardscore.sources.laid_out import Extent, read_box
 
 ZONE_ID = "Community_District_ID"
 ZONE_NAME = "Community_District_Name"
@@ -44,6 +45,24 @@ def incident_zone_rows(points: DataFrame, zones: DataFrame) -> DataFrame:
     return points_in_zones(valid_points(points), zones, exclude_boundary=True)
 
 
+def city_extent() -> Extent:
+    """The box that valid incident points lie in."""
+    (south, north), (west, east) = COORDINATE_BOUNDS["Latitude"], COORDINATE_BOUNDS["Longitude"]
+    return Extent(west, south, east, north)
+
+
+def laid_out_zone_rows(spark: SparkSession, path: str, zones: DataFrame) -> DataFrame:
+    """``incident_zone_rows`` of a few zones over incident points that ``lay_out`` wrote: only files near the zones are read.
+
+    Without zones, or with zones without a shape, there are no rows.
+    """
+    box = zones.select(zone_bbox("parts").alias("box")).agg(
+        *[f("box." + c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))]
+    )
+    bounds = [float("nan") if v is None else v for v in box.first()]
+    return incident_zone_rows(read_box(spark, path, *bounds), zones)
+
+
 def incident_zone_index(points: DataFrame, zones: DataFrame) -> DataFrame:
     """Zones with incident totals, name, centroid and SafetyScore."""
     needed = ["CMPLNT_NUM", "weighted_incident", "Latitude", "Longitude", "has_valid_point"]
