@@ -152,6 +152,56 @@ def test_chain_equals_enumeration():
             assert abs(line_quality.sigmoid(forward + backward)[a + i] - good) < 1e-9
 
 
+def test_slopes_of_hidden_labels_equal_differences():
+    """The fitted chance against enumeration of all labellings, its slopes against differences."""
+    draw = np.random.default_rng(3)
+    first, labels = np.array([0, 1, 5, 8]), np.array([1, 0, 1])
+    lines = line_quality.Lines(draw.normal(size=(8, 3)), draw.integers(1, 9, 8).astype(float), first)
+    weights, steps = draw.normal(size=3), draw.normal(size=(2, 2))
+
+    def likely(w, s):
+        total = 0.0
+        for (a, b), label in zip(itertools.pairwise(first), labels, strict=True):
+            odds, share = lines.features[a:b] @ w, lines.weights[a:b] / lines.weights[a:b].sum()
+            paths = list(itertools.product((0, 1), repeat=b - a))
+            weight = [math.exp(odds @ p + sum(s[i, j] for i, j in itertools.pairwise(p))) for p in paths]
+            good = sum(c * (share @ p) for c, p in zip(weight, paths, strict=True)) / sum(weight)
+            total += math.log(good if label else 1 - good) / len(labels)
+        return total
+
+    value, by_weights, by_steps = line_quality.gradient(lines.features, lines, labels, weights, steps)
+    assert abs(value - likely(weights, steps)) < 1e-9
+    for i in range(3):
+        step = np.eye(3)[i] * 1e-5
+        assert abs(by_weights[i] - (likely(weights + step, steps) - likely(weights - step, steps)) / 2e-5) < 1e-7
+    for i, j in itertools.product((0, 1), repeat=2):
+        step = np.zeros((2, 2))
+        step[i, j] = 1e-5
+        assert abs(by_steps[i, j] - (likely(weights, steps + step) - likely(weights, steps - step)) / 2e-5) < 1e-7
+
+
+def test_spliced_documents_score_in_between():
+    """Learned from whole good and bad documents only, each half of a spliced one keeps its side."""
+    draw = np.random.default_rng(5)
+    good = lambda: " ".join("".join(draw.choice(list("abcdefgh"), draw.integers(2, 8))) for _ in range(9)) + "."
+    bad = lambda: "".join(draw.choice(list("$%&!|#0123456789 "), 50))
+
+    def lines(texts):
+        raw = [x.encode() for x in texts]
+        return line_quality.lines_of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+
+    text = lambda *makers: "\n".join(m() for m in makers)
+    labels = np.arange(80) % 2
+    model = line_quality.fit(lines([text(*[good if y else bad] * draw.integers(1, 20)) for y in labels]), labels)
+    mixed = lines([text(*[good] * 10, *[bad] * 10) for _ in range(10)])
+    assert ((model.scores(mixed) > 0.3) & (model.scores(mixed) < 0.7)).all()
+    forward, backward = line_quality.chain(model.odds(mixed), mixed.first, model.steps)
+    is_good = (forward + backward > 0).reshape(10, 20)
+    assert is_good[:, :10].mean() > 0.9 and is_good[:, 10:].mean() < 0.1
+    whole = model.scores(lines([text(*[good] * 30), text(*[bad] * 30)]))
+    assert whole[0] > 0.9 and whole[1] < 0.1
+
+
 def test_quality_on_held_out_rows(spark, sf_dir):
     scores = {r["doc_id"]: r for r in line_quality.query(spark, sf_dir).collect()}
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()

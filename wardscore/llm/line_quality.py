@@ -2,8 +2,9 @@
 
 Every line is good or bad. Its features are shares of kinds of characters, sizes and repetition, of the line itself and of
 the lines before and after; transitions between neighbouring lines are learned with them. Forward-backward gives each line's
-marginal, and the marginals weighted by line length give the document's score. Documents are labelled, lines are not: in
-training, all lines of a document carry its label.
+marginal, and the marginals weighted by line length give the document's score. Documents are labelled, lines are not: their
+labels stay hidden in training, where the score itself, the chance that a line drawn by length is good, is fitted to the
+document's label. So a good document may hold bad lines, and of texts put together each part keeps its own side.
 """
 
 from __future__ import annotations
@@ -121,6 +122,62 @@ def chain(odds: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[np.nd
     return forward, backward
 
 
+def good_shares(
+    shares: np.ndarray, first: np.ndarray, steps: np.ndarray, odds: np.ndarray, forward: np.ndarray, backward: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each line (bad in row 0, good in row 1) the expected good ``shares`` up to it, its own included, and after it.
+
+    What is expected before a line depends only on the line's label and the lines before, so both go along the chain.
+    """
+    counts = np.diff(first)
+    order = np.argsort(-counts, kind="stable")
+    begin, count = first[:-1][order], counts[order]
+    going = np.searchsorted(-count, -np.arange(1, count.max(initial=1)))
+    upto, after = np.stack([np.zeros_like(shares), shares]), np.zeros((2, len(shares)))
+    for t, active in enumerate(going.tolist(), start=1):
+        at = begin[:active] + t
+        for label in (0, 1):
+            good = sigmoid(forward[at - 1] + steps[1, label] - steps[0, label])
+            upto[label, at] += upto[0, at - 1] + good * (upto[1, at - 1] - upto[0, at - 1])
+    last = begin + count - 1
+    for t, active in enumerate(going.tolist(), start=1):
+        at = last[:active] - t
+        if_bad, if_good = after[0, at + 1], shares[at + 1] + after[1, at + 1]
+        for label in (0, 1):
+            good = sigmoid(odds[at + 1] + backward[at + 1] + steps[label, 1] - steps[label, 0])
+            after[label, at] = if_bad + good * (if_good - if_bad)
+    return upto, after
+
+
+def gradient(x: np.ndarray, lines: Lines, labels: np.ndarray, weights: np.ndarray, steps: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean log chance of the documents' labels, and its slopes by the weights and by the steps.
+
+    The slope of a score is the covariance of a feature and the good share of the document.
+    """
+    counts = np.diff(lines.first)
+    starts = lines.first[:-1]
+    spread_out = lambda of_docs: np.repeat(of_docs, counts)
+    shares = lines.weights / spread_out(np.add.reduceat(lines.weights, starts))
+    odds = x @ weights
+    forward, backward = chain(odds, lines.first, steps)
+    good = sigmoid(forward + backward)
+    score = np.clip(np.add.reduceat(good * shares, starts), 1e-9, 1 - 1e-9)
+    upto, after = good_shares(shares, lines.first, steps, odds, forward, backward)
+    pull = spread_out((labels - score) / (score * (1 - score)) / len(labels))
+    mean = spread_out(score)
+    slope_w = x.T @ (pull * good * (upto[1] + after[1] - mean))
+    inner = np.ones(len(x), bool)
+    inner[starts] = False
+    inner = np.flatnonzero(inner)
+    a, b = forward[inner - 1], odds[inner] + backward[inner]
+    joint = np.stack([np.full_like(a, steps[0, 0]), b + steps[0, 1], a + steps[1, 0], a + b + steps[1, 1]])
+    joint = np.exp(joint - joint.max(axis=0))
+    joint /= joint.sum(axis=0)
+    gone = np.stack([upto[i, inner - 1] + j * shares[inner] + after[j, inner] for i in (0, 1) for j in (0, 1)])
+    slope_s = ((joint * (gone - mean[inner])) @ pull[inner]).reshape(2, 2)
+    return float(np.mean(np.where(labels == 1, np.log(score), np.log1p(-score)))), slope_w, slope_s
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -144,7 +201,10 @@ class Model:
 
 
 def fit(lines: Lines, labels: np.ndarray) -> Model:
-    """Maximum likelihood with a quadratic penalty, by full gradients with moment estimates. Documents weigh alike."""
+    """Maximum likelihood of the documents' labels, the lines' hidden, with a quadratic penalty; documents weigh alike.
+
+    By full gradients with moment estimates, from weights of zero.
+    """
     width = lines.features.shape[1]
     mean, scale = np.zeros(width), np.ones(width)
     if len(labels):
@@ -154,25 +214,11 @@ def fit(lines: Lines, labels: np.ndarray) -> Model:
     if not len(labels):
         return model
     x = (lines.features - mean) / scale
-    counts = np.diff(lines.first)
-    y = np.repeat(labels, counts).astype(float)
-    share = np.repeat(1 / counts, counts) / len(labels)
-    inner = np.ones(len(y), bool)
-    inner[lines.first[:-1]] = False
-    inner = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[inner].astype(int), y[inner].astype(int)), share[inner])
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (model.weights, model.steps)]
     for t in range(1, ROUNDS + 1):
-        odds = x @ model.weights
-        forward, backward = chain(odds, lines.first, model.steps)
-        grad_w = x.T @ (share * (y - sigmoid(forward + backward))) - PENALTY * model.weights
-        a, b = forward[inner - 1], odds[inner] + backward[inner]
-        joint = np.stack([np.full_like(a, model.steps[0, 0]), b + model.steps[0, 1], a + model.steps[1, 0], a + b + model.steps[1, 1]])
-        joint = np.exp(joint - joint.max(axis=0))
-        expected = (joint / joint.sum(axis=0)) @ share[inner]
-        grad_s = seen - expected.reshape(2, 2) - PENALTY * model.steps
-        for p, g, (m, v) in zip((model.weights, model.steps), (grad_w, grad_s), state, strict=True):
+        _, *slopes = gradient(x, lines, labels, model.weights, model.steps)
+        for p, slope, (m, v) in zip((model.weights, model.steps), slopes, state, strict=True):
+            g = slope - PENALTY * p
             m += 0.1 * (g - m)
             v += 0.02 * (g * g - v)
             p += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-6)
