@@ -170,9 +170,8 @@ def test_mixing(spark):
     assert mixing.mixed(docs.limit(0), name="m").count() == 0
 
 
-def test_mixing_keeps_every_given_target(spark, monkeypatch):
-    """Targets of more sources than have a margin of their own without targets, the rarest among them."""
-    monkeypatch.setitem(mixing.MOST, "source", 5)
+def test_mixing_keeps_every_given_target(spark):
+    """Targets of many sources, the rarest among them."""
     docs = spark.createDataFrame([(i, "a b", "en", f"s{i % 40}") for i in range(2000)], "doc_id long, text string, lang string, source string")
     wished = {f"s{i}": (2.0 if i % 2 else 0.5) / 50 for i in range(40)}
     got = mixing.mixed(docs, topic=mixing.F.lit("any"), targets={"source": wished}, budget=0.4, name="m").select("source", "m.*").toPandas()
@@ -180,6 +179,92 @@ def test_mixing_keeps_every_given_target(spark, monkeypatch):
     assert np.allclose(expected / expected.sum(), expected.index.map(wished), atol=1e-9)
 
 
+def plain_chances(rows, given, temper, budget):
+    """Raking of {cell: tokens} by loops, one margin after the other, no probability above one."""
+    total = sum(rows.values())
+    wishes = []
+    for place in range(3):
+        own = {}
+        for cell, n in rows.items():
+            own[cell[place]] = own.get(cell[place], 0) + n
+        goal = {v: (n / total) ** temper for v, n in own.items()} if place or given is None else {v: given[v] for v in own}
+        full = set()
+        while True:
+            left = total * budget - sum(own[v] for v in full)
+            wide = sum(g for v, g in goal.items() if v not in full)
+            wish = {v: own[v] if v in full else goal[v] / wide * left for v in own}
+            over = {v for v in own if v not in full and wish[v] > own[v]}
+            if not over:
+                break
+            full |= over
+        wishes.append(wish)
+    chance = dict.fromkeys(rows, budget)
+    for _ in range(300):
+        for place, wish in enumerate(wishes):
+            for _ in range(30):
+                have = dict.fromkeys(wish, 0.0)
+                for cell, n in rows.items():
+                    have[cell[place]] += n * chance[cell]
+                chance = {c: min(1, p * wish[c[place]] / have[c[place]]) if have[c[place]] else p for c, p in chance.items()}
+    return chance
+
+
+@pytest.mark.parametrize(("cells", "wished"), [(mixing.DRIVER_CELLS, False), (mixing.DRIVER_CELLS, True), (0, False)])
+def test_mixing_equals_plain_raking(spark, monkeypatch, cells, wished):
+    """Cells, topics, probabilities and draws computed again, with the cells on the driver and as a table."""
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+    draw = np.random.default_rng(6)
+    signs = {"License": "legal", "token =": "secrets", "@": "contact", "|": "table", "#": "marked", "plain": "prose"}
+    rows = []
+    for i in range(600):
+        sign = list(signs)[int(draw.integers(0, 6))]
+        rows.append((i, " ".join(["w"] * int(draw.integers(1, 9)) + [sign]), ["en", "de", None][int(draw.integers(0, 3))], f"s{int(draw.integers(0, 9)) ** 2 % 7}", sign))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tag string")
+    given = {f"s{k}": w for k, w in zip((0, 1, 2, 4), (0.1, 0.2, 0.3, 0.4), strict=True)} if wished else None
+    got = mixing.mixed(docs, targets={"source": given} if wished else None, budget=0.5, name="m").select("doc_id", "m.*").collect()
+    sums = {}
+    for _, text, lang, source, sign in rows:
+        cell = (source, lang, signs[sign])
+        sums[cell] = sums.get(cell, 0) + len(text.split())
+    chances = plain_chances(sums, given, mixing.TEMPER, 0.5)
+    assert len(got) == 600
+    for r in got:
+        _, text, lang, source, sign = rows[r["doc_id"]]
+        assert (r["tokens"], r["topic"]) == (len(text.split()), signs[sign])
+        assert abs(r["probability"] - chances[source, lang, signs[sign]]) < 1e-5 and abs(r["weight"] - 2 * r["probability"]) < 1e-12
+    shares = docs.select("doc_id", (mixing.F.shiftrightunsigned(mixing.F.xxhash64("doc_id", mixing.F.lit(0)), 11) / 2.0**53).alias("u"))
+    u = {r["doc_id"]: r["u"] for r in shares.collect()}
+    assert all(r["sampled"] == (u[r["doc_id"]] < r["probability"]) for r in got)
+
+
+def test_two_thousand_sources_meet_their_targets(spark):
+    """Without given targets every source has a margin of its own, also the rare ones."""
+    docs = spark.range(12_000).selectExpr("id doc_id", "repeat('w ', cast(1 + id % 7 as int)) text", "if(id % 3 = 0, 'en', 'de') lang", "concat('s', id % 2000) source")
+    got = mixing.mixed(docs, name="m").select("source", "m.*").toPandas()
+    own = got["tokens"].groupby(got["source"]).sum()
+    expected = (got["tokens"] * got["probability"]).groupby(got["source"]).sum()
+    wished = mixing.reachable((own / own.sum()).to_numpy() ** mixing.TEMPER, own.to_numpy(float), mixing.BUDGET * own.sum())
+    assert len(own) == 2000 and np.allclose(expected.to_numpy(), wished, rtol=1e-6)
+
+
+def test_table_of_cells_is_raked_like_arrays(spark):
+    """A given target above what there is, a value it does not name, probabilities cut to one."""
+    cells = [("=a", "?", "=x", 10), ("=b", "?", "=x", 60), ("=c", "?", "=x", 20), ("*", "?", "=x", 30)]
+    table = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    given = {"source": {"a": 0.5, "b": 0.3, "c": 0.1}}
+    got = {r["source"]: r["chance"] for r in mixing.rake_table(table, given, 0.9, 0.5).collect()}
+    wished = mixing.rake_arrays(table.collect(), given, 0.9, 0.5)
+    assert got["=a"] == 1
+    assert all(abs(got[c[0]] - p) < 1e-5 for c, p in zip(cells, wished, strict=True))
+
+
+def test_mixing_tables_of_no_cells(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", -1)
+    assert mixing.mixed(mix_rows(spark).limit(0), name="m").count() == 0
+    nothing = spark.createDataFrame([(1, None, None, None), (2, "", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert {r["probability"] for r in mixing.mixed(nothing, name="m").select("m.*").collect()} == {mixing.BUDGET}
+
+
 def test_queries_and_pipeline_stages(spark, sf_dir):
     assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 14))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
