@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardscore.functions.codes import borough_of
+from wardscore.operators.settle import spread
 from wardscore.sources.boundaries import features_from_text, zones_from_features
 from wardscore.sources.tabular import read_table
 
@@ -209,7 +210,8 @@ def features(df: DataFrame, key: str, outlines: list[str], extent: tuple, name:
         F.struct(F.concat(k.cast("string"), F.lit(" ")).alias("BoroCD"), F.concat(F.lit(name), k.cast("string")).alias("name"))
     )
     text = F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), shape, F.lit("}"))
-    placed = df.withColumns(
+    # Keys of one file come from one task; drawing and reading the shapes is the work.
+    placed = spread(df).withColumns(
         {"outline": F.get(drawn, (k % len(outlines)).cast("int")), "tile_x": k % side, "tile_y": F.floor(k / side)}
     )
     return placed.withColumn("parts", parts).select(k.alias("file_order"), text.alias("feature"))

@@ -297,3 +297,17 @@ def test_overlay_of_long_outlines(spark):
     # Discs of radius 0.1 whose centres lie 0.15 apart.
     lens = (2 * 0.01 * math.acos(0.75) - 0.075 * math.sqrt(0.04 - 0.0225)) / (math.pi * 0.01)
     assert got["c"]["weight"] == pytest.approx(lens, rel=2e-3)
+
+
+def test_large_shapes_are_not_broadcast(spark):
+    """Spark takes an array for one element: it would send shapes of a hundred megabytes to the driver as a few."""
+    box = "array(array(array({})))".format(", ".join(f"struct({x} AS x, {y} AS y)" for x, y in (("a", "b"), ("a + 0.004", "b"), ("a + 0.004", "b + 0.004"), ("a", "b + 0.004"))))
+    place = "-74 + 0.005 * (id % {side}) AS a", "40.6 + 0.005 * floor(id / {side}) AS b"
+
+    def zones(n, side):
+        cells = spark.range(n).selectExpr("id", *[p.format(side=side) for p in place])
+        return cells.selectExpr("CAST(id AS string) AS zone_id", f"{box} AS parts")
+
+    pieces = O.overlay(zones(40_000, 200), zones(40_000, 200))
+    assert "BroadcastHashJoin" not in pieces._jdf.queryExecution().executedPlan().toString()
+    assert pieces.count() == 40_000

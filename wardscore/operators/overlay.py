@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
-from wardscore.operators.settle import land, settle, spread
-from wardscore.operators.spatial import CELL_KEY, box_level, cell_width, explode_cells, levels_in, spread_hot_cells
+from wardscore.operators.settle import land, settle, shuffle_if, spread
+from wardscore.operators.spatial import CELL_KEY, EDGE_BYTES, ROW_BYTES, box_level, cell_width, explode_cells, levels_in, spread_hot_cells
 
 # Shapes that only touch come out with up to some 1e-15 of the smaller one; by
 # default an overlap counts from this share of it.
@@ -50,6 +50,12 @@ def _at_levels(shapes: DataFrame, levels: list[int], finer_only: bool) -> DataFr
     return shapes.withColumn("level", F.explode(F.expr(usable)))
 
 
+def _sizes(shapes: DataFrame) -> tuple[int, int]:
+    """Rows and measured bytes of shapes with their edges."""
+    row = shapes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("edges")).alias("edges")).first()
+    return row["n"], row["n"] * ROW_BYTES + (row["edges"] or 0) * EDGE_BYTES
+
+
 def _pairs(source: DataFrame, target: DataFrame, hot_rows: int = HOT_CELL_SHAPES) -> DataFrame:
     """Shapes whose boxes overlap, each pair once.
 
@@ -72,8 +78,8 @@ def _pairs(source: DataFrame, target: DataFrame, hot_rows: int = HOT_CELL_SHAPES
             sides[finer], sides[coarser] = spread_hot_cells(sides[finer], sides[coarser], hot_rows)
             on = [*CELL_KEY, "_salt"]
         return (
-            sides["s"]
-            .join(sides["t"], on)
+            shuffle_if(sides["s"], n_rows["s"] * ROW_BYTES)
+            .join(shuffle_if(sides["t"], n_rows["t"] * ROW_BYTES), on)
             .drop("_salt")
             .where((left < right) & (low < top))
             .where((F.floor(left / cell_width()) == F.col("cx")) & (F.floor(low / cell_width()) == F.col("cy")))
@@ -125,10 +131,11 @@ def overlay(source: DataFrame, target: DataFrame, sliver: float = SLIVER, hot_ro
     count as one shape made of several, if they do not overlap each other.
     Overlaps of no more than ``sliver`` of the smaller shape are rounding noise.
     """
-    # Shapes of one boundary file come from one task; the pairs must not be all met in that task.
+    # Shapes of one boundary file come from one task; neither their areas nor the pairs must all be worked out in that task.
     s_shapes, t_shapes = (
-        settle(spread(overlay_shapes(zones)).withColumn("row", F.monotonically_increasing_id())) for zones in (source, target)
+        settle(overlay_shapes(spread(zones)).withColumn("row", F.monotonically_increasing_id())) for zones in (source, target)
     )
+    s_rows, s_bytes, t_rows, t_bytes = (n for shapes in (s_shapes, t_shapes) for n in _sizes(shapes))
     # Pairs without their edges: these follow by strips of the common x-range, so that no pair has to fit a task.
     outlines = (s.withColumn("n_edges", F.size("edges")).drop("edges") for s in (s_shapes, t_shapes))
     pairs = _pairs(*outlines, hot_rows).select(
@@ -141,16 +148,16 @@ def overlay(source: DataFrame, target: DataFrame, sliver: float = SLIVER, hot_ro
     )
     pairs = land(pairs, "pairs")
 
-    def in_strips(shapes: DataFrame, row: str, name: str, carried: list[str]) -> DataFrame:
+    def in_strips(shapes: DataFrame, n_bytes: int, row: str, name: str, carried: list[str]) -> DataFrame:
         """A pair's edges over its common x-range, once for each strip they reach."""
         edges = shapes.select(F.col("row").alias(row), F.explode("edges").alias(name))
         low, high = F.least(f"{name}.x1", f"{name}.x2"), F.greatest(f"{name}.x1", f"{name}.x2")
-        over = pairs.join(edges, row).where((high > F.col("left")) & (low < F.col("right")))
+        over = pairs.join(shuffle_if(edges, n_bytes), row).where((high > F.col("left")) & (low < F.col("right")))
         strip = F.explode(F.sequence(_strip(low), _strip(high))).alias("strip")
         return over.select("s_row", "t_row", strip, name, *carried)
 
-    both = in_strips(s_shapes, "s_row", "a", ["source_id", "target_id", "base", "left", "right", "strips"]).join(
-        in_strips(t_shapes, "t_row", "b", []), ["s_row", "t_row", "strip"]
+    both = in_strips(s_shapes, s_bytes, "s_row", "a", ["source_id", "target_id", "base", "left", "right", "strips"]).join(
+        in_strips(t_shapes, t_bytes, "t_row", "b", []), ["s_row", "t_row", "strip"]
     )
     begin = F.greatest(F.least("a.x1", "a.x2"), F.least("b.x1", "b.x2"))
     end = F.least(F.greatest("a.x1", "a.x2"), F.greatest("b.x1", "b.x2"))
@@ -159,12 +166,13 @@ def overlay(source: DataFrame, target: DataFrame, sliver: float = SLIVER, hot_ro
     ids = ["source_id", "target_id"]
     pieces = edge_pairs.groupBy(*ids).agg(F.sum(F.expr(_shared_trapezoid())).alias("intersection_area"))
 
-    def areas(shapes: DataFrame, side: str) -> DataFrame:
-        return shapes.groupBy(F.col("zone_id").alias(f"{side}_id")).agg(F.sum("area").alias(f"{side}_area"))
+    def areas(shapes: DataFrame, n_rows: int, side: str) -> DataFrame:
+        sums = shapes.groupBy(F.col("zone_id").alias(f"{side}_id")).agg(F.sum("area").alias(f"{side}_area"))
+        return shuffle_if(sums, n_rows * ROW_BYTES)
 
     return (
-        pieces.join(areas(s_shapes, "source"), "source_id")
-        .join(areas(t_shapes, "target"), "target_id")
+        pieces.join(areas(s_shapes, s_rows, "source"), "source_id")
+        .join(areas(t_shapes, t_rows, "target"), "target_id")
         .where(F.col("intersection_area") > F.least("source_area", "target_area") * F.lit(sliver))
         .select(
             *ids,

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # A table may be broadcast, or ordered in one task, up to these sizes; they are checked, not assumed.
 BROADCAST_BYTES = 64 * 1024 * 1024
 SINGLE_TASK_ROWS = 100_000
+# Up to this measured size Spark may choose the join itself. Beyond it a side is shuffled: Spark's own estimate takes an array for
+# one element and carries that through checkpoints, so it would send tables many times larger than its limit through the driver.
+PLANNED_BYTES = 8 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,3 +70,8 @@ def spread(df: DataFrame) -> DataFrame:
 def broadcast_if(df: DataFrame, n_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Ask for a broadcast only where the measured size allows it."""
     return F.broadcast(df) if n_bytes <= limit else df
+
+
+def shuffle_if(df: DataFrame, n_bytes: int | float, limit: int = PLANNED_BYTES) -> DataFrame:
+    """Ask for a join by shuffle where the measured size is no longer small."""
+    return df.hint("merge") if n_bytes > limit else df

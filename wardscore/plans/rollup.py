@@ -11,7 +11,7 @@ from wardscore.functions.codes import borough_of
 from wardscore.functions.display import area_label
 from wardscore.operators.overlay import overlay
 from wardscore.operators.scoring import rank_rows, row_mean, score_order
-from wardscore.operators.settle import settle
+from wardscore.operators.settle import land, settle, spread
 from wardscore.operators.tables import col, first_by
 from wardscore.plans.combine import DISTRICT_METHOD, OVERALL, QUALITY_COLUMNS, RANK, index_records, score_record
 from wardscore.plans.zones import ZONE_ID
@@ -84,13 +84,16 @@ def rollup(index: DataFrame, zones: DataFrame, target: DataFrame, share: str = "
     """
     if share not in ("target", "source"):
         raise ValueError(f"share must be 'target' or 'source', not {share!r}")
+    # Landed, as shapes and names are read apart and the shapes may have to be worked out of text.
+    target = land(spread(target.select("zone_id", "file_order", "zone_name", "parts")), "target")
     pieces = overlay(zones, target)
     scores = index.select(col(ZONE_ID).alias("source_id"), *[col(c) for c in [*AVERAGED, *SUMMED]])
     # Districts without a score keep their pieces, with nothing to add.
     weighted = _weighted(pieces.join(scores, "source_id", "left"), "weight" if share == "target" else "source_share")
     names = first_by(target.select("zone_id", "file_order", "zone_name"), ["zone_id"], ["file_order"])
     rolled = settle(
-        weighted.join(names, weighted["target_id"] == names["zone_id"]).select(
+        # Shuffled, as there is a name for every target; the other side lies by target already.
+        weighted.join(names.hint("merge"), weighted["target_id"] == names["zone_id"]).select(
             F.col("target_id").alias("geo_id"), F.col("zone_name").alias("name"), *[col(c) for c in [*AVERAGED, *SUMMED]]
         )
     ).withColumn(OVERALL, row_mean([col(c) for c in QUALITY_COLUMNS]))
