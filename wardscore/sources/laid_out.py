@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass
+from functools import cache
+from itertools import product
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from wardscore.operators.tables import q, require_columns
 # Bits of a key per axis, those of a folder per axis, and the ranges a box is cut into at most.
 ORDER, FOLDER_ORDER = 16, 3
 MOST_RANGES = 64
+# Bits of both axes that a key takes up at a time, at most.
+STEP_BITS = 4
 KEY, FOLDER = "_curve", "_patch"
 LAYOUT = "_layout"
 
@@ -62,22 +67,35 @@ def turned(quadrant_x, quadrant_y, state):
     return place, new_swap + 2 * new_mirror
 
 
+@cache
+def turns(bits: int) -> list[int]:
+    """Steps of so many bits an axis: 4 * place + orientation, listed by orientation, then x, then y."""
+    found = []
+    for state, x, y in product(range(4), range(1 << bits), range(1 << bits)):
+        key = 0
+        for level in reversed(range(bits)):
+            place, state = turned(x >> level & 1, y >> level & 1, state)
+            key = key * 4 + int(place)
+        found.append(4 * key + int(state))
+    return found
+
+
 def curve_key(x: Column, y: Column, order: int = ORDER) -> Column:
-    """The key of a cell on the Hilbert curve, as one expression: a fold over the bits of both axes, the highest first."""
-    bits = F.transform(
-        F.sequence(F.lit(order - 1), F.lit(0)),
-        lambda level: F.struct(
-            F.pmod(F.floor(x / F.pow(F.lit(2.0), level)), F.lit(2)).cast("double").alias("x"),
-            F.pmod(F.floor(y / F.pow(F.lit(2.0), level)), F.lit(2)).cast("double").alias("y"),
-        ),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("state"))
+    """The key of a cell on the Hilbert curve, as one expression: a fold over the bits of both axes, the highest first.
+
+    Each step looks up several bits in a constant table, as working turns out by arithmetic costs hundreds of operations a bit.
+    """
+    bits = gcd(order, STEP_BITS)
+    table = F.expr(f"array({', '.join(f'{t}L' for t in turns(bits))})")
+    part = lambda v, shift: F.shiftright(v.cast("long"), shift).bitwiseAND((1 << bits) - 1)
+    steps = F.array(*[part(x, n) * (1 << bits) + part(y, n) for n in range(order - bits, -1, -bits)])
 
     def step(so_far: Column, quadrant: Column) -> Column:
-        place, state = turned(quadrant["x"], quadrant["y"], so_far["state"])
-        return F.struct((so_far["key"] * 4 + place.cast("long")).alias("key"), state.cast("double").alias("state"))
+        # The key so far with the orientation in its last two bits.
+        found = F.get(table, (so_far.bitwiseAND(3) * (1 << 2 * bits) + quadrant).cast("int"))
+        return F.shiftleft(F.shiftright(so_far, 2), 2 * bits + 2).bitwiseOR(found)
 
-    return F.aggregate(bits, start, step, lambda end: end["key"])
+    return F.aggregate(steps, F.lit(0).cast("long"), step, lambda end: F.shiftright(end, 2))
 
 
 def box_ranges(low: tuple[int, int], high: tuple[int, int], order: int = ORDER, most: int = MOST_RANGES) -> list[tuple[int, int]]:
