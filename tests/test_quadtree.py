@@ -91,3 +91,22 @@ def test_given_zones(spark, sf_dir, cells):
 def test_no_zones(spark):
     points = points_of(spark, [(0, 1.0, 1.0)])
     assert Q.located(points, zones(spark, SHAPES).limit(0)).count() == 0
+
+
+def test_edges_of_one_shape_are_dealt_out(spark, monkeypatch):
+    """One row with all parts: no task may get all its edges."""
+    from wardscore.operators import quadtree
+
+    corner = "struct({} AS x, {} AS y)"
+    box = ", ".join(corner.format(x, y) for x, y in (("i", "0D"), ("i + 0.5D", "0D"), ("i + 0.5D", "1D"), ("i", "1D")))
+    zone = spark.range(1).selectExpr("'a' AS zone_id", f"transform(sequence(1, 1000), i -> array(array({box}))) AS parts")
+    shares = []
+    plain = quadtree.shape_cells
+
+    def watched(edges, *more):
+        shares.extend(r["n"] for r in edges.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+        return plain(edges, *more)
+
+    monkeypatch.setattr(quadtree, "shape_cells", watched)
+    quadtree.adaptive_cells(zone)
+    assert sum(shares) == 4000 and max(shares) < 1000

@@ -156,8 +156,11 @@ def zone_edges(zones: DataFrame, zone: str) -> DataFrame:
 def adaptive_cells(zones: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """One row per leaf cell and zone: the zone's columns but ``parts``, and ``rings``: part, ring, inside and edges in the cell."""
     zones = settle(zones.withColumn("_zone", F.monotonically_increasing_id()))
-    # Shapes of one boundary file come from one task.
-    cells = shape_cells(zone_edges(spread(zones), "_zone"), ["_zone", "part", "ring"], most_edges)
+    # A shape of very many parts is one row: its edges are dealt out one by one, as every later round keeps them where they are.
+    edges = zone_edges(spread(zones), "_zone")
+    spark = edges.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    cells = shape_cells(edges.repartition(tasks), ["_zone", "part", "ring"], most_edges)
     held = cells.groupBy(*CELL_KEY, "_zone").agg(F.collect_list(F.struct("part", "ring", "inside", "edges")).alias("rings"))
     return held.join(zones.drop("parts"), "_zone").drop("_zone")
 
