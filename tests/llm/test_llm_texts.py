@@ -343,3 +343,40 @@ def test_token_and_spelled_bits_adapt_apart():
     spelled, token = np.zeros(n, bool), np.ones(n, bool)
     both = cost(np.concatenate([spelled, token]), np.arange(2 * n) < n)
     assert abs(both - cost(spelled, token) - cost(token, ~token)) < 1e-3
+
+
+@pytest.mark.parametrize("rows", [30, 260])
+def test_mixer_learns_from_all_training_texts(spark, monkeypatch, rows):
+    """Every bit of every training text is counted by each predictor and learned from by the mixer, few texts or many."""
+    texts = [(i, f"w{i % 7} x{i % 3} w{i % 5} rare{i} " * 3) for i in range(rows)]
+    fit, caught = context_mixing.calibrated, []
+    monkeypatch.setattr(context_mixing, "calibrated", lambda *a: caught.append(a) or fit(*a))
+    F = context_mixing.F
+    got = context_mixing.score_texts(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), F.col("doc_id") % 7 != 2).collect()
+    assert len(got) == rows and all(math.isfinite(r["score"]) for r in got)
+    (_, cells, seen), = caught
+    data = "".join(x for i, x in texts if i % 7 != 2).encode()
+    bounds = np.cumsum([0] + [len(x) for i, x in texts if i % 7 != 2])
+    tokens = context_mixing.tokens_of(np.frombuffer(data, np.uint8), bounds)
+    hashes, n = np.unique(tokens.hashes[~tokens.is_end], return_counts=True)
+    lex = context_mixing.lexicon(hashes, n, len(bounds) - 1, int(n.sum()))
+    events = context_mixing.events_of(lex, np.frombuffer(data, np.uint8), tokens, context_mixing.found_in(lex, tokens))
+    assert cells.sum() == len(events.bit) and cells.sum(axis=0)[1] == events.bit.sum()
+    assert (seen.sum(axis=1) == len(events.bit)).all()
+
+
+def test_fitted_weights_follow_the_counted_states():
+    """Where one predictor alone tells the bit, it gets the weight; gates that were never met keep theirs."""
+    table = np.full(context_mixing.FIRST[-1], context_mixing.packed(np.array([2]), np.array([2]))[0])
+    seen, cells = np.zeros((4, 1024), np.int64), np.zeros((context_mixing.CELLS, 2), np.int64)
+    sure = [context_mixing.packed(np.array([a]), np.array([b]))[0] for a, b in ((99, 1), (1, 99))]
+    level = context_mixing.packed(np.array([50]), np.array([50]))[0]
+    seen[:, [*sure, level]] = 100
+    for bit, slot in enumerate(sure):
+        at = 0
+        for k, packed_ in enumerate((level, slot, level, level)):
+            at = at * 16 + int((context_mixing.STATE if k else context_mixing.FIRST_STATE)[packed_])
+        cells[at, bit], cells[at, 1 - bit] = 9900, 100
+    mixer = context_mixing.calibrated(table, cells, seen)
+    gate = 63
+    assert 0.9 < mixer.weights[1][gate] < 1.3 and abs(mixer.weights[1][0] - 0.3) < 1e-6

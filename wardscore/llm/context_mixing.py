@@ -5,12 +5,14 @@ bytes. Four predictors know the bits' counts in the training texts, each under a
 before, the two tokens before, and the last very frequent token, which tells the language; inside spelled words the bytes
 before, the word so far, and bytes before with the language. A mixer adds the predictors' log odds with weights from a set
 that a gate picks by how much each predictor has seen.
-The weights are learned online over calibration texts, go on adapting inside each scored text (from one stretch of tokens to
-the next, so that only what has been read is used), and a last map refines the mixed probability by what such predictions
-were worth. The sum of the bits' log probabilities is the text's.
-
-What tasks gather from the corpus is summed by Spark: token counts by token, bit counts by slices of the predictors' tables,
-which have a fixed size. Beside it stands the unigram score; counts of the most frequent tokens go to every task, up to a
+The weights are learned from all training texts: these are dealt into two folds by a hash of their text, and each is predicted
+from the bits of the other, so that no text is judged by counts it has entered. What the mixer learns from is counted by Spark:
+how often a bit was 0 and 1 at a depth when the predictors were in certain states. The weights go on adapting inside each scored
+text (from one stretch of tokens to the next, so that only what has been read is used), and a last map refines the mixed
+probability by what such predictions were worth. The sum of the bits' log probabilities is the text's.
+
+What tasks gather from the corpus is summed by Spark: token counts by token, bit counts and states by slices of tables, which
+have a fixed size. Beside it stands the unigram score; counts of the most frequent tokens go to every task, up to a
 checked number, and those of all others are joined.
 """
 
@@ -37,12 +39,13 @@ LEAST_CODED = 3
 # Slots of the predictors' tables, and slots in a slice.
 SLOTS = (1 << 18, 1 << 21, 1 << 21, 1 << 21)
 SLICE = 1 << 15
-# Documents that the mixer is calibrated on; tokens between two updates inside a text; bytes of text handled at once
-# (when scored: so few that the arrays stay in the processor's caches).
-CALIBRATION = 200
+# Tokens between two updates inside a text; bytes of text handled at once (when scored: so few that the arrays stay in the
+# processor's caches).
 STRETCH = 64
 CHUNK, SCORED_CHUNK = 1 << 20, 1 << 19
-RATE, ONLINE_RATE, ROUNDS = 0.02, 0.002, 2
+ONLINE_RATE = 0.002
+# Folds of the training texts, and rounds in which the weights are fitted to the counted states.
+FOLDS, ROUNDS = 2, 12
 STOP = 256
 SPREAD = U64(0x9E3779B97F4A7C15)
 FIRST = np.concatenate([[0], np.cumsum(SLOTS)])
@@ -175,12 +178,13 @@ def _slots(contexts: list[np.ndarray], lengths: np.ndarray, nodes: np.ndarray) -
     out = np.empty((len(SLOTS), len(nodes)), np.int32)
     mark = nodes.astype(np.uint32) * np.uint32(0x9E3779B1)
     for k, (context, size) in enumerate(zip(contexts, SLOTS, strict=True)):
-        mixed = (np.repeat(context, lengths) ^ mark) * np.uint32(0x85EBCA6B)
+        mixed = np.repeat(context, lengths)
+        mixed ^= mark
+        mixed *= np.uint32(0x85EBCA6B)
         mixed ^= mixed >> np.uint32(15)
         mixed *= np.uint32(0xC2B2AE35)
         mixed >>= np.uint32(33 - size.bit_length())
-        out[k] = mixed
-        out[k] += FIRST[k]
+        np.add(mixed, np.uint32(FIRST[k]), out=out[k], casting="unsafe")
     return out
 
 
@@ -207,6 +211,10 @@ def events_of(lex: Lexicon, data: np.ndarray, tokens: Tokens, place: np.ndarray)
             _narrow((language + U64(7)) * SPREAD),
         ]
         text, stretch = tokens.text.astype(np.int32), (tokens.place // STRETCH).astype(np.int32)
+        # By stretch, as they are scored; what came before each token is known by now.
+        order = np.argsort(stretch, kind="stable")
+        text, stretch, symbol, language = (v[order] for v in (text, stretch, symbol, language))
+        contexts, begins, ends = [c[order] for c in contexts], tokens.starts[order], tokens.ends[order]
         lengths = lex.tokens.lengths[symbol]
         at = ragged(lex.tokens.starts[symbol], lengths)
         bits, depth = lex.tokens.bits[at], lex.tokens.depths[at]
@@ -214,10 +222,10 @@ def events_of(lex: Lexicon, data: np.ndarray, tokens: Tokens, place: np.ndarray)
         texts, stretches = np.repeat(text, lengths), np.repeat(stretch, lengths)
 
         spelled = np.flatnonzero(symbol == lex.escape)
-        size = tokens.ends[spelled] - tokens.starts[spelled] + 1
-        where = ragged(tokens.starts[spelled], size)
+        size = ends[spelled] - begins[spelled] + 1
+        where = ragged(begins[spelled], size)
         owner = np.repeat(np.arange(len(spelled)), size)
-        inside = where - tokens.starts[spelled][owner]
+        inside = where - begins[spelled][owner]
         is_stop = inside == (size - 1)[owner]
         body = data if len(data) else np.zeros(1, np.uint8)
         sign = np.where(is_stop, STOP, body[np.minimum(where, len(body) - 1)]).astype(np.int64)
@@ -228,7 +236,7 @@ def events_of(lex: Lexicon, data: np.ndarray, tokens: Tokens, place: np.ndarray)
         contexts = [
             _narrow((two + U64(1 << 30)) * SPREAD),
             _narrow(stirred(tongue * U64(1 << 24) + three)),
-            _narrow(slice_hashes(data, tokens.starts[spelled][owner], where)),
+            _narrow(slice_hashes(data, begins[spelled][owner], where)),
             _narrow(stirred(tongue * U64(1 << 16) + two + U64(1 << 40))),
         ]
         lengths = lex.spelled.lengths[sign]
@@ -256,12 +264,31 @@ def packed(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 ODDS = ((np.arange(1024) >> 2) - 128).astype(np.float32) / 16
 TRUST = (np.arange(1024) & 3).astype(np.uint8)
 
+# States that a slot is counted in when the mixer learns, by trust: between which log odds it has another one. Sixteen in all;
+# the first predictor, whose trust picks no weights, has sixteen by its log odds alone.
+EDGES = ([], [-1.0, 0.0, 1.0], [-2.5, -0.9, 0.9, 2.5], [-4.0, -2.0, 0.0, 2.0, 4.0])
+FIRST_EDGES = [-6.0, -5.0, -4.0, -3.0, -2.0, -1.2, -0.5, 0.0, 0.5, 1.2, 2.0, 3.0, 4.0, 5.0, 6.0]
+BEGINS = np.cumsum([0] + [len(e) + 1 for e in EDGES])[:-1]
+STATES = 16
+STATE = np.array([BEGINS[t] + np.digitize(o, EDGES[t]) for o, t in zip(ODDS, TRUST, strict=True)], np.uint8)
+STATE_TRUST = np.repeat(np.arange(4), [len(e) + 1 for e in EDGES])
+FIRST_STATE = np.digitize(ODDS, FIRST_EDGES).astype(np.uint8)
+# One cell for each depth and state of every predictor.
+CELLS = 32 * STATES ** len(SLOTS)
+
+
+def states_of(table: np.ndarray) -> np.ndarray:
+    """The state of every slot of the joint table."""
+    return np.concatenate([FIRST_STATE[table[: FIRST[1]]], STATE[table[FIRST[1] :]]])
+
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 GATES = 2 * 4**3
+# The input beside the predictors' log odds.
+CONSTANT = 0.25
 # Steps of the mixed log odds: so many to one, from -REACH to REACH, and buckets of the refining map.
 FINE, REACH, BUCKETS = 16, 8, 33
 LEVELS = 2 * REACH * FINE + 1
@@ -274,21 +301,22 @@ class Mixer:
     refined: np.ndarray
     constant: np.ndarray = field(default_factory=lambda: np.zeros(GATES, np.float32))
 
-    def inputs(self, slots: np.ndarray, spells: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """The predictors' log odds with a constant, and the gate of each bit."""
-        seen = [self.table[row] for row in slots]
-        x = [ODDS[row] for row in seen] + [np.full(len(spells), 0.25, np.float32)]
-        gate = spells.view(np.uint8)
-        for row in seen[1:]:
-            gate = gate * np.uint8(4) + TRUST[row]
-        return x, gate
-
-    def rows(self) -> list[np.ndarray]:
-        """The weights of each input, the constant last."""
-        return [*self.weights, self.constant]
+    def inputs(self, slots: np.ndarray, spells: bool) -> tuple[list[np.ndarray], np.ndarray]:
+        """The predictors' log odds, and the gate of each bit."""
+        x, gate = [], np.full(slots.shape[1], spells, np.uint8)
+        for k, row in enumerate(slots):
+            seen = self.table[row]
+            x.append(ODDS[seen])
+            if k:
+                gate <<= np.uint8(2)
+                gate |= TRUST[seen]
+        return x, gate.astype(np.intp)
 
     def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        return sum(row * weight[gate] for row, weight in zip(x, self.rows(), strict=True))
+        out = np.take(self.constant * np.float32(CONSTANT), gate)
+        for row, weight in zip(x, self.weights, strict=True):
+            out += row * np.take(weight, gate)
+        return out
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """By depth, step of the log odds and bit: the bit's cost and how far the prediction missed it.
@@ -305,57 +333,99 @@ class Mixer:
         return cost.astype(np.float32).ravel(), (miss * ONLINE_RATE).astype(np.float32).ravel()
 
     def score(self, events: Events, texts: int) -> np.ndarray:
-        """Natural log probability of each text, the weights adapting along it."""
+        """Natural log probability of each text, the weights adapting along it; bits of tokens and of spelled bytes adapt their own."""
         out = np.zeros(texts)
-        if not len(events.bit):
-            return out
-        stretch = events.stretch.astype(np.int16) if events.stretch.max() < 1 << 15 else events.stretch
-        order = np.argsort(stretch, kind="stable")
-        x, gate = self.inputs(events.slots[:, order], events.spells[order])
+        tables = self.tables()
+        for spells in (False, True):
+            mine = np.flatnonzero(events.spells == spells)
+            if not len(mine):
+                continue
+            # Stretch after stretch, in each text after text; usually they come that way, token bits first.
+            stretch, text = events.stretch[mine], events.text[mine]
+            step = stretch[1:] - stretch[:-1]
+            if (step < 0).any() or ((step == 0) & (text[1:] < text[:-1])).any():
+                order = np.lexsort((text, stretch))
+                mine, stretch, text = mine[order], stretch[order], text[order]
+            whole = mine[-1] - mine[0] + 1 == len(mine) and (mine[1:] > mine[:-1]).all()
+            at = slice(mine[0], mine[-1] + 1) if whole else mine
+            self._add(out, tables, spells, events.bit[at], events.slots[:, at], events.depth[at], stretch, text)
+        return out
+
+    def _add(self, out: np.ndarray, tables: tuple, spells: bool, bit, slots, depth, stretch, text) -> None:  # noqa: ANN001
+        """Adds to ``out`` the log probabilities of bits that come by stretch and text."""
+        cost, miss = tables
+        x, gate = self.inputs(slots, spells)
         plain = self.mixed(x, gate)
-        bits, depths, texts_ = events.bit[order], events.depth[order], events.text[order]
-        cuts = np.searchsorted(stretch[order], np.arange(int(stretch.max()) + 2))
-        cost, miss = self.tables()
         # Where a bit's entries begin in the tables; the step of its log odds is added.
-        entry = (depths.astype(np.int32) * LEVELS + REACH * FINE) * 2 + bits
-        # Bits of tokens and of spelled bytes adapt weights of their own.
-        own = np.zeros((len(x), 2 * texts), np.float32)
-        owners = texts_ * 2 + events.spells[order]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            who, v = owners[a:b], [row[a:b] for row in x]
-            odds = plain[a:b].copy()
+        entry = (depth.astype(np.intp) * LEVELS + REACH * FINE) * 2 + bit
+        # Bits of one text in one stretch.
+        new = np.flatnonzero((stretch[1:] != stretch[:-1]) | (text[1:] != text[:-1])) + 1
+        begins = np.concatenate([[0], new])
+        sizes = np.diff(np.append(begins, len(bit)))
+        who, when = text[begins], stretch[begins]
+        first = np.flatnonzero(np.concatenate([[True], when[1:] != when[:-1], [True]]))
+        own = np.zeros((len(x) + 1, len(out)), np.float32)
+        for f, g in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            a, b = begins[f], begins[f] + sizes[f:g].sum()
+            ids, size, begin = who[f:g], sizes[f:g], begins[f:g] - a
+            v = [row[a:b] for row in x]
+            odds = plain[a:b] + np.repeat(own[-1][ids] * np.float32(CONSTANT), size)
             for k, row in enumerate(v):
-                odds += row * own[k][who]
+                odds += row * np.repeat(own[k][ids], size)
             np.clip(odds, -REACH, REACH, out=odds)
-            at = entry[a:b] + 2 * np.rint(odds * FINE).astype(np.int32)
-            out -= np.bincount(texts_[a:b], cost[at], texts)
-            missed = miss[at]
+            odds *= FINE
+            at = np.rint(odds, out=odds).astype(np.intp)
+            at *= 2
+            at += entry[a:b]
+            out[ids] -= np.add.reduceat(np.take(cost, at), begin)
+            missed = np.take(miss, at)
             for k, row in enumerate(v):
-                own[k] += np.bincount(who, missed * row, 2 * texts)
-        return out
+                own[k][ids] += np.add.reduceat(missed * row, begin)
+            own[-1][ids] += np.add.reduceat(missed, begin) * np.float32(CONSTANT)
+
 
+def calibrated(table: np.ndarray, cells: np.ndarray, seen: np.ndarray) -> Mixer:
+    """The weights of every gate, and the map behind them, fitted to the counted states of all training texts.
 
-def calibrated(table: np.ndarray, events: Events) -> Mixer:
-    """The weights of every gate learned bit by bit over the calibration texts, in blocks, and the map behind them."""
-    start = np.full((len(SLOTS) + 1, GATES), 0.3, np.float32)
-    mixer = Mixer(table, start[:-1], np.zeros((32, BUCKETS), np.float32), start[-1])
-    x, gate = mixer.inputs(events.slots, events.spells)
-    moved = np.full(start.shape, 1e-3)
+    ``cells`` counts zeros and ones by depth and states, ``seen`` the training bits by predictor and packed slot, which says what
+    log odds a state stands for. Weights that the counts say nothing of stay at 0.3.
+    """
+    n_inputs = len(SLOTS) + 1
+    weights = np.full((n_inputs, GATES), 0.3)
+    odds_of = []
+    for k, used in enumerate(seen):
+        state = STATE if k else FIRST_STATE
+        # A state that was never met stands for the middle of its slots.
+        share = used + 1e-9
+        odds_of.append(np.bincount(state, share * ODDS, STATES) / np.maximum(np.bincount(state, share, STATES), 1e-300))
+    met = np.flatnonzero(cells.any(axis=1))
+    zeros, ones = cells[met].T.astype(float)
+    depth, parts = met // STATES ** len(SLOTS), [met // STATES ** (len(SLOTS) - 1 - k) % STATES for k in range(len(SLOTS))]
+    x = np.stack([*[o[p] for o, p in zip(odds_of, parts, strict=True)], np.full(len(met), CONSTANT)])
+    gate = (depth >= 16).astype(int)
+    for part in parts[1:]:
+        gate = gate * 4 + STATE_TRUST[part]
+    # Newton's method for all gates at once, held back where little was seen.
+    hold = np.eye(n_inputs) * 2.0
     for _ in range(ROUNDS):
-        for a in range(0, len(gate), 4096):
-            b = slice(a, a + 4096)
-            part = [row[b] for row in x]
-            miss = events.bit[b] - squash(mixer.mixed(part, gate[b]))
-            for k, row in enumerate(part):
-                step = np.bincount(gate[b], miss * row, GATES)
-                moved[k] += step * step
-                start[k] += 10 * RATE * step / np.sqrt(moved[k])
-    odds = mixer.mixed(x, gate)
-    at = np.clip(((odds + 8) * 2).round(), 0, BUCKETS - 1).astype(int) + events.depth.astype(int) * BUCKETS
-    ones, all_ = np.bincount(at, events.bit, 32 * BUCKETS), np.bincount(at, minlength=32 * BUCKETS)
+        p = squash((x * weights[:, gate]).sum(axis=0))
+        miss, bend = ones - (zeros + ones) * p, (zeros + ones) * p * (1 - p)
+        slope = np.stack([np.bincount(gate, miss * row, GATES) for row in x], axis=1) - (weights.T - 0.3) @ hold
+        curve = np.empty((GATES, n_inputs, n_inputs))
+        for i in range(n_inputs):
+            for j in range(i + 1):
+                curve[:, i, j] = curve[:, j, i] = np.bincount(gate, bend * x[i] * x[j], GATES)
+        step = np.linalg.solve(curve + hold, slope[..., None])[..., 0].T
+        # No step so long that the next one starts from certainty.
+        step *= np.minimum(1, 1 / np.maximum(np.abs(step).max(axis=0), 1e-12))
+        weights += step
+    mixer = Mixer(table, weights[:-1].astype(np.float32), np.zeros((32, BUCKETS), np.float32), weights[-1].astype(np.float32))
+    odds = (x * weights[:, gate]).sum(axis=0)
+    at = np.clip(((odds + 8) * 2).round(), 0, BUCKETS - 1).astype(int) + depth * BUCKETS
+    hit, all_ = np.bincount(at, ones, 32 * BUCKETS), np.bincount(at, zeros + ones, 32 * BUCKETS)
     # Where little was seen, the map changes nothing.
     prior = squash(np.tile(np.arange(BUCKETS) / 2 - 8, 32))
-    share = (ones + 20 * prior) / (all_ + 20)
+    share = (hit + 20 * prior) / (all_ + 20)
     mixer.refined = np.log(share / (1 - share)).reshape(32, BUCKETS).astype(np.float32)
     return mixer
 
@@ -398,52 +468,145 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def bit_counts(texts: DataFrame, lex) -> np.ndarray:
-    """The predictors' joint table, packed, from the training texts; ``lex`` is the broadcast lexicon."""
+def _add_to(counts: np.ndarray, keys: np.ndarray) -> None:
+    """Counts each key once more."""
+    keys = np.sort(keys)
+    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else np.zeros(0, int)
+    counts[keys[last]] += np.diff(last, prepend=-1).astype(counts.dtype)
+
+
+def _folded(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The chunks of a batch of texts with their folds, each fold's together."""
+    fold = batch.column(1).to_numpy(zero_copy_only=False)
+    for f in range(FOLDS):
+        for _, _, data, bounds in _chunks(batch.column(0).filter(pa.array(fold == f))):
+            yield f, data, bounds
+
+
+def _slices(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The slices of an array of counts that hold any, zeros and ones of a slot side by side."""
+    press = zstandard.ZstdCompressor(level=1)
+    slices = [i for i in range(len(counts) // (2 * SLICE)) if counts[2 * i * SLICE : 2 * (i + 1) * SLICE].any()]
+    for a in range(0, len(slices), 16):
+        part = slices[a : a + 16]
+        bodies = [press.compress(counts[2 * i * SLICE : 2 * (i + 1) * SLICE].tobytes()) for i in part]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(bodies, pa.binary())], names=["slice", "counts"])
+
+
+def _by_slice(gathered: DataFrame, give, fields: str) -> DataFrame:  # noqa: ANN001
+    """``give(slice, bodies)`` for each slice; bodies are as many as tasks have counted."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        now, sums = None, None
+        for batch in batches:
+            for at, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at != now:
+                    if now is not None:
+                        yield from give(now, sums)
+                    now, sums = at, np.zeros(2 * SLICE, np.int64)
+                sums += np.frombuffer(open_.decompress(body), np.int32)
+        if now is not None:
+            yield from give(now, sums)
+
+    return gathered.repartition("slice").sortWithinPartitions("slice").mapInArrow(add_up, fields)
+
+
+def bit_counts(texts: DataFrame, lex) -> tuple[list[np.ndarray], np.ndarray]:  # noqa: ANN001
+    """The predictors' joint table, packed: of each fold and of all training texts; and how many training bits met a packed slot.
+
+    ``texts`` has the columns text and fold, ``lex`` is the broadcast lexicon.
+    """
     total = int(FIRST[-1])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Zeros and ones of a slot side by side.
-        counts = np.zeros(2 * total, np.int32)
+        counts = np.zeros(FOLDS * 2 * total, np.int32)
         for batch in batches:
-            for _, _, data, bounds in _chunks(batch.column(0)):
+            for f, data, bounds in _folded(batch):
                 tokens = tokens_of(data, bounds)
                 events = events_of(lex.value, data, tokens, found_in(lex.value, tokens))
-                for row, first, size in zip(events.slots, FIRST, SLOTS, strict=False):
-                    seen = np.bincount((row - np.int32(first)) * np.int32(2) + events.bit, minlength=2 * size)
-                    part = counts[2 * first : 2 * (first + size)]
-                    np.add(part, seen, out=part, casting="unsafe")
+                mine = counts[f * 2 * total : (f + 1) * 2 * total]
+                for row in events.slots:
+                    row *= 2
+                    row += events.bit
+                    _add_to(mine, row)
+        # A slice's folds lie side by side, so that they meet in one task.
         press = zstandard.ZstdCompressor(level=1)
-        slices = [i for i in range(total // SLICE) if counts[2 * i * SLICE : 2 * (i + 1) * SLICE].any()]
-        for a in range(0, len(slices), 16):
-            part = slices[a : a + 16]
-            bodies = [press.compress(counts[2 * i * SLICE : 2 * (i + 1) * SLICE].tobytes()) for i in part]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(bodies, pa.binary())], names=["slice", "counts"])
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_fold = counts.reshape(FOLDS, -1, 2 * SLICE)
+        slices = np.flatnonzero(by_fold.any(axis=(0, 2)))
+        for a in range(0, len(slices), 8):
+            part = slices[a : a + 8]
+            keys = [int(i) * FOLDS + f for i in part for f in range(FOLDS)]
+            bodies = [press.compress(by_fold[f, i].tobytes()) for i in part for f in range(FOLDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(bodies, pa.binary())], names=["slice", "counts"])
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         now, sums = None, None
 
         def done() -> pa.RecordBatch:
-            body = packed(sums[::2], sums[1::2]).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([body], pa.binary())], names=["slice", "table"])
+            whole = sums.sum(axis=0)
+            table = packed(whole[::2], whole[1::2])
+            bodies = [packed(s[::2], s[1::2]).tobytes() for s in sums] + [table.tobytes()]
+            met = np.bincount(table, whole[::2] + whole[1::2], 1024).astype(np.int64).tobytes()
+            columns = [pa.array([now], pa.int32()), *[pa.array([b], pa.binary()) for b in (*bodies, met)]]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
             for at, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if at != now:
+                if at // FOLDS != now:
                     if now is not None:
                         yield done()
-                    now, sums = at, np.zeros(2 * SLICE, np.int64)
-                sums += np.frombuffer(open_.decompress(body), np.int32)
+                    now, sums = at // FOLDS, np.zeros((FOLDS, 2 * SLICE), np.int64)
+                sums[at % FOLDS] += np.frombuffer(open_.decompress(body), np.int32)
         if now is not None:
             yield done()
 
-    gathered = texts.mapInArrow(gather, "slice int, counts binary").repartition("slice").sortWithinPartitions("slice")
-    table = np.full(total, packed(np.zeros(1), np.zeros(1))[0], np.uint16)
+    names = ["slice", *[f"table{i}" for i in range(FOLDS + 1)], "met"]
+    gathered = texts.mapInArrow(gather, "slice int, counts binary").withColumn("at", F.expr(f"slice div {FOLDS}"))
+    gathered = gathered.repartition("at").sortWithinPartitions("at").select("slice", "counts")
+    tables = [np.full(total, packed(np.zeros(1), np.zeros(1))[0], np.uint16) for _ in range(FOLDS + 1)]
+    met = np.zeros((len(SLOTS), 1024), np.int64)
     # As many rows as the table has slices, a fixed number.
-    for row in gathered.mapInArrow(add_up, "slice int, table binary").collect():
-        table[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["table"], np.uint16)
-    return table
+    for row in gathered.mapInArrow(give, "slice int, " + ", ".join(f"{n} binary" for n in names[1:])).collect():
+        at = row["slice"] * SLICE
+        for i, table in enumerate(tables):
+            table[at : at + SLICE] = np.frombuffer(row[f"table{i}"], np.uint16)
+        met[np.searchsorted(FIRST, at, "right") - 1] += np.frombuffer(row["met"], np.int64)
+    return tables, met
+
+
+def state_counts(texts: DataFrame, lex, states) -> np.ndarray:  # noqa: ANN001
+    """Zeros and ones by depth and states of the predictors over ``texts`` (text, fold), each fold seen with the other's states.
+
+    ``states`` is a broadcast list: by fold the states of all slots when that fold is left out.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * CELLS, np.int32)
+        for batch in batches:
+            for f, data, bounds in _folded(batch):
+                tokens = tokens_of(data, bounds)
+                events = events_of(lex.value, data, tokens, found_in(lex.value, tokens))
+                key = events.depth.astype(np.int32)
+                for row in events.slots:
+                    key <<= 4
+                    key |= states.value[f][row]
+                key *= 2
+                key += events.bit
+                _add_to(counts, key)
+        yield from _slices(counts)
+
+    def add_up(at: int, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        body = zstandard.ZstdCompressor(level=1).compress(sums.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([body], pa.binary())], names=["slice", "sums"])
+
+    counts = np.zeros(2 * CELLS, np.int64)
+    # Again a fixed number of rows.
+    for row in _by_slice(texts.mapInArrow(gather, "slice int, counts binary"), add_up, "slice int, sums binary").collect():
+        at = 2 * row["slice"] * SLICE
+        counts[at : at + 2 * SLICE] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["sums"]), np.int64)
+    return counts.reshape(-1, 2)
 
 
 def _frequent(counts: DataFrame, most: int) -> pa.Table:
@@ -458,7 +621,7 @@ def _frequent(counts: DataFrame, most: int) -> pa.Table:
 
 
 def score_texts(
-    docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", known: int = KNOWN, calibration: int = CALIBRATION
+    docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", known: int = KNOWN, calibration: int | None = None
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -468,8 +631,8 @@ def score_texts(
     has its end only. Null and repeated ids each give their row, an empty table an empty one; without training rows all
     counts are 0. Other columns are not read. Tokens are told apart by 64-bit hashes.
 
-    ``known`` bounds the tokens whose counts go to every task; it changes the plan, not the unigram score. The mixer is
-    calibrated on at most ``calibration`` training rows, those whose ids hash lowest, which the predictors do not count.
+    ``known`` bounds the tokens whose counts go to every task; it changes the plan, not the unigram score. The mixer learns from
+    all training rows, or where ``calibration`` is given from so many, those whose ids hash lowest; the predictors count all.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -480,22 +643,15 @@ def score_texts(
     texts = learned.select("doc_id").count()
     train_tokens, distinct = words + texts, different + (texts > 0)
     top = _frequent(counts, known)
-    lex_ = lexicon(top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy(), texts, words)
-    lex = spark.sparkContext.broadcast(lex_)
-    rank = F.xxhash64("doc_id")
-    trial = learned.select(rank.alias("rank"), "doc_id", "text").orderBy("rank", "doc_id", F.xxhash64("text")).limit(calibration)
-    trial = trial.toArrow()
-    after = trial.column("rank")[-1].as_py() if trial.num_rows else -(1 << 63)
-    table = bit_counts(learned.where(rank > after).select("text"), lex)
-    parts = []
-    for _, _, data, bounds in _chunks(trial.column("text").combine_chunks() if trial.num_rows else pa.array([], pa.string())):
-        tokens = tokens_of(data, bounds)
-        parts.append(events_of(lex_, data, tokens, found_in(lex_, tokens)))
-    if not parts:
-        tokens = tokens_of(np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        parts.append(events_of(lex_, np.zeros(0, np.uint8), tokens, found_in(lex_, tokens)))
-    joined = Events(*(np.concatenate([getattr(p, f) for p in parts], axis=-1) for f in ("bit", "slots", "spells", "depth", "stretch", "text")))
-    mixer = spark.sparkContext.broadcast(calibrated(table, joined))
+    lex = spark.sparkContext.broadcast(lexicon(top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy(), texts, words))
+    # Equal texts share a fold, so none is predicted from a copy.
+    folded = learned.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    tables, met = bit_counts(folded.select("text", "fold"), lex)
+    # With two folds, what is known without one is what the other has counted.
+    states = spark.sparkContext.broadcast([states_of(tables[1 - f]) for f in range(FOLDS)])
+    trial = folded if calibration is None else folded.orderBy(F.xxhash64("doc_id"), "doc_id", "fold", "text").limit(calibration)
+    cells = state_counts(trial.select("text", "fold"), lex, states)
+    mixer = spark.sparkContext.broadcast(calibrated(tables[-1], cells, met))
     base_total = float(np.log10(train_tokens + distinct + 1))
     base_end = float(np.log10(texts + 1)) - base_total
 
