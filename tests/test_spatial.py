@@ -311,3 +311,11 @@ def test_large_shapes_are_not_broadcast(spark):
     pieces = O.overlay(zones(40_000, 200), zones(40_000, 200))
     assert "BroadcastHashJoin" not in pieces._jdf.queryExecution().executedPlan().toString()
     assert pieces.count() == 40_000
+
+
+def test_points_of_one_file_are_tested_by_many_tasks(spark):
+    """Points that one task reads are spread before they meet cells that are broadcast; the matches stay the same."""
+    points = spark.range(0, 200, 1, 1).select("id", (F.col("id") / 100 - 0.305).alias("Longitude"), F.lit(0.5).alias("Latitude"))
+    matched = S.points_in_zones(points, zones(spark, [("z", [[box(0, 0, 1, 1)]])]))
+    assert matched.rdd.getNumPartitions() > 1
+    assert sorted(r["id"] for r in matched.collect()) == [i for i in range(200) if 0 < i / 100 - 0.305 < 1]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardscore.operators import geometry as G
-from wardscore.operators.settle import BROADCAST_BYTES, broadcast_if, settle
+from wardscore.operators.settle import BROADCAST_BYTES, broadcast_if, settle, spread
 from wardscore.operators.tables import col, q
 
 SMALLEST_LEVEL = -30
@@ -180,7 +180,11 @@ def join_on_cells(
         )
         for n in levels_in(cells) or [0]
     ]
-    placed = points.where(px.isNotNull() & py.isNotNull()).select("*", F.inline(F.array(*cell_numbers)))
+    points = points.where(px.isNotNull() & py.isNotNull())
+    if n_bytes <= broadcast_bytes and not points.isStreaming:
+        # Nothing is shuffled behind a scan of a few files, yet the test of every point is the work.
+        points = spread(points)
+    placed = points.select("*", F.inline(F.array(*cell_numbers)))
     if n_bytes <= broadcast_bytes:
         return placed.join(F.broadcast(cells), CELL_KEY)
     if points.isStreaming:
