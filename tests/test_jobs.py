@@ -125,6 +125,16 @@ def test_unit_without_coordinates_keeps_its_row(spark, sf_dir):
     assert got.where("Representative_X is not null or Point_Coverage_Rate <> 0").count() == 0
 
 
+def test_valid_points_work_out_each_column_once(spark, sf_dir):
+    """Filters do not write the formulas of the columns out again, however deep these are."""
+    log = A.incidents(spark, sf_dir)
+    points = zones.valid_points(incidents.incident_points(log))
+    plan = points._jdf.queryExecution().optimizedPlan().toString()
+    # The factor that only the latitude's formula holds.
+    assert plan.count("7919") == 1
+    assert points.columns == incidents.incident_points(log).columns
+
+
 def test_valid_points_reads_flags_as_text(spark):
     rows = [("1", "40.7", "-74.0", "2.5", " TRUE "), ("2", "40.7", "-74.0", "2.5", "0"), ("3", "40.96", "-74.0", "2.5", "1"), ("4", "40.95", "-74.3", "2.5", "1"), ("5", "40.7", "-74.0", "x", "true")]
     df = spark.createDataFrame(rows, "CMPLNT_NUM string, Latitude string, Longitude string, weighted_incident string, has_valid_point string")

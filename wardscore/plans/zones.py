@@ -12,7 +12,7 @@ from wardscore.operators.medians import grouped_medians
 from wardscore.operators.scoring import burden_table, measure, quality, rank_rows, score_order
 from wardscore.operators.settle import land, settle
 from wardscore.operators.spatial import first_zone, points_in_zones
-from wardscore.operators.tables import col, order_columns, require_columns
+from wardscore.operators.tables import col, order_columns, require_columns, worked_out
 from wardscore.plans.incidents import COORDINATE_BOUNDS
 from wardscore.sources.laid_out import Extent, read_box
 
@@ -37,7 +37,7 @@ def valid_points(points: DataFrame) -> DataFrame:
     inside = col("Latitude").between(*COORDINATE_BOUNDS["Latitude"]) & col("Longitude").between(
         *COORDINATE_BOUNDS["Longitude"]
     )
-    return typed.where(flagged & inside & col("weighted_incident").isNotNull())
+    return worked_out(typed).where(flagged & inside & col("weighted_incident").isNotNull())
 
 
 def incident_zone_rows(points: DataFrame, zones: DataFrame) -> DataFrame:
