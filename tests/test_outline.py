@@ -121,3 +121,12 @@ def test_missing_ids_and_nothing(spark):
     rows = shape_rows(spark, [[[box(0, 0, 1, 1)]]]).withColumn("zone_id", F.lit(None).cast("string"))
     assert O.outlines(rows).count() == 0
     assert O.outlines(rows.limit(0)).count() == 0
+
+
+def test_the_area_filter_closes_a_ring_once(spark):
+    """The area's sum reads the closed ring, it does not close it again at every corner."""
+    rows = spark.createDataFrame([("a", 1, box(0.0, 0.0, 2.0, 1.0)[:4]), ("a", 2, [(0.0, 0.0), (1.0, 1.0)])], "zone_id string, _ring int, _c array<struct<x: double, y: double>>")
+    rings = O._with_area(rows)
+    assert [(r._ring, r._area, len(r._c)) for r in rings.collect()] == [(1, 4.0, 5)]
+    plan = rings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(") == 1 and plan.count("aggregate(") == 1

@@ -16,7 +16,7 @@ from wardscore.operators import geometry as G
 from wardscore.operators.quadtree import EDGE, MOST_EDGES, shape_cells, side_sql, split_cells
 from wardscore.operators.settle import settle, spread
 from wardscore.operators.spatial import CELL_KEY, levels_in, points_in_zones
-from wardscore.operators.tables import first_by
+from wardscore.operators.tables import first_by, worked_out
 
 # Width of the grid, in the coordinates' unit: a hundredth of a millimetre, in degrees.
 GRID = 1e-10
@@ -127,6 +127,14 @@ def _numbered_rings(border: DataFrame, follow: DataFrame) -> DataFrame:
     return state.select("_id", "_ring", "_ahead")
 
 
+def _with_area(rings: DataFrame) -> DataFrame:
+    """The rings closed, with their signed ``_area``; those without one go."""
+    closed = rings.withColumn("_c", F.expr("transform(concat(_c, slice(_c, 1, 1)), c -> struct(c.x AS x, c.y AS y))"))
+    twice = "aggregate(sequence(1, size(_c) - 1), 0D, (t, i) -> t + (_c[i - 1].x - _c[0].x) * (_c[i].y - _c[0].y) - (_c[i].x - _c[0].x) * (_c[i - 1].y - _c[0].y))"
+    # Else the filter would close the ring anew at each of its corners.
+    return worked_out(closed.withColumn("_area", F.expr(twice))).where("_area <> 0")
+
+
 def outlines(zones: DataFrame, grid: float = GRID, most_edges: int = MOST_EDGES) -> DataFrame:
     """The union of all rows of one zone_id: a row per polygon of it, with zone_id, zone_name, file_order, part_no and parts.
 
@@ -145,9 +153,7 @@ def outlines(zones: DataFrame, grid: float = GRID, most_edges: int = MOST_EDGES)
     order = F.when(F.col("_ahead") == 0, F.lit(-(1 << 62))).otherwise(-F.col("_ahead"))
     corners = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("x1").alias("x"), F.col("y1").alias("y"))))
     listed = rings.groupBy("zone_id", "_ring").agg(corners.alias("_c"))
-    listed = listed.withColumn("_c", F.expr("transform(concat(_c, slice(_c, 1, 1)), c -> struct(c.x AS x, c.y AS y))"))
-    twice = "aggregate(sequence(1, size(_c) - 1), 0D, (t, i) -> t + (_c[i - 1].x - _c[0].x) * (_c[i].y - _c[0].y) - (_c[i].x - _c[0].x) * (_c[i - 1].y - _c[0].y))"
-    listed = settle(listed.withColumn("_area", F.expr(twice)).where("_area <> 0"))
+    listed = settle(_with_area(listed))
     outer = listed.where("_area > 0")
     polygons = outer.select("zone_id", "_ring", "_c").join(_holes(listed, outer), "_ring", "left")
     back = f"transform(ring, p -> struct(p.x * {grid!r}D + {x0!r}D AS x, p.y * {grid!r}D + {y0!r}D AS y))"
