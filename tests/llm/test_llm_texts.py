@@ -380,3 +380,17 @@ def test_fitted_weights_follow_the_counted_states():
     mixer = context_mixing.calibrated(table, cells, seen)
     gate = 63
     assert 0.9 < mixer.weights[1][gate] < 1.3 and abs(mixer.weights[1][0] - 0.3) < 1e-6
+
+
+def test_counted_bits_are_the_scored_ones():
+    """Bits that are only counted are not put in order, and are the same ones."""
+    texts = context_mixing.pa.array([" ".join(f"w{i * i % 23}" for i in range(200)), "w1 unseen w2", ""])
+    _, _, data, bounds = next(context_mixing._chunks(texts))
+    starts, ends, _ = text_bytes.word_bounds(data, bounds)
+    lex = context_mixing.lexicon(*np.unique(text_bytes.slice_hashes(data, starts, ends), return_counts=True), 3, len(starts))
+    tokens = context_mixing.tokens_of(data, bounds)
+    place = context_mixing.found_in(lex, tokens)
+    scored = context_mixing.events_of(lex, data, tokens, place)
+    counted = context_mixing.events_of(lex, data, tokens, place, scored=False)
+    rows = lambda e: sorted(zip(e.bit.tolist(), e.depth.tolist(), *e.slots.tolist(), strict=True))
+    assert rows(counted) == rows(scored) and counted.text is None and counted.stretch is None

@@ -39,10 +39,10 @@ LEAST_CODED = 3
 # Slots of the predictors' tables, and slots in a slice.
 SLOTS = (1 << 18, 1 << 21, 1 << 21, 1 << 21)
 SLICE = 1 << 15
-# Tokens between two updates inside a text; bytes of text handled at once (when scored: so few that the arrays stay in the
-# processor's caches).
+# Tokens between two updates inside a text; bytes of text handled at once, and bits hashed at once: so few that the arrays stay
+# in the processor's caches.
 STRETCH = 64
-CHUNK, SCORED_CHUNK = 1 << 20, 1 << 19
+CHUNK, BLOCK = 1 << 19, 1 << 16
 ONLINE_RATE = 0.002
 # Folds of the training texts, and rounds in which the weights are fitted to the counted states.
 FOLDS, ROUNDS = 2, 12
@@ -130,8 +130,8 @@ class Events:
     slots: np.ndarray
     spells: np.ndarray
     depth: np.ndarray
-    stretch: np.ndarray
-    text: np.ndarray
+    stretch: np.ndarray | None
+    text: np.ndarray | None
 
 
 @dataclass
@@ -178,17 +178,20 @@ def _slots(contexts: list[np.ndarray], lengths: np.ndarray, nodes: np.ndarray) -
     out = np.empty((len(SLOTS), len(nodes)), np.int32)
     mark = nodes.astype(np.uint32) * np.uint32(0x9E3779B1)
     for k, (context, size) in enumerate(zip(contexts, SLOTS, strict=True)):
-        mixed = np.repeat(context, lengths)
-        mixed ^= mark
-        mixed *= np.uint32(0x85EBCA6B)
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= np.uint32(0xC2B2AE35)
-        mixed >>= np.uint32(33 - size.bit_length())
-        np.add(mixed, np.uint32(FIRST[k]), out=out[k], casting="unsafe")
+        whole = np.repeat(context, lengths)
+        for a in range(0, len(nodes), BLOCK):
+            mixed = whole[a : a + BLOCK]
+            mixed ^= mark[a : a + BLOCK]
+            mixed *= np.uint32(0x85EBCA6B)
+            mixed ^= mixed >> np.uint32(15)
+            mixed *= np.uint32(0xC2B2AE35)
+            mixed >>= np.uint32(33 - size.bit_length())
+            np.add(mixed, np.uint32(FIRST[k]), out=out[k, a : a + BLOCK], casting="unsafe")
     return out
 
 
-def events_of(lex: Lexicon, data: np.ndarray, tokens: Tokens, place: np.ndarray) -> Events:
+def events_of(lex: Lexicon, data: np.ndarray, tokens: Tokens, place: np.ndarray, scored: bool = True) -> Events:
+    """The bits of some texts; those that are only counted, not ``scored``, come without their stretch and text."""
     with np.errstate(over="ignore"):
         symbol = np.where(place >= 0, lex.symbols[place] if len(lex.symbols) else -1, -1)
         symbol = np.where(tokens.is_end, lex.end, np.where(symbol < 0, lex.escape, symbol))
@@ -210,16 +213,19 @@ def events_of(lex: Lexicon, data: np.ndarray, tokens: Tokens, place: np.ndarray)
             _narrow(stirred(before * U64(STIR) + earlier)),
             _narrow((language + U64(7)) * SPREAD),
         ]
-        text, stretch = tokens.text.astype(np.int32), (tokens.place // STRETCH).astype(np.int32)
-        # By stretch, as they are scored; what came before each token is known by now.
-        order = np.argsort(stretch, kind="stable")
-        text, stretch, symbol, language = (v[order] for v in (text, stretch, symbol, language))
-        contexts, begins, ends = [c[order] for c in contexts], tokens.starts[order], tokens.ends[order]
+        begins, ends = tokens.starts, tokens.ends
+        if scored:
+            text, stretch = tokens.text.astype(np.int32), (tokens.place // STRETCH).astype(np.int32)
+            # By stretch, as they are scored; what came before each token is known by now.
+            order = np.argsort(stretch, kind="stable")
+            text, stretch, symbol, language = (v[order] for v in (text, stretch, symbol, language))
+            contexts, begins, ends = [c[order] for c in contexts], begins[order], ends[order]
         lengths = lex.tokens.lengths[symbol]
         at = ragged(lex.tokens.starts[symbol], lengths)
-        bits, depth = lex.tokens.bits[at], lex.tokens.depths[at]
-        slots = _slots(contexts, lengths, lex.tokens.nodes[at])
-        texts, stretches = np.repeat(text, lengths), np.repeat(stretch, lengths)
+        bits, depth = np.take(lex.tokens.bits, at), np.take(lex.tokens.depths, at)
+        slots = _slots(contexts, lengths, np.take(lex.tokens.nodes, at))
+        if scored:
+            texts, stretches = np.repeat(text, lengths), np.repeat(stretch, lengths)
 
         spelled = np.flatnonzero(symbol == lex.escape)
         size = ends[spelled] - begins[spelled] + 1
@@ -249,8 +255,8 @@ def events_of(lex: Lexicon, data: np.ndarray, tokens: Tokens, place: np.ndarray)
         slots,
         np.arange(slots.shape[1]) >= len(bits),
         np.concatenate([depth, late]),
-        np.concatenate([stretches, np.repeat(stretch[source], lengths)]),
-        np.concatenate([texts, np.repeat(text[source], lengths)]),
+        np.concatenate([stretches, np.repeat(stretch[source], lengths)]) if scored else None,
+        np.concatenate([texts, np.repeat(text[source], lengths)]) if scored else None,
     )
 
 
@@ -524,12 +530,12 @@ def bit_counts(texts: DataFrame, lex) -> tuple[list[np.ndarray], np.ndarray]:  #
         for batch in batches:
             for f, data, bounds in _folded(batch):
                 tokens = tokens_of(data, bounds)
-                events = events_of(lex.value, data, tokens, found_in(lex.value, tokens))
+                events = events_of(lex.value, data, tokens, found_in(lex.value, tokens), scored=False)
                 mine = counts[f * 2 * total : (f + 1) * 2 * total]
                 for row in events.slots:
                     row *= 2
                     row += events.bit
-                    _add_to(mine, row)
+                    np.add.at(mine, row, np.int32(1))
         # A slice's folds lie side by side, so that they meet in one task.
         press = zstandard.ZstdCompressor(level=1)
         by_fold = counts.reshape(FOLDS, -1, 2 * SLICE)
@@ -587,7 +593,7 @@ def state_counts(texts: DataFrame, lex, states) -> np.ndarray:  # noqa: ANN001
         for batch in batches:
             for f, data, bounds in _folded(batch):
                 tokens = tokens_of(data, bounds)
-                events = events_of(lex.value, data, tokens, found_in(lex.value, tokens))
+                events = events_of(lex.value, data, tokens, found_in(lex.value, tokens), scored=False)
                 key = events.depth.astype(np.int32)
                 for row in events.slots:
                     key <<= 4
@@ -658,7 +664,7 @@ def score_texts(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lex.value
         for batch in batches:
-            for a, b, data, bounds in _chunks(batch.column(1), SCORED_CHUNK):
+            for a, b, data, bounds in _chunks(batch.column(1)):
                 tokens = tokens_of(data, bounds)
                 place = found_in(words, tokens)
                 n = b - a
