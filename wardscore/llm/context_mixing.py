@@ -42,6 +42,8 @@ SLICE = 1 << 15
 # Tokens between two updates inside a text; bytes of text handled at once, and bits hashed at once: so few that the arrays stay
 # in the processor's caches.
 STRETCH = 64
+# Steps of a path whose slots lie side by side in a table, so that a context's next bits are in the caches together.
+GROUP = 4
 CHUNK, BLOCK = 1 << 19, 1 << 16
 ONLINE_RATE = 0.002
 # Folds of the training texts, and rounds in which the weights are fitted to the counted states.
@@ -53,13 +55,28 @@ FIRST = np.concatenate([[0], np.cumsum(SLOTS)])
 
 @dataclass
 class Code:
-    """Per symbol its path: nodes met and bits taken, in two flat arrays."""
+    """Per symbol its path: nodes met and bits taken, in two flat arrays.
+
+    ``steps`` says all of a step of a path in one number: a mark of the node that its group of GROUP steps begins at, its place
+    among the nodes of that group, and depth and bit.
+    """
 
     starts: np.ndarray
     lengths: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
-    depths: np.ndarray
+    steps: np.ndarray
+
+
+def _steps(starts: np.ndarray, lengths: np.ndarray, nodes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    step = ragged(np.zeros(len(starts), np.int64), lengths)
+    mark = nodes[np.arange(len(step)) - step % GROUP].astype(np.uint32) * np.uint32(0x9E3779B1)
+    local = np.ones(len(step), np.int64)
+    for i in range(1, GROUP):
+        at = np.flatnonzero(step % GROUP == i)
+        local[at] = 2 * local[at - 1] + bits[at - 1]
+    small = local * 256 + np.minimum(step, 15) * 2 + bits
+    return mark.astype(U64) << U64(32) | small.astype(U64)
 
 
 def huffman(counts: np.ndarray, first_node: int) -> Code:
@@ -81,13 +98,13 @@ def huffman(counts: np.ndarray, first_node: int) -> Code:
         depth += open_
         at = np.where(open_, parent[at], at)
     if not paths:
-        return Code(np.zeros(n, np.int64), depth, np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, np.int8))
+        return Code(np.zeros(n, np.int64), depth, np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, U64))
     # From the root down.
     table, turn = np.stack(paths, axis=1)[:, ::-1], np.stack(turns, axis=1)[:, ::-1]
     taken = table >= 0
     starts = np.cumsum(depth) - depth
-    depths = np.minimum(ragged(np.zeros(n, np.int64), depth), 15).astype(np.int8)
-    return Code(starts, depth, (table[taken] - n + first_node).astype(np.int32), turn[taken], depths)
+    nodes, bits = (table[taken] - n + first_node).astype(np.int32), turn[taken]
+    return Code(starts, depth, nodes, bits, _steps(starts, depth, nodes, bits))
 
 
 @dataclass
@@ -132,6 +149,8 @@ class Events:
     depth: np.ndarray
     stretch: np.ndarray | None
     text: np.ndarray | None
+    # Where the bits come by stretch and text, those of tokens first: of both kinds the texts, stretches and bits of their runs.
+    runs: tuple | None = None
 
 
 @dataclass
@@ -173,21 +192,42 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return (x >> U64(32)).astype(np.uint32)
 
 
-def _slots(contexts: list[np.ndarray], lengths: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Slots in the joint table of all predictors, one row each."""
-    out = np.empty((len(SLOTS), len(nodes)), np.int32)
-    mark = nodes.astype(np.uint32) * np.uint32(0x9E3779B1)
-    for k, (context, size) in enumerate(zip(contexts, SLOTS, strict=True)):
-        whole = np.repeat(context, lengths)
-        for a in range(0, len(nodes), BLOCK):
-            mixed = whole[a : a + BLOCK]
-            mixed ^= mark[a : a + BLOCK]
+def _follow(code: Code, symbols: np.ndarray, lengths: np.ndarray, contexts: list[np.ndarray], slots: np.ndarray, low: np.ndarray) -> None:
+    """Writes for each bit of the symbols' paths the slots in the joint table of all predictors, one row each, and ``low``: depth and bit.
+
+    A context and the first node of a group are hashed to a place; the group's nodes have the 2 ** GROUP slots around it.
+    """
+    ends = np.cumsum(lengths)
+    moved = code.starts[symbols] - (ends - lengths)
+    cuts = np.searchsorted(ends, np.arange(BLOCK, slots.shape[1], BLOCK))
+    for i, j in zip([0, *cuts], [*cuts, len(ends)], strict=True):
+        if i == j:
+            continue
+        size = lengths[i:j]
+        a, b = ends[i] - size[0], ends[j - 1]
+        at = np.repeat(moved[i:j], size)
+        at += np.arange(a, b)
+        steps = np.take(code.steps, at, mode="clip")
+        parts = steps.view(np.uint32)
+        mark, local = parts[1::2].copy(), parts[::2] >> np.uint32(8)
+        low[a:b] = steps.astype(np.uint8)
+        for k, (context, slots_of) in enumerate(zip(contexts, SLOTS, strict=True)):
+            mixed = np.repeat(context[i:j], size)
+            mixed ^= mark
             mixed *= np.uint32(0x85EBCA6B)
             mixed ^= mixed >> np.uint32(15)
             mixed *= np.uint32(0xC2B2AE35)
-            mixed >>= np.uint32(33 - size.bit_length())
-            np.add(mixed, np.uint32(FIRST[k]), out=out[k, a : a + BLOCK], casting="unsafe")
-    return out
+            mixed >>= np.uint32(33 - slots_of.bit_length())
+            mixed ^= local
+            np.add(mixed.view(np.int32), np.int32(FIRST[k]), out=slots[k, a:b])
+
+
+def _runs(text: np.ndarray, stretch: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, stretch and bits of each run of symbols in one stretch of a text."""
+    if not len(text):
+        return text, stretch, bits
+    begins = np.concatenate([[0], np.flatnonzero((stretch[1:] != stretch[:-1]) | (text[1:] != text[:-1])) + 1])
+    return text[begins], stretch[begins], np.add.reduceat(bits, begins)
 
 
 def events_of(lex: Lexicon, data: np.ndarray, tokens: Tokens, place: np.ndarray, scored: bool = True) -> Events:
@@ -221,11 +261,6 @@ def events_of(lex: Lexicon, data: np.ndarray, tokens: Tokens, place: np.ndarray,
             text, stretch, symbol, language = (v[order] for v in (text, stretch, symbol, language))
             contexts, begins, ends = [c[order] for c in contexts], begins[order], ends[order]
         lengths = lex.tokens.lengths[symbol]
-        at = ragged(lex.tokens.starts[symbol], lengths)
-        bits, depth = np.take(lex.tokens.bits, at), np.take(lex.tokens.depths, at)
-        slots = _slots(contexts, lengths, np.take(lex.tokens.nodes, at))
-        if scored:
-            texts, stretches = np.repeat(text, lengths), np.repeat(stretch, lengths)
 
         spelled = np.flatnonzero(symbol == lex.escape)
         size = ends[spelled] - begins[spelled] + 1
@@ -239,25 +274,29 @@ def events_of(lex: Lexicon, data: np.ndarray, tokens: Tokens, place: np.ndarray,
         tongue = language[spelled][owner]
         two = back(1) * U64(256) + back(2)
         three = two * U64(256) + back(3)
-        contexts = [
+        inner = [
             _narrow((two + U64(1 << 30)) * SPREAD),
             _narrow(stirred(tongue * U64(1 << 24) + three)),
             _narrow(slice_hashes(data, begins[spelled][owner], where)),
             _narrow(stirred(tongue * U64(1 << 16) + two + U64(1 << 40))),
         ]
-        lengths = lex.spelled.lengths[sign]
-        at = ragged(lex.spelled.starts[sign], lengths)
-        slots = np.concatenate([slots, _slots(contexts, lengths, lex.spelled.nodes[at])], axis=1)
-        late = np.repeat((16 + np.minimum(inside, 15)).astype(np.int8), lengths)
-        source = spelled[owner]
-    return Events(
-        np.concatenate([bits, lex.spelled.bits[at]]),
-        slots,
-        np.arange(slots.shape[1]) >= len(bits),
-        np.concatenate([depth, late]),
-        np.concatenate([stretches, np.repeat(stretch[source], lengths)]) if scored else None,
-        np.concatenate([texts, np.repeat(text[source], lengths)]) if scored else None,
-    )
+        inner_lengths = lex.spelled.lengths[sign]
+
+        n, m = int(lengths.sum()), int(inner_lengths.sum())
+        slots, low = np.empty((len(SLOTS), n + m), np.int32), np.empty(n + m, np.uint8)
+        _follow(lex.tokens, symbol, lengths, contexts, slots[:, :n], low[:n])
+        _follow(lex.spelled, sign, inner_lengths, inner, slots[:, n:], low[n:])
+    bit = (low & np.uint8(1)).view(bool)
+    low >>= np.uint8(1)
+    low[n:] = np.repeat((16 + np.minimum(inside, 15)).astype(np.uint8), inner_lengths)
+    spells = np.zeros(n + m, bool)
+    spells[n:] = True
+    if not scored:
+        return Events(bit, slots, spells, low.view(np.int8), None, None)
+    source = spelled[owner]
+    runs = _runs(text, stretch, lengths), _runs(text[source], stretch[source], inner_lengths)
+    per_bit = [np.concatenate([np.repeat(r[i], r[2]) for r in runs]) for i in (1, 0)]
+    return Events(bit, slots, spells, low.view(np.int8), *per_bit, runs)
 
 
 def packed(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -307,22 +346,33 @@ class Mixer:
     refined: np.ndarray
     constant: np.ndarray = field(default_factory=lambda: np.zeros(GATES, np.float32))
 
-    def inputs(self, slots: np.ndarray, spells: bool) -> tuple[list[np.ndarray], np.ndarray]:
-        """The predictors' log odds, and the gate of each bit."""
-        x, gate = [], np.full(slots.shape[1], spells, np.uint8)
-        for k, row in enumerate(slots):
-            seen = self.table[row]
-            x.append(ODDS[seen])
-            if k:
-                gate <<= np.uint8(2)
-                gate |= TRUST[seen]
-        return x, gate.astype(np.intp)
-
-    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        out = np.take(self.constant * np.float32(CONSTANT), gate)
-        for row, weight in zip(x, self.weights, strict=True):
-            out += row * np.take(weight, gate)
-        return out
+    def inputs(self, slots: np.ndarray, spells: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The predictors' log odds, and what the mixer makes of them before it adapts.
+
+        Block after block, and by arithmetic rather than by tables where that does: every look-up costs more.
+        """
+        n = slots.shape[1]
+        x, plain = np.empty((len(slots), n), np.float32), np.empty(n, np.float32)
+        constant = self.constant * np.float32(CONSTANT)
+        for a in range(0, n, BLOCK):
+            block = slots[:, a : a + BLOCK].astype(np.intp)
+            gate = np.full(block.shape[1], spells, np.uint8)
+            for k, row in enumerate(block):
+                seen = np.take(self.table, row, mode="clip")
+                odds = x[k, a : a + BLOCK]
+                odds[:] = seen >> 2
+                odds -= 128
+                odds *= np.float32(1 / 16)
+                if k:
+                    gate <<= np.uint8(2)
+                    gate |= seen.astype(np.uint8) & np.uint8(3)
+            gate = gate.astype(np.intp)
+            mixed = np.take(constant, gate, out=plain[a : a + BLOCK], mode="clip")
+            for row, weight in zip(x, self.weights, strict=True):
+                weight = np.take(weight, gate, mode="clip")
+                weight *= row[a : a + BLOCK]
+                mixed += weight
+        return x, plain
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """By depth, step of the log odds and bit: the bit's cost and how far the prediction missed it.
@@ -342,51 +392,54 @@ class Mixer:
         """Natural log probability of each text, the weights adapting along it; bits of tokens and of spelled bytes adapt their own."""
         out = np.zeros(texts)
         tables = self.tables()
-        for spells in (False, True):
-            mine = np.flatnonzero(events.spells == spells)
-            if not len(mine):
-                continue
-            # Stretch after stretch, in each text after text; usually they come that way, token bits first.
-            stretch, text = events.stretch[mine], events.text[mine]
-            step = stretch[1:] - stretch[:-1]
-            if (step < 0).any() or ((step == 0) & (text[1:] < text[:-1])).any():
-                order = np.lexsort((text, stretch))
-                mine, stretch, text = mine[order], stretch[order], text[order]
-            whole = mine[-1] - mine[0] + 1 == len(mine) and (mine[1:] > mine[:-1]).all()
-            at = slice(mine[0], mine[-1] + 1) if whole else mine
-            self._add(out, tables, spells, events.bit[at], events.slots[:, at], events.depth[at], stretch, text)
+        runs = events.runs or [None, None]
+        before = 0
+        for spells, run in zip((False, True), runs, strict=True):
+            if run is not None:
+                at = slice(before, before + int(run[2].sum()))
+                before = at.stop
+            else:
+                # Stretch after stretch, in each text after text.
+                at = np.flatnonzero(events.spells == spells)
+                at = at[np.lexsort((events.text[at], events.stretch[at]))]
+                run = _runs(events.text[at], events.stretch[at], np.ones(len(at), np.int64))
+            if len(run[0]):
+                self._add(out, tables, spells, events.bit[at], events.slots[:, at], events.depth[at], *run)
         return out
 
-    def _add(self, out: np.ndarray, tables: tuple, spells: bool, bit, slots, depth, stretch, text) -> None:  # noqa: ANN001
-        """Adds to ``out`` the log probabilities of bits that come by stretch and text."""
+    def _add(self, out: np.ndarray, tables: tuple, spells: bool, bit, slots, depth, who, when, sizes) -> None:  # noqa: ANN001
+        """Adds to ``out`` the log probabilities of bits that come by stretch and text, in runs of ``sizes``."""
         cost, miss = tables
-        x, gate = self.inputs(slots, spells)
-        plain = self.mixed(x, gate)
-        # Where a bit's entries begin in the tables; the step of its log odds is added.
-        entry = (depth.astype(np.intp) * LEVELS + REACH * FINE) * 2 + bit
-        # Bits of one text in one stretch.
-        new = np.flatnonzero((stretch[1:] != stretch[:-1]) | (text[1:] != text[:-1])) + 1
-        begins = np.concatenate([[0], new])
-        sizes = np.diff(np.append(begins, len(bit)))
-        who, when = text[begins], stretch[begins]
+        x, plain = self.inputs(slots, spells)
+        # Where a bit's entries begin in the tables; the step of its log odds is added. All are whole numbers that floats hold.
+        entry = depth.astype(np.float32)
+        entry *= 2 * LEVELS
+        entry += 2 * REACH * FINE
+        entry += bit
+        begins = np.cumsum(sizes) - sizes
         first = np.flatnonzero(np.concatenate([[True], when[1:] != when[:-1], [True]]))
         own = np.zeros((len(x) + 1, len(out)), np.float32)
         for f, g in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             a, b = begins[f], begins[f] + sizes[f:g].sum()
             ids, size, begin = who[f:g], sizes[f:g], begins[f:g] - a
-            v = [row[a:b] for row in x]
-            odds = plain[a:b] + np.repeat(own[-1][ids] * np.float32(CONSTANT), size)
-            for k, row in enumerate(v):
-                odds += row * np.repeat(own[k][ids], size)
+            odds = plain[a:b].copy()
+            # Nothing is learned yet in a text's first stretch.
+            if f:
+                odds += np.repeat(own[-1][ids] * np.float32(CONSTANT), size)
+                for k, row in enumerate(x):
+                    learned = np.repeat(own[k][ids], size)
+                    learned *= row[a:b]
+                    odds += learned
             np.clip(odds, -REACH, REACH, out=odds)
             odds *= FINE
-            at = np.rint(odds, out=odds).astype(np.intp)
-            at *= 2
-            at += entry[a:b]
-            out[ids] -= np.add.reduceat(np.take(cost, at), begin)
-            missed = np.take(miss, at)
-            for k, row in enumerate(v):
-                own[k][ids] += np.add.reduceat(missed * row, begin)
+            np.rint(odds, out=odds)
+            odds *= 2
+            odds += entry[a:b]
+            at = odds.astype(np.intp)
+            out[ids] -= np.add.reduceat(np.take(cost, at, mode="clip"), begin)
+            missed = np.take(miss, at, mode="clip")
+            for k, row in enumerate(x):
+                own[k][ids] += np.add.reduceat(np.multiply(missed, row[a:b], out=odds), begin)
             own[-1][ids] += np.add.reduceat(missed, begin) * np.float32(CONSTANT)
 
 
@@ -474,13 +527,6 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _add_to(counts: np.ndarray, keys: np.ndarray) -> None:
-    """Counts each key once more."""
-    keys = np.sort(keys)
-    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else np.zeros(0, int)
-    counts[keys[last]] += np.diff(last, prepend=-1).astype(counts.dtype)
-
-
 def _folded(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The chunks of a batch of texts with their folds, each fold's together."""
     fold = batch.column(1).to_numpy(zero_copy_only=False)
@@ -532,10 +578,12 @@ def bit_counts(texts: DataFrame, lex) -> tuple[list[np.ndarray], np.ndarray]:  #
                 tokens = tokens_of(data, bounds)
                 events = events_of(lex.value, data, tokens, found_in(lex.value, tokens), scored=False)
                 mine = counts[f * 2 * total : (f + 1) * 2 * total]
-                for row in events.slots:
-                    row *= 2
-                    row += events.bit
-                    np.add.at(mine, row, np.int32(1))
+                for a in range(0, len(events.bit), BLOCK):
+                    bit = events.bit[a : a + BLOCK].astype(np.intp)
+                    for at in events.slots[:, a : a + BLOCK].astype(np.intp):
+                        at <<= 1
+                        at |= bit
+                        np.add.at(mine, at, np.int32(1))
         # A slice's folds lie side by side, so that they meet in one task.
         press = zstandard.ZstdCompressor(level=1)
         by_fold = counts.reshape(FOLDS, -1, 2 * SLICE)
@@ -594,13 +642,14 @@ def state_counts(texts: DataFrame, lex, states) -> np.ndarray:  # noqa: ANN001
             for f, data, bounds in _folded(batch):
                 tokens = tokens_of(data, bounds)
                 events = events_of(lex.value, data, tokens, found_in(lex.value, tokens), scored=False)
-                key = events.depth.astype(np.int32)
-                for row in events.slots:
-                    key <<= 4
-                    key |= states.value[f][row]
-                key *= 2
-                key += events.bit
-                _add_to(counts, key)
+                for a in range(0, len(events.bit), BLOCK):
+                    key = events.depth[a : a + BLOCK].astype(np.int32)
+                    for row in events.slots[:, a : a + BLOCK].astype(np.intp):
+                        key <<= 4
+                        key |= np.take(states.value[f], row, mode="clip")
+                    key *= 2
+                    key += events.bit[a : a + BLOCK]
+                    np.add.at(counts, key.astype(np.intp), np.int32(1))
         yield from _slices(counts)
 
     def add_up(at: int, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
