@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wardscore.operators import geometry as G
 from wardscore.operators.settle import BROADCAST_BYTES, broadcast_if, settle, spread
 from wardscore.operators.spatial import CELL_KEY, EDGE_BYTES, HOT_CELL_ROWS, RAY_EPSILON, ROW_BYTES, join_on_cells, on_edge_exactly
-from wardscore.operators.tables import col, q
+from wardscore.operators.tables import col, q, worked_out
 
 MOST_EDGES = 64
 # A corner where more edges meet than a cell may hold cannot be split apart: its cell stays after so many rounds.
@@ -27,6 +27,8 @@ SIDE = 4
 REF_X, REF_Y = 0.5617376914898996, 0.4381966011250105
 # Share of a cell's width by which an edge outside still counts as touching.
 SLACK = 1e-9
+# Share of a shape's width and height by which a point outside its box is still tested against its edges.
+BOX_SLACK = 0.01
 EDGE = ("x1", "y1", "x2", "y2")
 
 
@@ -121,13 +123,15 @@ def _split(rows: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
     way = passed(
         _reference("cx", REF_X, wide), _reference("cy", REF_Y, wide), _reference("_x", REF_X, fine), _reference("_y", REF_Y, fine)
     )
-    return child.select(
-        F.col("_x").alias("cx"),
-        F.col("_y").alias("cy"),
-        *[col(k) for k in keys],
-        *EDGE,
-        F.expr(f"coalesce(inside, {way})").alias("flip"),
-        F.expr(f"inside IS NULL AND {_touches('_x', '_y', fine)}").alias("near"),
+    return worked_out(
+        child.select(
+            F.col("_x").alias("cx"),
+            F.col("_y").alias("cy"),
+            *[col(k) for k in keys],
+            *EDGE,
+            F.expr(f"coalesce(inside, {way})").alias("flip"),
+            F.expr(f"inside IS NULL AND {_touches('_x', '_y', fine)}").alias("near"),
+        )
     )
 
 
@@ -139,10 +143,18 @@ def shape_cells(edges: DataFrame, keys: Sequence[str], most_edges: int = MOST_ED
     return rows.groupBy(*CELL_KEY, *[col(k) for k in keys]).agg(F.max("inside").alias("inside"), F.collect_list(edge).alias("edges"))
 
 
-def side_sql(x: str, y: str, inside: str, edges: str) -> str:
-    """SQL: the point (x, y) of a cell (level, cx, cy) lies inside the shape with these edges there."""
+def reference_sql() -> tuple[str, str]:
+    """SQL: the reference point of a cell (level, cx, cy)."""
     width = "pow(4D, level)"
-    rx, ry = _reference("cx", REF_X, width), _reference("cy", REF_Y, width)
+    return _reference("cx", REF_X, width), _reference("cy", REF_Y, width)
+
+
+def side_sql(x: str, y: str, inside: str, edges: str, rx: str | None = None, ry: str | None = None) -> str:
+    """SQL: the point (x, y) of a cell (level, cx, cy) lies inside the shape with these edges there.
+
+    ``rx`` and ``ry`` name the cell's reference point where it is at hand; else every edge works it out anew.
+    """
+    rx, ry = (rx, ry) if rx and ry else reference_sql()
     return f"({inside} <> (size(filter({edges}, e -> {passed(rx, ry, x, y, 'e.')})) % 2 = 1))"
 
 
@@ -180,21 +192,31 @@ def located(
 
     For shapes with very many edges or parts: a row of the cells holds at most ``most_edges`` edges, whatever the shape's size.
     """
-    cells = settle(adaptive_cells(zones, most_edges))
+    rx, ry = reference_sql()
+    boxed = zones.withColumn("_box", G.zone_bbox("parts"))
+    cells = settle(adaptive_cells(boxed, most_edges).withColumns({"_rx": F.expr(rx), "_ry": F.expr(ry)}))
     held = "aggregate(rings, 0, (n, r) -> n + size(r.edges))"
     n_bytes = cells.agg(F.sum(F.expr(held) * EDGE_BYTES + ROW_BYTES)).first()[0] or 0
     x_sql, y_sql = q(x), q(y)
-    within = f"filter(rings, r -> {side_sql(x_sql, y_sql, 'r.inside', 'r.edges')})"
+    within = f"filter(rings, r -> {side_sql(x_sql, y_sql, 'r.inside', 'r.edges', '_rx', '_ry')})"
     touched = (
         f"(e.x2 - e.x1) * ({y_sql} - e.y1) - (e.y2 - e.y1) * ({x_sql} - e.x1) = 0 "
         f"AND {x_sql} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) AND {y_sql} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)"
     )
     touched = touched if digits is None else on_edge_exactly("e", x_sql, y_sql, digits)
-    joined = join_on_cells(points, cells, n_bytes, x, y, broadcast_bytes, hot_rows).withColumn("_in", F.expr(within))
+    joined = join_on_cells(points, cells, n_bytes, x, y, broadcast_bytes, hot_rows)
     # In an outer ring and in none of the same part's holes; with the boundary out, in a part whose edges the point is not on.
     edge_of = f" AND NOT exists(rings, r -> r.part = o.part AND exists(r.edges, e -> {touched}))" if exclude_boundary else ""
-    hit = f"exists(_in, o -> o.ring = 0 AND NOT exists(_in, h -> h.part = o.part AND h.ring > 0){edge_of})"
-    return joined.where(F.expr(hit)).drop(*CELL_KEY, "rings", "_in")
+    hit = f"exists(i, o -> o.ring = 0 AND NOT exists(i, h -> h.part = o.part AND h.ring > 0){edge_of})"
+    # Spark writes a column's formula out wherever a filter names it, here once for each ring again; ``i`` is worked out once.
+    # Most shapes of a cell are far from a point, which their boxes tell at less cost than their edges.
+    near = " AND ".join(
+        f"{p} >= _box.{c}min - {wide} AND {p} <= _box.{c}max + {wide}"
+        for p, c in ((x_sql, "x"), (y_sql, "y"))
+        for wide in [f"{BOX_SLACK!r}D * (_box.xmax - _box.xmin + _box.ymax - _box.ymin)"]
+    )
+    inside = f"CASE WHEN {near} THEN exists(array({within}), i -> {hit}) ELSE false END"
+    return joined.where(F.expr(inside)).drop(*CELL_KEY, "_rx", "_ry", "_box", "rings")
 
 
 def cell_loads(cells: DataFrame) -> Column:
