@@ -114,6 +114,6 @@ def test_edges_of_one_shape_are_dealt_out(spark, monkeypatch):
 
 def test_sides_are_worked_out_once(spark):
     """The filter on located points holds the formula of the rings around a point once, and no power for every edge."""
-    points = points_of(spark, [(0.5, 0.5)])
+    points = points_of(spark, [(0, 0.5, 0.5)])
     plan = Q.located(points, zones(spark, SHAPES), exclude_boundary=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("filter(rings#") == 1 and "pow(" not in plan.lower()
