@@ -396,8 +396,8 @@ def test_counted_bits_are_the_scored_ones():
     assert rows(counted) == rows(scored) and counted.text is None and counted.stretch is None
 
 
-def test_next_steps_of_a_path_lie_side_by_side():
-    """A group's nodes share the slots around one place and none of them another's; texts cost the same however their bits come."""
+def test_runs_are_those_of_the_bits():
+    """Runs known by token are those of the bits, and texts cost the same however their bits come."""
     words = [f"w{i}" for i in range(300)]
     texts = context_mixing.pa.array([" ".join(words[i * i % 300] for i in range(900)), " ".join(words), "", "w7 neverseen w9"])
     _, _, data, bounds = next(context_mixing._chunks(texts))
@@ -406,15 +406,10 @@ def test_next_steps_of_a_path_lie_side_by_side():
     lex = context_mixing.lexicon(hashes, counts + 3, 4, len(starts))
     tokens = context_mixing.tokens_of(data, bounds)
     place = context_mixing.found_in(lex, tokens)
-    counted = context_mixing.events_of(lex, data, tokens, place, scored=False)
-    inside, wide = ~counted.spells, 1 << context_mixing.GROUP
-    first = np.flatnonzero(inside & (counted.depth % context_mixing.GROUP == 0) & (counted.depth < 12))
-    for row in counted.slots:
-        for step in range(1, context_mixing.GROUP):
-            same = first[first + step < inside.sum()]
-            same = same[counted.depth[same + step] == counted.depth[same] + step]
-            assert len(same) and (row[same] // wide == row[same + step] // wide).all() and (row[same] != row[same + step]).all()
     scored = context_mixing.events_of(lex, data, tokens, place)
+    for kind, (text, stretch, size) in zip((False, True), scored.runs, strict=True):
+        mine = scored.spells == kind
+        assert (np.repeat(text, size) == scored.text[mine]).all() and (np.repeat(stretch, size) == scored.stretch[mine]).all()
     total = int(context_mixing.FIRST[-1])
     weights = np.full((len(context_mixing.SLOTS), context_mixing.GATES), 0.3, np.float32)
     table = np.random.default_rng(3).integers(0, 1024, total).astype(np.uint16)

@@ -42,8 +42,6 @@ SLICE = 1 << 15
 # Tokens between two updates inside a text; bytes of text handled at once, and bits hashed at once: so few that the arrays stay
 # in the processor's caches.
 STRETCH = 64
-# Steps of a path whose slots lie side by side in a table, so that a context's next bits are in the caches together.
-GROUP = 4
 CHUNK, BLOCK = 1 << 19, 1 << 16
 ONLINE_RATE = 0.002
 # Folds of the training texts, and rounds in which the weights are fitted to the counted states.
@@ -57,8 +55,7 @@ FIRST = np.concatenate([[0], np.cumsum(SLOTS)])
 class Code:
     """Per symbol its path: nodes met and bits taken, in two flat arrays.
 
-    ``steps`` says all of a step of a path in one number: a mark of the node that its group of GROUP steps begins at, its place
-    among the nodes of that group, and depth and bit.
+    ``steps`` says all of a step of a path in one number: a mark of the node, and depth and bit.
     """
 
     starts: np.ndarray
@@ -70,12 +67,8 @@ class Code:
 
 def _steps(starts: np.ndarray, lengths: np.ndarray, nodes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     step = ragged(np.zeros(len(starts), np.int64), lengths)
-    mark = nodes[np.arange(len(step)) - step % GROUP].astype(np.uint32) * np.uint32(0x9E3779B1)
-    local = np.ones(len(step), np.int64)
-    for i in range(1, GROUP):
-        at = np.flatnonzero(step % GROUP == i)
-        local[at] = 2 * local[at - 1] + bits[at - 1]
-    small = local * 256 + np.minimum(step, 15) * 2 + bits
+    mark = nodes.astype(np.uint32) * np.uint32(0x9E3779B1)
+    small = np.minimum(step, 15) * 2 + bits
     return mark.astype(U64) << U64(32) | small.astype(U64)
 
 
@@ -195,7 +188,7 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 def _follow(code: Code, symbols: np.ndarray, lengths: np.ndarray, contexts: list[np.ndarray], slots: np.ndarray, low: np.ndarray) -> None:
     """Writes for each bit of the symbols' paths the slots in the joint table of all predictors, one row each, and ``low``: depth and bit.
 
-    A context and the first node of a group are hashed to a place; the group's nodes have the 2 ** GROUP slots around it.
+    Block after block of symbols, so that all of it stays in the caches.
     """
     ends = np.cumsum(lengths)
     moved = code.starts[symbols] - (ends - lengths)
@@ -209,7 +202,7 @@ def _follow(code: Code, symbols: np.ndarray, lengths: np.ndarray, contexts: list
         at += np.arange(a, b)
         steps = np.take(code.steps, at, mode="clip")
         parts = steps.view(np.uint32)
-        mark, local = parts[1::2].copy(), parts[::2] >> np.uint32(8)
+        mark = parts[1::2].copy()
         low[a:b] = steps.astype(np.uint8)
         for k, (context, slots_of) in enumerate(zip(contexts, SLOTS, strict=True)):
             mixed = np.repeat(context[i:j], size)
@@ -218,7 +211,6 @@ def _follow(code: Code, symbols: np.ndarray, lengths: np.ndarray, contexts: list
             mixed ^= mixed >> np.uint32(15)
             mixed *= np.uint32(0xC2B2AE35)
             mixed >>= np.uint32(33 - slots_of.bit_length())
-            mixed ^= local
             np.add(mixed.view(np.int32), np.int32(FIRST[k]), out=slots[k, a:b])
 
 
